@@ -21,6 +21,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -32,6 +33,8 @@ from tablewarden.llm.text import CACHE_ENTRIES, slices
 CHUNK = 1 << 16
 #: Symbols of one pre-token that are encoded at a time, besides the lookahead.
 BLOCK = 512
+#: Bytes of a pre-token up to which pre-tokens are encoded together.
+SHORT = 32
 
 #: Letters of which the lower case and the composed form are themselves or one character: here Python's, the
 #: tokenizer's and the normaliser's tables agree.
@@ -69,6 +72,11 @@ class Spec:
         self.letters = byte_letters()
         self.lookahead = lookahead(merges)
         #: Whether every byte has a symbol of its own, so that no text is without an id.
+        self.table = Ranks(self.vocab, merges)
+        self.id_bytes = [str(i).encode() for i in range(self.table.size)]
+        self.token_bytes = [self.pieces.get(i, "").encode("utf-8") for i in range(self.table.size)]
+        self.byte_ids = np.array([self.vocab.get(c, -1) for c in self.letters])
+        self.last_byte_ids = np.array([self.vocab.get(c + self.suffix, -1) for c in self.letters])
         self.complete = all(c in self.vocab and c + self.suffix in self.vocab for c in self.letters)
 
     def symbols(self, pretoken: str, last: bool) -> list[str]:
@@ -120,57 +128,50 @@ def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     return out
 
 
-class Compatible(dict):
-    """Whether two tokens side by side stay as they are. A pre-token's encoding is the one row of tokens in which all
-    neighbours do; it is searched from the left, longest token first, with steps back where a neighbour doesn't fit."""
-
-    def __init__(self, spec: Spec):
-        super().__init__()
-        self.spec, self.longest = spec, max(map(len, spec.vocab))
-
-    def __missing__(self, pair: tuple[str, str]) -> bool:
-        symbols = [s for token in pair for s in self.split(token)]
-        fits = self[pair] = merge(symbols, self.spec.ranks) == [t for t in pair if t]
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        return fits
-
-    def split(self, token: str) -> list[str]:
-        suffix = self.spec.suffix
-        if suffix and token.endswith(suffix) and token != suffix:
-            bare = token[: -len(suffix)]
-            return [*bare[:-1], bare[-1] + suffix]
-        return list(token)
-
-    def search(self, letters: str) -> list[str] | None:
-        """Tokens of a pre-token that is given in byte letters without the end mark; None if none fit."""
-        vocab, suffix = self.spec.vocab, self.spec.suffix
-        whole = letters + suffix
-        n, stop = len(letters), len(letters) - 1 if suffix else len(letters)
-        out: list[str] = [""]
-        starts, tries = [0], [n]
-        while True:
-            at, end = starts[-1], tries[-1]
-            found = ""
-            while end > at:
-                token = whole[at:] if end == n else letters[at:end]
-                if token in vocab and self[out[-1], token]:
-                    found = token
-                    break
-                end = end - 1 if end < n or not suffix else stop
-            if found:
-                tries[-1] = end - 1 if end < n or not suffix else stop
-                out.append(found)
-                if end == n:
-                    return out[1:]
-                starts.append(end)
-                tries.append(n)
-            elif len(out) == 1:
-                return None
-            else:
-                out.pop()
-                starts.pop()
-                tries.pop()
+class Ranks:
+    """Merge ranks for numpy: pairs of symbol numbers as sorted keys. Numbers are those of the vocabulary."""
+
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
+        self.size = max(vocab.values()) + 1
+        usable = [(vocab[a], vocab[b], vocab[a + b], r) for r, (a, b) in enumerate(merges) if a in vocab and b in vocab and a + b in vocab]
+        left, right, made, rank = np.array(usable, np.int64).reshape(-1, 4).T
+        order = np.argsort(left * self.size + right, kind="stable")
+        self.keys = np.append((left * self.size + right)[order], np.iinfo(np.int64).max)
+        self.rank, self.made, self.none = np.append(rank[order], -1), np.append(made[order], -1), len(merges)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, merged symbol) of each pair; the rank is ``none`` where there is no merge. Negative symbols are none."""
+        key = left * self.size + right
+        at = np.searchsorted(self.keys, key)
+        hit = (self.keys[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(hit, self.rank[at], self.none), self.made[at]
+
+
+def merge_all(words: np.ndarray, ranks: Ranks) -> np.ndarray:
+    """Merges many short symbol rows (padded with -1) at once: in every round each row does its lowest-ranked merge."""
+    words = words.copy()
+    rows = np.arange(len(words))
+    rank, _ = ranks.of(words[:, :-1], words[:, 1:])
+    while len(rows):
+        best = rank.argmin(axis=1)
+        go = np.flatnonzero(rank[np.arange(len(rows)), best] < ranks.none)
+        rows, rank, best = rows[go], rank[go], best[go]
+        if not len(rows):
+            break
+        w, i = words[rows], np.arange(len(rows))
+        merged = ranks.of(w[i, best], w[i, best + 1])[1]
+        shift = np.arange(w.shape[1])
+        take = np.minimum(shift + (shift > best[:, None]), w.shape[1] - 1)
+        new = np.take_along_axis(w, take, 1)
+        new[:, -1] = -1
+        new[i, best] = merged
+        words[rows] = new
+        rank = np.take_along_axis(rank, np.minimum(take[:, :-1], rank.shape[1] - 1), 1)
+        rank[:, -1] = ranks.none
+        before, after = np.maximum(best - 1, 0), np.minimum(best, rank.shape[1] - 1)
+        rank[i, after] = ranks.of(new[i, after], new[i, after + 1])[0]
+        rank[i, before] = ranks.of(new[i, before], new[i, before + 1])[0]
+    return words
 
 
 class Remembered(dict):
@@ -236,7 +237,6 @@ class Encoder:
 
     def __init__(self, spec: Spec):
         self.spec, self.rest = spec, ""
-        self.pairs = Compatible(spec)
         self.cache, self.words = Remembered(self.encode), Remembered(self.word)
         self.reach = max((len(t) for t in spec.added), default=1)
 
@@ -244,9 +244,45 @@ class Encoder:
         """Of a whole pre-token."""
         if len(pretoken) > BLOCK:
             return self._long(pretoken)
-        letters = pretoken if pretoken.isascii() else "".join([self.spec.letters[b] for b in pretoken.encode("utf-8")])
-        tokens = self.pairs.search(letters)
-        return self.written(merge(self.spec.symbols(pretoken, last=True), self.spec.ranks) if tokens is None else tokens)
+        return self.written(merge(self.spec.symbols(pretoken, last=True), self.spec.ranks))
+
+    def prepare(self, texts: list[str]) -> None:
+        """Encodes together the pre-tokens of ordinary length that plain texts bring anew, and remembers them."""
+        self.cache.trim()
+        self.words.trim()
+        spec = self.spec
+        words: set[str] = set()
+        for text in texts:
+            if PLAIN_TEXT.fullmatch(text):
+                words.update(text.split())
+        fresh = [w for w in words if w not in self.words and w not in self.words.old]
+        found: set[str] = set()
+        for word in fresh:
+            found.update(PLAIN_PIECE.findall(word.lower()))
+        raw = {p: p.encode("utf-8") for p in found if p not in self.cache and p not in self.cache.old}
+        raw = {p: b for p, b in raw.items() if len(b) <= SHORT}
+        if not raw or not spec.complete:
+            return
+        lengths = np.fromiter(map(len, raw.values()), np.int64, len(raw))
+        rows = np.full((len(raw), SHORT), -1, np.int64)
+        rows[np.arange(SHORT) < lengths[:, None]] = spec.byte_ids[np.frombuffer(b"".join(raw.values()), np.uint8)]
+        last = np.frombuffer(bytes(b[-1] for b in raw.values()), np.uint8)
+        rows[np.arange(len(raw)), lengths - 1] = spec.last_byte_ids[last]
+        for pretoken, ids in zip(raw, self._merged(rows, lengths), strict=True):
+            self.cache[pretoken] = (b" ".join([spec.id_bytes[i] for i in ids]), b" ".join([spec.token_bytes[i] for i in ids]))
+
+    def _merged(self, rows: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
+        """Ids of each row, rows of like length together."""
+        out: list[list[int]] = [[]] * len(rows)
+        low = 0
+        for high in (4, 7, 10, 14, 20, SHORT):
+            some = np.flatnonzero((lengths > low) & (lengths <= high))
+            merged = merge_all(rows[some, :high], self.spec.table) if len(some) else rows[:0]
+            counts = (merged >= 0).sum(axis=1).tolist()
+            for i, ids, n in zip(some.tolist(), merged.tolist(), counts, strict=True):
+                out[i] = ids[:n]
+            low = high
+        return out
 
     def word(self, word: str) -> Piece:
         """Of a run without white space in plain text."""
@@ -384,6 +420,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for batch in batches:
             start = 0
             for part in slices(batch.column("text")):
+                encoder.prepare(part)
                 n, ids, decoded = zip(*(digest(t, encoder) for t in part), strict=True)
                 columns = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(decoded)}
                 yield pa.record_batch({"doc_id": batch.column("doc_id")[start : start + len(part)], **columns})

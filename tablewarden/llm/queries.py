@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import quality_classifier, quality_rules, sharding, toxicity, url_filter
+from tablewarden.llm import bpe, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity, url_filter
+
+WORD_BPE = "word_bpe_49k.json"
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +35,23 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit_ratio(docs, table(spark, sf_dir, "labels")))
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file, the same on the driver and on executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 URL_RULES = [
     url_filter.Rule("block", "net"),
     url_filter.Rule("allow", "example.net", "/en/"),
@@ -78,6 +97,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
+
+
 @query
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
