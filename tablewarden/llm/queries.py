@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import bpe, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity, url_filter
+from tablewarden.llm import bpe, neighbours, packing, quality_classifier, quality_rules, sharding, simhash, token_counts, toxicity, url_filter
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -35,6 +35,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit_ratio(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer file, the same on the driver and on executors."""
     import public_tokenizers
