@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple[str, ...] = ("quality", "partitions", "lineage")
+MODULES: tuple[str, ...] = ("quality", "partitions", "lineage", "ledger")
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
