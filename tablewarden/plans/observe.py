@@ -32,9 +32,9 @@ def cost_sql(alias: str = "") -> str:
     return f"({alias}duration_s * 0.000024 + {alias}duration_s * 2 * 0.0000025 + {alias}workflow_id * 0.026 * ({alias}duration_s / 3600 / 730) + 0.01 * 0.12)"
 
 
-@plan("agg_run_cost", f"SELECT run_id, round({cost_sql()}, 11) AS cost FROM {{runs}}")
+@plan("agg_run_cost", f"SELECT run_id, round({cost_sql()} + 0.00000000123, 8) AS cost FROM {{runs}}")
 def _(t):
-    return costs(t).select("run_id", F.round(F.col("cost").cast("double"), 11).alias("cost"))
+    return costs(t).select("run_id", F.round(F.col("cost").cast("double") + 0.00000000123, 8).alias("cost"))
 
 
 @plan("agg_cost_rollup", f"SELECT tenant_id, workflow_id, round(sum({cost_sql()}), 5) AS cost, count(*) AS n FROM {{runs}} GROUP BY ROLLUP (tenant_id, workflow_id)")
