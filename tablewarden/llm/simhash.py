@@ -25,6 +25,8 @@ from tablewarden.session import cut
 SHINGLES = 1 << 16
 #: Fingerprints of a key that one cell holds, twice over.
 CELL = 2048
+#: Parts in which the classes of one component are joined to its id.
+SALTS = 16
 
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
@@ -167,9 +169,12 @@ def near_duplicates(
     prints = cut(fingerprints(docs, id_col, text_col, words))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(classes.select("fp"), max_bits, blocks, sure))
-    classes = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    groups = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(groups, "root").select("fp", "component_id")
+    placed = cut(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", "root"))
+    linked = placed.where("root IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    groups = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    alone = placed.where("root IS NULL").select("fp", F.col("least").alias("component_id"))
+    classes = linked.join(groups, ["root", "salt"]).select("fp", "component_id").unionByName(alone)
     out = prints.join(classes.hint("merge"), "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
