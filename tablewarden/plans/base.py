@@ -41,9 +41,8 @@ FIXTURES = {
         UNION SELECT CAST(floor(p_partkey / 3) AS BIGINT) AS src, p_partkey AS dst FROM {part} WHERE p_partkey >= 3""",
     "cyclic": """SELECT src, dst FROM {edges} UNION SELECT p_partkey AS src, CAST(floor(p_partkey / 4) AS BIGINT) AS dst
         FROM {part} WHERE p_partkey % 97 = 0 AND p_partkey > 0""",
-    "starts": "SELECT p_partkey AS source FROM {part} WHERE p_partkey % 100 = 37",
-    "pairs": """SELECT p_partkey AS a, p_partkey + 50 AS b FROM {part} WHERE p_partkey % 40 = 7
-        UNION SELECT CAST(floor(p_partkey / 8) AS BIGINT) AS a, p_partkey AS b FROM {part} WHERE p_partkey % 40 = 8""",
+    "starts": "SELECT node AS source FROM {nodes}",
+    "pairs": """SELECT node AS a, node + 50 AS b FROM {nodes} UNION SELECT CAST(floor(node / 8) AS BIGINT) AS a, node AS b FROM {nodes}""",
 }
 
 

@@ -101,7 +101,13 @@ def _(t):
     return left.crossJoin(t["edges"].agg(F.count(F.lit(1)).alias("n_edges")))
 
 
-@plan("lin_cycles")
+@plan(
+    "lin_cycles",
+    """WITH RECURSIVE walk AS (SELECT src AS a, dst AS b FROM {cyclic} UNION SELECT w.a, c.dst FROM walk w JOIN {cyclic} c ON c.src = w.b),
+    round AS (SELECT a AS node FROM walk WHERE a = b)
+    SELECT node FROM (SELECT b AS node FROM walk WHERE a IN (SELECT node FROM round) UNION SELECT node FROM round)
+    INTERSECT SELECT node FROM (SELECT a AS node FROM walk WHERE b IN (SELECT node FROM round) UNION SELECT node FROM round)""",
+)
 def _(t):
     return g.cycles(t["cyclic"])
 
