@@ -73,8 +73,9 @@ class Spec:
         self.lookahead = lookahead(merges)
         #: Whether every byte has a symbol of its own, so that no text is without an id.
         self.table = Ranks(self.vocab, merges)
-        self.id_bytes = [str(i).encode() for i in range(self.table.size)]
-        self.token_bytes = [self.pieces.get(i, "").encode("utf-8") for i in range(self.table.size)]
+        size = max(self.pieces) + 1
+        self.id_bytes = [str(i).encode() for i in range(size)]
+        self.token_bytes = [self.pieces.get(i, "").encode("utf-8") for i in range(size)]
         self.byte_ids = np.array([self.vocab.get(c, -1) for c in self.letters])
         self.last_byte_ids = np.array([self.vocab.get(c + self.suffix, -1) for c in self.letters])
         self.complete = all(c in self.vocab and c + self.suffix in self.vocab for c in self.letters)
@@ -269,7 +270,7 @@ class Encoder:
         last = np.frombuffer(bytes(b[-1] for b in raw.values()), np.uint8)
         rows[np.arange(len(raw)), lengths - 1] = spec.last_byte_ids[last]
         for pretoken, ids in zip(raw, self._merged(rows, lengths), strict=True):
-            self.cache[pretoken] = (b" ".join([spec.id_bytes[i] for i in ids]), b" ".join([spec.token_bytes[i] for i in ids]))
+            self.cache[pretoken] = self.piece(ids)
 
     def _merged(self, rows: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
         """Ids of each row, rows of like length together."""
@@ -294,9 +295,10 @@ class Encoder:
 
     def written(self, tokens: list[str]) -> Piece:
         """A token outside the vocabulary has no id and is left out, as by a model without an unknown token."""
-        vocab = self.spec.vocab
-        tokens = [t for t in tokens if t in vocab]
-        return " ".join([str(vocab[t]) for t in tokens]).encode(), " ".join(tokens).encode("utf-8")
+        return self.piece([self.spec.vocab[t] for t in tokens if t in self.spec.vocab])
+
+    def piece(self, ids: list[int]) -> Piece:
+        return b" ".join([self.spec.id_bytes[i] for i in ids]), b" ".join([self.spec.token_bytes[i] for i in ids])
 
     def pretokens(self, text: str) -> list[str]:
         """Of any text that ends where pre-tokens end."""
@@ -322,7 +324,7 @@ class Encoder:
         out, at = [], 0
         for found in self.spec.special.finditer(text):
             out += self._plain(text[at : found.start()])
-            out.append((str(self.spec.added[found[0]]).encode(), found[0].encode("utf-8")))
+            out.append(self.piece([self.spec.added[found[0]]]))
             at = found.end()
         return out + self._plain(text[at:])
 
@@ -352,8 +354,12 @@ class Decoder:
     def feed(self, token: str) -> str:
         if self.bytes is not None:
             return self.machine.decode(bytes(self.bytes[c] for c in token))
-        lead, self.first = "" if self.first else " ", False
-        return self.machine.decode((lead + token).encode("utf-8"))
+        return self.take(token.encode("utf-8"))
+
+    def take(self, tokens: bytes) -> str:
+        """Text of word-level tokens that are joined by spaces already, after those that came before."""
+        lead, self.first = b"" if self.first else b" ", False
+        return self.machine.decode(lead + tokens)
 
     def finish(self) -> str:
         return self.machine.decode(b"", True)
@@ -372,7 +378,7 @@ def encoder_of(path: str) -> Encoder:
 
 def digest(text: str, encoder: Encoder) -> tuple[int, str, str]:
     """(number of tokens, SHA-256 of the ids joined by a space, SHA-256 of the decoded text), in constant memory."""
-    ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
+    ids, decoded, decoder, n = hashlib.sha256(), hashlib.sha256(), Decoder(), 0
     lead = b""
 
     def take(pieces: list[Piece]) -> None:
@@ -383,13 +389,14 @@ def digest(text: str, encoder: Encoder) -> tuple[int, str, str]:
             numbers, tokens = map(b" ".join, zip(*pieces, strict=True))
             n += numbers.count(b" ") + 1
             ids.update(lead + numbers)
-            decoded.update(lead + tokens)
+            decoded.update(decoder.take(tokens).encode("utf-8"))
             lead = b" "
 
     for at in range(0, len(text) - CHUNK, CHUNK):
         take(encoder.feed(text[at : at + CHUNK]))
     encoder.rest += text[max(0, -(-len(text) // CHUNK) - 1) * CHUNK :]
     take(encoder.finish())
+    decoded.update(decoder.finish().encode("utf-8"))
     return n, ids.hexdigest(), decoded.hexdigest()
 
 
