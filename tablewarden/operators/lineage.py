@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.session import cut
+from tablewarden.session import cut, forget
 
 
 def oriented(edges: DataFrame, direction: str) -> DataFrame:
@@ -133,8 +133,10 @@ def cycles(edges: DataFrame) -> DataFrame:
         if count in (n, 0):
             break
         n = count
+        before = rest
         kept = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         rest = cut(kept.join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        forget(before)
     return rest.select(F.col("src").alias("node")).distinct()
 
 
@@ -147,8 +149,11 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             break
         done.append(top.withColumn("level", F.lit(level)))
         level += 1
+        before = (left, rest)
         left = cut(left.join(top, "node", "left_anti"))
         rest = cut(rest.join(top.select(F.col("node").alias("src")), "src", "left_anti"))
+        for table in before:
+            forget(table)
     if not left.isEmpty():
         raise ValueError("the graph has a cycle")
     return reduce(DataFrame.unionByName, done)
