@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.session import cut
+from tablewarden.session import cut, forget
 
 
 def _star(sides: DataFrame) -> DataFrame:
@@ -32,15 +32,14 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Rounds are written to the shared folder, so a lost executor costs at most one of them. No neighbourhood is ever
     collected: a hub is a key of a minimum and of an equi-join, which Spark can split."""
     edges = cut(edges.where("u <> v").distinct())
-    before = None
+    known = None
     for _ in range(rounds):
         state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before:
-            break
-        before = state
-        if not state[0]:
+        if state == known or not state[0]:
             break
+        known, before = state, edges
         edges = cut(_small(_large(edges)))
+        forget(before)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
