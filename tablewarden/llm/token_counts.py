@@ -3,7 +3,7 @@
 1. Every task counts its pre-tokens; their sums give each distinct pre-token with its frequency in the corpus.
 2. The tokenizer is run once on each distinct pre-token; (pretoken, n, pieces) is written to the shared folder.
 3. Documents are read again as pre-token frequencies and joined to the pieces. The most frequent pre-tokens
-   (``head_rows`` of them, so the size is bounded) are joined inside the tasks, from a broadcast; the other ones by a
+   (``head_rows`` at most, so the size is bounded) are joined inside the tasks, from a broadcast; the other ones by a
    shuffle on the pre-token, in which no key is frequent, as all frequent keys are in the head.
 4. A sum per document.
 """
@@ -93,6 +93,22 @@ def pretoken_pieces(docs: DataFrame, path: str, text_col: str = "text") -> DataF
     return distinct.mapInArrow(pieces, "pretoken string, n long, pieces int")
 
 
+def frequent(known: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` of the most frequent pre-tokens: those from a frequency class up, of eight classes to a doubling.
+
+    The classes are counted first (some hundreds of numbers), so no task has to sort or gather candidates of all
+    partitions."""
+    level = F.floor(F.log2("n") * 8)
+    counts = known.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+    least, total = None, 0
+    for row in sorted(counts, key=lambda r: -r["level"]):
+        total += row["n"]
+        if total > rows:
+            break
+        least = row["level"]
+    return known.where(F.lit(False) if least is None else level >= least)
+
+
 def count_tokens(
     docs: DataFrame,
     path: str,
@@ -108,7 +124,7 @@ def count_tokens(
     """
     spark = docs.sparkSession
     known = cut(pretoken_pieces(docs, path, text_col))
-    top = known.orderBy(F.desc("n"), "pretoken").limit(head_rows).select("pretoken", "pieces").toArrow()
+    top = frequent(known, head_rows).select("pretoken", "pieces").toArrow()
     head = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
