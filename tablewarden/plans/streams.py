@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.operators import observe as o
 from tablewarden.operators import quality as q
+from tablewarden.operators.ledger import RUN_MOVES
 from tablewarden.plans.base import Plans
 from tablewarden.session import shared_dir
 from tablewarden.streaming import jobs as s
@@ -54,7 +55,10 @@ def _(t):
     return out.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@plan("str_burn_rate")
+HOURS = f"SELECT CAST(floor(epoch_us(ts) / 3600000000) * 3600 AS BIGINT) AS bucket, count(*) FILTER (event_type = 'error') AS bad, count(*) AS n FROM events GROUP BY 1 HAVING time_bucket(INTERVAL 1 HOUR, min(ts)) + INTERVAL 1 HOUR <= {MARK}"
+
+
+@plan("str_burn_rate", f"SELECT bucket, round(burn, 6) AS burn FROM (SELECT bucket, (sum(bad) OVER w * 1.0 / sum(n) OVER w) / 0.1 AS burn FROM ({HOURS}) WINDOW w AS (ORDER BY bucket RANGE BETWEEN 18000 PRECEDING AND 0 PRECEDING)) WHERE burn > 2.0001")
 def _(t):
     """Closed windows of good and bad counts go to a bucket table, on which burn rates are computed."""
     path = f"{shared_dir(t.spark)}/buckets-{uuid.uuid4().hex}"
@@ -65,7 +69,7 @@ def _(t):
     rows = rows.groupBy(F.unix_timestamp("start").alias("bucket")).agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("n"))
     rows = rows.withColumn("series", F.lit("all"))
     burn = F.try_divide(o.trailing(rows, ["series"], "bad", 6 * 3600, 3600), o.trailing(rows, ["series"], "n", 6 * 3600, 3600)) / 0.1
-    return rows.select("bucket", burn.alias("burn")).where("burn > 1")
+    return rows.select("bucket", burn.alias("burn")).where("burn > 2.0001").withColumn("burn", F.round("burn", 6))
 
 
 @plan("str_absence")
@@ -73,10 +77,15 @@ def _(t):
     return s.run_available(s.silence(s.event_stream(t.spark, t["events"], files=4, per_trigger=1), "user_id", 12 * 3600))
 
 
-@plan("str_ewma")
+@plan(
+    "str_ewma",
+    """WITH RECURSIVE x AS (SELECT user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    e AS (SELECT user_id, i, v AS e FROM x WHERE i = 1 UNION ALL SELECT x.user_id, x.i, 0.3 * x.v + 0.7 * e.e FROM e JOIN x ON x.user_id = e.user_id AND x.i = e.i + 1)
+    SELECT user_id, round(arg_max(e, i), 6) AS ewma, max(i) AS n FROM e GROUP BY user_id""",
+)
 def _(t):
     out = s.run_available(s.running_ewma(s.event_stream(t.spark, t["events"]).select("user_id", "ts", "event_id", "value"), "user_id"))
-    return out.groupBy("user_id").agg(F.max_by("ewma", "n").alias("ewma"), F.max("n").alias("n"))
+    return out.groupBy("user_id").agg(F.round(F.max_by("ewma", "n"), 6).alias("ewma"), F.max("n").alias("n"))
 
 
 @plan("str_quality")
@@ -93,7 +102,13 @@ def _(t):
 ORACLES["str_quality"] = "SELECT 'value' AS \"check\", CAST(count(*) FILTER (value < 0.5) AS BIGINT) AS failed_count, count(*) AS total_count FROM events UNION ALL SELECT 'type', CAST(count(*) FILTER (event_type = 'error') AS BIGINT), count(*) FROM events"
 
 
-@plan("str_state_machine")
+LEGAL = ", ".join(f"('{a}', '{b}')" for a, b in RUN_MOVES)
+
+
+@plan(
+    "str_state_machine",
+    f"SELECT job_id, event_id, from_state, state FROM (SELECT *, lag(state) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS from_state FROM {{transitions}}) WHERE from_state IS NOT NULL AND (from_state, state) NOT IN ({LEGAL})",
+)
 def _(t):
     return s.run_available(s.forbidden_moves(s.event_stream(t.spark, t["transitions"]), "job_id"))
 
