@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import packing, quality_classifier, simhash, toxicity
+from tablewarden.llm import packing, quality_classifier, resemblance, toxicity
 from tablewarden.session import cut
 
 ORACLE_SQL = None
@@ -24,11 +24,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document (the least doc_id) of each group of near duplicates on five-word shingles.
-
-    Fingerprints are linked at 9 or fewer differing bits: by the SimHash estimate cos(9 pi / 64) = 0.90 of the cosine,
-    a similarity of 0.83. Pairs of up to 5 differing bits are found for certain, further ones by most of the keys."""
-    return simhash.keep_one(docs, words=5, max_bits=9, blocks=8, sure=5)
+    """Keeps one document (the least doc_id) of each group of near duplicates: texts linked by a Jaccard similarity of at
+    least 0.8 on their whole sets of five-word shingles. Several SimHashes find the pairs to verify."""
+    return resemblance.keep_one_similar(docs, words=5, least=0.8)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

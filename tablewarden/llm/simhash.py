@@ -168,22 +168,31 @@ def near_duplicates(
     """
     prints = cut(fingerprints(docs, id_col, text_col, words))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(classes.select("fp"), max_bits, blocks, sure))
+    out = placed_rows(prints, classes, links(classes.select("fp"), max_bits, blocks, sure))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def placed_rows(prints: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of ``prints`` (doc_id, fp), given the least id of each class and the classes' links."""
+    roots = connected_components(edges)
     placed = cut(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", "root"))
     linked = placed.where("root IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
     groups = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     alone = placed.where("root IS NULL").select("fp", F.col("least").alias("component_id"))
     classes = linked.join(groups, ["root", "salt"]).select("fp", "component_id").unionByName(alone)
-    out = prints.join(classes.hint("merge"), "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(classes.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input rows without near-duplicates: of each component only the rows of its least id stay, once.
 
     Rows without an id are kept as they are. All columns of the input are kept."""
-    found = near_duplicates(docs, id_col, text_col, **options)
+    return kept_rows(docs, near_duplicates(docs, id_col, text_col, **options), id_col)
+
+
+def kept_rows(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of a component of ``found``, once each, and those without an id."""
     kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
     stay = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi")
     others = [c for c in docs.columns if c != id_col]
