@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.text import CACHE_ENTRIES, Vocabulary, mix, numbered, owners, per_text, slices, smallest
+from tablewarden.llm.text import CACHE_ENTRIES, Vocabulary, mix, numbered, owners, per_text, slices
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 WINDOW = 8
@@ -126,23 +126,19 @@ def fit_ratio(
     text_col: str = "text",
     label_col: str = "quality",
     bits: int = 16,
-    target_rows: int = 20_000,
     smoothing: float = 0.5,
 ) -> RatioModel:
-    """Counts the raw multinomial on all texts and the target on at most ``target_rows`` trusted ones (label 1, the ids
-    with the smallest hash, whole texts). The target is smoothed towards the raw one with ``smoothing`` times its own
-    weight and one count for each hash, and where nothing is trusted the ratio is 0 everywhere."""
+    """Counts the raw multinomial on all texts and the target on all trusted ones (label 1). The target is smoothed
+    towards the raw one with ``smoothing`` times its own weight, so an n-gram never met in it has the same ratio at
+    every size, and a corpus repeated has the model of the corpus. Where nothing is trusted the ratio is 0 everywhere."""
     raw = _vector(_gram_counts(docs.select(F.col(text_col).alias("text")), bits), bits)
     trusted = labels.where(F.col(label_col).cast("int") == 1).select(F.col(id_col).alias("id"))
-    sample = F.broadcast(smallest(trusted, "id", target_rows))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id", "left_semi").select("text")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(trusted, "id", "left_semi").select("text")
     target = _vector(_gram_counts(texts, bits), bits)
     if not raw.sum() or not target.sum():
         return RatioModel(np.zeros(1 << bits, np.float32), bits)
-    background = (raw + 0.5) / (raw.sum() + 0.5 * len(raw))
-    weight = smoothing * target.sum() + len(raw)
-    share = (target + weight * background) / (target.sum() + weight)
-    return RatioModel(np.log(share / background).astype(np.float32), bits)
+    lift = (target / target.sum()) / (np.maximum(raw, 1) / raw.sum())
+    return RatioModel(np.log((lift + smoothing) / (1 + smoothing)).astype(np.float32), bits)
 
 
 def judge(
