@@ -1,9 +1,9 @@
 """Variable-capacity best-fit packing of documents into sequences of a few permitted lengths.
 
-Pieces are placed longest first into the open bin with the least room that still takes them. When none does, the bin
-of the least cost per token that takes the piece is opened; at the end each bin shrinks to the smallest permitted
-length that holds its contents. Which openings pay off depends on the mix of lengths, so every cap on the length to
-open is tried and the cheapest final result is taken: the lengths are optimised jointly.
+Pieces are placed longest first into the open bin with the least room that still takes them. When none does, a bin is
+opened; at the end each bin shrinks to the smallest permitted length that holds its contents. Which openings pay off
+depends on the mix of lengths, so every choice of the length that each length class opens is packed (120 for five
+lengths) and the cheapest final result is taken: the lengths are optimised jointly.
 
 Documents are dealt by a hash of their id, length and number among equal rows into groups of about ``group_rows`` rows, each packed by itself; the cost is
 one set of part-filled bins a group.
@@ -12,7 +12,8 @@ one set of part-filled bins a group.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,35 +27,56 @@ def sequence_cost(capacity: int, overhead: int = 128, attention: int = 65536) ->
     return capacity + overhead + capacity * capacity / attention
 
 
+def place(lengths: list[int], sizes: list[int], opens: dict[int, int]) -> tuple[list[int], list[int], list[int]]:
+    """Best fit where a piece that fits no open bin opens ``opens[c]``, c being the least size that holds it."""
+    opened, at, offsets, room = [], [], [], []
+    for length in lengths:
+        i = bisect_left(room, (length, -1))
+        if i < len(room):
+            left, number = room.pop(i)
+        else:
+            left = opens[sizes[bisect_left(sizes, length)]]
+            number = len(opened)
+            opened.append(0)
+        at.append(number)
+        offsets.append(opened[number])
+        opened[number] += length
+        if left > length:
+            insort(room, (left - length, number))
+    return at, offsets, [sizes[bisect_left(sizes, used)] for used in opened]
+
+
+def cheapest(lengths: list[int], sizes: list[int], policies: Iterable[dict[int, int]], cost: Callable[[int], float]) -> tuple[list[int], list[int], list[int]]:
+    best = None
+    for opens in policies:
+        packed = place(lengths, sizes, opens)
+        total = sum(map(cost, packed[2]))
+        if best is None or total < best[0]:
+            best = (total, packed)
+    return best[1] if best else ([], [], [])
+
+
 def pack(lengths: list[int], capacities: tuple[int, ...], cost: Callable[[int], float]) -> tuple[list[int], list[int], list[int]]:
     """Best fit with the cheapest cap on openings: (bin of each piece, offset of each piece, length of each bin).
 
-    Pieces must be at most the largest capacity and come in the order in which they are to be placed. Among caps of
-    equal cost the smaller one is taken."""
+    Pieces must be at most the largest capacity and come in the order in which they are to be placed. Under a cap, a
+    piece opens the size of the least cost per token. Among caps of equal cost the smaller one is taken."""
     sizes = sorted(set(capacities))
-    least = max(lengths, default=0)
-    best = None
-    for cap in [c for c in sizes if c >= least]:
-        opened, at, offsets, room = [], [], [], []
-        usable = [c for c in sizes if c <= cap]
-        for length in lengths:
-            i = bisect_left(room, (length, -1))
-            if i < len(room):
-                left, number = room.pop(i)
-            else:
-                left = min((c for c in usable if c >= length), key=lambda c: (cost(c) / c, c))
-                number = len(opened)
-                opened.append([left, 0])
-            at.append(number)
-            offsets.append(opened[number][1])
-            opened[number][1] += length
-            if left > length:
-                insort(room, (left - length, number))
-        final = [sizes[bisect_left(sizes, used)] for _, used in opened]
-        total = sum(map(cost, final))
-        if best is None or total < best[0]:
-            best = (total, at, offsets, final)
-    return best[1:] if best else ([], [], [])
+    caps = [c for c in sizes if c >= max(lengths, default=0)]
+    policies = ({s: min((c for c in sizes if s <= c <= cap), key=lambda c: (cost(c) / c, c)) for s in sizes if s <= cap} for cap in caps)
+    return cheapest(lengths, sizes, policies, cost)
+
+
+def joint_policies(lengths: list[int], sizes: list[int]) -> list[dict[int, int]]:
+    """Every choice of the size that each length class that occurs opens; smaller sizes come first."""
+    classes = sorted({sizes[bisect_left(sizes, n)] for n in lengths})
+    return [dict(zip(classes, choice, strict=True)) for choice in product(*[[c for c in sizes if c >= s] for s in classes])]
+
+
+def pack_jointly(lengths: list[int], capacities: tuple[int, ...], cost: Callable[[int], float]) -> tuple[list[int], list[int], list[int]]:
+    """Like ``pack``, with the cheapest of all ``joint_policies``, which hold those of every cap."""
+    sizes = sorted(set(capacities))
+    return cheapest(lengths, sizes, joint_policies(lengths, sizes), cost)
 
 
 def pack_documents(
@@ -89,7 +111,7 @@ def pack_documents(
         ids, sizes = table.column("doc_id").to_pylist(), table.column("length").to_pylist()
         full = [divmod(n, largest) for n in sizes]
         rest = sorted(((n, i) for i, (_, n) in enumerate(full) if n), key=lambda x: (-x[0], x[1]))
-        at, offsets, final = pack([n for n, _ in rest], capacities, cost)
+        at, offsets, final = pack_jointly([n for n, _ in rest], capacities, cost)
         out = [(ids[i], whole, whole * largest, n, at[k], offsets[k], final[at[k]]) for k, (n, i) in enumerate(rest) for whole in [full[i][0]]]
         number = len(final)
         for i, (whole, _) in enumerate(full):
