@@ -23,9 +23,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tablewarden.llm.text import CACHE_ENTRIES, slices
 
@@ -36,10 +36,20 @@ BLOCK = 512
 #: Bytes of a pre-token up to which pre-tokens are encoded together.
 SHORT = 32
 
-#: Letters of which the lower case and the composed form are themselves or one character: here Python's, the
-#: tokenizer's and the normaliser's tables agree.
-PLAIN_LETTERS = "a-zß-öø-ɏ"
-PLAIN_TEXT = re.compile("[\t-\r -~¡§«°»¿-įı-ɏ–—‘-„…€]*")
+#: Characters other than letters, digits and white space that plain texts may hold besides ASCII ones.
+PLAIN_MARKS = "¡§«°»¿×÷–—‘’‚“”„…€"
+
+
+def plain_characters() -> tuple[str, str]:
+    """(lower-case letters, all letters) up to U+024F of plain texts: the lower case is one character that is its own
+    composed form and also lies in that range, so a word that is lower-cased holds no other letter."""
+    known = [c for c in map(chr, range(0x41, 0x250)) if c.isalpha() and unicodedata.category(c) != "Lo" and unicodedata.normalize("NFC", c) == c]
+    lower = {c for c in known if c.lower() == c}
+    return "".join(sorted(lower)), "".join(c for c in known if c.lower() in lower)
+
+
+PLAIN_LETTERS, PLAIN_CASES = plain_characters()
+PLAIN_TEXT = re.compile(f"[\t-\r -~{PLAIN_MARKS}{PLAIN_CASES}]*")
 PLAIN_PIECE = re.compile(f"[{PLAIN_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\\s{PLAIN_LETTERS}0-9]+")
 
 
@@ -66,8 +76,8 @@ class Spec:
         kinds = [n["type"] for n in (data["normalizer"] or {"normalizers": []})["normalizers"]]
         if kinds != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("a tokenizer that composes, folds white space and lower-cases is expected")
-        pattern = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pattern = regex.compile(pattern)
+        split = data | {"pre_tokenizer": data["pre_tokenizer"]["pretokenizers"][0], "added_tokens": []}
+        self.splitter = Tokenizer.from_str(json.dumps(split))
         self.special = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.letters = byte_letters()
         self.lookahead = lookahead(merges)
@@ -301,10 +311,10 @@ class Encoder:
         return b" ".join([self.spec.id_bytes[i] for i in ids]), b" ".join([self.spec.token_bytes[i] for i in ids])
 
     def pretokens(self, text: str) -> list[str]:
-        """Of any text that ends where pre-tokens end."""
-        composed = unicodedata.normalize("NFC", text)
-        lowered = "".join(c.lower() for c in composed) if "Σ" in composed else composed.lower()
-        return self.spec.pattern.findall(lowered)
+        """Of any text that ends where pre-tokens end, cut by the file's own normaliser and pattern: Python's tables of
+        letters and cases are of another Unicode version."""
+        splitter = self.spec.splitter
+        return [p for p, _ in splitter.pre_tokenizer.pre_tokenize_str(splitter.normalizer.normalize_str(text))]
 
     def _long(self, pretoken: str) -> Piece:
         stream = PieceStream(self.spec)
@@ -416,8 +426,10 @@ def decode_ids(ids: list[int], path: str) -> str:
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: every whole text encoded, and its ids decoded again.
 
-    A null text counts as an empty one (0 tokens, digests of the empty string). One row per input row; other columns
-    are ignored. The work is a map over documents: there is no shuffle, and a lost task is simply run again.
+    A null text counts as an empty one (0 tokens, digests of the empty string). One row per input row, repeated rows
+    and rows with equal or null ids included; an empty table gives no rows; other columns are ignored. A very long
+    text is encoded and decoded in parts of ``CHUNK`` characters that end at white space, a very long pre-token in
+    blocks. The work is a map over documents: there is no shuffle, and a lost task is simply run again.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()

@@ -120,7 +120,9 @@ def count_tokens(
     """doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens), one row per input row.
 
     A null text counts as an empty one: no bytes, no tokens. Special strings inside a text are one token each. Rows
-    with equal or null ids stay apart; other columns are ignored.
+    with equal or null ids stay apart; an empty table gives no rows; other columns are ignored. A very long text is
+    handled by itself, as its pre-tokens with their frequencies. Rows are told apart by task and position, so ``docs``
+    should be a written table (or another input that a retried task reads in the same order).
     """
     spark = docs.sparkSession
     known = cut(pretoken_pieces(docs, path, text_col))

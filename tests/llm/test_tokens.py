@@ -41,6 +41,27 @@ def test_digest_equals_the_library(library):
         assert bpe.decode_ids(ids, PATH) == decoded
 
 
+def assert_like_the_library(library, some):
+    split, counter, encoder = token_counts.Splitter(PATH), token_counts.piece_counter(PATH), bpe.encoder_of(PATH)
+    encoder.prepare(some)
+    for text, want in zip(some, library.encode_batch(some, add_special_tokens=False), strict=True):
+        assert bpe.encode_ids(text, PATH) == want.ids, text[:80]
+        pretokens, special = split(text)
+        assert special + sum(map(len, counter.encode_batch_fast(pretokens, add_special_tokens=False))) == len(want.ids), text[:80]
+
+
+def test_every_code_point_inside_a_word(library):
+    points = [chr(c) for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000]
+    assert_like_the_library(library, [f"ab{c}cd {c}x" for c in points[:0x300]])
+    assert_like_the_library(library, [" ".join(f"ab{c}cd {c}x" for c in points[i : i + 100]) for i in range(0, len(points), 100)])
+
+
+def test_letters_whose_lower_case_lies_elsewhere(library):
+    rng = random.Random(0)
+    assert_like_the_library(library, ["Əli Bakı", "Hello Ɖa", "aƁb", "ƜɄybgynƔ"])
+    assert_like_the_library(library, ["".join(chr(rng.randrange(0x180, 0x250)) if rng.random() < 0.6 else rng.choice("abcXYZ") for _ in range(rng.randint(1, 12))) for _ in range(20_000)])
+
+
 def test_batch_merge_equals_one_by_one():
     spec = bpe.spec_of(PATH)
     encoder = bpe.Encoder(spec)
