@@ -6,12 +6,15 @@ in at most ``SURE`` bits of any one of them meets in a cell, and most pairs beyo
 chances. Pairs that meet and are within ``LIMIT`` bits over all fingerprints are candidates, and a candidate is a link
 if the Jaccard similarity of the two whole sets reaches the threshold.
 
-A run of a key in which candidates outnumber its members ``DENSE`` times gives its minimum spanning forest and each
-member's ``NEAREST`` nearest others instead of all pairs.
+A run of a key in which candidates outnumber its members ``DENSE`` times first gives its minimum spanning forest and each
+member's ``NEAREST`` nearest others. Its members are written down, and once those pairs are verified, all candidates
+whose members the found links still leave apart are verified too: no link between two components is lost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm import simhash
+from tablewarden.llm.components import connected_components
 from tablewarden.llm.text import mix, slices
-from tablewarden.session import cut
+from tablewarden.session import cut, forget
 
 FAMILIES, BLOCKS, SURE = 4, 8, 6
 #: Differing bits of all fingerprints together up to which a pair is verified: three deviations above the mean at 0.8.
@@ -63,8 +67,8 @@ def fingerprint_family(grams: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(doc_id, fp, f0.., grams): class, fingerprints and shingle set (8 bytes each) of every whole text."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """(doc_id, key, fp, f0.., grams): text key, class, fingerprints and shingle set (8 bytes each) of every whole text."""
+    source = docs.select(F.col(id_col).alias("doc_id"), simhash.text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -73,12 +77,12 @@ def described(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
             for part in slices(batch.column("text")):
                 sets = [shingles(t, words) for t in part]
                 prints = np.stack([fingerprint_family(s) for s in sets]).view(np.int64)
-                columns = {"doc_id": batch.column("doc_id")[start : start + len(part)], "fp": pa.array([class_of(s) for s in sets], pa.int64())}
+                columns = {c: batch.column(c)[start : start + len(part)] for c in ("doc_id", "key")} | {"fp": pa.array([class_of(s) for s in sets], pa.int64())}
                 columns |= {c: pa.array(np.ascontiguousarray(prints[:, j])) for j, c in enumerate(PRINTS)}
                 yield pa.record_batch(columns | {"grams": pa.array([s.tobytes() for s in sets], pa.binary())})
                 start += len(part)
 
-    return source.mapInArrow(run, f"doc_id {kind}, fp long, {', '.join(f'{c} long' for c in PRINTS)}, grams binary")
+    return source.mapInArrow(run, f"doc_id {kind}, key long, fp long, {', '.join(f'{c} long' for c in PRINTS)}, grams binary")
 
 
 def spanning(node: np.ndarray, prints: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +112,9 @@ def spanning(node: np.ndarray, prints: np.ndarray, limit: int) -> tuple[np.ndarr
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def run_candidates(key: np.ndarray, node: np.ndarray, prints: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of nodes inside runs of equal (consecutive) keys; ``prints`` has a row per fingerprint."""
+def run_candidates(key: np.ndarray, node: np.ndarray, prints: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, dense): candidate pairs of nodes inside runs of equal (consecutive) keys, and the positions of the members
+    of dense runs, of which only some pairs are given; ``prints`` has a row per fingerprint."""
     change = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(change, len(key)))
     run_of, length = np.repeat(np.arange(len(size)), size), np.repeat(size, size)
@@ -125,19 +130,59 @@ def run_candidates(key: np.ndarray, node: np.ndarray, prints: np.ndarray, limit:
         a.append(at[close])
         b.append(at[close + step])
     a, b = np.concatenate(a), np.concatenate(b)
-    dense = np.bincount(run_of[a], minlength=len(size)) > DENSE * size
+    dense = (np.bincount(run_of[a], minlength=len(size)) > DENSE * size) | (size > SMALL)
     few = ~dense[run_of[a]]
     a, b = [a[few]], [b[few]]
-    for i in np.flatnonzero(dense | (size > SMALL)):
+    for i in np.flatnonzero(dense):
         whole = slice(change[i], change[i] + size[i])
         x, y = spanning(node[whole], prints[:, whole], limit)
         a.append(x + change[i])
         b.append(y + change[i])
-    return node[np.concatenate(a)], node[np.concatenate(b)]
+    return node[np.concatenate(a)], node[np.concatenate(b)], np.flatnonzero(dense[run_of])
+
+
+def apart(root: np.ndarray, node: np.ndarray, prints: np.ndarray, limit: int = LIMIT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of one run within ``limit`` bits whose roots differ, some members at a time."""
+    for at in range(len(node) - 1):
+        later = slice(at + 1, None)
+        bits = np.bitwise_count(prints[:, later] ^ prints[:, at : at + 1]).sum(axis=0, dtype=np.int64)
+        found = node[later][(bits <= limit) & (root[later] != root[at])]
+        if len(found):
+            yield np.full(len(found), node[at]), found
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct (lesser, greater) pairs of signed nodes."""
+    a, b = a.view(np.int64), b.view(np.int64)
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+
+
+def by_run(batches, columns: list[str], together: bool = True) -> Iterator[list[np.ndarray]]:
+    """Batches sorted by their first column as arrays that hold whole runs; with ``together`` false, one run at a time."""
+    held = None
+    for batch in batches:
+        new = [batch.column(c).to_numpy() for c in columns]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        if len(held[0]):
+            whole = np.searchsorted(held[0], held[0][-1])  # the last run may go on in the next batch
+            if whole:
+                yield from _runs([c[:whole] for c in held], together)
+            held = [c[whole:] for c in held]
+    if held is not None and len(held[0]):
+        yield from _runs(held, together)
+
+
+def _runs(rows: list[np.ndarray], together: bool) -> Iterator[list[np.ndarray]]:
+    if together:
+        yield rows
+        return
+    change = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
+    yield from zip(*[np.split(c, change) for c in rows], strict=True)
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(u, v), u < v: pairs of classes (columns fp, f0..) to verify."""
+    """(u, v, cell) of classes (columns fp, f0..): pairs u < v to verify, without a cell, and the members u of dense cells,
+    without v."""
     chosen = simhash.masks(BLOCKS, SURE)
     keys = [(j * len(chosen) + i, F.col(c).bitwiseAND(F.lit(simhash._signed(m)))) for j, c in enumerate(PRINTS) for i, m in enumerate(chosen)]
     keyed = classes.select("fp", *PRINTS, F.explode(F.array(*[F.xxhash64(F.lit(t), k) for t, k in keys])).alias("key"))
@@ -150,24 +195,28 @@ def candidates(classes: DataFrame) -> DataFrame:
     rows = rows.select("fp", *PRINTS, "key", F.explode(pairs).alias("cell")).select(F.xxhash64("key", "cell").alias("cell"), "fp", *PRINTS)
     rows = rows.repartition("cell").sortWithinPartitions("cell")
 
-    def found(key, node, prints):
-        a, b = run_candidates(key, node, prints) if len(key) else (node, node)
-        a, b = a.view(np.int64), b.view(np.int64)
-        edges = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-        return pa.record_batch({"u": pa.array(edges[:, 0]), "v": pa.array(edges[:, 1])})
+    def run(batches):
+        for cell, node, *prints in by_run(batches, ["cell", "fp", *PRINTS]):
+            a, b, dense = run_candidates(cell, node.view(np.uint64), np.stack(prints).view(np.uint64))
+            edges, none = _pairs(a, b), pa.nulls(len(dense), pa.int64())
+            yield pa.record_batch([pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.nulls(len(edges), pa.int64())], ["u", "v", "cell"])
+            yield pa.record_batch([pa.array(node[dense]), none, pa.array(cell[dense])], ["u", "v", "cell"])
+
+    return rows.mapInArrow(run, "u long, v long, cell long").distinct()
+
+
+def left_apart(members: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """(u, v), u < v: the candidates inside dense cells (members: cell, fp) whose components differ."""
+    placed = members.join(roots, members["fp"] == roots["node"], "left").select("cell", "fp", F.coalesce("root", "fp").alias("root"))
+    mixed = placed.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
+    rows = placed.join(mixed, "cell", "left_semi").join(classes.select("fp", *PRINTS), "fp")
+    rows = rows.select("cell", "fp", "root", *PRINTS).repartition("cell").sortWithinPartitions("cell")
 
     def run(batches):
-        key, node, prints = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty((FAMILIES, 0), np.uint64)
-        for batch in batches:
-            key = np.concatenate([key, batch.column("cell").to_numpy()])
-            node = np.concatenate([node, batch.column("fp").to_numpy().view(np.uint64)])
-            prints = np.concatenate([prints, np.stack([batch.column(c).to_numpy().view(np.uint64) for c in PRINTS])], axis=1)
-            if not len(key):
-                continue
-            whole = np.searchsorted(key, key[-1])  # the last run may go on in the next batch
-            yield found(key[:whole], node[:whole], prints[:, :whole])
-            key, node, prints = key[whole:], node[whole:], prints[:, whole:]
-        yield found(key, node, prints)
+        for _, node, root, *prints in by_run(batches, ["cell", "fp", "root", *PRINTS], together=False):
+            for a, b in apart(root, node, np.stack(prints).view(np.uint64)):
+                edges = _pairs(a, b)
+                yield pa.record_batch([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["u", "v"])
 
     return rows.mapInArrow(run, "u long, v long").distinct()
 
@@ -189,20 +238,30 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return half.join(sets.select(F.col("fp").alias("v"), F.col("grams").alias("gv")), "v").select("u", "v", "gu", "gv").mapInArrow(run, "u long, v long")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: its class and the least doc_id that can be reached over verified links."""
-    whole = cut(described(docs, id_col, text_col, words).withColumn("row", F.monotonically_increasing_id()))
-    prints = whole.select("doc_id", "fp")
-    classes = cut(whole.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), *[F.min(c).alias(c) for c in PRINTS]))
-    pairs = cut(candidates(classes.where("fp <> 0").select("fp", *PRINTS)))
-    nodes = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
+def similar_roots(whole: DataFrame, classes: DataFrame, least: float) -> tuple[DataFrame, list[DataFrame]]:
+    """((node, root) of the linked classes, tables to delete once it has been used)."""
+    found = cut(candidates(classes.where("fp <> 0").select("fp", *PRINTS)))
+    pairs = found.where("v IS NOT NULL").select("u", "v")
+    nodes = found.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
     needed = classes.select("fp", "row").join(nodes, "fp", "left_semi").select("row")
     sets = cut(whole.select("row", "fp", "grams").join(needed, "row", "left_semi").select("fp", "grams"))
-    return simhash.placed_rows(prints, classes.select("fp", "least"), verified(pairs, sets, least))
+    links = cut(verified(pairs, sets, least))
+    roots = connected_components(links)
+    more = cut(left_apart(found.where("v IS NULL").select("cell", F.col("u").alias("fp")), roots, classes))
+    used = [found, sets, links, more]
+    if not more.isEmpty():
+        roots = connected_components(links.unionByName(verified(more, sets, least)))
+    return roots, used
 
 
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """The input rows without near-duplicates: of each component only the rows of its least id stay, once.
-
-    Rows without an id are kept as they are. All columns of the input are kept."""
-    return simhash.kept_rows(docs, similar_components(docs, id_col, text_col, words, least), id_col)
+    """The input rows without near-duplicates: of each component of verified links one row stays, see
+    ``simhash.kept_rows``. Texts of equal shingle sets are one class, texts without words (null ones too) another; a text
+    with fewer words than a shingle is one shingle. An empty table stays empty; other columns are kept, whatever their
+    names."""
+    whole = cut(described(docs, id_col, text_col, words).withColumn("row", F.monotonically_increasing_id()))
+    classes = cut(simhash.least_rows(whole, F.min("row").alias("row"), *[F.min(c).alias(c) for c in PRINTS]))
+    roots, used = similar_roots(whole, classes, least)
+    for table in [whole, *used]:
+        forget(table)
+    return simhash.kept_rows(docs, classes, roots, id_col, text_col)

@@ -3,8 +3,9 @@
 A fingerprint of 64 bits is split into ``blocks`` blocks. Two fingerprints that differ in at most ``sure`` bits agree
 on at least ``blocks - sure`` whole blocks, so each choice of that many blocks is a key and every such pair shares one
 of them. Fingerprints are joined on these keys and their Hamming distance is verified. Equal fingerprints are one class
-from the start, so copies cost nothing; a key that many different fingerprints share is dealt out over a triangle of
-cells of bounded size, and each cell gives only the links of a spanning forest.
+from the start, so copies cost nothing. A key that many different fingerprints share is split the same way once more,
+over its free bits, so that a run holds at most the fingerprints that differ in the bits left free then (65,536 by
+default); each run gives only the links of a spanning forest.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm.components import connected_components
@@ -23,7 +24,7 @@ from tablewarden.session import cut
 
 #: Shingles whose bits are counted at a time.
 SHINGLES = 1 << 16
-#: Fingerprints of a key that one cell holds, twice over.
+#: Fingerprints of a key above which it is split over its free bits.
 CELL = 2048
 #: Parts in which the classes of one component are joined to its id.
 SALTS = 16
@@ -48,9 +49,14 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def text_key(text: Column) -> Column:
+    """A hash of the whole text; that of an empty one for null."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long; a null text has no words."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """(doc_id, key, fp): the fingerprint of every whole text as a signed long; a null text has no words."""
+    source = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -58,19 +64,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             start = 0
             for part in slices(batch.column("text")):
                 values = np.array([fingerprint(t, words) for t in part], np.uint64).view(np.int64)
-                yield pa.record_batch({"doc_id": batch.column("doc_id")[start : start + len(part)], "fp": pa.array(values)})
+                whole = slice(start, start + len(part))
+                yield pa.record_batch({"doc_id": batch.column("doc_id")[whole], "key": batch.column("key")[whole], "fp": pa.array(values)})
                 start += len(part)
 
-    return source.mapInArrow(run, f"doc_id {kind}, fp long")
+    return source.mapInArrow(run, f"doc_id {kind}, key long, fp long")
 
 
-def masks(blocks: int, sure: int) -> list[int]:
-    """Bit masks of every choice of ``blocks - sure`` blocks; the blocks' sizes differ by at most one bit."""
+def masks(blocks: int, sure: int, given: int = 0) -> list[int]:
+    """Bit masks of every choice of ``blocks - sure`` blocks of the bits outside ``given``, with ``given``; the blocks'
+    sizes differ by at most one bit."""
     if not 0 <= sure < blocks <= 64:
         raise ValueError("blocks must be more than the bits that may differ")
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    whole = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(c) for c in combinations(whole, blocks - sure)]
+    free = [1 << i for i in range(64) if not given >> i & 1]
+    edges = [len(free) * i // blocks for i in range(blocks + 1)]
+    whole = [sum(free[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    return [given + sum(c) for c in combinations(whole, blocks - sure)]
 
 
 def _signed(value: int) -> int:
@@ -115,20 +124,16 @@ def run_links(key: np.ndarray, fp: np.ndarray, max_bits: int, small: int = 32) -
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def links(distinct: DataFrame, max_bits: int = 3, blocks: int = 6, sure: int | None = None) -> DataFrame:
-    """(u, v) between different fingerprints (column fp), enough to connect all that are within ``max_bits``.
-
-    With ``sure`` (default ``max_bits``) below ``max_bits``, pairs of up to ``sure`` differing bits are found for
-    certain, and those beyond it when their differing bits leave ``blocks - sure`` blocks alone."""
-    chosen = masks(blocks, max_bits if sure is None else sure)
+def links(distinct: DataFrame, max_bits: int = 3, blocks: int = 6) -> DataFrame:
+    """(u, v) between different fingerprints (column fp), enough to connect all that are within ``max_bits``."""
+    chosen = masks(blocks, max_bits)
+    finer = F.array(*[F.array(*[F.lit(_signed(m)) for m in masks(blocks, max_bits, given)]) for given in chosen])
     tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(chosen)])
-    rows = distinct.select("fp", F.explode(tables).alias("k")).select("fp", F.xxhash64("k.t", "k.key").alias("key"))
+    rows = distinct.select("fp", F.explode(tables).alias("k")).select("fp", "k.t", F.xxhash64("k.t", "k.key").alias("key"))
     large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL)
-    rows = rows.join(large.select("key", F.ceil(F.col("n") / CELL).cast("int").alias("cells")), "key", "left")
-    cells = F.coalesce("cells", F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), cells).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), cells - 1), lambda j: F.least(own, j) * 1_000_000 + F.greatest(own, j))
-    rows = rows.select("fp", "key", F.explode(pairs).alias("cell")).select("fp", F.xxhash64("key", "cell").alias("cell"))
+    rows = rows.join(large, "key", "left")
+    split = F.transform(finer[F.col("t")], lambda m: F.xxhash64("key", m, F.col("fp").bitwiseAND(m)))
+    rows = rows.select("fp", F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(split)).alias("cell"))
     rows = rows.repartition("cell").sortWithinPartitions("cell")
 
     def run(batches):
@@ -159,7 +164,6 @@ def near_duplicates(
     words: int = 3,
     max_bits: int = 3,
     blocks: int = 6,
-    sure: int | None = None,
 ) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the least doc_id that can be reached over links.
 
@@ -168,13 +172,14 @@ def near_duplicates(
     """
     prints = cut(fingerprints(docs, id_col, text_col, words))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    out = placed_rows(prints, classes, links(classes.select("fp"), max_bits, blocks, sure))
+    roots = connected_components(links(classes.select("fp"), max_bits, blocks))
+    out = placed_rows(prints, classes, roots)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def placed_rows(prints: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of ``prints`` (doc_id, fp), given the least id of each class and the classes' links."""
-    roots = connected_components(edges)
+def placed_rows(prints: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of ``prints`` (doc_id, fp), given the least id of each class and the linked classes'
+    components."""
     placed = cut(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", "root"))
     linked = placed.where("root IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
     groups = linked.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -184,18 +189,28 @@ def placed_rows(prints: DataFrame, classes: DataFrame, edges: DataFrame) -> Data
     return prints.join(classes.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The input rows without near-duplicates: of each component only the rows of its least id stay, once.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3, blocks: int = 6) -> DataFrame:
+    """The input rows without near-duplicates: of each component one row stays, see ``kept_rows``."""
+    prints = cut(fingerprints(docs, id_col, text_col, words))
+    classes = least_rows(prints)
+    roots = connected_components(links(classes.select("fp"), max_bits, blocks))
+    return kept_rows(docs, classes, roots, id_col, text_col)
+
+
+def least_rows(prints: DataFrame, *more: Column) -> DataFrame:
+    """(fp, first) of each class: the least (no id, doc_id, text key) of its rows, and the columns of ``more``."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    return prints.groupBy("fp").agg(F.min(row).alias("first"), *more)
 
-    Rows without an id are kept as they are. All columns of the input are kept."""
-    return kept_rows(docs, near_duplicates(docs, id_col, text_col, **options), id_col)
 
+def kept_rows(docs: DataFrame, classes: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns kept: of each component the row of the least id, rows without an id
+    after all others, rows of one id by a hash of the text. Rows equal in id and text count as one (any of them).
 
-def kept_rows(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of a component of ``found``, once each, and those without an id."""
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi")
-    others = [c for c in docs.columns if c != id_col]
-    first = stay.groupBy(id_col).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("_row")) if others else stay.distinct()
-    stay = first.select(F.col(id_col), *[F.col("_row").getField(c).alias(c) for c in others]).select(docs.columns) if others else first
-    return stay.unionByName(docs.where(F.col(id_col).isNull()))
+    Rows are told apart by id and text, so a document stays whatever else has its id; texts are shuffled once, after
+    equal rows of a task have been merged."""
+    placed = classes.join(roots, classes["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("group"))
+    kept = placed.groupBy("group").agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
+    kept = kept.select(F.struct(F.col("doc_id").alias("doc_id"), F.col("key").alias("key")).alias("_kept"))
+    whole = docs.select(F.struct(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key")).alias("_kept"), F.struct("*").alias("_row"))
+    return whole.dropDuplicates(["_kept"]).join(kept, "_kept", "left_semi").select("_row.*")

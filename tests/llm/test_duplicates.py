@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tablewarden.llm import components, neighbours, simhash
+from tablewarden.llm import components, neighbours, resemblance, simhash
 
 
 def reach(nodes, linked):
@@ -73,10 +73,23 @@ def test_near_duplicates(spark):
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.fingerprint, r.component_id) for r in got) == expect
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(least.values()))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
     assert simhash.near_duplicates(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("keep", [simhash.keep_one, resemblance.keep_one_similar])
+def test_documents_of_one_id_are_told_apart(spark, keep):
+    alpha = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(3, alpha), (3, "one two three four five six seven eight nine ten"), (4, "red green blue black white grey pink"), (5, alpha)]
+    rows += [(None, alpha), (None, "nothing like the other rows of this table"), (None, "nothing like the other rows of this table")]
+    rows += [(9, "twice the same row in every column"), (9, "twice the same row in every column"), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, {"a": 1}, 0, "x") for i, t in rows], "doc_id long, text string, `_row` map<string,int>, key int, fp string")
+    kept = keep(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([rows[0], rows[1], rows[2], rows[5], rows[7], rows[9]], key=str)
+
+
 def test_fingerprint_uses_the_xxh64_of_spark(spark):
     from pyspark.sql import functions as F
 

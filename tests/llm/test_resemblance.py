@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from tablewarden.llm import resemblance
 
 
@@ -51,3 +52,37 @@ def test_dense_run_stays_connected(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, f0 string")
     assert sorted(r.doc_id for r in resemblance.keep_one_similar(docs).collect()) == [0, 200]
     assert resemblance.keep_one_similar(docs.where("false")).count() == 0
+
+
+def test_dense_runs_lose_no_link_between_components(spark, monkeypatch):
+    """Every pair of a dense run that the first links leave apart is verified: components are those of all candidates."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, (resemblance.FAMILIES, 1), dtype=np.uint64)
+    n = 60
+    prints = base ^ np.where(rng.random((resemblance.FAMILIES, n)) < 0.9, np.uint64(1) << rng.integers(0, 8, (resemblance.FAMILIES, n)).astype(np.uint64), np.uint64(0))
+    node = np.arange(1, n + 1, dtype=np.int64)
+    monkeypatch.setattr(resemblance, "DENSE", 0)
+    a, b, dense = resemblance.run_candidates(np.zeros(n, np.int64), node.view(np.uint64), prints)
+    assert len(dense) == n and len(a) < n * (n - 1) // 2
+    root = node % 3  # three components that the first links are taken to have left
+    pairs = {tuple(sorted(p)) for x, y in resemblance.apart(root, node, prints) for p in zip(x.tolist(), y.tolist(), strict=True)}
+    assert pairs == {(i, j) for i in range(1, n + 1) for j in range(i + 1, n + 1) if i % 3 != j % 3}
+
+
+def test_a_link_that_alone_joins_two_groups(spark, monkeypatch):
+    """With no pair of dense runs taken at first but a forest that fails, the second pass finds the groups' link."""
+    monkeypatch.setattr(resemblance, "DENSE", 0)
+    monkeypatch.setattr(resemblance, "NEAREST", 1)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    chain = [words]
+    for _ in range(12):
+        chain.append(edited(rng, chain[-1], 0.8, 0.9))
+    rows = [(i, " ".join(w)) for i, w in enumerate(chain)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [sets_of(t) for _, t in rows]
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    group = list(range(len(rows)))
+    for i, j in linked:
+        group = [group[j] if g == group[i] else g for g in group]
+    assert resemblance.keep_one_similar(docs).count() == len(set(group))
