@@ -7,14 +7,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewarden.session import cut
+
 ACTIVE = ("pending", "running", "resuming", "waiting_upstream", "paused")
-# The moves that the two state machines allow.
-RUN_MOVES = (("pending", "running"), ("pending", "cancelled"), ("running", "succeeded"), ("running", "failed"), ("running", "cancelled"))
+# The moves that the two state machines allow, and the states that a run does not leave.
+RUN_MOVES = (("pending", "running"), ("running", "succeeded"), ("running", "failed"), ("running", "cancelled"), ("running", "timeout"))
+RUN_ENDS = ("succeeded", "failed", "cancelled", "timeout")
 BACKFILL_MOVES = (
     ("pending", "running"), ("pending", "waiting_upstream"), ("pending", "cancelled"), ("waiting_upstream", "pending"),
-    ("waiting_upstream", "failed"), ("waiting_upstream", "cancelled"), ("running", "completed"), ("running", "failed"),
-    ("running", "paused"), ("running", "cancelled"), ("paused", "resuming"), ("paused", "cancelled"),
-    ("resuming", "running"), ("resuming", "failed"), ("resuming", "cancelled"),
+    ("waiting_upstream", "failed"), ("waiting_upstream", "cancelled"), ("running", "waiting_upstream"), ("running", "completed"),
+    ("running", "failed"), ("running", "cancelled"), ("running", "paused"), ("paused", "resuming"), ("paused", "cancelled"),
+    ("resuming", "running"), ("resuming", "cancelled"),
 )
 
 
@@ -183,35 +186,72 @@ def error_groups(parts: DataFrame, limit: int = 10) -> DataFrame:
 # --- windows and ordered state
 
 
-def ewma(df: DataFrame, by: str, order: list[str], value: str, alpha: float = 0.3, chunk: int = 4096) -> DataFrame:
+def numbered(df: DataFrame, by: str, order: list[str], name: str, parts: int | None = None) -> DataFrame:
+    """Numbers the rows of each group from 0 in ``order``. Rows are range-partitioned by (group, order) and numbered
+    inside their partition; a group that goes over several partitions continues where the one before ended, so a group
+    with most of the rows is as many tasks as any other rows. The counts (a row per partition and group that it holds)
+    are summed by group."""
+    rows = df.repartitionByRange(parts, by, *order) if parts else df.repartitionByRange(by, *order)
+    rows = cut(rows.withColumn("_part", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("_part", by).orderBy(*order)) - 1
+    counts = rows.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(F.col(by).alias("_by"), F.col("_part").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = rows.withColumn(name, inside)
+    joined = rows.join(counts, rows[by].eqNullSafe(counts["_by"]) & (F.col("_part") == F.col("_at")))
+    return joined.withColumn(name, F.col(name) + F.col("_before")).drop("_by", "_at", "_before", "_part")
+
+
+def ewma(df: DataFrame, by: str, order: list[str], value: str, alpha: float = 0.3, chunk: int = 4096, initial: DataFrame | None = None) -> DataFrame:
     """(by, ewma, n): e1 = x1, et = alpha * xt + (1 - alpha) * et-1, alpha held to [0.01, 1].
 
     A step is the affine map e -> (1 - alpha) * e + alpha * x. Rows are numbered inside their group and cut into chunks
     of ``chunk``; a chunk becomes one map (decay, offset), so what is gathered in a row is never more than a chunk, and
-    a group's few maps are then applied in order."""
+    a group's few maps are then applied in order. ``initial`` (by, ewma, n), as this function returns it, resumes: only
+    new rows need be given, groups without new rows keep their value; an average without a count, or with count 0 or
+    less, is none. Null values are no observations."""
     alpha = min(max(alpha, 0.01), 1.0)
-    number = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    rows = df.select(by, F.col(value).cast("double").alias("x"), number.alias("i")).withColumn("c", F.expr(f"i DIV {chunk}"))
+    rows = numbered(df.where(F.col(value).isNotNull()).select(by, *[c for c in order if c != by], F.col(value).cast("double").alias("_x")), by, order, "i")
+    rows = rows.select(by, F.col("_x").alias("x"), "i").withColumn("c", F.expr(f"i DIV {chunk}"))
     steps = F.array_sort(F.collect_list(F.struct("i", "x")))
     start = F.struct(F.lit(1.0).alias("d"), F.lit(0.0).alias("o"))
 
     def step(m: Column, s: Column) -> Column:
-        keep = F.when(s["i"] == 0, 0.0).otherwise(1 - alpha)
-        gain = F.when(s["i"] == 0, 1.0).otherwise(alpha)
-        return F.struct((m["d"] * keep).alias("d"), (m["o"] * keep + gain * s["x"]).alias("o"))
+        return F.struct((m["d"] * (1 - alpha)).alias("d"), (m["o"] * (1 - alpha) + alpha * s["x"]).alias("o"))
 
-    maps = rows.groupBy(by, "c").agg(F.aggregate(steps, start, step).alias("m"), F.count(F.lit(1)).alias("n"))
+    later = F.filter(steps, lambda s: s["i"] > 0)  # the first of a group is its first average
+    first = F.max(F.when(F.col("i") == 0, F.col("x")))
+    maps = rows.groupBy(by, "c").agg(F.aggregate(later, start, step).alias("m"), F.count(F.lit(1)).alias("n"), first.alias("x0"))
     ordered = F.array_sort(F.collect_list(F.struct("c", "m")))
-    last = F.aggregate(ordered, F.lit(0.0), lambda e, s: e * s["m"]["d"] + s["m"]["o"])
-    return maps.groupBy(by).agg(last.alias("ewma"), F.sum("n").alias("n"))
+    grouped = maps.groupBy(by).agg(ordered.alias("maps"), F.sum("n").alias("n"), F.max("x0").alias("x0"))
+
+    def last(e: Column) -> Column:
+        return F.aggregate("maps", e.cast("double"), lambda e, s: e * s["m"]["d"] + s["m"]["o"])
+
+    if initial is None:
+        return grouped.select(by, last(F.col("x0")).alias("ewma"), "n")
+    known = initial.where("n > 0 AND ewma IS NOT NULL").select(F.col(by).alias("_by"), F.col("ewma").alias("_e"), F.col("n").alias("_n"))
+    both = grouped.join(known, grouped[by].eqNullSafe(known["_by"]), "full")
+    begun = alpha * F.col("x0") + (1 - alpha) * F.col("_e")
+    value_now = F.when(F.col("maps").isNull(), F.col("_e")).when(F.col("_e").isNull(), last(F.col("x0"))).otherwise(last(begun))
+    return both.select(F.coalesce(by, "_by").alias(by), value_now.alias("ewma"), (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"))
+
+
+def eta_columns(remaining: Column, average_ms: Column, n: Column) -> dict[str, Column]:
+    """seconds_left, reliable (3 observations or more) and per_minute, from an average of n durations."""
+    return {
+        "seconds_left": remaining * average_ms / 1000,
+        "reliable": F.coalesce(n, F.lit(0)) >= 3,
+        "per_minute": F.when(average_ms > 0, F.lit(60000.0) / average_ms),
+    }
 
 
 def eta(progress: DataFrame, averages: DataFrame, as_of: str) -> DataFrame:
     """job_id, remaining, seconds_left, finish_at, reliable (3 observations or more), per_minute."""
     joined = progress.select("job_id", "remaining").join(averages, "job_id", "left")
-    left = F.col("remaining") * F.col("ewma") / 1000
-    finish = F.lit(as_of).cast("timestamp_ntz") + F.make_dt_interval(secs=F.round(left).cast("long"))
-    return joined.select("job_id", "remaining", left.alias("seconds_left"), finish.alias("finish_at"), (F.coalesce("n", F.lit(0)) >= 3).alias("reliable"), F.try_divide(F.lit(60000.0), "ewma").alias("per_minute"))
+    joined = joined.withColumns(eta_columns(F.col("remaining"), F.col("ewma"), F.col("n")))
+    finish = F.lit(as_of).cast("timestamp_ntz") + F.make_dt_interval(secs=F.round("seconds_left").cast("long"))
+    return joined.select("job_id", "remaining", "seconds_left", finish.alias("finish_at"), "reliable", "per_minute")
 
 
 def backlog_rank(jobs: DataFrame, as_of: str, stale_s: int = 120, by: str | None = None) -> DataFrame:

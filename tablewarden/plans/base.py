@@ -35,7 +35,10 @@ FIXTURES = {
         count(*) AS total, CAST(sum(CASE WHEN state = 'completed' THEN 1 ELSE 0 END) AS BIGINT) AS completed
         FROM {parts} GROUP BY job_id""",
     "transitions": """SELECT user_id AS job_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running'
-        WHEN 'click' THEN 'paused' WHEN 'purchase' THEN 'succeeded' ELSE 'failed' END AS state FROM {events}""",
+        WHEN 'click' THEN CASE WHEN event_id % 4 = 0 THEN 'cancelled' ELSE 'paused' END WHEN 'purchase' THEN 'succeeded'
+        ELSE CASE WHEN event_id % 3 = 0 THEN 'timeout' ELSE 'failed' END END AS state FROM {events}""",
+    "backfill_log": """SELECT user_id AS job_id, ts, event_id, CASE event_id % 8 WHEN 0 THEN 'pending' WHEN 1 THEN 'waiting_upstream' WHEN 2 THEN 'running'
+        WHEN 3 THEN 'completed' WHEN 4 THEN 'failed' WHEN 5 THEN 'cancelled' WHEN 6 THEN 'paused' ELSE 'resuming' END AS state FROM {events}""",
     "nodes": "SELECT p_partkey AS node, concat('asset_', CAST(p_partkey AS STRING)) AS name, p_partkey % 9 AS tenant_id FROM {part} WHERE p_partkey >= 1",
     "edges": """SELECT CAST(floor(p_partkey / 2) AS BIGINT) AS src, p_partkey AS dst FROM {part} WHERE p_partkey >= 2
         UNION SELECT CAST(floor(p_partkey / 3) AS BIGINT) AS src, p_partkey AS dst FROM {part} WHERE p_partkey >= 3""",

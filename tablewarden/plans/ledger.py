@@ -179,6 +179,14 @@ def _(t):
     return l.ewma(t["runs"], "tenant_id", ["started_at", "run_id"], "duration_s", 0.3, chunk=16).select("tenant_id", F.round("ewma", 6).alias("ewma"), "n")
 
 
+@plan("win_ewma_resumed", f"{EWMA} SELECT tenant_id, round(arg_max(e, i), 6) AS ewma, max(i) AS n FROM e GROUP BY tenant_id")
+def _(t):
+    """The runs of the first days, then those of the other days on top of the stored averages."""
+    order, split = ["started_at", "run_id"], F.col("started_at") < F.lit("2024-01-18").cast("timestamp_ntz")
+    before = l.ewma(t["runs"].where(split), "tenant_id", order, "duration_s", 0.3)
+    return l.ewma(t["runs"].where(~split), "tenant_id", order, "duration_s", 0.3, initial=before).select("tenant_id", F.round("ewma", 6).alias("ewma"), "n")
+
+
 @plan(
     "win_eta",
     f"""WITH RECURSIVE x AS (SELECT job_id, duration_ms AS v, row_number() OVER (PARTITION BY job_id ORDER BY updated_at, part_id) AS i FROM {{parts}} WHERE state = 'completed'),
@@ -238,14 +246,23 @@ def _(t):
 
 
 MOVES = "SELECT event_id, job_id, state, ts, lag(state) OVER w AS from_state FROM {transitions} WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)"
-LEGAL = ", ".join(f"('{a}', '{b}')" for a, b in l.RUN_MOVES)
+# Written out, so that a mistake in the operator's lists shows.
+RUN_LEGAL = "('pending', 'running'), ('running', 'succeeded'), ('running', 'failed'), ('running', 'cancelled'), ('running', 'timeout')"
+BACKFILL_LEGAL = """('pending', 'running'), ('pending', 'waiting_upstream'), ('pending', 'cancelled'), ('waiting_upstream', 'pending'),
+    ('waiting_upstream', 'failed'), ('waiting_upstream', 'cancelled'), ('running', 'waiting_upstream'), ('running', 'completed'), ('running', 'failed'),
+    ('running', 'cancelled'), ('running', 'paused'), ('paused', 'resuming'), ('paused', 'cancelled'), ('resuming', 'running'), ('resuming', 'cancelled')"""
 
 
-@plan("win_invalid_transitions", f"SELECT event_id, from_state, state FROM ({MOVES}) WHERE from_state IS NOT NULL AND (from_state, state) NOT IN ({LEGAL})")
+@plan("win_invalid_transitions", f"SELECT event_id, from_state, state FROM ({MOVES}) WHERE from_state IS NOT NULL AND (from_state, state) NOT IN ({RUN_LEGAL})")
 def _(t):
     return l.invalid_transitions(t["transitions"], "job_id", ["ts", "event_id"]).select("event_id", "from_state", "state")
 
 
+@plan("win_invalid_backfill_moves", f"SELECT event_id, from_state, state FROM ({MOVES.replace('transitions', 'backfill_log')}) WHERE from_state IS NOT NULL AND (from_state, state) NOT IN ({BACKFILL_LEGAL})")
+def _(t):
+    return l.invalid_transitions(t["backfill_log"], "job_id", ["ts", "event_id"], l.BACKFILL_MOVES).select("event_id", "from_state", "state")
+
+
 @plan("win_transition_counts", f"SELECT from_state, state, count(*) AS n FROM ({MOVES}) WHERE from_state IS NOT NULL GROUP BY ALL")
 def _(t):
     return l.transition_counts(t["transitions"], "job_id", ["ts", "event_id"])

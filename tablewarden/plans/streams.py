@@ -6,10 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tablewarden.operators import observe as o
 from tablewarden.operators import quality as q
-from tablewarden.operators.ledger import RUN_MOVES
 from tablewarden.plans.base import Plans
+from tablewarden.plans.ledger import RUN_LEGAL
 from tablewarden.session import shared_dir
 from tablewarden.streaming import jobs as s
 
@@ -60,21 +59,27 @@ HOURS = f"SELECT CAST(floor(epoch_us(ts) / 3600000000) * 3600 AS BIGINT) AS buck
 
 @plan("str_burn_rate", f"SELECT bucket, round(burn, 6) AS burn FROM (SELECT bucket, (sum(bad) OVER w * 1.0 / sum(n) OVER w) / 0.1 AS burn FROM ({HOURS}) WINDOW w AS (ORDER BY bucket RANGE BETWEEN 18000 PRECEDING AND 0 PRECEDING)) WHERE burn > 2.0001")
 def _(t):
-    """Closed windows of good and bad counts go to a bucket table, on which burn rates are computed."""
-    path = f"{shared_dir(t.spark)}/buckets-{uuid.uuid4().hex}"
+    """Each batch of closed windows is compared with the windows before it, and writes its alerts."""
+    path = f"{shared_dir(t.spark)}/burn-{uuid.uuid4().hex}"
     marked = t["events"].withColumn("bad", F.col("event_type") == "error")
-    counts = s.windowed_counts(s.event_stream(t.spark, marked, files=4, per_trigger=4), "ts", ["bad"], "1 hour")
-    s.run_available(counts, each=s.bucket_batches(path))
-    rows = t.spark.read.schema(counts.schema).parquet(f"{path}/*")
-    rows = rows.groupBy(F.unix_timestamp("start").alias("bucket")).agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("n"))
-    rows = rows.withColumn("series", F.lit("all"))
-    burn = F.try_divide(o.trailing(rows, ["series"], "bad", 6 * 3600, 3600), o.trailing(rows, ["series"], "n", 6 * 3600, 3600)) / 0.1
-    return rows.select("bucket", burn.alias("burn")).where("burn > 2.0001").withColumn("burn", F.round("burn", 6))
+    counts = s.windowed_counts(s.event_stream(t.spark, marked, files=4), "ts", ["bad"], "1 hour")
+    s.run_available(counts, each=s.burn_batches(path, 6 * 3600, 3600, 0.1, 2.0001))
+    return t.spark.read.schema("bucket long, burn double").parquet(f"{path}/alerts/*").select("bucket", F.round("burn", 6).alias("burn"))
 
 
-@plan("str_absence")
+@plan(
+    "str_absence",
+    f"""SELECT user_id, epoch_us(ts) // 1000 AS last_ms, epoch_us(ts) // 1000 + 43200000 AS fired_ms FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events)
+    WHERE after > ts + INTERVAL 12 HOUR OR (after IS NULL AND ts + INTERVAL 12 HOUR < {MARK})""",
+)
 def _(t):
-    return s.run_available(s.silence(s.event_stream(t.spark, t["events"], files=4, per_trigger=1), "user_id", 12 * 3600))
+    return s.run_available(s.silence(s.event_stream(t.spark, t["events"], files=4), "user_id", 12 * 3600))
+
+
+@plan("str_stuck", f"SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) FILTER (event_type = 'view') AS busy FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= {MARK} AND count(*) FILTER (event_type = 'view') > 0 AND count(*) FILTER (event_type = 'purchase') = 0")
+def _(t):
+    out = s.run_available(s.stuck(s.event_stream(t.spark, t["events"], files=3), "ts", "user_id", F.col("event_type") == "view", F.col("event_type") == "purchase", "1 day"))
+    return out.select("user_id", *naive("start"), "busy")
 
 
 @plan(
@@ -88,11 +93,25 @@ def _(t):
     return out.groupBy("user_id").agg(F.round(F.max_by("ewma", "n"), 6).alias("ewma"), F.max("n").alias("n"))
 
 
+@plan(
+    "str_eta",
+    """WITH RECURSIVE x AS (SELECT user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    e AS (SELECT user_id, i, v AS e FROM x WHERE i = 1 UNION ALL SELECT x.user_id, x.i, 0.3 * x.v + 0.7 * e.e FROM e JOIN x ON x.user_id = e.user_id AND x.i = e.i + 1),
+    a AS (SELECT user_id, arg_max(e, i) AS m, max(i) AS n FROM e GROUP BY user_id)
+    SELECT user_id, n, greatest(user_id % 40 + 60 - n, 0) AS remaining, round(greatest(user_id % 40 + 60 - n, 0) * m / 1000, 6) AS seconds_left, n >= 3 AS reliable, round(60000 / m, 6) AS per_minute FROM a""",
+)
+def _(t):
+    planned = t["events"].select("user_id").distinct().withColumn("total", F.col("user_id") % 40 + 60)
+    stream = s.event_stream(t.spark, t["events"], files=3).select("user_id", "ts", "event_id", "value")
+    last = s.run_available(s.running_eta(stream, "user_id", planned)).groupBy("user_id").agg(F.max_by(F.struct("n", "remaining", "seconds_left", "reliable", "per_minute"), "n").alias("r"))
+    return last.select("user_id", "r.n", "r.remaining", F.round("r.seconds_left", 6).alias("seconds_left"), "r.reliable", F.round("r.per_minute", 6).alias("per_minute"))
+
+
 @plan("str_quality")
 def _(t):
     base = f"{shared_dir(t.spark)}/checked-{uuid.uuid4().hex}"
     checks = [q.InRange(name="value", column="value", low=0.5), q.Accepted(name="type", column="event_type", values=("view", "click", "purchase", "signup"))]
-    stream = s.event_stream(t.spark, t["events"], files=3, per_trigger=1)
+    stream = s.event_stream(t.spark, t["events"], files=3)
     s.run_available(stream, each=s.checked_batches(checks, f"{base}/results", f"{base}/rows"))
     schema = q.RESULT + ", batch int"
     results = t.spark.read.schema(schema).parquet(f"{base}/results/*")
@@ -102,20 +121,17 @@ def _(t):
 ORACLES["str_quality"] = "SELECT 'value' AS \"check\", CAST(count(*) FILTER (value < 0.5) AS BIGINT) AS failed_count, count(*) AS total_count FROM events UNION ALL SELECT 'type', CAST(count(*) FILTER (event_type = 'error') AS BIGINT), count(*) FROM events"
 
 
-LEGAL = ", ".join(f"('{a}', '{b}')" for a, b in RUN_MOVES)
-
-
 @plan(
     "str_state_machine",
-    f"SELECT job_id, event_id, from_state, state FROM (SELECT *, lag(state) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS from_state FROM {{transitions}}) WHERE from_state IS NOT NULL AND (from_state, state) NOT IN ({LEGAL})",
+    f"""SELECT job_id, event_id, from_state, state FROM (SELECT *, lag(state) OVER w AS from_state, lag(ts) OVER w AS since FROM {{transitions}} WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id))
+    WHERE from_state IS NOT NULL AND (from_state, state) NOT IN ({RUN_LEGAL}) AND ts <= since + CASE WHEN from_state IN ('succeeded', 'failed', 'cancelled', 'timeout') THEN INTERVAL 1 DAY ELSE INTERVAL 30 DAY END""",
 )
 def _(t):
-    return s.run_available(s.forbidden_moves(s.event_stream(t.spark, t["transitions"]), "job_id"))
+    return s.run_available(s.forbidden_moves(s.event_stream(t.spark, t["transitions"], files=3), "job_id"))
 
 
-@plan("str_freshness", "SELECT event_type, max(ts) AS newest, max(ts) >= TIMESTAMP '2024-01-30 23:00:00' AS fresh FROM events GROUP BY event_type")
+@plan("str_freshness", f"SELECT user_id, date_trunc('millisecond', max(ts)) AS newest, max(ts) + INTERVAL 6 HOUR >= {MARK} AS fresh FROM events GROUP BY user_id")
 def _(t):
-    name = f"fresh_{uuid.uuid4().hex}"
-    stream = s.newest_per_key(s.event_stream(t.spark, t["events"]), "ts", "event_type", F.lit("2024-01-31 00:00:00").cast("timestamp"), 3600)
-    stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{shared_dir(t.spark)}/{name}").start().awaitTermination()
-    return t.spark.table(name).select("event_type", *naive("newest"), "fresh")
+    changes = s.run_available(s.freshness(s.event_stream(t.spark, t["events"], files=3), "user_id", 6 * 3600))
+    out = s.freshest(changes, "user_id")
+    return out.select("user_id", F.timestamp_millis("newest_ms").cast("timestamp_ntz").alias("newest"), "fresh")

@@ -8,27 +8,43 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tablewarden.operators.ledger import RUN_MOVES
+from tablewarden.operators.ledger import RUN_ENDS, RUN_MOVES, eta_columns
+from tablewarden.operators.observe import trailing
 from tablewarden.operators.quality import Check, quarantine, run_suite
 from tablewarden.session import shared_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def event_stream(spark: SparkSession, events: DataFrame, files: int | None = None, per_trigger: int | None = None) -> DataFrame:
-    """A file stream over a copy of ``events`` in the shared folder, in ``files`` files by time; the event time becomes
-    a zoned timestamp, as event-time columns must be."""
+def event_stream(spark: SparkSession, events: DataFrame, rows_per_file: int = 1_000_000, files: int = 1, per_trigger: int = 1) -> DataFrame:
+    """A file stream over a copy of ``events`` in the shared folder; the event time becomes a zoned timestamp, as
+    event-time columns must be. The copy has a file per ``rows_per_file`` rows, ``files`` at least, in order of time, and
+    a batch takes ``per_trigger`` of them, so that a batch does not grow with the table."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    (rows.repartitionByRange(files, "ts") if files else rows).write.parquet(path)
-    reader = spark.readStream.schema(rows.schema)
-    return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(path)
+    files = max(files, -(-events.count() // rows_per_file))
+    (rows.repartitionByRange(files, "ts") if files > 1 else rows.coalesce(1)).write.parquet(path)
+    in_order(spark, path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+
+
+def in_order(spark: SparkSession, path: str) -> None:
+    """Gives the files of a table times that rise with their number: a file stream takes them by time."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    found = [(f.getPath().getName(), f) for f in system.listStatus(folder) if f.getPath().getName().startswith("part-")]
+    found.sort(key=lambda x: x[0])
+    newest = max((f.getModificationTime() for _, f in found), default=0)
+    for i, (_, f) in enumerate(found):
+        system.setTimes(f.getPath(), newest - 1000 * (len(found) - i), -1)
 
 
 def run_available(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
@@ -82,15 +98,36 @@ def checked_batches(checks: list[Check], results_path: str, rows_path: str) -> C
     return each
 
 
-def bucket_batches(path: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that upserts rows by batch folder, for counts of closed windows."""
+def burn_batches(path: str, window_s: int, step_s: int, budget: float, factor: float) -> Callable[[DataFrame, int], None]:
+    """A batch function on closed windows (start, bad, n): keeps their counts, and writes as alerts the windows of the
+    batch whose trailing burn rate is above ``factor``. Only the counts of the last ``window_s`` before the batch are
+    read again; a batch that is run again overwrites its own folders."""
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/b{number}")
+        spark = batch.sparkSession
+        rows = batch.groupBy(F.unix_timestamp("start").alias("bucket")).agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("n"))
+        rows = rows.select(F.lit("all").alias("series"), "bucket", "bad", "n", F.lit(number).alias("batch"))
+        rows.write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+        first = rows.agg(F.min("bucket")).first()[0]
+        if first is None:
+            return
+        known = spark.read.schema(rows.schema).parquet(f"{path}/counts").where((F.col("bucket") > first - window_s) & (F.col("batch") <= number))
+        burn = F.try_divide(trailing(known, ["series"], "bad", window_s, step_s), trailing(known, ["series"], "n", window_s, step_s)) / budget
+        alerts = known.withColumn("burn", burn).where((F.col("batch") == number) & (F.col("burn") > factor))
+        alerts.select("bucket", "burn").write.mode("overwrite").parquet(f"{path}/alerts/b{number}")
 
     return each
 
 
+def arrived(rows: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
+    """A key's rows of one batch by event time."""
+    return pd.concat([r[columns] for r in rows]).sort_values(["ts", "event_id"], ignore_index=True)
+
+
+def millis(ts: pd.Series) -> np.ndarray:
+    return ts.astype("datetime64[ms]").astype("int64").to_numpy()
+
+
 class Ewma(StatefulProcessor):
     """Running average per key: rows of a batch in event-time order; one output row a batch and key."""
 
@@ -102,9 +139,12 @@ class Ewma(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         value, n = self.state.get() if self.state.exists() else (None, 0)
-        for x in pd.concat(list(rows)).sort_values(["ts", "event_id"])["value"].tolist():
-            value = x if value is None else self.alpha * x + (1 - self.alpha) * value
-            n += 1
+        x = arrived(rows, ["ts", "event_id", "value"])["value"].dropna().to_numpy(float)
+        n += len(x)
+        if len(x) and value is None:
+            value, x = x[0], x[1:]
+        keep = (1 - self.alpha) ** np.arange(len(x), -1, -1.0)  # of the value before and of each row, at the end
+        value = None if value is None else float(keep[0] * value + self.alpha * (keep[1:] @ x))
         self.state.update((value, n))
         yield pd.DataFrame({self.key: [key[0]], "ewma": [value], "n": [n]})
 
@@ -113,30 +153,46 @@ class Ewma(StatefulProcessor):
 
 
 class Machine(StatefulProcessor):
-    """Keeps each key's last state and gives the moves that the machine forbids; state goes after a terminal one."""
+    """Keeps each key's last state and gives the moves that the machine forbids. A state is forgotten ``end_s`` of event
+    time after it if it is an end, ``ttl_s`` after it otherwise: a later row starts anew, and a timer clears what is kept."""
 
-    def __init__(self, key: str, moves=RUN_MOVES):
-        self.key, self.moves = key, set(moves)
+    def __init__(self, key: str, moves=RUN_MOVES, ends=RUN_ENDS, end_s: int = 86_400, ttl_s: int = 30 * 86_400):
+        self.key, self.moves, self.ends, self.end_ms, self.ttl_ms = key, {a + ">" + b for a, b in moves}, set(ends), end_s * 1000, ttl_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "state string")
+        self.handle = handle
+        self.state = handle.getValueState("last", "state string, at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.state.get()[0] if self.state.exists() else None
-        found = []
-        for event_id, state in pd.concat(list(rows)).sort_values(["ts", "event_id"])[["event_id", "state"]].itertuples(index=False):
-            if last is not None and (last, state) not in self.moves:
-                found.append((key[0], event_id, last, state))
-            last = state
-        self.state.update((last,))
-        yield pd.DataFrame(found, columns=[self.key, "event_id", "from_state", "state"])
+        new = arrived(rows, ["ts", "event_id", "state"])
+        before, at = self.state.get() if self.state.exists() else (None, 0)
+        if before is not None:
+            self.handle.deleteTimer(self.until(before, at))
+        times = millis(new["ts"])
+        last = new["state"].shift(fill_value=before)
+        since = np.concatenate([[at], times[:-1]])
+        kept = times <= since + np.where(last.isin(self.ends), self.end_ms, self.ttl_ms)
+        found = new[last.notna() & kept & ~(last.fillna("") + ">" + new["state"]).isin(self.moves)]
+        state, at = new["state"].iloc[-1], int(times[-1])
+        self.state.update((state, at))
+        self.handle.registerTimer(self.until(state, at))
+        columns = {self.key: [key[0]] * len(found), "event_id": found["event_id"], "from_state": last[found.index], "state": found["state"]}
+        yield pd.DataFrame({c: pd.Series(list(v), dtype=object) for c, v in columns.items()})
+
+    def until(self, state: str, at: int) -> int:
+        return at + (self.end_ms if state in self.ends else self.ttl_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame({c: pd.Series([], dtype=object) for c in (self.key, "event_id", "from_state", "state")})
 
     def close(self) -> None:
         pass
 
 
 class Silence(StatefulProcessor):
-    """An event-time timer per key that fires when nothing has come for ``gap_ms`` after the newest event."""
+    """Every time that a key has no event for more than ``gap_ms``: between two events, or since the newest, which an
+    event-time timer tells."""
 
     def __init__(self, key: str, gap_ms: int):
         self.key, self.gap_ms = key, gap_ms
@@ -146,19 +202,49 @@ class Silence(StatefulProcessor):
         self.state = handle.getValueState("newest", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = max(int(r["ts"].max().timestamp() * 1000) for r in rows)
+        times = np.sort(np.concatenate([millis(r["ts"]) for r in rows]))
         if self.state.exists():
             before = self.state.get()[0]
-            newest = max(newest, before)
             self.handle.deleteTimer(before + self.gap_ms)
-        self.state.update((newest,))
-        self.handle.registerTimer(newest + self.gap_ms)
-        yield pd.DataFrame({self.key: [], "last_ms": [], "fired_ms": []})
+            times = np.sort(np.append(times, before))
+        last = times[:-1][np.diff(times) > self.gap_ms]
+        self.state.update((int(times[-1]),))
+        self.handle.registerTimer(int(times[-1]) + self.gap_ms)
+        yield pd.DataFrame({self.key: [key[0]] * len(last), "last_ms": last, "fired_ms": last + self.gap_ms})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = self.state.get()[0]
         self.state.clear()
-        yield pd.DataFrame({self.key: [key[0]], "last_ms": [at], "fired_ms": [expiredTimerInfo.getExpiryTimeInMs()]})
+        yield pd.DataFrame({self.key: [key[0]], "last_ms": [at], "fired_ms": [at + self.gap_ms]})
+
+    def close(self) -> None:
+        pass
+
+
+class Freshness(StatefulProcessor):
+    """A row (fresh) when a key's newest event changes, and one (not fresh) when the watermark passes its age limit."""
+
+    def __init__(self, key: str, age_ms: int):
+        self.key, self.age_ms = key, age_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("newest", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = max(int(millis(r["ts"]).max()) for r in rows)
+        before = self.state.get()[0] if self.state.exists() else None
+        if before is not None and before >= newest:
+            yield pd.DataFrame({self.key: [], "newest_ms": [], "fresh": []})
+            return
+        if before is not None:
+            self.handle.deleteTimer(before + self.age_ms)
+        self.state.update((newest,))
+        self.handle.registerTimer(newest + self.age_ms)
+        yield pd.DataFrame({self.key: [key[0]], "newest_ms": [newest], "fresh": [True]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({self.key: [key[0]], "newest_ms": [self.state.get()[0]], "fresh": [False]})
 
     def close(self) -> None:
         pass
@@ -170,20 +256,39 @@ def running_ewma(stream: DataFrame, key: str, alpha: float = 0.3, delay: str = "
     return stream.withWatermark("ts", delay).groupBy(key).transformWithStateInPandas(Ewma(alpha, key), schema, "Append", "None")
 
 
-def forbidden_moves(stream: DataFrame, key: str, delay: str = "10 minutes") -> DataFrame:
+def running_eta(stream: DataFrame, key: str, planned: DataFrame, alpha: float = 0.3) -> DataFrame:
+    """(key, ewma, n, remaining, seconds_left, reliable, per_minute) after each batch: the running average of durations in
+    milliseconds against the number of partitions of ``planned`` (key, total); keys without a plan have null."""
+    averages = running_ewma(stream, key, alpha).join(planned.select(key, "total"), key, "left")
+    averages = averages.withColumn("remaining", F.greatest(F.col("total") - F.col("n"), F.lit(0)))
+    return averages.withColumns(eta_columns(F.col("remaining"), F.col("ewma"), F.col("n"))).drop("total")
+
+
+def forbidden_moves(stream: DataFrame, key: str, delay: str = "10 minutes", machine: Machine | None = None) -> DataFrame:
     """(key, event_id, from_state, state) of rows (key, ts, event_id, state)."""
     text = T.StringType()
     schema = T.StructType([stream.schema[key], stream.schema["event_id"], T.StructField("from_state", text), T.StructField("state", text)])
-    return stream.withWatermark("ts", delay).groupBy(key).transformWithStateInPandas(Machine(key), schema, "Append", "None")
+    return stream.withWatermark("ts", delay).groupBy(key).transformWithStateInPandas(machine or Machine(key), schema, "Append", "EventTime")
+
+
+def stuck(stream: DataFrame, ts: str, by: str, busy: Column, done: Column, length: str, delay: str = "10 minutes") -> DataFrame:
+    """(by, start, busy): closed windows with activity of one kind and none of the other."""
+    counted = stream.withWatermark(ts, delay).groupBy(by, F.window(ts, length).alias("w")).agg(F.count_if(busy).alias("busy"), F.count_if(done).alias("done"))
+    return counted.where("busy > 0 AND done = 0").select(by, F.col("w.start").alias("start"), "busy")
 
 
 def silence(stream: DataFrame, key: str, gap_s: int, delay: str = "10 minutes") -> DataFrame:
-    """(key, last_ms, fired_ms): keys without an event for ``gap_s`` seconds of event time."""
+    """(key, last_ms, fired_ms): keys without an event for more than ``gap_s`` seconds of event time."""
     schema = T.StructType([stream.schema[key], T.StructField("last_ms", T.LongType()), T.StructField("fired_ms", T.LongType())])
     return stream.withWatermark("ts", delay).groupBy(key).transformWithStateInPandas(Silence(key, gap_s * 1000), schema, "Append", "EventTime")
 
 
-def newest_per_key(stream: DataFrame, ts: str, by: str, as_of: Column, max_age_s: int) -> DataFrame:
-    """(by, newest, fresh): kept up to date with every batch (output mode complete or update)."""
-    newest = F.max(ts)
-    return stream.groupBy(by).agg(newest.alias("newest"), (newest >= as_of - F.make_dt_interval(secs=F.lit(float(max_age_s)))).alias("fresh"))
+def freshness(stream: DataFrame, key: str, max_age_s: int, delay: str = "10 minutes") -> DataFrame:
+    """(key, newest_ms, fresh): changes of each key; ``freshest`` gives the last of them."""
+    schema = T.StructType([stream.schema[key], T.StructField("newest_ms", T.LongType()), T.StructField("fresh", T.BooleanType())])
+    return stream.withWatermark("ts", delay).groupBy(key).transformWithStateInPandas(Freshness(key, max_age_s * 1000), schema, "Append", "EventTime")
+
+
+def freshest(changes: DataFrame, key: str) -> DataFrame:
+    """The last change of each key: the newest event, and of its rows the one that says that it is too old."""
+    return changes.groupBy(key).agg(F.max("newest_ms").alias("newest_ms"), F.max_by("fresh", F.struct("newest_ms", ~F.col("fresh"))).alias("fresh"))

@@ -15,6 +15,35 @@ def test_ewma(spark, chunk):
     assert ledger.ewma(df, "k", ["i"], "v", 0.5, chunk).first().asDict() == {"k": "a", "ewma": 1750.0, "n": 3}
 
 
+def test_ewma_resumes(spark):
+    rows = [(k, i, float((i * 7919 + len(str(k))) % 100)) for k in ("a", "bb", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, i int, v double")
+    whole = {r.k: (round(r.ewma, 9), r.n) for r in ledger.ewma(df, "k", ["i"], "v", 0.3, 8).collect()}
+    before = ledger.ewma(df.where("i < 13 AND k IS DISTINCT FROM 'bb'"), "k", ["i"], "v", 0.3, 8)
+    rest = df.where("i >= 13 OR k = 'bb'")
+    assert {r.k: (round(r.ewma, 9), r.n) for r in ledger.ewma(rest, "k", ["i"], "v", 0.3, 8, before).collect()} == whole
+    same = ledger.ewma(df.where("false"), "k", ["i"], "v", 0.3, 8, before)
+    assert {tuple(r) for r in same.collect()} == {tuple(r) for r in before.collect()}
+
+
+def test_numbers_go_on_over_partitions(spark):
+    df = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN 'x' ELSE 'hot' END AS k", "id AS t")
+    got = ledger.numbered(df, "k", ["t"], "i", parts=7).collect()
+    for k in ("x", "hot"):
+        mine = sorted((r.i, r.t) for r in got if r.k == k)
+        assert [i for i, _ in mine] == list(range(len(mine))) and [t for _, t in mine] == sorted(t for _, t in mine)
+
+
+def test_state_machines(spark):
+    def bad(states, moves):
+        df = spark.createDataFrame([(1, i, s, i) for i, s in enumerate(states)], "k int, event_id int, state string, ts int")
+        return [r.event_id for r in ledger.invalid_transitions(df, "k", ["ts"], moves).orderBy("ts").collect()]
+
+    assert bad(["pending", "running", "timeout"], ledger.RUN_MOVES) == []
+    assert bad(["pending", "cancelled"], ledger.RUN_MOVES) == [1]
+    assert bad(["running", "waiting_upstream", "pending", "running", "paused", "resuming", "failed"], ledger.BACKFILL_MOVES) == [6]
+
+
 def test_histogram_quantile_edges(spark):
     df = spark.createDataFrame([("a", 0.5), ("a", 0.5), ("b", 99.0)], "k string, v double")
     hist = observe.histogram(df, "v", [1, 10], ["k"])
@@ -39,6 +68,7 @@ def test_streams_equal_batches(spark):
     batch = ledger.ewma(events, "user_id", ["ts", "event_id"], "value")
     assert {r.user_id: round(r.ewma, 6) for r in live.collect()} == {r.user_id: round(r.ewma, 6) for r in batch.collect()}
     log = t["transitions"]
-    live = s.run_available(s.forbidden_moves(s.event_stream(spark, log), "job_id"))
+    machine = s.Machine("job_id", end_s=10**9, ttl_s=10**9)
+    live = s.run_available(s.forbidden_moves(s.event_stream(spark, log, files=3), "job_id", machine=machine))
     batch = ledger.invalid_transitions(log, "job_id", ["ts", "event_id"])
     assert {r.event_id for r in live.collect()} == {r.event_id for r in batch.collect()}
