@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.llm import packing, quality_classifier, resemblance, toxicity
-from tablewarden.session import cut
+from tablewarden.session import Scratch, cut
 
 ORACLE_SQL = None
 
@@ -45,8 +45,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = cut(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with Scratch(spark) as scratch:
+            docs = scratch.keep(cut(stage(spark, docs, sf_dir)))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tablewarden.functions import keys as k
 from tablewarden.operators import partitions as p
 from tablewarden.plans.base import Plans, Tables
-from tablewarden.session import shared_dir
+from tablewarden.session import scratch_path
 from tablewarden.sources import tables as src
 
 plan = Plans()
@@ -263,7 +261,7 @@ def _(t):
 
 @plan("snk_materialize_roundtrip", "SELECT strftime(o_orderdate, '%Y') AS year, CASE WHEN strftime(o_orderdate, '%Y') = '1997' THEN count(*) FILTER (o_orderstatus = 'F') ELSE count(*) END AS row_count FROM orders GROUP BY strftime(o_orderdate, '%Y')")
 def _(t):
-    path = f"{shared_dir(t.spark)}/orders-{uuid.uuid4().hex}"
+    path = scratch_path(t.spark, "orders")
     keyed = t["orders"].withColumn("year", k.partition_key(F.col("o_orderdate"), "yearly"))
     src.materialize(keyed, path, "year")
     src.materialize(keyed.where("year = '1997' AND o_orderstatus = 'F'"), path, "year")
@@ -272,7 +270,7 @@ def _(t):
 
 @plan("snk_check_results", "SELECT CAST(executed_at AS DATE) AS executed_date, count(*) AS n FROM {results} WHERE outcome <> 'skipped' GROUP BY 1")
 def _(t):
-    path = f"{shared_dir(t.spark)}/results-{uuid.uuid4().hex}"
+    path = scratch_path(t.spark, "results")
     results = t["results"]
     broken = results.withColumn("outcome", F.when(F.col("outcome") == "skipped", F.lit("unknown")).otherwise(F.col("outcome")))
     return src.append_results(broken, path).groupBy("executed_date").agg(F.count(F.lit(1)).alias("n"))

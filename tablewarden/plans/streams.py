@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tablewarden.operators import quality as q
 from tablewarden.plans.base import Plans
 from tablewarden.plans.ledger import RUN_LEGAL
-from tablewarden.session import shared_dir
+from tablewarden.session import scratch_path
 from tablewarden.streaming import jobs as s
 
 plan = Plans()
@@ -60,7 +58,7 @@ HOURS = f"SELECT CAST(floor(epoch_us(ts) / 3600000000) * 3600 AS BIGINT) AS buck
 @plan("str_burn_rate", f"SELECT bucket, round(burn, 6) AS burn FROM (SELECT bucket, (sum(bad) OVER w * 1.0 / sum(n) OVER w) / 0.1 AS burn FROM ({HOURS}) WINDOW w AS (ORDER BY bucket RANGE BETWEEN 18000 PRECEDING AND 0 PRECEDING)) WHERE burn > 2.0001")
 def _(t):
     """Each batch of closed windows is compared with the windows before it, and writes its alerts."""
-    path = f"{shared_dir(t.spark)}/burn-{uuid.uuid4().hex}"
+    path = scratch_path(t.spark, "burn")
     marked = t["events"].withColumn("bad", F.col("event_type") == "error")
     counts = s.windowed_counts(s.event_stream(t.spark, marked, files=4), "ts", ["bad"], "1 hour")
     s.run_available(counts, each=s.burn_batches(path, 6 * 3600, 3600, 0.1, 2.0001))
@@ -109,7 +107,7 @@ def _(t):
 
 @plan("str_quality")
 def _(t):
-    base = f"{shared_dir(t.spark)}/checked-{uuid.uuid4().hex}"
+    base = scratch_path(t.spark, "checked")
     checks = [q.InRange(name="value", column="value", low=0.5), q.Accepted(name="type", column="event_type", values=("view", "click", "purchase", "signup"))]
     stream = s.event_stream(t.spark, t["events"], files=3)
     s.run_available(stream, each=s.checked_batches(checks, f"{base}/results", f"{base}/rows"))

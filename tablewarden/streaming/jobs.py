@@ -18,7 +18,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from tablewarden.operators.ledger import RUN_ENDS, RUN_MOVES, eta_columns
 from tablewarden.operators.observe import trailing
 from tablewarden.operators.quality import Check, quarantine, run_suite
-from tablewarden.session import shared_dir
+from tablewarden.session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -27,7 +27,7 @@ def event_stream(spark: SparkSession, events: DataFrame, rows_per_file: int = 1_
     """A file stream over a copy of ``events`` in the shared folder; the event time becomes a zoned timestamp, as
     event-time columns must be. The copy has a file per ``rows_per_file`` rows, ``files`` at least, in order of time, and
     a batch takes ``per_trigger`` of them, so that a batch does not grow with the table."""
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "stream")
     rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
     files = max(files, -(-events.count() // rows_per_file))
     (rows.repartitionByRange(files, "ts") if files > 1 else rows.coalesce(1)).write.parquet(path)
@@ -50,7 +50,7 @@ def in_order(spark: SparkSession, path: str) -> None:
 def run_available(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Runs the stream over all that is available and gives the sink's table. With ``each``, batches go to that function,
     which writes for itself, and the result is empty."""
-    spark, base = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/sink-{uuid.uuid4().hex}"
+    spark, base = stream.sparkSession, scratch_path(stream.sparkSession, "sink")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if each is not None:
         writer = writer.foreachBatch(each)
