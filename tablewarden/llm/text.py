@@ -109,6 +109,33 @@ def held_out(doc_id: Column) -> Column:
 
 
 def smallest(rows: DataFrame, key: str, limit: int) -> DataFrame:
-    """``limit`` distinct keys with the smallest hash: a bounded sample that doesn't depend on the partitioning."""
-    keys = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.first_value(F.lit(1)).alias("_one"))
-    return keys.select(key).orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(limit)
+    """``limit`` distinct keys with the smallest hash: a bounded sample that doesn't depend on the partitioning.
+
+    Histograms of the hash's leading bits first tell up to which hash the sample goes, at most ``limit`` keys too far;
+    so what the last task sorts is bounded by ``limit``, however many partitions there are."""
+    keys = rows.where(F.col(key).isNotNull()).select(key).distinct()
+    value = F.xxhash64(F.col(key))
+    return keys.where(value <= hash_bound(keys, value, limit)).orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(limit)
+
+
+def hash_bound(rows: DataFrame, value: Column, limit: int, bits: int = 12) -> int:
+    """A number up to which ``value`` (hashes of distinct keys, signed) has ``limit`` rows, or up to ``limit`` more.
+
+    Each round counts the rows by their next ``bits`` bits (4096 numbers) inside the range where the limit falls."""
+    least = -(1 << 63)
+    low, width, needed = least, 64, limit
+    while width:
+        top, width = width, max(0, width - bits)
+        step = F.shiftrightunsigned(value.bitwiseXOR(F.lit(least)), width).bitwiseAND(F.lit((1 << (top - width)) - 1))
+        inside = rows.where(value.between(low, low + (1 << top) - 1))
+        counts = {r.step: r.n for r in inside.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        for at in sorted(counts):
+            if counts[at] >= needed:
+                break
+            needed -= counts[at]
+        else:
+            return -1 - least
+        low += at << width
+        if counts[at] <= limit:
+            break
+    return low + (1 << width) - 1
