@@ -9,6 +9,8 @@ is many tasks.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewarden.llm.text import smallest
+from tablewarden.session import cut, forget
 
 #: Vectors of a part in one block, and queries that meet them at a time.
 BLOCK_ROWS, QUERY_ROWS = 8192, 512
@@ -113,11 +117,27 @@ def units(column: pa.Array) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def fit_router(vectors: DataFrame, sample_rows: int = 8192, depth: int = 5, k: int = 10) -> Router | None:
+def one_per_id(rows: DataFrame) -> DataFrame:
+    """The rows with one per vec_id, the least vector of each; a table without repeated ids is not shuffled."""
+    repeated = cut(rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id"))
+    if repeated.isEmpty():
+        forget(repeated)
+        return rows
+    least = rows.join(repeated, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return rows.join(repeated, "vec_id", "left_anti").unionByName(least)
+
+
+def depth_for(rows: int) -> int:
+    """Halvings for a table: parts grow in number with it, as far as the sample can tell them apart."""
+    return min(7, max(5, (rows // 768).bit_length() - 1))
+
+
+def fit_router(vectors: DataFrame, sample_rows: int, depth: int, k: int = 10) -> Router | None:
     """Fits on the ``sample_rows`` vectors with the smallest hash of their id; None if they are too few to part.
 
     The bounded sample (8192 x 64 doubles are 4 MB) is worked on where it arrives, on the driver."""
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow()
+    chosen = F.broadcast(smallest(vectors, "vec_id", sample_rows))
+    sample = vectors.join(chosen, "vec_id", "left_semi").toArrow().sort_by("vec_id")
     if sample.num_rows < 4 << depth:
         return None
     unit = units(sample.column("vector").combine_chunks())
@@ -128,22 +148,22 @@ def fit_router(vectors: DataFrame, sample_rows: int = 8192, depth: int = 5, k: i
     return fit_softmax(unit, graph, balanced_partition(graph, unit, depth), 1 << depth)
 
 
-def _top(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The k best per query of (query, candidate, score): rows ordered by query, score down, id up, with the rank."""
+def _top(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best per query of (query, candidate, score): rows ordered by query, score down, id up."""
     order = np.lexsort((ids, -score, query))
     query, ids, score = query[order], ids[order], score[order]
     rank = np.arange(len(query)) - np.searchsorted(query, query) + 1
     keep = rank <= k
-    return query[keep], ids[keep], score[keep], rank[keep]
+    return query[keep], ids[keep], score[keep]
 
 
 def search(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = 5,
-    probes: int = 22,
+    probe_share: float = 0.65,
     sample_rows: int = 8192,
-    depth: int = 5,
+    depth: int | None = None,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -151,11 +171,15 @@ def search(
 
     ``queries`` has the same columns as ``vectors``; a row with the query's own id is no candidate of it. Vectors that
     are null, empty, zero, or hold null or non-finite numbers take no part, nor do rows without an id; vectors must
-    otherwise have one length. With too few vectors to part, every vector is a candidate. Queries probe ``probes`` of
-    the ``2**depth`` parts; every vector is indexed. Each part is cut into blocks of about ``BLOCK_ROWS`` vectors by a
-    hash of the id, and each block meets the part's queries in slices, so no task holds a whole part.
+    otherwise have one length. Of rows with one id the one with the least vector stands for all. Queries probe their
+    most probable parts, a share ``probe_share`` of the ``2**depth`` (by default more for larger tables); every vector is
+    indexed. A query that finds fewer than ``k`` there asks all parts, so it gets fewer only where there are no more; with
+    too few vectors to part, every vector is a candidate. Each part is cut into blocks of about ``BLOCK_ROWS`` vectors
+    by a hash of the id, and each block meets the part's queries in slices, so no task holds a whole part. Scores are
+    summed in one order, so equal vectors tie.
     """
-    base = usable(vectors, id_col, vector_col)
+    base, asking = one_per_id(usable(vectors, id_col, vector_col)), one_per_id(usable(queries, id_col, vector_col))
+    depth = depth_for(base.count()) if depth is None else depth
     router = fit_router(base, sample_rows, depth)
 
     def routed(rows: DataFrame, n: int) -> DataFrame:
@@ -167,49 +191,68 @@ def search(
                 flat = pa.array(np.repeat(np.arange(len(parts)), parts.shape[1]))
                 yield pa.record_batch([batch.column("vec_id").take(flat), batch.column("vector").take(flat), pa.array(parts.ravel(), pa.int32())], ["vec_id", "vector", "part"])
 
-        return rows.mapInArrow(run, "vec_id long, vector array<double>, part int")
+        return rows.select(F.col("vec_id").cast("long"), "vector").mapInArrow(run, "vec_id long, vector array<double>, part int")
 
-    placed = routed(base.select(F.col("vec_id").cast("long"), "vector"), 1)
+    placed = routed(base, 1)
     counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row per part
     blocks = F.broadcast(counts.select("part", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")))
     placed = placed.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    asked = routed(usable(queries, id_col, vector_col).select(F.col("vec_id").cast("long"), "vector"), probes).join(blocks, "part")
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    both = placed.select("part", "block", F.lit(True).alias("candidate"), "vec_id", "vector")
-    both = both.unionByName(asked.select("part", "block", F.lit(False).alias("candidate"), "vec_id", "vector"))
-    both = both.repartition("part", "block").sortWithinPartitions("part", "block", F.desc("candidate"))
-
-    def meet(batches):
-        place, ids, rows = None, [], []
-        for batch in batches:
-            part, block = batch.column("part").to_numpy(), batch.column("block").to_numpy()
-            candidate = batch.column("candidate").to_numpy(zero_copy_only=False)
-            unit, vec_id = units(batch.column("vector")), batch.column("vec_id").to_numpy()
-            change = np.flatnonzero((np.diff(part) != 0) | (np.diff(block) != 0) | (np.diff(candidate.astype(int)) != 0)) + 1
-            for a, b in zip(np.append(0, change), np.append(change, len(part)), strict=True):
-                if a == b:
-                    continue
-                if place != (part[a], block[a]):
-                    place, ids, rows = (part[a], block[a]), [], []
-                if candidate[a]:
-                    ids.append(vec_id[a:b])
-                    rows.append(unit[a:b])
-                    continue
-                if not ids:
-                    continue
-                ids, rows = [np.concatenate(ids)], [np.concatenate(rows)]
-                for at in range(a, b, QUERY_ROWS):
-                    yield best(vec_id[at : min(b, at + QUERY_ROWS)], unit[at : min(b, at + QUERY_ROWS)], ids[0], rows[0])
-
-    def best(asked_ids, asked_rows, ids, rows):
-        score = asked_rows @ rows.T
-        score[asked_ids[:, None] == ids[None, :]] = -np.inf
-        few = min(k, len(ids))
-        bound = np.partition(score, len(ids) - few, axis=1)[:, len(ids) - few]
-        q, c = np.nonzero((score >= bound[:, None] - 1e-12) & np.isfinite(score))
-        query, found, value, _ = _top(asked_ids[q], ids[c], score[q, c], k)
-        return pa.record_batch({"query_id": pa.array(query), "vec_id": pa.array(found), "score": pa.array(value)})
-
-    near = both.mapInArrow(meet, "query_id long, vec_id long, score double")
+
+    def asked(rows: DataFrame, n: int) -> DataFrame:
+        """(query_id, vec_id, score): the best of each block that ``n`` parts of each query have."""
+        sides = routed(rows, n).join(blocks, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        both = placed.select("part", "block", F.lit(True).alias("candidate"), "vec_id", "vector")
+        both = both.unionByName(sides.select("part", "block", F.lit(False).alias("candidate"), "vec_id", "vector"))
+        both = both.repartition("part", "block").sortWithinPartitions("part", "block", F.desc("candidate"))
+        return both.mapInArrow(lambda batches: met(batches, k), "query_id long, vec_id long, score double")
+
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def best(near: DataFrame) -> DataFrame:
+        return near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    if router is None:
+        return best(asked(asking, 1))
+    near = cut(best(asked(asking, math.ceil(probe_share * (1 << depth)))))
+    enough = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"))
+    short = cut(asking.select(F.col("vec_id").cast("long"), "vector").join(enough, "vec_id", "left_anti"))
+    if short.isEmpty():
+        return near
+    return near.join(enough, near["query_id"] == enough["vec_id"], "left_semi").unionByName(best(asked(short, 1 << depth)))
+
+
+def met(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best candidates of each query in each block; a block's candidates come before its queries."""
+    place, ids, rows = None, [], []
+    for batch in batches:
+        part, block = batch.column("part").to_numpy(), batch.column("block").to_numpy()
+        candidate = batch.column("candidate").to_numpy(zero_copy_only=False)
+        unit, vec_id = units(batch.column("vector")), batch.column("vec_id").to_numpy()
+        change = np.flatnonzero((np.diff(part) != 0) | (np.diff(block) != 0) | (np.diff(candidate.astype(int)) != 0)) + 1
+        for a, b in zip(np.append(0, change), np.append(change, len(part)), strict=True):
+            if a == b:
+                continue
+            if place != (part[a], block[a]):
+                place, ids, rows = (part[a], block[a]), [], []
+            if candidate[a]:
+                ids.append(vec_id[a:b])
+                rows.append(unit[a:b])
+                continue
+            if not ids:
+                continue
+            ids, rows = [np.concatenate(ids)], [np.concatenate(rows)]
+            for at in range(a, b, QUERY_ROWS):
+                upto = min(b, at + QUERY_ROWS)
+                yield block_best(vec_id[at:upto], unit[at:upto], ids[0], rows[0], k)
+
+
+def block_best(asked_ids: np.ndarray, asked_rows: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> pa.RecordBatch:
+    """Candidates are chosen by a matrix product with a margin, then scored by a sum of fixed order."""
+    score = asked_rows @ rows.T
+    score[asked_ids[:, None] == ids[None, :]] = -np.inf
+    few = min(k, len(ids))
+    bound = np.partition(score, len(ids) - few, axis=1)[:, len(ids) - few]
+    q, c = np.nonzero((score >= bound[:, None] - 1e-12) & np.isfinite(score))
+    exact = np.concatenate([(asked_rows[q[i : i + 65536]] * rows[c[i : i + 65536]]).sum(axis=1) for i in range(0, len(q), 65536)] or [np.empty(0)])
+    query, found, value = _top(asked_ids[q], ids[c], exact, k)
+    return pa.record_batch({"query_id": pa.array(query), "vec_id": pa.array(found), "score": pa.array(value)})

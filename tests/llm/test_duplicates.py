@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tablewarden.llm import components, neighbours, resemblance, simhash
+from tablewarden.llm import components, neighbours, queries, resemblance, simhash
 
 
 def reach(nodes, linked):
@@ -106,7 +106,7 @@ def test_neighbours(spark):
     bad = [(5000, None), (5001, []), (5002, [0.0] * 16), (5003, [float("nan")] + [1.0] * 15), (5004, [None] + [1.0] * 15), (5050, [float("inf")] + [1.0] * 15), (None, [1.0] * 16)]
     df = spark.createDataFrame([(i, v, 0) for i, v in vectors + bad], "vec_id long, embedding array<double>, part int")
     got = {}
-    for r in neighbours.search(df, df.where("vec_id % 50 = 0"), probes=12, sample_rows=1024, depth=4).collect():
+    for r in neighbours.search(df, df.where("vec_id % 50 = 0"), probe_share=0.75, sample_rows=1024, depth=4).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     ids, m = np.array([i for i, _ in vectors]), np.array([v for _, v in vectors])
     unit = m / np.linalg.norm(m, axis=1, keepdims=True)
@@ -132,3 +132,49 @@ def test_partition_is_balanced():
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     part = neighbours.balanced_partition(neighbours.neighbour_graph(unit, 5), unit, 4)
     assert np.bincount(part).tolist() == [32] * 16
+
+
+def nearest(ids, vectors, queries, k=5):
+    """Brute force in double precision: {query: [(score, id)]}."""
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    out = {}
+    for i in queries:
+        score = (unit * unit[i]).sum(axis=1)
+        score[i] = -9
+        order = np.lexsort((ids, -score))[: min(k, len(ids) - 1)]
+        out[int(ids[i])] = [(float(score[j]), int(ids[j])) for j in order]
+    return out
+
+
+def test_recall_on_the_embeddings_with_the_registered_query(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, vectors = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    want = nearest(ids, vectors, np.flatnonzero(ids % 50 == 0))
+    got = {}
+    for r in queries.QUERIES["op3_neighbours"](spark, folder).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    assert set(got) == set(want) and all(len(x) == 5 for x in got.values())
+    assert sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+    assert all(abs(s - dict((i, s) for s, i in want[q]).get(i, s)) < 1e-12 for q in want for s, i in got[q])
+
+
+def test_equal_vectors_tie_and_repeated_ids_count_once(spark):
+    rng = np.random.default_rng(8)
+    vectors = [(i, rng.normal(size=37).tolist()) for i in range(1500)]
+    vectors += [(2000 + i, vectors[7 + i % 3][1]) for i in range(300)]  # copies of three vectors, at all places of blocks
+    vectors += [(50, [5.0] + [0.0] * 36), (50, [5.0] + [0.0] * 36), (1999, [4.0] + [0.0] * 36), (1999, [4.0] + [0.0] * 36), (1999, [9.0] * 37)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(7)
+    got = {}
+    for r in neighbours.search(df, df.where("vec_id IN (50, 7, 8, 9)"), probe_share=1.0, depth=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert all([i for i in got[7 + j]] == [2000 + j + 3 * n for n in range(5)] for j in range(3))
+    assert len(set(got[50])) == 5  # of the two vectors of id 50 the lesser stands for it
+
+
+def test_a_query_with_too_few_candidates_asks_all_parts(spark):
+    rng = np.random.default_rng(4)
+    vectors = [(i, rng.normal(size=4).tolist()) for i in range(260)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = neighbours.search(df, df.where("vec_id % 50 = 0"), k=40, probe_share=1 / 64, depth=6).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == {i: 40 for i in range(0, 260, 50)}
