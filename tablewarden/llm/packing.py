@@ -5,8 +5,8 @@ opened; at the end each bin shrinks to the smallest permitted length that holds
 depends on the mix of lengths, so every choice of the length that each length class opens is packed (120 for five
 lengths) and the cheapest final result is taken: the lengths are optimised jointly.
 
-Documents are dealt by a hash of their id, length and number among equal rows into groups of about ``group_rows`` rows, each packed by itself; the cost is
-one set of part-filled bins a group.
+Documents are dealt by a hash of their id and length into groups of about ``group_rows`` rows, each packed by itself;
+the cost is one set of part-filled bins a group. Of equal rows, each 4096 are dealt together.
 """
 
 from __future__ import annotations
@@ -15,10 +15,13 @@ from bisect import bisect_left, insort
 from collections.abc import Callable, Iterable
 from itertools import product
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewarden.llm.text import spans
+
 CAPACITIES = (1024, 2048, 4096, 8192, 16384)
 
 
@@ -102,11 +105,13 @@ def pack_documents(
     kind = rows.schema["doc_id"].dataType.simpleString()
     groups = max(1, -(-docs.count() // group_rows))
     rows = rows.groupBy("doc_id", "length").agg(F.count(F.lit(1)).alias("copies"))
-    rows = rows.select("doc_id", "length", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "length", "copy"), F.lit(groups)).cast("int")).drop("copy")
+    rows = rows.select("doc_id", "length", F.explode(spans(F.col("copies"))).alias("span"))
+    group = F.pmod(F.xxhash64("doc_id", "length", "span.first"), F.lit(groups)).cast("int")
+    rows = rows.select("doc_id", "length", (F.col("span.last") - F.col("span.first") + 1).alias("copies"), group.alias("group"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending")])
+        table = table.take(np.repeat(np.arange(len(table)), table.column("copies").to_numpy()))
         group = table.column("group")[0].as_py()
         ids, sizes = table.column("doc_id").to_pylist(), table.column("length").to_pylist()
         full = [divmod(n, largest) for n in sizes]
@@ -133,4 +138,5 @@ def pack_documents(
         )
 
     columns = "piece long, start long, n_tokens long, bin_id long, bin_offset long, bin_length long"
+    rows = rows.repartition(groups, "group")  # else small rows bring many groups, each of some seconds, into one task
     return rows.groupBy("group").applyInArrow(run, f"doc_id {kind}, {columns}")

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewarden.llm.text import spans
+
 
 @dataclass(frozen=True)
 class Leaf:
@@ -87,8 +89,9 @@ def shard_rows(
     ``size`` is the UTF-8 length plus 1 (null text: 1, checksum 0). ``slot`` numbers the rows of a shard from 0
     without gaps: rows are numbered inside ``slot_buckets`` hash buckets of a shard, and the buckets' offsets come
     from a running sum over their counts (a table of shards x buckets rows, which bounds what is broadcast). Rows
-    that are equal in id, size and checksum are grouped before the numbering, so a key that holds a third of the rows
-    costs one row there. An empty table gives no rows; other columns of the input are ignored.
+    that are equal in id, size and checksum are counted first and then numbered in spans of at most 4096, each in a
+    bucket of its own hash, so a key that holds a third of the rows is spread over the buckets. An empty table gives no
+    rows; other columns of the input are ignored.
     """
     leaves, grown = leaves or topology(shards), grown or topology(shards + 1)
     doc_id = F.col(id_col)
@@ -98,15 +101,20 @@ def shard_rows(
         F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
     )
     rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
+    rows = rows.select("doc_id", "size", "text_crc32", F.explode(spans(F.col("copies"))).alias("span"))
     rows = rows.select(
-        "*",
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.col("span.first").alias("number"),
+        (F.col("span.last") - F.col("span.first") + 1).alias("copies"),
         shard_column([F.col("doc_id")], leaves).alias("shard"),
-        F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(slot_buckets)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64("doc_id", "size", "text_crc32", "span.first"), F.lit(slot_buckets)).cast("int").alias("bucket"),
     )
     buckets = rows.groupBy("shard", "bucket").agg(F.sum("copies").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
+    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32", "number")
     inside = inside.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("first", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
     rows = rows.join(F.broadcast(buckets), ["shard", "bucket"])

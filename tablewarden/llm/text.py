@@ -139,3 +139,9 @@ def hash_bound(rows: DataFrame, value: Column, limit: int, bits: int = 12) -> in
         if counts[at] <= limit:
             break
     return low + (1 << width) - 1
+
+
+def spans(n: Column, size: int = 4096) -> Column:
+    """The numbers 0 to n - 1 as (first, last) spans of at most ``size``, so that no row has to hold them all."""
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(n.cast("long") - 1, F.lit(0).cast("long")), F.lit(size).cast("long"))
+    return F.transform(starts, lambda a: F.struct(a.alias("first"), F.least(a + (size - 1), n - 1).alias("last")))
