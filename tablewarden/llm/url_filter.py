@@ -94,7 +94,8 @@ def filter_urls(
     empty host and path, fits no rule and is allowed. Each input row gives one row, repeated rows included; entries of
     the list without a host are ignored; an empty list blocks nothing. The Bloom table is broadcast only if its
     computed size is within ``broadcast_bytes``, else joined by block. A canonical URL that many pages share is
-    joined in ``salts`` parts.
+    joined in ``salts`` parts, with the filter and with the list. Of rules that fit with equal length the first in
+    order of name decides; a very long URL is judged whole.
     """
     host, path = host_column(F.col(url_col)), path_column(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
@@ -107,13 +108,17 @@ def filter_urls(
     keys = listed.select(canonical_column(host_column(source), path_column(source)).alias("key"))
     keys = keys.where("key <> ''").distinct()
     filter_table, blocks = bloom_blocks(keys, "key", keys.count(), bits_per_key)
+    probes, on = rows.withColumn("block", _block(F.col("key"), blocks)), ["block"]
     if blocks * 40 <= broadcast_bytes:
         filter_table = F.broadcast(filter_table)
+    else:
+        filter_table = filter_table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        probes, on = probes.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int")), ["block", "salt"]
     words = _bits(F.col("key"))
     hit = F.lit(True)
     for i, word in enumerate(words):
         hit = hit & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(word) == word)
-    probed = rows.withColumn("block", _block(F.col("key"), blocks)).join(filter_table, "block", "left")
+    probed = probes.join(filter_table, on, "left")
     probed = probed.select("page_id", "host", "path", "rule", "key", hit.alias("possible"))
 
     hits = probed.where("possible").withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int"))
