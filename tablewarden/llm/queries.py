@@ -69,16 +69,20 @@ URL_RULES = [
     url_filter.Rule("block", "example.com", "/de/"),
     url_filter.Rule("allow", "org", "/fr/"),
 ]
-#: Host labels whose pages make up the list of blocked URLs.
-SPAM_LABELS = ("spam-farm", "cheap-pills")
+#: A word of a junk page: a letter with a run of symbols behind it. One in the title puts a page's URL on the list.
+JUNK_WORD = "[a-z]([*][*][*]|%%%|###)"
+
+
+def junk_pages(pages: DataFrame) -> DataFrame:
+    """URLs of the pages of which the title shows junk."""
+    return pages.where(F.regexp_extract("html", "<title>([^<]*)</title>", 1).rlike(JUNK_WORD)).select("url")
 
 
 @query
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    labels = F.split(url_filter.host_column(F.col("url")), r"\.")
-    listed = pages.where(F.arrays_overlap(labels, F.array(*map(F.lit, SPAM_LABELS)))).select("url")
-    return url_filter.filter_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages")
+    found = url_filter.filter_urls(pages.select("page_id", "url"), junk_pages(pages), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
 
 
 ORACLES["op7_url_filter"] = r"""
@@ -96,7 +100,8 @@ named AS (
     CASE WHEN host = '' THEN '' ELSE
       regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '') END AS key
   FROM parts),
-listed AS (SELECT DISTINCT key FROM named WHERE list_has_any(string_split(host, '.'), ['spam-farm', 'cheap-pills']) AND key <> '')
+junk AS (SELECT page_id FROM pages WHERE regexp_matches(regexp_extract(html, '<title>([^<]*)</title>', 1), '[a-z]([*][*][*]|%%%|###)')),
+listed AS (SELECT DISTINCT key FROM named WHERE page_id IN (SELECT page_id FROM junk) AND key <> '')
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
        WHEN key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END AS verdict

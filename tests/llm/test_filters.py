@@ -57,6 +57,30 @@ def test_false_positives_are_removed(spark):
     assert len(got) == 3000 and any(r.possible and not r.listed for r in got)
 
 
+def test_one_url_on_a_third_of_all_pages_and_a_very_long_one(spark):
+    long = "http://h.com/" + "p" * 200_000
+    rows = [(i, "http://hot.com/a") for i in range(900)] + [(i, None) for i in range(900, 1500)] + [(i, f"http://h{i}.com/") for i in range(1500, 2700)] + [(2700, long)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    listed = pages.where("page_id = 3 OR page_id % 7 = 0 OR page_id = 2700").select("url")
+    keys = {brute_url(r[1], set())[0] + brute_url(r[1], set())[1].rstrip("/") for r in rows if r[0] == 3 or r[0] % 7 == 0 or r[0] == 2700} - {""}
+    for broadcast in (0, 16 << 20):
+        got = url_filter.filter_urls(pages, listed, [], broadcast_bytes=broadcast).collect()
+        assert len(got) == len(rows)
+        assert {r.page_id for r in got if r.verdict == "block"} == {i for i, u in rows if brute_url(u, keys)[3] == "block"}
+
+
+def test_a_third_of_all_rows_equal(spark):
+    rows = [(5, "same", 1)] * 9000 + [(i, "t" * (i % 40), 1) for i in range(100, 2100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, number int")
+    got = sharding.shard_rows(docs, slot_buckets=8).collect()
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    packed = packing.pack_documents(docs, capacities=(64, 128), group_rows=3000).collect()
+    assert Counter(r.doc_id for r in packed) == Counter(r[0] for r in rows) and sum(r.n_tokens for r in packed) == sum(len(r[1]) + 1 for r in rows)
+
+
 def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.filter_urls(pages, pages.select("url"), URL_RULES).count() == 0
