@@ -27,7 +27,9 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (columns u, v); ``root`` is the least node of its component.
+    """(node, root) for every node of ``edges`` (columns u, v); ``root`` is the least node of its component. Edges from a
+    node to itself, or with a null end, are no links, and a node that has no other ones is not among the rows; repeated
+    edges count once; no edges give no rows.
 
     Rounds are written to the shared folder, so a lost executor costs at most one of them. No neighbourhood is ever
     collected: a hub is a key of a minimum and of an equi-join, which Spark can split."""

@@ -174,6 +174,9 @@ def train_quality(
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 if score >= threshold), one row per input row; other columns are ignored."""
+    """doc_id, held_out, score, predicted (1 if score >= threshold), one row per input row; other columns are ignored.
+
+    A null or empty text has the score of a text without words, a very long one is scored whole, equal texts have equal
+    scores, a row without an id is not held out; an empty table gives no rows."""
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), model.column(F.col(text_col)).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -154,7 +154,8 @@ def judge(
 
     A text fails the base rules with fewer than ``min_words`` words, or with more than ``max_repeat`` of its words in
     repeated windows; others are kept if ``log_ratio >= threshold``. A null text has no words, a text without words a
-    ratio of 0. One row per input row; other columns are ignored.
+    ratio of 0; a very long text is judged whole. One row per input row, repeated rows and rows without an id included;
+    an empty table gives no rows; other columns are ignored.
     """
     fields = [*BASE, "log_ratio"]
 

@@ -131,7 +131,8 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], bits: int
                 gp, gu = -prior / len(p) * np.ones(len(p)), sigmoid(zu) / len(u)  # loss(+) - loss(-) has slope -1
             else:
                 gp, gu = prior * sigmoid(zp) / len(p), -sigmoid(zu) / len(u)
-            grad = np.bincount(pc, weights=gp[pt], minlength=size) + np.bincount(uc, weights=gu[ut], minlength=size)
+            grad = np.zeros(size)  # counts of nothing would be integers
+            grad += np.bincount(pc, weights=gp[pt], minlength=size) + np.bincount(uc, weights=gu[ut], minlength=size)
             grad[-1] = gp.sum() + gu.sum()
             touched = np.flatnonzero(grad)
             seen[touched] += grad[touched] ** 2
@@ -160,7 +161,8 @@ def train_toxicity(
 
     Both samples are the ids with the smallest hash. ``prior`` is the share of toxic texts; if not given, it is that
     among the labelled rows outside the held-out fold. Executors turn whole texts into features and only those of the
-    bounded samples come to the driver. Without positives or without unlabelled texts every score is the prior.
+    bounded samples come to the driver. Without positives or without unlabelled texts every score is the prior. Rows
+    without an id or whose label is null, or neither 0 nor 1, teach nothing; a very long text is one row of features.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     known = known.where(F.col("y").isin(0, 1) & ~held_out(F.col("id")))
@@ -200,6 +202,9 @@ def train_toxicity(
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 if score >= threshold), one row per input row; other columns are ignored."""
+    """doc_id, held_out, score, predicted (1 if score >= threshold), one row per input row; other columns are ignored.
+
+    A null or empty text has the score of a text without words, a very long one is scored whole, equal texts have equal
+    scores, a row without an id is not held out; an empty table gives no rows."""
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), model.column(F.col(text_col)).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
