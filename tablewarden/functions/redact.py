@@ -14,6 +14,16 @@ PII = {
     "phone": (r"(?:\(\d{3}\)\s*\d{3}[-.]?\d{4}|\b\d{3}[-.]?\d{3}[-.]?\d{4}\b)", "[PHONE]"),
     "ip": (r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b", "[IP]"),
 }
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
+#: Patterns with the same matches that begin with the digit that each match needs: a scan then passes over other
+#: characters at once, instead of asking for a word boundary at each.
+QUICK = {
+    "email": PII["email"][0],
+    "ssn": r"\d(?<=\b\d)(?:\d{2}-\d{2}-\d{4}\b|\d{8}\b)",
+    "card": r"\d(?<=\b\d)(?:\d{3}[-\s]?(?:\d{4}[-\s]?){2}\d{1,7}\b|\d{12,18}\b)",
+    "phone": r"[\d(](?:(?<=\()\d{3}\)\s*\d{3}[-.]?\d{4}|(?<=\b\d)\d{2}[-.]?\d{3}[-.]?\d{4}\b)",
+    "ip": rf"[0-9](?<=\b[0-9])(?:(?<=2)(?:5[0-5]|[0-4][0-9])|(?<=[01])[0-9]{{2}}|[0-9]?)\.(?:{_OCTET}\.){{2}}{_OCTET}\b",
+}
 # Words that mark a key as sensitive, prefixes of secret values, keys that are never sensitive.
 SENSITIVE_WORDS = (
     "password", "secret", "token", "bearer", "authorization", "credential", "api_key", "apikey", "private_key",
@@ -24,15 +34,24 @@ SECRET_PREFIXES = (
     "bearer ", "basic ", "ey", "ghp_", "gho_", "sk-", "pk_", "ya29.", "agp_", "postgres://", "postgresql://",
     "mysql://", "redis://",
 )
-ALLOWED_KEYS = ("execution_id", "workflow_id", "tenant_id", "request_id", "trace_id", "span_id", "task_id", "asset_id", "step_id")
+ALLOWED_KEYS = (
+    "execution_id", "workflow_id", "tenant_id", "request_id", "trace_id", "span_id", "parent_span_id", "task_id", "asset_id",
+    "step_id", "db.system", "db.operation", "db.sql.table", "db.name", "db.response.rows_affected", "http.method",
+    "http.status_code", "http.route", "http.target", "service.name", "service.version", "environment", "queue_path",
+    "target_url", "attempts", "max_attempts", "max_concurrent", "available_before", "wait_duration_ms", "total_duration_ms",
+    "strategy", "status", "error.type", "error.message", "level", "target", "file", "line", "otel.name", "otel.kind",
+    "otel.status_code", "otel.status_message", "code.function", "code.namespace", "code.filepath", "code.lineno", "thread.id",
+    "thread.name",
+)
 REDACTED = "[REDACTED]"
 
 
 def redact_pii(value: Column, kinds: tuple[str, ...] = tuple(PII), max_len: int | None = 1000) -> Column:
     """Replaces each kind by its tag, in the fixed order, then cuts at ``max_len`` characters."""
-    for kind, (pattern, tag) in PII.items():
+    for kind, (_, tag) in PII.items():
         if kind in kinds:
-            value = F.regexp_replace(value, pattern, tag.replace("[", "\\[").replace("]", "\\]"))
+            found = F.regexp_replace(value, QUICK[kind], tag.replace("[", "\\[").replace("]", "\\]"))
+            value = F.when(F.contains(value, F.lit("@")), found).otherwise(value) if kind == "email" else found
     if max_len is None:
         return value
     return F.when(F.char_length(value) > max_len, F.concat(F.substring(value, 1, max_len), F.lit("...[TRUNCATED]"))).otherwise(value)
@@ -76,6 +95,11 @@ def mask_url_password(url: Column) -> Column:
     return F.regexp_replace(url, r"://([^:/@]+):([^@/]+)@", r"://$1:****@")
 
 
+def has_pii(value: Column, kind: str) -> Column:
+    found = value.rlike(QUICK[kind])
+    return F.contains(value, F.lit("@")) & found if kind == "email" else found
+
+
 def pii_counts(df: DataFrame, text: str, by: list[str]) -> DataFrame:
     """Rows with each kind, per group."""
-    return df.groupBy(*by).agg(*[F.count_if(F.col(text).rlike(p)).alias(f"n_{k}") for k, (p, _) in PII.items()])
+    return df.groupBy(*by).agg(*[F.count_if(has_pii(F.col(text), k)).alias(f"n_{k}") for k in PII])
