@@ -186,20 +186,26 @@ def error_groups(parts: DataFrame, limit: int = 10) -> DataFrame:
 # --- windows and ordered state
 
 
+def running_totals(df: DataFrame, by: list[str], order: list[str], weight: Column, name: str, parts: int | None = None) -> DataFrame:
+    """Adds the sum of ``weight`` over the rows of the group up to each row, in ``order``. Rows are range-partitioned by
+    (group, order) and summed inside their partition; a group that goes over several partitions continues where the one
+    before ended, so a group with most of the rows is as many tasks as any other rows. What is summed by group alone is
+    a row per partition and group that it holds."""
+    keys = [*by, *[c for c in order if c not in by]]
+    rows = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+    rows = cut(rows.withColumns({"_w": weight, "_part": F.spark_partition_id()}))
+    inside = F.sum("_w").over(Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    counts = rows.groupBy(*by, "_part").agg(F.sum("_w").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
+    match = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(counts[f"_by_{c}"]) for c in by], F.col("_part") == F.col("_at"))
+    joined = rows.withColumn(name, inside).join(counts, match)
+    return joined.withColumn(name, F.col(name) + F.col("_before")).drop(*[f"_by_{c}" for c in by], "_at", "_before", "_part", "_w")
+
+
 def numbered(df: DataFrame, by: str, order: list[str], name: str, parts: int | None = None) -> DataFrame:
-    """Numbers the rows of each group from 0 in ``order``. Rows are range-partitioned by (group, order) and numbered
-    inside their partition; a group that goes over several partitions continues where the one before ended, so a group
-    with most of the rows is as many tasks as any other rows. The counts (a row per partition and group that it holds)
-    are summed by group."""
-    rows = df.repartitionByRange(parts, by, *order) if parts else df.repartitionByRange(by, *order)
-    rows = cut(rows.withColumn("_part", F.spark_partition_id()))
-    inside = F.row_number().over(Window.partitionBy("_part", by).orderBy(*order)) - 1
-    counts = rows.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(F.col(by).alias("_by"), F.col("_part").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
-    rows = rows.withColumn(name, inside)
-    joined = rows.join(counts, rows[by].eqNullSafe(counts["_by"]) & (F.col("_part") == F.col("_at")))
-    return joined.withColumn(name, F.col(name) + F.col("_before")).drop("_by", "_at", "_before", "_part")
+    """Numbers the rows of each group from 0 in ``order``."""
+    return running_totals(df, [by], order, F.lit(1), name, parts).withColumn(name, F.col(name) - 1)
 
 
 def ewma(df: DataFrame, by: str, order: list[str], value: str, alpha: float = 0.3, chunk: int = 4096, initial: DataFrame | None = None) -> DataFrame:

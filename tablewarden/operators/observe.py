@@ -5,9 +5,13 @@ bucket rows per series and never the events themselves."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewarden.operators.ledger import running_totals
+
 INF = float("inf")
 
 
@@ -79,9 +83,32 @@ def histogram_quantile(hist: DataFrame, q: float, by: list[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, value: str, qs: list[float], by: list[str], approximate: bool = False) -> DataFrame:
-    """p50-like columns per group; exact by default, by sketch for large groups."""
-    f = F.percentile_approx if approximate else F.percentile
-    return df.groupBy(*by).agg(*[f(value, q).alias(f"p{round(q * 100)}") for q in qs])
+    """(by, p50-like columns) by linear interpolation between ranks; null values take no part. ``approximate`` gives
+    sketches in one pass.
+
+    The exact form counts equal values first and takes running counts over range partitions, so no task holds a whole
+    group; then the values at the two ranks of each quantile are minima."""
+    names = [f"p{round(q * 100)}" for q in qs]
+    if approximate:
+        return df.groupBy(*by).agg(*[F.percentile_approx(value, q).alias(n) for q, n in zip(qs, names, strict=True)])
+    keys = by or ["_all"]
+    rows = df if by else df.withColumn("_all", F.lit(0))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_count"))
+    upto = running_totals(counted, keys, ["_value"], F.col("_count"), "_upto")
+    sizes = upto.groupBy(*keys).agg(F.max("_upto").alias("_total"))
+    upto = upto.join(sizes.select(*[F.col(c).alias(f"_of_{c}") for c in keys], "_total"), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]))
+
+    def at(q: float, up: bool) -> Column:
+        rank = F.lit(q) * (F.col("_total") - 1)
+        return F.min(F.when(F.col("_upto") > (F.ceil(rank) if up else F.floor(rank)), F.col("_value")))
+
+    columns = []
+    for q, n in zip(qs, names, strict=True):
+        rank = F.lit(q) * (F.max("_total") - 1)
+        low, high = at(q, False), at(q, True)
+        columns.append((low + (high - low) * (rank - F.floor(rank))).alias(n))
+    out = upto.groupBy(*keys).agg(*columns)
+    return out.select(*by, *names)
 
 
 def cap_cardinality(df: DataFrame, column: str, ts: str, n: int = 100) -> DataFrame:
@@ -128,18 +155,25 @@ def ratio_alert(events: DataFrame, ts: str, by: list[str], bad: Column, step_s:
     return rows.withColumn("ratio", F.try_divide("bad", "n")).where(F.col("ratio") > limit)
 
 
-def latency_alert(events: DataFrame, ts: str, value: str, by: list[str], q: float, step_s: int, limit: float) -> DataFrame:
+def latency_alert(events: DataFrame, ts: str, value: str, by: list[str], q: float, step_s: int, limit: float, approximate: bool = False) -> DataFrame:
     """Buckets whose quantile is above the limit."""
-    rows = events.groupBy(*by, bucket_of(F.col(ts), step_s).alias("bucket")).agg(F.percentile(value, q).alias("quantile"))
+    rows = events.withColumn("bucket", bucket_of(F.col(ts), step_s))
+    rows = quantiles(rows, value, [q], [*by, "bucket"], approximate).withColumnRenamed(f"p{round(q * 100)}", "quantile")
     return rows.where(F.col("quantile") > limit)
 
 
 def absence_alert(events: DataFrame, ts: str, by: list[str], step_s: int, first: int, last: int) -> DataFrame:
-    """(by, bucket) without events, of all series seen and all buckets from ``first`` to ``last`` (seconds, inclusive)."""
-    spark = events.sparkSession
-    spine = spark.range(first, last + 1, step_s).select(F.col("id").alias("bucket"))
+    """(by, bucket) without events, of all series seen and all buckets from ``first`` to ``last`` (seconds, inclusive).
+
+    The buckets between two that a series has, and those before its first and after its last one, are generated from the
+    series' own buckets; there is no product with a calendar."""
     seen = buckets(events, ts, step_s, by, {"n": F.lit(1)}).select(*by, "bucket")
-    return events.select(*by).distinct().crossJoin(F.broadcast(spine)).join(seen, [*by, "bucket"], "left_anti")
+    order = Window.partitionBy(*by).orderBy("bucket")
+    inside = (F.col("bucket") >= first) & (F.col("bucket") <= last)
+    edges = seen.select(*by).distinct().withColumn("bucket", F.lit(first - step_s).cast("long"))
+    rows = seen.where(inside).unionByName(edges).withColumn("next", F.coalesce(F.lead("bucket").over(order), F.lit(last + step_s - (last - first) % step_s)))
+    gaps = rows.where(F.col("next") - F.col("bucket") > step_s)
+    return gaps.select(*by, F.explode(F.sequence(F.col("bucket") + step_s, F.col("next") - step_s, F.lit(step_s))).alias("bucket"))
 
 
 def stuck_alert(events: DataFrame, ts: str, by: list[str], busy: Column, done: Column, step_s: int) -> DataFrame:

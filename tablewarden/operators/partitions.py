@@ -199,12 +199,8 @@ def partition_status(wanted: DataFrame, ledger: DataFrame, mapping: DataFrame, u
 
 
 def backfill_plan(upstream: DataFrame, wanted: DataFrame, completed: DataFrame) -> DataFrame:
-    """node, execution_order, key: what to rebuild per upstream node (node, depth), the furthest first.
-
-    ``wanted`` is (node, key), ``completed`` (node, key)."""
-    deepest = upstream.agg(F.max("depth").alias("deepest"))
-    todo = wanted.join(completed, ["node", "key"], "left_anti")
-    rows = todo.join(upstream.select("node", "depth"), "node").crossJoin(F.broadcast(deepest))
-    return rows.select("node", (F.col("deepest") - F.col("depth")).alias("execution_order"), "key")
-
-
+    """target, node, execution_order, key: what to rebuild for each target (target, node, depth of its upstream nodes),
+    the furthest first. ``wanted`` is (node, key), ``completed`` (node, key)."""
+    deepest = upstream.groupBy("target").agg(F.max("depth").alias("deepest"))
+    order = upstream.join(deepest, "target").select("target", "node", (F.col("deepest") - F.col("depth")).alias("execution_order"))
+    return wanted.join(completed, ["node", "key"], "left_anti").join(order, "node").select("target", "node", "execution_order", "key")

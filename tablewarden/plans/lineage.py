@@ -59,10 +59,17 @@ def _(t):
     return g.full_lineage(t["edges"], t["starts"])
 
 
-@plan("lin_shortest_path", f"{PAIR_STARTS} SELECT a, b, depth + 1 AS n_nodes FROM {{pairs}} LEFT JOIN reach ON source = a AND node = b")
+@plan(
+    "lin_shortest_path",
+    f"""{PAIR_STARTS}, best AS (SELECT r.source, r.node, min(e.src) AS parent FROM reach r JOIN {{edges}} e ON e.dst = r.node
+        LEFT JOIN reach q ON q.source = r.source AND q.node = e.src WHERE e.src <> r.node AND coalesce(q.depth, CASE WHEN e.src = r.source THEN 0 END) = r.depth - 1 GROUP BY ALL),
+    back AS (SELECT a, b, b AS at, CAST(b AS VARCHAR) AS path FROM {{pairs}}
+        UNION ALL SELECT k.a, k.b, x.parent, x.parent || '>' || k.path FROM back k JOIN best x ON x.source = k.a AND x.node = k.at WHERE k.at <> k.a)
+    SELECT a, b, (SELECT k.path FROM back k WHERE k.a = p.a AND k.b = p.b AND k.at = k.a) AS path FROM {{pairs}} p""",
+)
 def _(t):
     paths = g.shortest_paths(t["edges"], t["pairs"])
-    return paths.select("a", "b", F.when(F.col("path").isNotNull(), F.size("path")).alias("n_nodes"))
+    return paths.select("a", "b", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 @plan("lin_reachable", f"{PAIR_STARTS} SELECT a, b, depth IS NOT NULL OR a = b AS reachable FROM {{pairs}} LEFT JOIN reach ON source = a AND node = b")
@@ -201,19 +208,20 @@ def _(t):
     return deepest.groupBy(F.when(F.col("d") >= 4, F.lit("4+")).otherwise(F.col("d").cast("string")).alias("depth")).agg(F.count(F.lit(1)).alias("n"))
 
 
-PLAN_DAYS = "SELECT DISTINCT o_orderdate FROM orders WHERE o_orderdate < TIMESTAMP '1995-02-01'"
+PLAN_STARTS = "SELECT node AS source FROM {nodes} WHERE node % 100 = 37"
 
 
 @plan(
     "part_backfill_plan",
-    f"""{closure('dst', 'src', 4).replace('FROM {starts}', 'FROM (SELECT 137 AS source)')}, deepest AS (SELECT max(depth) AS m FROM reach), days AS ({PLAN_DAYS})
-    SELECT node, m - depth AS execution_order, strftime(o_orderdate, '%Y-%m-%d') AS key FROM reach, deepest, days WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderdate = days.o_orderdate AND o.o_orderstatus = 'F' AND o.o_custkey % 50 = node)""",
+    f"""{closure('dst', 'src', 4).replace('FROM {starts}', f'FROM ({PLAN_STARTS})')}, deepest AS (SELECT source, max(depth) AS m FROM reach GROUP BY source),
+    days AS (SELECT DISTINCT o_orderdate FROM orders), done AS (SELECT DISTINCT o_orderdate, o_custkey % 50 AS node FROM orders WHERE o_orderstatus = 'F')
+    SELECT source AS target, reach.node, m - depth AS execution_order, strftime(days.o_orderdate, '%Y-%m-%d') AS key FROM reach JOIN deepest USING (source) CROSS JOIN days
+    LEFT JOIN done ON done.o_orderdate = days.o_orderdate AND done.node = reach.node WHERE done.node IS NULL""",
 )
 def _(t):
     from tablewarden.operators.partitions import backfill_plan
 
-    start = t.spark.range(137, 138).select(F.col("id").alias("source"))
-    upstream = g.ancestors(t["edges"], start, 4).select("node", "depth")
-    days = t["orders"].where("o_orderdate < TIMESTAMP_NTZ '1995-02-01'").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("key")).distinct()
-    done = t["orders"].where("o_orderstatus = 'F'").select((F.col("o_custkey") % 50).alias("node"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("key")).distinct()
-    return backfill_plan(upstream, upstream.select("node").crossJoin(days), done)
+    upstream = g.ancestors(t["edges"], t.sql(PLAN_STARTS), 4).withColumnRenamed("source", "target")
+    key = F.date_format("o_orderdate", "yyyy-MM-dd").alias("key")
+    done = t["orders"].where("o_orderstatus = 'F'").select((F.col("o_custkey") % 50).alias("node"), key).distinct()
+    return backfill_plan(upstream, upstream.select("node").distinct().crossJoin(t["orders"].select(key).distinct()), done)
