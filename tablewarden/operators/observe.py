@@ -122,17 +122,27 @@ def cap_cardinality(df: DataFrame, column: str, ts: str, n: int = 100) -> DataFr
 
 
 def run_cost(compute_s: Column, memory_gb: Column, storage_gb: Column, egress_gb: Column, prices: dict[str, str]) -> Column:
-    """Compute and memory seconds, storage for its share of a month of 730 hours, and egress, as DECIMAL(38, 18)."""
+    """Compute and memory seconds, storage for its share of a month of 730 hours, and egress, as DECIMAL(38, 18). Amounts
+    count to four decimals, prices to eight; only the division by the month rounds, half up at 18 decimals."""
     def exact(c: Column) -> Column:
-        return c.cast("decimal(14,4)")
+        return c.cast("decimal(12,4)")
 
     def price(name: str) -> Column:
         return F.lit(prices[name]).cast("decimal(9,8)")
 
-    month = F.lit(3600 * 730).cast("decimal(7,0)")
-    storage = exact(storage_gb) * price("storage") * exact(compute_s) / month
-    total = exact(compute_s) * price("compute") + exact(compute_s) * price("memory") * exact(memory_gb) + storage + exact(egress_gb) * price("egress")
-    return total.cast("decimal(38,18)")
+    def whole(c: Column) -> Column:
+        return c.cast("decimal(38,0)")
+
+    # In units of the 18th decimal, as whole numbers: a decimal quotient would keep fewer decimals than that.
+    month = 3600 * 730
+    twice = whole(exact(storage_gb) * 10_000) * whole(exact(compute_s) * 10_000) * whole(price("storage") * 100_000_000) * 200 + month
+    units = whole((twice - twice % (2 * month)) / F.lit(2 * month).cast("decimal(38,0)"))
+    low = units % 1_000_000_000
+    high = whole((units - low) / F.lit(1_000_000_000).cast("decimal(38,0)"))
+    storage = [high.cast("decimal(20,0)") * F.lit("0.000000001").cast("decimal(9,9)"), low.cast("decimal(9,0)") * F.lit("0.000000000000000001").cast("decimal(18,18)")]
+    total = exact(compute_s) * price("compute") + exact(compute_s) * exact(memory_gb) * price("memory") + exact(egress_gb) * price("egress")
+    fits = "decimal(37,18)"  # a sum of decimals has a digit more, and 38 is the most
+    return reduce(lambda a, b: (a + b).cast(fits), [c.cast(fits) for c in (total, *storage)]).cast("decimal(38,18)")
 
 
 def cost_breakdown(costs: DataFrame) -> DataFrame:

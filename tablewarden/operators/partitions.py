@@ -114,29 +114,64 @@ def map_dimensions(keys: DataFrame, names: dict[str, str]) -> DataFrame:
     return _pairs(keys, F.to_json(F.struct(*fields)))
 
 
-def infer_mapping(edges: DataFrame, specs: DataFrame) -> DataFrame:
-    """Per edge (src, dst): the mapping between the grains of ``specs`` (node, grain), or why there is none.
+#: Kinds of partitions besides the time grains; they map one to one onto their own kind.
+OTHER_KINDS = ("range", "custom")
 
-    Equal grains map one to one, a coarser downstream aggregates, a finer downstream repeats the coarser upstream key;
-    a node without a grain takes everything. One rule row per pair of grains, joined to the edges."""
-    spark = edges.sparkSession
-    rules = []
-    for up in GRAINS:
-        for down in GRAINS:
+
+def _rules(spark: SparkSession) -> DataFrame:
+    """(up, down, mapping, reason) of every pair of kinds."""
+    rows = []
+    for up in (*GRAINS, *OTHER_KINDS):
+        for down in (*GRAINS, *OTHER_KINDS):
             if up == down:
-                rules.append((up, down, "identity", None))
+                rows.append((up, down, "identity", None))
             elif (up, down) in AGGREGATES:
-                rules.append((up, down, "aggregate", None))
+                rows.append((up, down, "aggregate", None))
+            elif up in OTHER_KINDS or down in OTHER_KINDS:
+                rows.append((up, down, None, f"{up} does not map to {down}"))
             elif GRAINS.index(up) > GRAINS.index(down):
-                rules.append((up, down, None, f"{up} upstream is coarser than {down}"))
+                rows.append((up, down, None, f"{up} upstream is coarser than {down}"))
             else:
-                rules.append((up, down, None, f"{up} does not nest in {down}"))
-    table = F.broadcast(spark.createDataFrame(rules, "up string, down string, mapping string, reason string"))
+                rows.append((up, down, None, f"{up} does not nest in {down}"))
+    return F.broadcast(spark.createDataFrame(rows, "up string, down string, mapping string, reason string"))
+
+
+def infer_mapping(edges: DataFrame, specs: DataFrame, without: str | None = "all") -> DataFrame:
+    """Per edge (src, dst): the mapping between the kinds of ``specs`` (node, grain), or the reason why there is none.
+
+    Equal kinds map one to one and a coarser downstream aggregates where the grains nest; a downstream that is finer than
+    its upstream, or of another kind, has no mapping. Where a side has no spec the mapping is ``without``; None asks for
+    a spec on both sides. One rule row per pair of kinds, joined to the edges."""
+    src = specs.select(F.col("node").alias("src"), F.col("grain").alias("up"))
+    dst = specs.select(F.col("node").alias("dst"), F.col("grain").alias("down"))
+    both = edges.join(src, "src", "left").join(dst, "dst", "left").join(_rules(edges.sparkSession), ["up", "down"], "left")
+    unknown = F.col("up").isNull() | F.col("down").isNull()
+    reason = F.when(unknown & F.lit(without is None), F.lit("not partitioned")).otherwise(F.col("reason"))
+    return both.select("src", "dst", F.when(unknown, F.lit(without)).otherwise(F.col("mapping")).alias("mapping"), reason.alias("reason"))
+
+
+def check_compatible(edges: DataFrame, specs: DataFrame) -> DataFrame:
+    """Edges (src, dst, mapping, and grain or up_grain and down_grain of the mapping) with ``problem``: why the declared
+    mapping does not fit the kinds of ``specs`` (node, grain), null if it does.
+
+    identity: equal kinds. aggregate: its upstream grain finer than its downstream one, and both those of the nodes.
+    window, offset: both nodes of the mapping's grain. custom: never checked."""
+    spark = edges.sparkSession
+    finer = [(u, d) for i, u in enumerate(GRAINS) for d in GRAINS[i + 1 :]]
+    order = F.broadcast(spark.createDataFrame(finer, "up_grain string, down_grain string").withColumn("finer", F.lit(True)))
     src = specs.select(F.col("node").alias("src"), F.col("grain").alias("up"))
     dst = specs.select(F.col("node").alias("dst"), F.col("grain").alias("down"))
-    both = edges.join(src, "src", "left").join(dst, "dst", "left").join(table, ["up", "down"], "left")
-    everything = F.col("up").isNull() | F.col("down").isNull()
-    return both.select("src", "dst", F.when(everything, F.lit("all")).otherwise(F.col("mapping")).alias("mapping"), "reason")
+    both = edges.join(src, "src", "left").join(dst, "dst", "left").join(order, ["up_grain", "down_grain"], "left")
+    kinds = F.concat(F.coalesce("up", F.lit("none")), F.lit(" to "), F.coalesce("down", F.lit("none")))
+    differ = F.concat(F.lit("incompatible: "), kinds)
+    fits = F.col("up").eqNullSafe(F.col("up_grain")) & F.col("down").eqNullSafe(F.col("down_grain"))
+    problem = (
+        F.when(F.col("mapping") == "custom", F.lit(None))
+        .when((F.col("mapping") == "identity") & ~F.col("up").eqNullSafe(F.col("down")), differ)
+        .when((F.col("mapping") == "aggregate") & F.col("finer").isNull(), F.concat(F.lit("no aggregation from "), F.col("up_grain"), F.lit(" to "), F.col("down_grain")))
+        .when(F.col("mapping").isin("aggregate", "window", "offset") & ~fits, differ)
+    )
+    return both.select("src", "dst", "mapping", problem.alias("problem"))
 
 
 def resolve_range(ranges: DataFrame, mapping: str, downstream: str, upstream: str, n: int = 0) -> DataFrame:

@@ -1,7 +1,7 @@
 """Data-quality checks on any DataFrame: declared as objects, run in as few passes as possible.
 
 All row-level and whole-table measures of a suite are one aggregation over the table; each key set of the uniqueness
-checks adds one grouping, each reference table one anti join. Nulls: range, pattern and set checks skip them unless
+checks adds one grouping, each reference table one join of distinct values. Nulls: range, pattern and set checks skip them unless
 ``nulls="fail"``. A check that cannot run has outcome ``error``, and blocks.
 """
 
@@ -16,6 +16,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewarden.functions.redact import redact_nested
+
 RESULT = "check string, kind string, outcome string, severity string, blocking boolean, failed_count long, failed_rows long, total_count long, message string"
 
 
@@ -53,6 +55,10 @@ class Check:
         """Failure flags of a row, one per cell that the check looks at."""
         return []
 
+    def causes(self) -> list[tuple[str | None, Column]]:
+        """For each of ``cells``: the column looked at (None: several) and why it fails, where it does."""
+        return [(c, F.lit(f"fails {self.kind}")) for c in self.needs()] or [(None, F.lit(f"fails {self.kind}"))]
+
     def measures(self, df: DataFrame) -> tuple[Column, Column, Column]:
         """Aggregates (failed_count, failed_rows, passed)."""
         cells = self.cells(df)
@@ -74,6 +80,9 @@ class NotNull(Check):
     def cells(self, df):
         return [F.col(c).isNull() for c in self.columns]
 
+    def causes(self):
+        return [(c, F.lit("null value")) for c in self.columns]
+
 
 @dataclass(frozen=True, kw_only=True)
 class InRange(Check):
@@ -96,6 +105,14 @@ class InRange(Check):
         bad = (value.isNotNull() & number.isNull()) | _flag(out)
         return [bad | value.isNull() if self.nulls == "fail" else bad]
 
+    def causes(self):
+        value = F.col(self.column)
+        number = value.try_cast("double")
+        cause = F.when(value.isNull(), "null value").when(number.isNull(), "not a number")
+        if self.low is not None:
+            cause = cause.when(number < self.low, f"below {self.low}")
+        return [(self.column, cause.otherwise(f"above {self.high}"))]
+
 
 @dataclass(frozen=True, kw_only=True)
 class Matches(Check):
@@ -112,6 +129,9 @@ class Matches(Check):
         bad = ~value.cast("string").rlike(f"^(?:{self.pattern})" if self.anchored else self.pattern)
         return [_flag(bad) | value.isNull() if self.nulls == "fail" else _flag(bad)]
 
+    def causes(self):
+        return [(self.column, F.when(F.col(self.column).isNull(), "null value").otherwise(f"no match of {self.pattern}"))]
+
     def problem(self, df):
         found = super().problem(df)
         if found is None:
@@ -134,6 +154,9 @@ class Accepted(Check):
         bad = ~value.isin(list(self.values))
         return [_flag(bad) | value.isNull() if self.nulls == "fail" else _flag(bad)]
 
+    def causes(self):
+        return [(self.column, F.when(F.col(self.column).isNull(), "null value").otherwise("not an accepted value"))]
+
 
 @dataclass(frozen=True, kw_only=True)
 class Custom(Check):
@@ -146,6 +169,9 @@ class Custom(Check):
         good = F.expr(self.predicate) if isinstance(self.predicate, str) else self.predicate
         return [~_flag(good)]
 
+    def causes(self):
+        return [(None, F.lit(f"not so: {self.predicate}" if isinstance(self.predicate, str) else "the predicate is not true"))]
+
 
 @dataclass(frozen=True, kw_only=True)
 class RowCount(Check):
@@ -246,6 +272,16 @@ def orphans(df: DataFrame, column: str, reference: DataFrame, ref_column: str, n
     return lost if nulls == "fail" else lost.where(F.col(column).isNotNull())
 
 
+def orphan_counts(df: DataFrame, column: str, reference: DataFrame, ref_column: str, nulls: str = "skip") -> DataFrame:
+    """One row (bad, n): rows without a match, and all rows. Equal values are counted before they meet the reference, so
+    the table is read once and a very common value is one row."""
+    values = df.groupBy(F.col(column).alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    keys = reference.select(F.col(ref_column).alias("_ref")).where(F.col("_ref").isNotNull()).distinct()
+    lost = F.col("_ref").isNull() if nulls == "fail" else F.col("_ref").isNull() & F.col("_at").isNotNull()
+    joined = values.join(keys, F.col("_at") == F.col("_ref"), "left")
+    return joined.agg(F.coalesce(F.sum(F.when(lost, F.col("_n"))), F.lit(0)).alias("bad"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
+
+
 def duplicates(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
     """Rows beyond the first of each key, in ``order``, with their number among the copies."""
     from pyspark.sql import Window
@@ -283,7 +319,7 @@ def run_suite(df: DataFrame, checks: list[Check]) -> DataFrame:
         elif isinstance(check, Unique):
             keyed.setdefault(tuple(sorted(check.columns or df.columns)), []).append(check)
         elif isinstance(check, References):
-            counts = df.agg(F.count(F.lit(1)).alias("n")).crossJoin(orphans(df, check.column, check.reference, check.ref_column, check.nulls).agg(F.count(F.lit(1)).alias("bad")))
+            counts = orphan_counts(df, check.column, check.reference, check.ref_column, check.nulls)
             parts.append(counts.select(F.inline(F.array(_result(check, _outcome(F.col("bad") == 0), F.col("bad"), F.col("bad"), F.col("n"), none)))))
         elif isinstance(check, TableCheck):
             parts.append(_run_table_check(df, check))
@@ -345,9 +381,15 @@ def quarantine(df: DataFrame, checks: list[Check]) -> DataFrame:
 
 
 def failed_samples(df: DataFrame, check: Check, order: list[str], n: int = 10) -> DataFrame:
-    """Up to ``n`` failing rows in ``order``, with the name of the check."""
-    bad = reduce(lambda a, b: a | b, check.cells(df))
-    return df.where(bad).withColumn("reason", F.lit(check.title)).orderBy(*order).limit(n)
+    """Up to ``n`` failing cells in ``order`` (columns that tell rows apart): the row with ``failed_column``, its value as
+    text and the reason. Personal data is redacted in the value and in every text of the row."""
+    failing = []
+    for bad, (column, cause) in zip(check.cells(df), check.causes(), strict=True):
+        value = F.lit(None).cast("string") if column is None else F.col(f"`{column}`").cast("string")
+        failing.append(F.when(bad, F.struct(F.lit(column).cast("string").alias("failed_column"), value.alias("failed_value"), cause.alias("reason"))))
+    rows = df.withColumn("_failed", F.explode(F.array_compact(F.array(*failing))))
+    rows = rows.orderBy(*order, "_failed.failed_column").limit(n).select(*df.columns, "_failed.*")
+    return redact_nested(rows, columns=[*df.columns, "failed_value"])
 
 
 def orphan_message(df: DataFrame, column: str, reference: DataFrame, ref_column: str, shown: int = 5) -> DataFrame:
@@ -463,10 +505,12 @@ def run_checks(name: str, df: DataFrame) -> DataFrame:
     return run_suite(df, REGISTERED.get(name, []))
 
 
-def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
+def profile(df: DataFrame, approximate: bool = False, exact_rows: int | None = None) -> DataFrame:
     """One row per column: column, data_type, nulls, nullable, n_distinct, least, greatest (as text), in one pass.
 
-    Exact distinct counts expand rows once per column; ``approximate`` keeps to sketches, for large tables."""
+    Exact distinct counts expand rows once per column; ``approximate`` keeps to sketches, and so does a table of more
+    than ``exact_rows`` rows, if that is given."""
+    approximate = approximate or (exact_rows is not None and df.count() > exact_rows)
     count = F.approx_count_distinct if approximate else F.count_distinct
     kinds = dict(df.dtypes)
     columns = []

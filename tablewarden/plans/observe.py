@@ -28,23 +28,31 @@ def costs(t: Tables):
     return t["runs"].withColumn("cost", cost)
 
 
-def cost_sql(alias: str = "") -> str:
-    return f"({alias}duration_s * 0.000024 + {alias}duration_s * 2 * 0.0000025 + {alias}workflow_id * 0.026 * ({alias}duration_s / 3600 / 730) + 0.01 * 0.12)"
+# Scaled to whole numbers: amounts by 10^4, prices by 10^8. Storage is the only quotient, rounded half up at 18 decimals.
+AMOUNT = "CAST(CAST(duration_s AS DECIMAL(12, 4)) * 10000 AS HUGEINT)"
+WHOLE = f"({AMOUNT} * 2400 + {AMOUNT} * 2 * 250 + 100 * 12000000)"
+STORED = f"((2 * CAST(workflow_id AS HUGEINT) * {AMOUNT} * 2600000 * 1000000 + 2628000) // (2 * 2628000))"
+COST = f"({WHOLE} * 1000000 + {STORED})"
 
 
-@plan("agg_run_cost", f"SELECT run_id, round({cost_sql()} + 0.00000000123, 8) AS cost FROM {{runs}}")
+@plan("agg_run_cost", f"SELECT run_id, CAST({COST} AS VARCHAR) AS cost FROM {{runs}}")
 def _(t):
-    return costs(t).select("run_id", F.round(F.col("cost").cast("double") + 0.00000000123, 8).alias("cost"))
+    """In units of the eighteenth decimal, which no rounding can blur."""
+    return costs(t).select("run_id", units("cost"))
 
 
-@plan("agg_cost_rollup", f"SELECT tenant_id, workflow_id, round(sum({cost_sql()}), 5) AS cost, count(*) AS n FROM {{runs}} GROUP BY ROLLUP (tenant_id, workflow_id)")
+def units(column: str):
+    return F.regexp_replace(F.regexp_replace(F.col(column).cast("decimal(38,18)").cast("string"), r"\.", ""), "^0+(?=.)", "").alias(column)
+
+
+@plan("agg_cost_rollup", f"SELECT tenant_id, workflow_id, CAST(sum({COST}) AS VARCHAR) AS cost, count(*) AS n FROM {{runs}} GROUP BY ROLLUP (tenant_id, workflow_id)")
 def _(t):
-    return o.cost_breakdown(costs(t)).withColumn("cost", F.round(F.col("cost").cast("double"), 5))
+    return o.cost_breakdown(costs(t)).select("tenant_id", "workflow_id", units("cost"), "n")
 
 
-@plan("agg_spend_alerts", f"SELECT tenant_id, date_trunc('day', started_at)::TIMESTAMP AS period, round(sum({cost_sql()}), 5) AS spent FROM {{runs}} GROUP BY 1, 2 HAVING sum({cost_sql()}) > 0.025")
+@plan("agg_spend_alerts", f"SELECT tenant_id, date_trunc('day', started_at)::TIMESTAMP AS period, CAST(sum({COST}) AS VARCHAR) AS spent FROM {{runs}} GROUP BY 1, 2 HAVING sum({COST}) > 4000000000000000")
 def _(t):
-    return o.spend_alerts(costs(t), "day", 0.025).withColumn("spent", F.round(F.col("spent").cast("double"), 5))
+    return o.spend_alerts(costs(t), "day", 0.004).select("tenant_id", "period", units("spent"))
 
 
 HIST = "SELECT event_type, CAST(le AS DOUBLE) AS le, count(*) FILTER (value <= le) AS n, count(*) AS total FROM events, (SELECT unnest([0.1, 0.5, 1, 5, 10, 30, 60, 120, 300, 600, 'inf'::DOUBLE]) AS le) GROUP BY event_type, le"

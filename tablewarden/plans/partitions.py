@@ -253,6 +253,14 @@ def _(t):
     return src.parse_ragged_json(t["events"].select("event_id", "props"), "props", "k BIGINT, missing STRING")
 
 
+@plan("src_ragged_json_files", "SELECT CASE WHEN event_id % 7 > 0 THEN event_id END AS id, CASE WHEN event_id % 7 > 1 THEN event_id % 100 END AS k, CAST(NULL AS VARCHAR) AS missing FROM events")
+def _(t):
+    path = scratch_path(t.spark, "ragged")
+    line = "CASE event_id % 7 WHEN 0 THEN 'not json' WHEN 1 THEN concat('{\"id\": ', event_id, '}') ELSE concat('{\"k\": ', event_id % 100, ', \"more\": [1, {}], \"id\": ', event_id, '}') END"
+    t["events"].selectExpr(f"{line} AS value").write.text(path)
+    return src.read_ragged_json(t.spark, path, "id BIGINT, k BIGINT, missing STRING")
+
+
 @plan("src_read_partition", "SELECT o_orderkey, o_totalprice FROM orders WHERE strftime(o_orderdate, '%Y-%m') IN ('1996-02', '1997-11')")
 def _(t):
     keyed = t["orders"].withColumn("month", k.partition_key(F.col("o_orderdate"), "monthly"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.functions import redact
 from tablewarden.operators import quality as q
+from tablewarden.operators.assets import Assets
 from tablewarden.plans.base import Plans, Tables
 
 plan = Plans()
@@ -196,9 +197,19 @@ def _(t):
     return out.select("o_orderkey", "child_sum")
 
 
-@plan("topk_failed_samples", "SELECT o_orderkey, o_totalprice, 'price' AS reason FROM orders WHERE o_totalprice < 5000 ORDER BY o_totalprice, o_orderkey LIMIT 10")
+@plan("topk_failed_samples", "SELECT o_orderkey, o_totalprice, 'o_totalprice' AS failed_column, 'below 5000.0' AS reason FROM orders WHERE o_totalprice < 5000 ORDER BY o_totalprice, o_orderkey LIMIT 10")
 def _(t):
-    return q.failed_samples(t["orders"], q.InRange(name="price", column="o_totalprice", low=5000.0), ["o_totalprice", "o_orderkey"]).select("o_orderkey", "o_totalprice", "reason")
+    found = q.failed_samples(t["orders"], q.InRange(name="price", column="o_totalprice", low=5000.0), ["o_totalprice", "o_orderkey"])
+    return found.select("o_orderkey", "o_totalprice", "failed_column", "reason")
+
+
+NOTE = "concat('mail user', CAST(doc_id AS STRING), '@example.org tel 212-555-', CAST(1000 + doc_id % 9000 AS STRING))"
+
+
+@plan("topk_failed_samples_redacted", "SELECT doc_id, 'mail [EMAIL] tel [PHONE]' AS note, 'note' AS failed_column, 'mail [EMAIL] tel [PHONE]' AS failed_value, 'no match of ^no mail' AS reason FROM documents ORDER BY doc_id LIMIT 10")
+def _(t):
+    notes = t.sql(f"SELECT doc_id, {NOTE} AS note FROM {{documents}}")
+    return q.failed_samples(notes, q.Matches(column="note", pattern="^no mail"), ["doc_id"])
 
 
 @plan(
@@ -278,3 +289,27 @@ OUT = "outcome IN ('failed', 'error')"
 @plan("flt_blocking_failures", f"SELECT result_id, check_id FROM {{results}} WHERE blocking AND {OUT} AND severity = 'error'")
 def _(t):
     return q.blocking_failures(t["results"]).select("result_id", "check_id")
+
+
+def order_assets() -> Assets:
+    assets = Assets()
+
+    @assets.asset(inputs={"raw": "orders"}, checks=(q.NotNull(columns=("o_orderkey",)),))
+    def completed(raw):
+        return raw.where("o_orderstatus = 'F'")
+
+    @assets.asset()
+    def spend(completed):
+        return completed.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
+
+    @assets.asset()
+    def segments(spend, customer):
+        return spend.join(customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(F.sum("n").alias("n"), F.sum("total").cast("double").alias("total"))
+
+    return assets
+
+
+@plan("asset_compute", "SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1")
+def _(t):
+    return order_assets().compute("segments", {"orders": t["orders"], "customer": t["customer"]})
+

@@ -58,3 +58,22 @@ def test_random_graph(spark):
                     queue.append(m)
         want |= {(s, n): d for n, d in seen.items() if n != s}
     assert {(r.source, r.node): r.depth for r in g.descendants(edges_of(spark, pairs), starts_of(spark, 0, 5, 9)).collect()} == want
+
+
+def test_compatible_mappings(spark):
+    from tablewarden.operators import partitions as p
+
+    specs = spark.createDataFrame([(1, "daily"), (2, "daily"), (3, "monthly"), (4, "custom"), (5, "custom"), (6, "range")], "node int, grain string")
+    rows = [
+        (1, 2, "identity", None, None, None), (1, 3, "identity", None, None, "incompatible: daily to monthly"), (4, 5, "identity", None, None, None),
+        (1, 3, "aggregate", "daily", "monthly", None), (1, 3, "aggregate", "hourly", "monthly", "incompatible: daily to monthly"),
+        (3, 1, "aggregate", "monthly", "daily", "no aggregation from monthly to daily"), (1, 2, "window", "daily", "daily", None),
+        (1, 3, "offset", "daily", "daily", "incompatible: daily to monthly"), (1, 9, "window", "daily", "daily", "incompatible: daily to none"),
+        (3, 4, "custom", None, None, None),
+    ]
+    edges = spark.createDataFrame([r[:5] for r in rows], "src int, dst int, mapping string, up_grain string, down_grain string")
+    got = sorted((tuple(r) for r in p.check_compatible(edges, specs).collect()), key=str)
+    assert got == sorted(((*r[:3], r[5]) for r in rows), key=str)
+    pairs = spark.createDataFrame([(4, 5), (6, 6), (4, 6), (1, 3), (1, 9)], "src int, dst int")
+    inferred = {(r.src, r.dst): (r.mapping, r.reason) for r in p.infer_mapping(pairs, specs, without=None).collect()}
+    assert inferred == {(4, 5): ("identity", None), (6, 6): ("identity", None), (4, 6): (None, "custom does not map to range"), (1, 3): ("aggregate", None), (1, 9): (None, "not partitioned")}

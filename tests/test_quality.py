@@ -71,3 +71,37 @@ def test_decorator(people):
         return people
 
     assert q.run_checks("asset", asset()).first()["outcome"] == "passed"
+
+
+def test_assets_are_composed_of_their_inputs(spark):
+    from tablewarden.operators.assets import Assets
+
+    calls, assets = [], Assets()
+
+    @assets.asset()
+    def doubled(numbers):
+        calls.append("doubled")
+        return numbers.selectExpr("id * 2 AS id")
+
+    @assets.asset(inputs={"a": "doubled", "b": "doubled"})
+    def both(a, b):
+        return a.unionByName(b)
+
+    assert sorted(r.id for r in assets.compute("both", {"numbers": spark.range(3)}).collect()) == [0, 0, 2, 2, 4, 4] and calls == ["doubled"]
+    assert {tuple(r) for r in assets.edges(spark).collect()} == {("numbers", "doubled"), ("doubled", "both")}
+    with pytest.raises(KeyError):
+        assets.compute("both", {})
+    assets.asset("x")(lambda y: y)
+    assets.asset("y")(lambda x: x)
+    with pytest.raises(ValueError):
+        assets.compute("x", {})
+
+
+def test_samples_name_column_value_and_cause(spark):
+    df = spark.createDataFrame([(1, None, "5"), (2, "call 212-555-1234", "x"), (3, "ok", "900")], "id int, note string, n string")
+    got = quality.failed_samples(df, quality.NotNull(columns=("note", "n")), ["id"]).collect()
+    assert [(r.id, r.failed_column, r.reason) for r in got] == [(1, "note", "null value")]
+    got = quality.failed_samples(df, quality.InRange(column="n", low=1, high=100), ["id"]).collect()
+    assert [(r.id, r.note, r.failed_value, r.reason) for r in got] == [(2, "call [PHONE]", "x", "not a number"), (3, "ok", "900", "above 100")]
+    got = quality.failed_samples(df, quality.Custom(predicate="note = 'ok'"), ["id"]).collect()
+    assert [(r.id, r.failed_column, r.reason) for r in got] == [(1, None, "not so: note = 'ok'"), (2, None, "not so: note = 'ok'")]
