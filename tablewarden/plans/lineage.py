@@ -141,11 +141,11 @@ def _(t):
 @plan(
     "lin_paths",
     """WITH RECURSIVE walk AS (SELECT source, source AS node, 0 AS depth, CAST(source AS VARCHAR) AS path FROM {starts}
-    UNION ALL SELECT w.source, e.src, w.depth + 1, w.path || '>' || e.src FROM walk w JOIN {edges} e ON e.dst = w.node WHERE w.depth < 6)
+    UNION ALL SELECT w.source, e.src, w.depth + 1, w.path || '>' || e.src FROM walk w JOIN {edges} e ON e.dst = w.node WHERE w.depth < 10)
     SELECT source, node, depth, path FROM walk WHERE depth > 0""",
 )
 def _(t):
-    return g.lineage_paths(t["edges"], t["starts"], 6).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
+    return g.lineage_paths(t["edges"], t["starts"]).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
 
 
 @plan("lin_stats", "SELECT (SELECT count(*) FROM {nodes}) AS n_nodes, count(*) AS n_edges, CAST(count(*) - count(DISTINCT (src, dst)) AS BIGINT) AS n_duplicates, count(*) FILTER (src = dst) AS n_self_loops FROM (SELECT p_partkey // 2 AS src, p_partkey AS dst FROM part UNION ALL SELECT p_partkey // 3, p_partkey FROM part)")
@@ -156,11 +156,11 @@ def _(t):
 
 @plan(
     "lin_discover_upstream",
-    f"""{closure('dst', 'src', 6)}, ranked AS (SELECT source, reach.node, name, depth, row_number() OVER (PARTITION BY source ORDER BY depth DESC, reach.node) AS place FROM reach JOIN {{nodes}} n ON n.node = reach.node)
-    SELECT * FROM ranked WHERE place <= 5""",
+    f"""{closure('dst', 'src', 10)}, ranked AS (SELECT source, reach.node, name, depth, row_number() OVER (PARTITION BY source ORDER BY depth DESC, reach.node) AS place FROM reach JOIN {{nodes}} n ON n.node = reach.node)
+    SELECT * FROM ranked WHERE place <= 100""",
 )
 def _(t):
-    return g.discover_upstream(t["nodes"], t["edges"], t["starts"], 6, 5)
+    return g.discover_upstream(t["nodes"], t["edges"], t["starts"], 10)
 
 
 STATUS = "SELECT node, CASE node % 13 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' WHEN 2 THEN 'waiting_upstream' ELSE 'running' END AS state FROM {nodes}"
