@@ -99,9 +99,9 @@ def test_assets_are_composed_of_their_inputs(spark):
 
 def test_samples_name_column_value_and_cause(spark):
     df = spark.createDataFrame([(1, None, "5"), (2, "call 212-555-1234", "x"), (3, "ok", "900")], "id int, note string, n string")
-    got = quality.failed_samples(df, quality.NotNull(columns=("note", "n")), ["id"]).collect()
+    got = q.failed_samples(df, q.NotNull(columns=("note", "n")), ["id"]).collect()
     assert [(r.id, r.failed_column, r.reason) for r in got] == [(1, "note", "null value")]
-    got = quality.failed_samples(df, quality.InRange(column="n", low=1, high=100), ["id"]).collect()
+    got = q.failed_samples(df, q.InRange(column="n", low=1, high=100), ["id"]).collect()
     assert [(r.id, r.note, r.failed_value, r.reason) for r in got] == [(2, "call [PHONE]", "x", "not a number"), (3, "ok", "900", "above 100")]
-    got = quality.failed_samples(df, quality.Custom(predicate="note = 'ok'"), ["id"]).collect()
+    got = q.failed_samples(df, q.Custom(predicate="note = 'ok'"), ["id"]).collect()
     assert [(r.id, r.failed_column, r.reason) for r in got] == [(1, None, "not so: note = 'ok'"), (2, None, "not so: note = 'ok'")]
