@@ -1,6 +1,6 @@
 """Token counts from per-document pre-token frequencies, without materialising ids.
 
-1. Every task counts its pre-tokens; their sums give each distinct pre-token with its frequency in the corpus.
+1. Every task counts its words and cuts each distinct one into pre-tokens; their sums give each distinct pre-token with its frequency in the corpus.
 2. The tokenizer is run once on each distinct pre-token; (pretoken, n, pieces) is written to the shared folder.
 3. Documents are read again as pre-token frequencies and joined to the pieces. The most frequent pre-tokens
    (``head_rows`` at most, so the size is bounded) are joined inside the tasks, from a broadcast; the other ones by a
@@ -19,22 +19,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.bpe import PLAIN_PIECE, PLAIN_TEXT, Encoder, spec_of
+from tablewarden.llm.bpe import PLAIN_PIECE, PLAIN_TEXT, Encoder, Remembered, spec_of
 from tablewarden.llm.text import Vocabulary, slices
 from tablewarden.session import cut
 
-#: Distinct pre-tokens that a task holds before it sends their counts on.
+#: Distinct words that a task holds before it sends their counts on.
 FLUSH = 300_000
 
 
 class Splitter:
-    """Pre-tokens and number of special strings of a text."""
+    """Texts to units, and units to pre-tokens. A unit is a run without white space of a plain text, or a pre-token of
+    another text behind a NUL; units repeat, so each distinct one is cut into pre-tokens once."""
 
     def __init__(self, path: str):
         self.spec = spec_of(path)
         self.pretokens = Encoder(self.spec).pretokens
 
     def __call__(self, text: str) -> tuple[list[str], int]:
+        """(units, number of special strings) of a text."""
         special = self.spec.special
         if special is None or "<" not in text:
             return self._of(text), 0
@@ -42,9 +44,12 @@ class Splitter:
         return [p for part in parts for p in self._of(part)], len(parts) - 1
 
     def _of(self, text: str) -> list[str]:
-        if PLAIN_TEXT.fullmatch(text):
-            return PLAIN_PIECE.findall(text.lower())
-        return self.pretokens(text)
+        return text.split() if PLAIN_TEXT.fullmatch(text) else ["\0" + p for p in self.pretokens(text)]
+
+    @staticmethod
+    def cut(unit: str) -> list[str]:
+        """The pre-tokens of a unit."""
+        return [unit[1:]] if unit[0] == "\0" else PLAIN_PIECE.findall(unit.lower())
 
 
 @lru_cache(maxsize=4)
@@ -65,21 +70,24 @@ def pretoken_pieces(docs: DataFrame, path: str, text_col: str = "text") -> DataF
         split, seen, total = Splitter(path), Vocabulary(), np.zeros(0, np.int64)
 
         def rows():
-            return pa.record_batch({"pretoken": pa.array(list(seen), pa.string()), "n": pa.array(total, pa.int64())})
+            found: dict[str, int] = {}
+            for unit, n in zip(seen, total.tolist(), strict=False):
+                for pretoken in split.cut(unit):
+                    found[pretoken] = found.get(pretoken, 0) + n
+            return pa.record_batch({"pretoken": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
         for batch in batches:
             for part in slices(batch.column(0)):
+                ids = []
                 for text in part:
-                    pretokens = split(text)[0]
-                    ids = np.fromiter(map(seen.__getitem__, pretokens), np.int64, len(pretokens))
-                    if len(seen) > len(total):
-                        total = np.concatenate([total, np.zeros(len(seen) + 4096, np.int64)])
-                    np.add.at(total, ids, 1)
+                    units = split(text)[0]
+                    ids.append(np.fromiter(map(seen.__getitem__, units), np.int64, len(units)))
+                new = np.bincount(np.concatenate(ids), minlength=len(total))
+                new[: len(total)] += total
+                total = new
                 if len(seen) > FLUSH:
-                    total = total[: len(seen)]
                     yield rows()
                     seen, total = Vocabulary(), np.zeros(0, np.int64)
-        total = total[: len(seen)]
         yield rows()
 
     def pieces(batches):
@@ -133,17 +141,26 @@ def count_tokens(
 
     def frequencies(batches):
         split, pieces = Splitter(path), head.value
+
+        def known_size(unit: str) -> tuple[int, tuple[str, ...]]:
+            """Tokens of the unit's pre-tokens in the head, and its other pre-tokens."""
+            sizes = [(p, pieces.get(p, 0)) for p in split.cut(unit)]
+            return sum(n for _, n in sizes), tuple(p for p, n in sizes if not n)
+
+        cache = Remembered(known_size)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             start = 0
             for part in slices(batch.column("text")):
+                cache.trim()
                 seen, texts, special = Vocabulary(), [], []
                 for text in part:
-                    pretokens, n = split(text)
-                    texts.append(np.fromiter(map(seen.__getitem__, pretokens), np.int64, len(pretokens)))
+                    units, n = split(text)
+                    texts.append(np.fromiter(map(seen.__getitem__, units), np.int64, len(units)))
                     special.append(n)
-                names = list(seen)
-                size = np.fromiter((pieces.get(w, 0) for w in names), np.int64, len(names))
+                units = list(map(cache.__getitem__, seen))
+                size = np.fromiter((n for n, _ in units), np.int64, len(units))
+                rare = np.fromiter((bool(r) for _, r in units), bool, len(units))
                 ids, owner = np.concatenate(texts), np.repeat(np.arange(len(part)), [len(t) for t in texts])
                 sums = np.array(special, np.int64)
                 if len(ids):
@@ -159,13 +176,16 @@ def count_tokens(
                         "freq": pa.array(np.zeros(n, np.int64)),
                     }
                 )
-                rare = size[ids] == 0
-                key, freq = np.unique(owner[rare] * max(1, len(names)) + ids[rare], return_counts=True)
+                other = rare[ids]
+                key, freq = np.unique(owner[other] * max(1, len(units)) + ids[other], return_counts=True)
                 if len(key):
-                    none = pa.nulls(len(key), batch.column("doc_id").type)
-                    zero = pa.array(np.zeros(len(key), np.int64))
-                    word = pa.array(names, pa.string()).take(pa.array(key % len(names)))
-                    yield pa.record_batch({"row": pa.array(key // len(names) + row), "doc_id": none, "n_bytes": zero, "tokens": zero, "pretoken": word, "freq": pa.array(freq)})
+                    words = [units[i][1] for i in (key % len(units)).tolist()]
+                    times = [len(w) for w in words]
+                    rows = np.repeat(key // len(units), times)
+                    none = pa.nulls(len(rows), batch.column("doc_id").type)
+                    zero = pa.array(np.zeros(len(rows), np.int64))
+                    word = pa.array([w for ws in words for w in ws], pa.string())
+                    yield pa.record_batch({"row": pa.array(rows + row), "doc_id": none, "n_bytes": zero, "tokens": zero, "pretoken": word, "freq": pa.array(np.repeat(freq, times))})
                 start, row = start + n, row + n
 
     rows = source.mapInArrow(frequencies, f"row long, doc_id {kind}, n_bytes long, tokens long, pretoken string, freq long")
