@@ -1,24 +1,28 @@
 """Near-duplicates by several SimHashes, each link verified on whole shingle sets.
 
 A text is its set of word shingles (64-bit hashes); texts of equal sets are one class. A class has ``FAMILIES``
-independently seeded 64-bit SimHashes, each with the complete pigeonhole keys of ``simhash.masks``: a pair that differs
+independently seeded 64-bit SimHashes, each with a key for every choice of ``BLOCKS - SURE`` of its blocks: a pair that differs
 in at most ``SURE`` bits of any one of them meets in a cell, and most pairs beyond that do, as they have ``FAMILIES``
 chances. Pairs that meet and are within ``LIMIT`` bits over all fingerprints are candidates, and a candidate is a link
 if the Jaccard similarity of the two whole sets reaches the threshold.
 
-A run of a key in which candidates outnumber its members ``DENSE`` times first gives its minimum spanning forest and each
-member's ``NEAREST`` nearest others. Its members are written down, and once those pairs are verified, all candidates
-whose members the found links still leave apart are verified too: no link between two components is lost.
+A run of a key in which candidates outnumber its members ``DENSE`` times is written down by its members instead. They
+get a parity sketch: one bit per bucket of shingle hashes, set where a set has an odd number of shingles. Two sketches
+differ in no more bits than the sets in shingles, so a pair whose sketches differ too much is no link, and most others
+are. A forest over the candidates that remain is verified, and then all of them that the links found leave apart: no
+link between two components is lost, and a group of copies costs one pair per member and key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm import simhash
@@ -31,7 +35,16 @@ FAMILIES, BLOCKS, SURE = 4, 8, 6
 LIMIT = 56
 #: Members of a run up to which all its pairs are compared at once.
 SMALL = 256
-DENSE, NEAREST = 8, 3
+#: Candidates per member above which a run is dense.
+DENSE = 6
+#: Bits of a parity sketch.
+SKETCH_BITS = 2048
+#: Rows that a task makes of its classes' keys.
+KEYED_ROWS = 400_000
+#: Nodes of which a task remembers how its links connect them, before it forgets them.
+FOREST_NODES = 500_000
+#: Keys of one fingerprint.
+KEYS = comb(BLOCKS, BLOCKS - SURE)
 PRINTS = [f"f{j}" for j in range(FAMILIES)]
 
 
@@ -66,8 +79,15 @@ def fingerprint_family(grams: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity_sketch(grams: np.ndarray) -> bytes:
+    """Of the buckets of the set's hashes: the parity of the number of shingles in each."""
+    odd = np.bincount((grams % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def described(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(doc_id, key, fp, f0.., grams): text key, class, fingerprints and shingle set (8 bytes each) of every whole text."""
+    """(doc_id, key, fp, f0.., sketch, grams) of every whole text: text key, class, fingerprints, parity sketch and shingle
+    set (8 bytes each)."""
     source = docs.select(F.col(id_col).alias("doc_id"), simhash.text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
@@ -79,42 +99,34 @@ def described(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
                 prints = np.stack([fingerprint_family(s) for s in sets]).view(np.int64)
                 columns = {c: batch.column(c)[start : start + len(part)] for c in ("doc_id", "key")} | {"fp": pa.array([class_of(s) for s in sets], pa.int64())}
                 columns |= {c: pa.array(np.ascontiguousarray(prints[:, j])) for j, c in enumerate(PRINTS)}
+                columns |= {"sketch": pa.array([parity_sketch(s) for s in sets], pa.binary())}
                 yield pa.record_batch(columns | {"grams": pa.array([s.tobytes() for s in sets], pa.binary())})
                 start += len(part)
 
-    return source.mapInArrow(run, f"doc_id {kind}, key long, fp long, {', '.join(f'{c} long' for c in PRINTS)}, grams binary")
-
-
-def spanning(node: np.ndarray, prints: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (indexes) of a minimum spanning forest at ``limit`` bits, and of each node to its nearest few.
-
-    Equal distances are ordered by a hash of the pair, so no node becomes a hub and every cell orders them alike."""
-    n = len(node)
-    best, parent, out = np.full(n, np.iinfo(np.int64).max), np.zeros(n, np.int64), np.ones(n, bool)
-    a, b, at = [], [], 0
-    for _ in range(n):
-        out[at] = False
-        bits = np.bitwise_count(prints ^ prints[:, at : at + 1]).sum(axis=0, dtype=np.int64)
-        order = (bits << 20) | (mix(node ^ node[at], 3) & np.uint64(0xFFFFF)).astype(np.int64)
-        order[at] = np.iinfo(np.int64).max
-        few = np.argpartition(order, min(NEAREST, n - 1))[:NEAREST]
-        few = few[order[few] >> 20 <= limit]
-        a += [at] * len(few)
-        b += few.tolist()
-        closer = order < best
-        best[closer], parent[closer] = order[closer], at
-        if not out.any():
-            break
-        at = int(np.argmin(np.where(out, best, np.iinfo(np.int64).max)))
-        if best[at] >> 20 <= limit:
-            a.append(int(parent[at]))
-            b.append(at)
-    return np.array(a, np.int64), np.array(b, np.int64)
+    return source.mapInArrow(run, f"doc_id {kind}, key long, fp long, {', '.join(f'{c} long' for c in PRINTS)}, sketch binary, grams binary")
+
+
+def close_pairs(prints: np.ndarray, limit: int, most: int, block: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, near) of one long run, some rows at a time: all pairs (positions) within ``limit`` bits, none if they are
+    more than ``most``, and whether each member has any."""
+    n, near = prints.shape[1], np.zeros(prints.shape[1], bool)
+    a, b, found = [near.nonzero()[0]], [near.nonzero()[0]], 0
+    for at in range(0, n, block):
+        bits = np.bitwise_count(prints[:, at : at + block, None] ^ prints[:, None, at + 1 :]).sum(axis=0, dtype=np.uint16)
+        x, y = np.nonzero((bits <= limit) & (np.arange(at + 1, n) > np.arange(at, at + bits.shape[0])[:, None]))
+        near[x + at] = near[y + at + 1] = True
+        found += len(x)
+        if found <= most:
+            a.append(x + at)
+            b.append(y + at + 1)
+    if found > most:
+        a, b = a[:1], b[:1]
+    return np.concatenate(a), np.concatenate(b), near
 
 
 def run_candidates(key: np.ndarray, node: np.ndarray, prints: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(u, v, dense): candidate pairs of nodes inside runs of equal (consecutive) keys, and the positions of the members
-    of dense runs, of which only some pairs are given; ``prints`` has a row per fingerprint."""
+    """(u, v, dense): candidate pairs of nodes inside the runs of equal (consecutive) keys that are not dense, and the
+    positions of the members of those that are, as far as they have a candidate; ``prints`` has a row per fingerprint."""
     change = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(change, len(key)))
     run_of, length = np.repeat(np.arange(len(size)), size), np.repeat(size, size)
@@ -130,25 +142,58 @@ def run_candidates(key: np.ndarray, node: np.ndarray, prints: np.ndarray, limit:
         a.append(at[close])
         b.append(at[close + step])
     a, b = np.concatenate(a), np.concatenate(b)
-    dense = (np.bincount(run_of[a], minlength=len(size)) > DENSE * size) | (size > SMALL)
-    few = ~dense[run_of[a]]
-    a, b = [a[few]], [b[few]]
-    for i in np.flatnonzero(dense):
-        whole = slice(change[i], change[i] + size[i])
-        x, y = spanning(node[whole], prints[:, whole], limit)
+    many = (np.bincount(run_of[a], minlength=len(size)) > DENSE * size)[run_of[a]]
+    dense = [np.unique(np.concatenate([a[many], b[many]]))]
+    a, b = [a[~many]], [b[~many]]
+    for i in np.flatnonzero(size > SMALL):
+        x, y, near = close_pairs(prints[:, change[i] : change[i] + size[i]], limit, DENSE * size[i])
         a.append(x + change[i])
         b.append(y + change[i])
-    return node[np.concatenate(a)], node[np.concatenate(b)], np.flatnonzero(dense[run_of])
-
-
-def apart(root: np.ndarray, node: np.ndarray, prints: np.ndarray, limit: int = LIMIT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of one run within ``limit`` bits whose roots differ, some members at a time."""
-    for at in range(len(node) - 1):
-        later = slice(at + 1, None)
-        bits = np.bitwise_count(prints[:, later] ^ prints[:, at : at + 1]).sum(axis=0, dtype=np.int64)
-        found = node[later][(bits <= limit) & (root[later] != root[at])]
-        if len(found):
-            yield np.full(len(found), node[at]), found
+        if near.any() and not len(x):
+            dense.append(near.nonzero()[0] + change[i])
+    return node[np.concatenate(a)], node[np.concatenate(b)], np.concatenate(dense)
+
+
+class Members:
+    """The members of one dense run, in an order that is the same in every run."""
+
+    def __init__(self, node: np.ndarray, size: np.ndarray, prints: np.ndarray, sketch: np.ndarray, share: float, limit: int = LIMIT):
+        order = np.argsort(mix(node, 3), kind="stable")
+        self.node, self.size, self.prints, self.sketch = node[order], size[order], prints[:, order], sketch[order]
+        self.order, self.share, self.limit = order, share, limit
+
+    def near(self, at: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that may be links of ``at``: few differing bits, and sketches that differ in no more bits
+        than the sets of a link in shingles."""
+        bits = np.bitwise_count(self.prints[:, others] ^ self.prints[:, at : at + 1]).sum(axis=0, dtype=np.int64)
+        others = others[bits <= self.limit]
+        differ = np.bitwise_count(self.sketch[others] ^ self.sketch[at]).sum(axis=1, dtype=np.int64)
+        return others[differ <= self.share * (self.size[others] + self.size[at])]
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        """A spanning forest of the candidates, breadth first from the first member on."""
+        left = np.arange(len(self.node))
+        a, b = [left[:0]], [left[:0]]
+        while len(left):
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                at = queue.pop(0)
+                new = self.near(at, left)
+                a.append(np.full(len(new), at))
+                b.append(new)
+                queue += new.tolist()
+                left = np.setdiff1d(left, new, assume_unique=True)
+        return self.node[np.concatenate(a)], self.node[np.concatenate(b)]
+
+    def apart(self, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All candidates whose roots differ."""
+        root, every = root[self.order], np.arange(len(self.node))
+        a, b = [every[:0]], [every[:0]]
+        for at in every:
+            new = self.near(at, every[at + 1 :][root[at + 1 :] != root[at]])
+            a.append(np.full(len(new), at))
+            b.append(new)
+        return self.node[np.concatenate(a)], self.node[np.concatenate(b)]
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -161,7 +206,7 @@ def by_run(batches, columns: list[str], together: bool = True) -> Iterator[list[
     """Batches sorted by their first column as arrays that hold whole runs; with ``together`` false, one run at a time."""
     held = None
     for batch in batches:
-        new = [batch.column(c).to_numpy() for c in columns]
+        new = [_array(batch.column(c)) for c in columns]
         held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
         if len(held[0]):
             whole = np.searchsorted(held[0], held[0][-1])  # the last run may go on in the next batch
@@ -172,6 +217,13 @@ def by_run(batches, columns: list[str], together: bool = True) -> Iterator[list[
         yield from _runs(held, together)
 
 
+def _array(column: pa.Array) -> np.ndarray:
+    """Numbers as they are, byte strings of one length as rows of 64-bit words."""
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+    return column.to_numpy()
+
+
 def _runs(rows: list[np.ndarray], together: bool) -> Iterator[list[np.ndarray]]:
     if together:
         yield rows
@@ -180,19 +232,30 @@ def _runs(rows: list[np.ndarray], together: bool) -> Iterator[list[np.ndarray]]:
     yield from zip(*[np.split(c, change) for c in rows], strict=True)
 
 
+def _key(print_: Column, blocks: tuple[int, ...], table: int) -> Column:
+    """The chosen blocks of a fingerprint behind the number of the choice: a small number, which shuffles well."""
+    out, width = F.lit(table).cast("long"), 64 // BLOCKS
+    for b in blocks:
+        part = F.shiftrightunsigned(print_, b * width).bitwiseAND(F.lit((1 << width) - 1))
+        out = F.call_function("shiftleft", out, F.lit(width)).bitwiseOR(part)
+    return out
+
+
 def candidates(classes: DataFrame) -> DataFrame:
     """(u, v, cell) of classes (columns fp, f0..): pairs u < v to verify, without a cell, and the members u of dense cells,
     without v."""
-    chosen = simhash.masks(BLOCKS, SURE)
-    keys = [(j * len(chosen) + i, F.col(c).bitwiseAND(F.lit(simhash._signed(m)))) for j, c in enumerate(PRINTS) for i, m in enumerate(chosen)]
-    keyed = classes.select("fp", *PRINTS, F.explode(F.array(*[F.xxhash64(F.lit(t), k) for t, k in keys])).alias("key"))
+    keys = [_key(F.col(c), two, j * KEYS + i) for j, c in enumerate(PRINTS) for i, two in enumerate(combinations(range(BLOCKS), BLOCKS - SURE))]
+    parts = max(1, -(-classes.count() * len(keys) // KEYED_ROWS))
+    classes = classes.repartition(parts, "fp")  # a class becomes a row per key: few tasks would each write a large part
+    keyed = classes.select("fp", *PRINTS, F.explode(F.array(*keys)).alias("key"))
     large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > simhash.CELL)
     large = cut(large.select("key", F.ceil(F.col("n") / simhash.CELL).cast("int").alias("cells")))
     rows = keyed.join(F.broadcast(large), "key", "left")  # at most a key per CELL rows
     cells = F.coalesce("cells", F.lit(1))
     own = F.pmod(F.xxhash64("fp"), cells).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), cells - 1), lambda j: F.least(own, j) * 1_000_000 + F.greatest(own, j))
-    rows = rows.select("fp", *PRINTS, "key", F.explode(pairs).alias("cell")).select(F.xxhash64("key", "cell").alias("cell"), "fp", *PRINTS)
+    rows = rows.select("fp", *PRINTS, "key", "cells", F.explode(pairs).alias("cell"))
+    rows = rows.select(F.when(F.col("cells").isNull(), F.col("key")).otherwise(F.xxhash64("key", "cell")).alias("cell"), "fp", *PRINTS)
     rows = rows.repartition("cell").sortWithinPartitions("cell")
 
     def run(batches):
@@ -205,53 +268,77 @@ def candidates(classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long, cell long").distinct()
 
 
-def left_apart(members: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """(u, v), u < v: the candidates inside dense cells (members: cell, fp) whose components differ."""
-    placed = members.join(roots, members["fp"] == roots["node"], "left").select("cell", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = placed.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
-    rows = placed.join(mixed, "cell", "left_semi").join(classes.select("fp", *PRINTS), "fp")
-    rows = rows.select("cell", "fp", "root", *PRINTS).repartition("cell").sortWithinPartitions("cell")
+MEMBER = ["size", *PRINTS, "sketch"]
+
+
+def dense_pairs(members: DataFrame, least: float, roots: DataFrame | None = None) -> DataFrame:
+    """(u, v), u < v, of the dense cells (members: cell, fp and what ``MEMBER`` names): a forest of the candidates in
+    each, or, given the roots of the links found so far, all candidates whose roots differ."""
+    rows = members.withColumn("root", F.lit(0).cast("long"))
+    if roots is not None:
+        rows = members.join(roots, members["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
+    rows = rows.select("cell", "fp", "root", *MEMBER).repartition("cell").sortWithinPartitions("cell")
+    share, first = (1 - least) / (1 + least) + 1e-12, roots is None
 
     def run(batches):
-        for _, node, root, *prints in by_run(batches, ["cell", "fp", "root", *PRINTS], together=False):
-            for a, b in apart(root, node, np.stack(prints).view(np.uint64)):
-                edges = _pairs(a, b)
-                yield pa.record_batch([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["u", "v"])
+        for _, node, root, size, *prints, sketch in by_run(batches, ["cell", "fp", "root", *MEMBER], together=False):
+            run_of = Members(node, size, np.stack(prints).view(np.uint64), sketch, share)
+            edges = _pairs(*(run_of.forest() if first else run_of.apart(root)))
+            yield pa.record_batch([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["u", "v"])
 
     return rows.mapInArrow(run, "u long, v long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs whose whole shingle sets (columns fp, grams) have a Jaccard similarity of at least ``least``."""
+    """Of the pairs whose whole shingle sets (columns fp, grams) have a Jaccard similarity of at least ``least``, enough to
+    connect all of them: a task leaves out a pair that its links before have connected already, without looking at it."""
 
     def run(batches):
+        group: dict[int, int] = {}  # of the links of this task, so that only those that connect anew go on
+
+        def top(x: int) -> int:
+            while (up := group.get(x, x)) != x:
+                group[x] = group.get(up, up)
+                x = up
+            return x
+
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("gu"), batch.column("gv"), strict=True)):
+            keep, ends = [], zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True)
+            for i, (ends_of, x, y) in enumerate(zip(ends, batch.column("gu"), batch.column("gv"), strict=True)):
+                u, v = map(top, ends_of)
+                if u == v:
+                    continue
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both >= least * (len(x) + len(y) - both):
                     keep.append(i)
+                    group[u] = v
             yield pa.record_batch([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("u", "v")], ["u", "v"])
+            if len(group) > FOREST_NODES:
+                group.clear()
 
     half = pairs.join(sets.select(F.col("fp").alias("u"), F.col("grams").alias("gu")), "u")
     return half.join(sets.select(F.col("fp").alias("v"), F.col("grams").alias("gv")), "v").select("u", "v", "gu", "gv").mapInArrow(run, "u long, v long")
 
 
 def similar_roots(whole: DataFrame, classes: DataFrame, least: float) -> tuple[DataFrame, list[DataFrame]]:
-    """((node, root) of the linked classes, tables to delete once it has been used)."""
+    """((node, root) of the linked classes, tables to delete once it has been used); deletes ``whole``."""
     found = cut(candidates(classes.where("fp <> 0").select("fp", *PRINTS)))
-    pairs = found.where("v IS NOT NULL").select("u", "v")
-    nodes = found.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
+    sparse, dense = found.where("v IS NOT NULL").select("u", "v"), found.where("v IS NULL").select("cell", F.col("u").alias("fp"))
+    nodes = found.select(F.col("u").alias("fp")).unionByName(sparse.select(F.col("v").alias("fp"))).distinct()
     needed = classes.select("fp", "row").join(nodes, "fp", "left_semi").select("row")
-    sets = cut(whole.select("row", "fp", "grams").join(needed, "row", "left_semi").select("fp", "grams"))
+    sets = cut(whole.join(needed, "row", "left_semi").select("fp", F.expr("octet_length(grams) DIV 8").cast("long").alias("size"), *PRINTS, "sketch", "grams"))
+    forget(whole)
+    members = cut(dense.join(sets.select("fp", *MEMBER), "fp"))
+    pairs = cut(sparse.unionByName(dense_pairs(members, least)).distinct())
+    forget(found)
     links = cut(verified(pairs, sets, least))
     roots = connected_components(links)
-    more = cut(left_apart(found.where("v IS NULL").select("cell", F.col("u").alias("fp")), roots, classes))
-    used = [found, sets, links, more]
-    if not more.isEmpty():
-        roots = connected_components(links.unionByName(verified(more, sets, least)))
-    return roots, used
+    more = cut(dense_pairs(members, least, roots).join(pairs, ["u", "v"], "left_anti"))
+    new = cut(verified(more, sets, least))
+    if not new.isEmpty():  # a node and its root stand for the links found before
+        roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(new))
+    return roots, [sets, members, pairs, links, more, new]
 
 
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
@@ -262,6 +349,6 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     whole = cut(described(docs, id_col, text_col, words).withColumn("row", F.monotonically_increasing_id()))
     classes = cut(simhash.least_rows(whole, F.min("row").alias("row"), *[F.min(c).alias(c) for c in PRINTS]))
     roots, used = similar_roots(whole, classes, least)
-    for table in [whole, *used]:
+    for table in used:
         forget(table)
     return simhash.kept_rows(docs, classes, roots, id_col, text_col)

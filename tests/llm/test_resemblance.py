@@ -54,25 +54,40 @@ def test_dense_run_stays_connected(spark, monkeypatch):
     assert resemblance.keep_one_similar(docs.where("false")).count() == 0
 
 
-def test_dense_runs_lose_no_link_between_components(spark, monkeypatch):
-    """Every pair of a dense run that the first links leave apart is verified: components are those of all candidates."""
+def test_sketches_never_rule_out_a_link():
     rng = np.random.default_rng(5)
-    base = rng.integers(0, 1 << 63, (resemblance.FAMILIES, 1), dtype=np.uint64)
-    n = 60
-    prints = base ^ np.where(rng.random((resemblance.FAMILIES, n)) < 0.9, np.uint64(1) << rng.integers(0, 8, (resemblance.FAMILIES, n)).astype(np.uint64), np.uint64(0))
-    node = np.arange(1, n + 1, dtype=np.int64)
-    monkeypatch.setattr(resemblance, "DENSE", 0)
-    a, b, dense = resemblance.run_candidates(np.zeros(n, np.int64), node.view(np.uint64), prints)
-    assert len(dense) == n and len(a) < n * (n - 1) // 2
-    root = node % 3  # three components that the first links are taken to have left
-    pairs = {tuple(sorted(p)) for x, y in resemblance.apart(root, node, prints) for p in zip(x.tolist(), y.tolist(), strict=True)}
-    assert pairs == {(i, j) for i in range(1, n + 1) for j in range(i + 1, n + 1) if i % 3 != j % 3}
+    for _ in range(300):
+        n = int(rng.integers(5, 6000))
+        both, one, two = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (n, rng.integers(0, n), rng.integers(0, n)))
+        x, y = np.unique(np.concatenate([both, one])), np.unique(np.concatenate([both, two]))
+        a, b = (np.frombuffer(resemblance.parity_sketch(s), np.uint64) for s in (x, y))
+        assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+
+
+def test_dense_runs_lose_no_link_between_components():
+    """A forest connects the candidates of a dense run, and every candidate that roots leave apart comes back."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(400) < 0.02 * (i % 5), rng.integers(0, 1 << 63, 400, dtype=np.uint64), base)) for i in range(60)]
+    prints = np.stack([resemblance.fingerprint_family(s) for s in sets]).T.copy()
+    sketch = np.stack([np.frombuffer(resemblance.parity_sketch(s), np.uint64) for s in sets])
+    node, size = np.arange(1, 61, dtype=np.int64), np.array([len(s) for s in sets])
+    members = resemblance.Members(node, size, prints, sketch, 1 / 9)
+    linked = {(i, j) for i in range(1, 61) for j in range(i + 1, 61) if len(np.intersect1d(sets[i - 1], sets[j - 1])) >= 0.8 * len(np.union1d(sets[i - 1], sets[j - 1]))}
+    a, b = members.forest()
+    assert len(a) < 60
+    root = np.array([n % 3 for n in node])
+    apart = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in members.apart(root)), strict=True)}
+    assert {(i, j) for i, j in linked if i % 3 != j % 3} <= apart and all(i % 3 != j % 3 for i, j in apart)
+    reach = list(range(61))
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        reach = [reach[y] if g == reach[x] else g for g in reach]
+    assert all(reach[i] == reach[j] for i, j in linked)
 
 
 def test_a_link_that_alone_joins_two_groups(spark, monkeypatch):
-    """With no pair of dense runs taken at first but a forest that fails, the second pass finds the groups' link."""
+    """With every run dense, the second pass finds the links that a forest of candidates has missed."""
     monkeypatch.setattr(resemblance, "DENSE", 0)
-    monkeypatch.setattr(resemblance, "NEAREST", 1)
     rng = random.Random(9)
     words = [f"w{i}" for i in range(300)]
     chain = [words]
