@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import bpe, neighbours, packing, quality_classifier, quality_rules, sharding, simhash, token_counts, toxicity, url_filter
+from tablewarden.llm import bpe, neighbours, packing, periodic_runs, quality_classifier, quality_rules, sharding, simhash, token_counts, toxicity, url_filter
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -123,3 +123,9 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_classifier.train_quality(docs, table(spark, sf_dir, "labels"))
     return quality_classifier.score_quality(docs, model)
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periodic_runs.digests(periodic_runs.find_runs(docs, text=periodic_runs.with_planted_repeats(docs)))
