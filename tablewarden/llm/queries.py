@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import bpe, neighbours, packing, periodic_runs, quality_classifier, quality_rules, sharding, simhash, token_counts, toxicity, url_filter
+from tablewarden.llm import bpe, lexical_search, neighbours, packing, page_text, periodic_runs, quality_classifier, quality_rules, sharding, simhash, token_counts, toxicity, url_filter
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -129,3 +129,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return periodic_runs.digests(periodic_runs.find_runs(docs, text=periodic_runs.with_planted_repeats(docs)))
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = page_text.extract_text(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
