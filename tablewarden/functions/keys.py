@@ -27,7 +27,7 @@ def partition_key(ts: Column, grain: str) -> Column:
     """``yyyy-MM-dd HH:00:00``, ``yyyy-MM-dd``, ISO ``YYYY-Www``, ``yyyy-MM`` or ``yyyy``."""
     if _grain(grain) == "weekly":
         day = ts.cast("date")
-        return F.format_string("%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), day), F.weekofyear(day))
+        return F.when(day.isNotNull(), F.format_string("%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), day), F.weekofyear(day)))
     return F.date_format(ts, FORMATS[grain])
 
 

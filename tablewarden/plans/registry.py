@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple[str, ...] = ("quality", "partitions", "lineage", "ledger", "observe", "streams")
+MODULES: tuple[str, ...] = ("quality", "partitions", "rebuild", "lineage", "ledger", "observe", "streams")
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
