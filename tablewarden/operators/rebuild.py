@@ -27,28 +27,25 @@ def by_grain(grain: Column, make: Callable[[str], Column]) -> Column:
     return out
 
 
-def floor_to(moment: Column, grain: Column) -> Column:
-    """Start of the partition that holds a moment."""
-    return by_grain(grain, lambda g: F.date_trunc(_TRUNC[g], moment).cast("timestamp_ntz"))
+def unit(grain: Column) -> Column:
+    return by_grain(grain, lambda g: F.lit(_TRUNC[g]))
 
 
-def ceil_to(moment: Column, grain: Column) -> Column:
-    """First start of a partition at or after a moment."""
-    low = floor_to(moment, grain)
-    return F.when(low < moment, by_grain(grain, lambda g: low + F.expr(STEPS[g]))).otherwise(low)
+def steps(grain: Column, n: Column) -> Column:
+    """``n`` partitions as (months, days, hours)."""
+    part = lambda sizes: by_grain(grain, lambda g: F.lit(sizes.get(g, 0))) * n
+    sizes = {"months": {"monthly": 1, "yearly": 12}, "days": {"daily": 1, "weekly": 7}, "hours": {"hourly": 1}}
+    return F.struct(*[F.coalesce(part(s), F.lit(0)).alias(name) for name, s in sizes.items()])
 
 
-def moved(moment: Column, grain: Column, n: Column) -> Column:
-    """A moment ``n`` partitions later."""
-    months = lambda k: F.add_months(moment.cast("date"), n * k).cast("timestamp_ntz")
-    steps = {
-        "hourly": moment + F.make_dt_interval(hours=n),
-        "daily": moment + F.make_dt_interval(days=n),
-        "weekly": moment + F.make_dt_interval(days=n * 7),
-        "monthly": months(1),
-        "yearly": months(12),
-    }
-    return by_grain(grain, lambda g: steps[g])
+def later(moment: str, by: str) -> Column:
+    """A moment moved by a struct of ``steps``."""
+    return F.col(moment) + F.make_interval(**{name: F.col(f"{by}.{name}") for name in ("months", "days", "hours")})
+
+
+def floor_to(moment: str, unit: str) -> Column:
+    """Start of the partition that holds a moment; the unit may differ by row."""
+    return F.expr(f"CAST(date_trunc({unit}, {moment}) AS TIMESTAMP_NTZ)")
 
 
 def key_range(ranges: DataFrame, grain: str) -> DataFrame:
@@ -90,19 +87,21 @@ def upstream_ranges(targets: DataFrame, edges: DataFrame, specs: DataFrame, max_
     hops = edges.select("src", "dst", *[F.col(c) if c in edges.columns else F.lit(None).cast(k).alias(c) for c, k in known_columns.items()]).where("src <> dst").distinct()
     grains = specs.select("node", "grain")
     hops = hops.join(grains.select(F.col("node").alias("src"), F.col("grain").alias("up")), "src", "left")
-    hops = cut(hops.join(grains.select(F.col("node").alias("dst"), F.col("grain").alias("down")), "dst", "left"))
+    hops = hops.join(grains.select(F.col("node").alias("dst"), F.col("grain").alias("down")), "dst", "left")
+    moves = {"back": F.when(F.col("mapping") == "window", 1 - F.col("n")).when(F.col("mapping") == "offset", F.col("n")), "on": F.when(F.col("mapping") == "offset", F.col("n"))}
+    moves = {name: steps(F.col("down"), n) for name, n in moves.items()}
+    hops = cut(hops.select("src", "dst", unit(F.col("up")).alias("unit"), steps(F.col("up"), F.lit(1)).alias("one"), *[c.alias(n) for n, c in moves.items()]))
     start = targets.join(grains.withColumnRenamed("node", "target"), "target", "left")
     start = key_range(start, "grain").select("target", F.col("target").alias("node"), "first", "last")
     by = ["target", "node"]
     frontier = cut(merge_ranges(start, by))
     known, depth = None, 0
-    steps = F.when(F.col("mapping") == "window", 1 - F.col("n")).when(F.col("mapping") == "offset", F.col("n"))
-    first = F.when(steps.isNull(), F.col("first")).otherwise(moved(F.col("first"), F.col("down"), steps))
-    last = F.when(F.col("mapping") == "offset", moved(F.col("last"), F.col("down"), F.col("n"))).otherwise(F.col("last"))
     while max_depth is None or depth < max_depth:
         depth += 1
         asked = frontier.join(hops, F.col("node") == F.col("dst")).where(F.col("src") != F.col("target"))
-        asked = asked.select("target", F.col("src").alias("node"), floor_to(first, F.col("up")).alias("first"), ceil_to(last, F.col("up")).alias("last"))
+        asked = asked.select("target", F.col("src").alias("node"), "unit", "one", later("first", "back").alias("first"), later("last", "on").alias("end"))
+        asked = asked.select("target", "node", "one", "end", floor_to("first", "unit").alias("first"), floor_to("end", "unit").alias("low"))
+        asked = asked.select("target", "node", "first", F.when(F.col("low") < F.col("end"), later("low", "one")).otherwise(F.col("low")).alias("last"))
         asked = merge_ranges(asked, by)
         if known is not None:
             have = known.select("target", "node", F.col("first").alias("have_first"), F.col("last").alias("have_last"))
