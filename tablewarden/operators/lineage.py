@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewarden.operators import graphs
 from tablewarden.session import cut, forget
 
 
@@ -25,12 +26,15 @@ def expand(edges: DataFrame, starts: DataFrame, direction: str = "down", max_dep
     """(source, node, depth, parent): all nodes that can be reached from each start (column source), at their smallest
     depth and with the smallest parent there. The start itself is never among them.
 
-    Few starts walk hop by hop. Where at least half of the nodes are starts, the reach of all of them is doubled in each
-    round instead, so that a graph of depth 1000 takes ten rounds."""
+    Few starts walk hop by hop, along contracted chains where most nodes are inside of chains. Where at least half of the
+    nodes are starts, the reach of all of them is doubled in each round instead, so that a graph of depth 1000 takes ten
+    rounds."""
     step = oriented(edges, direction).where("at <> to").distinct()
     seeds = starts.select("source").distinct()
     if 2 * seeds.count() >= step.select("at").distinct().count():
         return doubled(step, max_depth).join(seeds, "source", "left_semi")
+    if (max_depth is None or max_depth > 16) and graphs.deep(step):
+        return graphs.walk_contracted(step, seeds, max_depth)
     return walked(step, seeds, max_depth)
 
 
@@ -123,17 +127,28 @@ def reachable(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, path): the nodes of a shortest way, of ties the one with the smaller parents; null if there is none.
 
-    The way back is walked for all pairs together, a join on (source, node) per hop."""
+    Jump pointers (source, node) to the node 2**k hops back are joined with themselves, level by level, up to the longest
+    way that is asked for. From the ends of all pairs they then lead to all nodes between, the longest jumps first: a way
+    of 1,000 hops takes ten rounds each."""
     reach = expand(edges, pairs.select(F.col("a").alias("source")), "down")
-    walk = pairs.select("a", "b").distinct()
-    longest = reach.agg(F.max("depth")).first()[0] or 0
-    steps = reach.select(F.col("source").alias("a"), F.col("node").alias("at"), "parent")
-    paths = walk.select("a", "b", F.array("b").alias("path"), F.col("b").alias("at"))
-    for _ in range(longest):
-        joined = paths.join(steps, ["a", "at"], "left")
-        more = F.col("parent").isNotNull()
-        paths = joined.select("a", "b", F.when(more, F.concat(F.array("parent"), "path")).otherwise(F.col("path")).alias("path"), F.when(more, F.col("parent")).otherwise(F.col("at")).alias("at"))
-    return paths.select("a", "b", F.when(F.col("at") == F.col("a"), F.col("path")).alias("path"))
+    asked = pairs.select("a", "b").distinct()
+    far = asked.join(reach.select(F.col("source").alias("a"), F.col("node").alias("b"), "depth"), ["a", "b"], "left")
+    far = cut(far.select("a", "b", F.col("b").alias("at"), F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("depth")).alias("depth")))
+    points = cut(far.where("depth IS NOT NULL"))
+    longest = points.agg(F.max("depth")).first()[0] or 0
+    jumps = [cut(reach.select(F.col("source").alias("a"), F.col("node").alias("at"), "depth", F.col("parent").alias("to")))] if longest else []
+    while longest >> len(jumps):
+        hops, last = 1 << len(jumps), jumps[-1]
+        on = last.select("a", F.col("at").alias("to"), F.col("to").alias("end"))
+        jumps.append(cut(last.where(F.col("depth") >= hops).join(on, ["a", "to"]).select("a", "at", "depth", F.col("end").alias("to"))))
+    for level in reversed(range(len(jumps))):
+        back = jumps[level].select("a", "at", "to")
+        more = points.where(F.col("depth") >= 1 << level).join(back, ["a", "at"]).select("a", "b", F.col("to").alias("at"), (F.col("depth") - (1 << level)).alias("depth"))
+        points = cut(points.unionByName(more))
+        forget(jumps[level])
+    ordered = F.array_sort(F.collect_list(F.struct("depth", "at")))
+    paths = points.groupBy("a", "b").agg(F.transform(ordered, lambda p: p["at"]).alias("path"))
+    return far.select("a", "b").join(paths, ["a", "b"], "left")
 
 
 def common(edges: DataFrame, pairs: DataFrame, direction: str) -> DataFrame:
@@ -172,24 +187,24 @@ def cycles(edges: DataFrame) -> DataFrame:
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level): the longest way from a root; a cycle is an error.
 
-    A node is done one level after the last of its sources. Each round counts the sources of the newest level's targets
-    that are done, and writes those targets only: the ones that are ready, and the counts of the others."""
-    step = edges.select("src", "dst").distinct()
-    needs = step.groupBy("dst").agg(F.count(F.lit(1)).alias("needed"))
-    top = cut(roots(nodes.select("node").distinct(), edges).select("node", F.lit(0).cast("long").alias("met"), F.lit(True).alias("ready")))
-    level, done = 0, [top.where("ready").select("node", F.lit(0).alias("level"))]
-    while True:
-        level += 1
-        hits = top.where("ready").join(step, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("met"))
-        met = hits.unionByName(top.where("NOT ready").select("node", "met")).groupBy("node").agg(F.sum("met").alias("met"))
-        top = cut(met.join(needs, met["node"] == needs["dst"]).select("node", "met", (F.col("met") == F.col("needed")).alias("ready")))
-        if top.where("ready").isEmpty():
-            break
-        done.append(top.where("ready").select("node", F.lit(level).alias("level")))
-    out = reduce(DataFrame.unionByName, done).join(nodes.select("node"), "node", "left_semi")
-    if out.count() < nodes.select("node").distinct().count():
-        raise ValueError("the graph has a cycle")
-    return out
+    Several levels are one round, and chains are contracted where most nodes are inside of one (``graphs``)."""
+    step = edges.select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct()
+    return graphs.longest_ways(nodes, step)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of the edges: nodes that depend on each other have the smallest of them as their
+    component, others themselves."""
+    return graphs.strong_components(oriented(edges, "down"))
+
+
+def impact_estimate(edges: DataFrame, starts: DataFrame, direction: str = "down", lg_k: int = 12) -> DataFrame:
+    """(source, affected): about how many nodes a change reaches, without their closure: a sketch a node, merged along the
+    edges. At 12 bits the standard error is 1.6 %, small counts are exact; on a cycle a start counts itself."""
+    step = oriented(edges, direction).where("at <> to").distinct()
+    sketches = graphs.reach_sketches(step, lg_k)
+    counts = sketches.select(F.col("node").alias("source"), F.hll_sketch_estimate("sketch").alias("affected"))
+    return starts.select("source").distinct().join(counts, "source", "left").na.fill(0)
 
 
 def impact(edges: DataFrame, starts: DataFrame, transitive: bool = False) -> DataFrame:

@@ -133,6 +133,21 @@ def _(t):
     return g.impact(t["edges"], t["starts"], transitive=True)
 
 
+@plan(
+    "lin_components",
+    """WITH RECURSIVE walk AS (SELECT src AS a, dst AS b FROM {cyclic} UNION SELECT w.a, c.dst FROM walk w JOIN {cyclic} c ON c.src = w.b),
+    mates AS (SELECT x.a AS node, x.b AS mate FROM walk x JOIN walk y ON y.a = x.b AND y.b = x.a), n AS (SELECT src AS node FROM {cyclic} UNION SELECT dst FROM {cyclic})
+    SELECT n.node, coalesce(least(n.node, min(mate)), n.node) AS component FROM n LEFT JOIN mates ON mates.node = n.node GROUP BY n.node""",
+)
+def _(t):
+    return g.components(t["cyclic"])
+
+
+@plan("lin_impact_estimate")
+def _(t):
+    return g.impact_estimate(t["edges"], t["starts"])
+
+
 @plan("lin_impact_direct", "SELECT source, count(DISTINCT dst) AS affected FROM {starts} LEFT JOIN {edges} ON src = source GROUP BY source")
 def _(t):
     return g.impact(t["edges"], t["starts"])
