@@ -3,8 +3,9 @@
 A text is its set of word shingles (64-bit hashes); texts of equal sets are one class. A class has ``FAMILIES``
 independently seeded 64-bit SimHashes, each with a key for every choice of ``BLOCKS - SURE`` of its blocks: a pair that differs
 in at most ``SURE`` bits of any one of them meets in a cell, and most pairs beyond that do, as they have ``FAMILIES``
-chances. Pairs that meet and are within ``LIMIT`` bits over all fingerprints are candidates, and a candidate is a link
-if the Jaccard similarity of the two whole sets reaches the threshold.
+chances. A row of a key holds one fingerprint and some bits of the others; pairs that are close in those, and then within
+``LIMIT`` bits over all fingerprints, are candidates, and a candidate is a link if the Jaccard similarity of the two whole
+sets reaches the threshold. Sets are made from the texts of candidates only.
 
 A run of a key in which candidates outnumber its members ``DENSE`` times is written down by its members instead. They
 get a parity sketch: one bit per bucket of shingle hashes, set where a set has an odd number of shingles. Two sketches
@@ -16,6 +17,7 @@ link between two components is lost, and a group of copies costs one pair per me
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -28,11 +30,15 @@ from pyspark.sql import functions as F
 from tablewarden.llm import simhash
 from tablewarden.llm.components import connected_components
 from tablewarden.llm.text import mix, slices
+from tablewarden.operators.membership import possible
 from tablewarden.session import cut, forget
 
 FAMILIES, BLOCKS, SURE = 4, 8, 6
 #: Differing bits of all fingerprints together up to which a pair is verified: three deviations above the mean at 0.8.
 LIMIT = 56
+#: Differing bits of one whole fingerprint and ``OTHER`` bits of each other one up to which a pair goes on: at 0.8 they are
+#: 17 with a deviation of 4, for two texts that meet by chance 55 with a deviation of 5.
+OTHER, NEAR = 21, 34
 #: Members of a run up to which all its pairs are compared at once.
 SMALL = 256
 #: Candidates per member above which a run is dense.
@@ -86,8 +92,7 @@ def parity_sketch(grams: np.ndarray) -> bytes:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(doc_id, key, fp, f0.., sketch, grams) of every whole text: text key, class, fingerprints, parity sketch and shingle
-    set (8 bytes each)."""
+    """(doc_id, key, fp, f0..) of every whole text: text key, class and fingerprints."""
     source = docs.select(F.col(id_col).alias("doc_id"), simhash.text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
@@ -98,12 +103,37 @@ def described(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
                 sets = [shingles(t, words) for t in part]
                 prints = np.stack([fingerprint_family(s) for s in sets]).view(np.int64)
                 columns = {c: batch.column(c)[start : start + len(part)] for c in ("doc_id", "key")} | {"fp": pa.array([class_of(s) for s in sets], pa.int64())}
-                columns |= {c: pa.array(np.ascontiguousarray(prints[:, j])) for j, c in enumerate(PRINTS)}
+                yield pa.record_batch(columns | {c: pa.array(np.ascontiguousarray(prints[:, j])) for j, c in enumerate(PRINTS)})
+                start += len(part)
+
+    return source.mapInArrow(run, f"doc_id {kind}, key long, fp long, {', '.join(f'{c} long' for c in PRINTS)}")
+
+
+def sets_of(docs: DataFrame, text_col: str, words: int, needed: DataFrame, n_needed: int) -> DataFrame:
+    """(fp, size, sketch, grams) of the classes in ``needed`` (fp, key: a text key of the class): the shingle sets (8 bytes
+    each), their sizes and parity sketches, once a class.
+
+    Texts aren't shuffled: a filter of the keys passes those that are needed, and few others, and a task sends a class once."""
+    texts = docs.select(simhash.text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    texts = possible(texts, [F.col("key")], needed.select("key"), ["key"], n_needed)
+
+    def run(batches):
+        sent: set[int] = set()
+        for batch in batches:
+            start = 0
+            for part in slices(batch.column("text")):
+                keys = batch.column("key")[start : start + len(part)].to_pylist()
+                fresh = [i for i, k in enumerate(keys) if k not in sent and not sent.add(k)]
+                sets = [shingles(part[i], words) for i in fresh]
+                columns = {"fp": pa.array([class_of(s) for s in sets], pa.int64()), "size": pa.array(map(len, sets), pa.int64())}
                 columns |= {"sketch": pa.array([parity_sketch(s) for s in sets], pa.binary())}
                 yield pa.record_batch(columns | {"grams": pa.array([s.tobytes() for s in sets], pa.binary())})
                 start += len(part)
+                if len(sent) > FOREST_NODES:
+                    sent.clear()
 
-    return source.mapInArrow(run, f"doc_id {kind}, key long, fp long, {', '.join(f'{c} long' for c in PRINTS)}, sketch binary, grams binary")
+    made = texts.mapInArrow(run, "fp long, size long, sketch binary, grams binary")
+    return made.join(needed.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("grams").alias("grams"))
 
 
 def close_pairs(prints: np.ndarray, limit: int, most: int, block: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,25 +272,34 @@ def _key(print_: Column, blocks: tuple[int, ...], table: int) -> Column:
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(u, v, cell) of classes (columns fp, f0..): pairs u < v to verify, without a cell, and the members u of dense cells,
-    without v."""
-    keys = [_key(F.col(c), two, j * KEYS + i) for j, c in enumerate(PRINTS) for i, two in enumerate(combinations(range(BLOCKS), BLOCKS - SURE))]
-    parts = max(1, -(-classes.count() * len(keys) // KEYED_ROWS))
-    classes = classes.repartition(parts, "fp")  # a class becomes a row per key: few tasks would each write a large part
-    keyed = classes.select("fp", *PRINTS, F.explode(F.array(*keys)).alias("key"))
+    """(u, v, cell) of classes (columns fp, f0..): pairs u < v that are close in one fingerprint and ``OTHER`` bits of each
+    other, without a cell, and the members u of dense cells, without v. The keys of one fingerprint are a pass."""
+    n = classes.count()
+    return reduce(DataFrame.unionByName, [cut(family_candidates(classes, j, n)) for j in range(FAMILIES)]).distinct()
+
+
+def family_candidates(classes: DataFrame, family: int, n: int) -> DataFrame:
+    """``candidates`` by the keys of one fingerprint; a row holds the key, the class and two numbers."""
+    own = F.col(PRINTS[family])
+    low = [F.col(c).bitwiseAND(F.lit((1 << OTHER) - 1)) for c in PRINTS if c != PRINTS[family]]
+    others = reduce(lambda a, b: F.call_function("shiftleft", a, F.lit(OTHER)).bitwiseOR(b), low)
+    keys = [_key(F.col("own"), two, family * KEYS + i) for i, two in enumerate(combinations(range(BLOCKS), BLOCKS - SURE))]
+    classes = classes.select("fp", own.alias("own"), others.alias("others"))
+    classes = classes.repartition(max(1, -(-n * len(keys) // KEYED_ROWS)), "fp")  # a class becomes a row per key: few tasks would each write a large part
+    keyed = classes.select("fp", "own", "others", F.explode(F.array(*keys)).alias("key"))
     large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > simhash.CELL)
     large = cut(large.select("key", F.ceil(F.col("n") / simhash.CELL).cast("int").alias("cells")))
     rows = keyed.join(F.broadcast(large), "key", "left")  # at most a key per CELL rows
     cells = F.coalesce("cells", F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), cells).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), cells - 1), lambda j: F.least(own, j) * 1_000_000 + F.greatest(own, j))
-    rows = rows.select("fp", *PRINTS, "key", "cells", F.explode(pairs).alias("cell"))
-    rows = rows.select(F.when(F.col("cells").isNull(), F.col("key")).otherwise(F.xxhash64("key", "cell")).alias("cell"), "fp", *PRINTS)
+    group = F.pmod(F.xxhash64("fp"), cells).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), cells - 1), lambda j: F.least(group, j) * 1_000_000 + F.greatest(group, j))
+    rows = rows.select("fp", "own", "others", "key", "cells", F.explode(pairs).alias("cell"))
+    rows = rows.select(F.when(F.col("cells").isNull(), F.col("key")).otherwise(F.xxhash64("key", "cell")).alias("cell"), "fp", "own", "others")
     rows = rows.repartition("cell").sortWithinPartitions("cell")
 
     def run(batches):
-        for cell, node, *prints in by_run(batches, ["cell", "fp", *PRINTS]):
-            a, b, dense = run_candidates(cell, node.view(np.uint64), np.stack(prints).view(np.uint64))
+        for cell, node, *prints in by_run(batches, ["cell", "fp", "own", "others"]):
+            a, b, dense = run_candidates(cell, node.view(np.uint64), np.stack(prints).view(np.uint64), NEAR)
             edges, none = _pairs(a, b), pa.nulls(len(dense), pa.int64())
             yield pa.record_batch([pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.nulls(len(edges), pa.int64())], ["u", "v", "cell"])
             yield pa.record_batch([pa.array(node[dense]), none, pa.array(cell[dense])], ["u", "v", "cell"])
@@ -268,6 +307,14 @@ def candidates(classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long, cell long").distinct()
 
 
+def close_in_all(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (u, v) within ``LIMIT`` bits over all fingerprints."""
+    sides = [classes.select(F.col("fp").alias(end), F.array(*PRINTS).alias(f"p{end}")) for end in ("u", "v")]
+    both = pairs.join(sides[0], "u").join(sides[1], "v")
+    bits = reduce(lambda a, b: a + b, [F.bit_count(F.col("pu")[j].bitwiseXOR(F.col("pv")[j])) for j in range(FAMILIES)])
+    return both.where(bits <= LIMIT).select("u", "v")
+
+
 MEMBER = ["size", *PRINTS, "sketch"]
 
 
@@ -321,24 +368,30 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return half.join(sets.select(F.col("fp").alias("v"), F.col("grams").alias("gv")), "v").select("u", "v", "gu", "gv").mapInArrow(run, "u long, v long")
 
 
-def similar_roots(whole: DataFrame, classes: DataFrame, least: float) -> tuple[DataFrame, list[DataFrame]]:
-    """((node, root) of the linked classes, tables to delete once it has been used); deletes ``whole``."""
+def similar_roots(docs: DataFrame, classes: DataFrame, text_col: str, words: int, least: float) -> tuple[DataFrame, list[DataFrame]]:
+    """((node, root) of the linked classes, tables to delete once it has been used).
+
+    A first pass verifies a pair of each candidate with its least partner, and a forest of each dense cell; a second one
+    all candidates that the links found leave in two components."""
     found = cut(candidates(classes.where("fp <> 0").select("fp", *PRINTS)))
-    sparse, dense = found.where("v IS NOT NULL").select("u", "v"), found.where("v IS NULL").select("cell", F.col("u").alias("fp"))
-    nodes = found.select(F.col("u").alias("fp")).unionByName(sparse.select(F.col("v").alias("fp"))).distinct()
-    needed = classes.select("fp", "row").join(nodes, "fp", "left_semi").select("row")
-    sets = cut(whole.join(needed, "row", "left_semi").select("fp", F.expr("octet_length(grams) DIV 8").cast("long").alias("size"), *PRINTS, "sketch", "grams"))
-    forget(whole)
-    members = cut(dense.join(sets.select("fp", *MEMBER), "fp"))
-    pairs = cut(sparse.unionByName(dense_pairs(members, least)).distinct())
+    sparse = cut(close_in_all(found.where("v IS NOT NULL").select("u", "v"), classes))
+    dense = found.where("v IS NULL").select("cell", F.col("u").alias("fp"))
+    nodes = sparse.select(F.col("u").alias("fp")).unionByName(sparse.select(F.col("v").alias("fp"))).unionByName(dense.select("fp")).distinct()
+    needed = cut(classes.select("fp", F.col("first.key").alias("key")).join(nodes, "fp", "left_semi"))
+    sets = cut(sets_of(docs, text_col, words, needed, needed.count()))
+    members = cut(dense.join(sets.select("fp", "size", "sketch"), "fp").join(classes.select("fp", *PRINTS), "fp"))
+    partner = sparse.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    pairs = cut(partner.unionByName(dense_pairs(members, least)).distinct())
     forget(found)
     links = cut(verified(pairs, sets, least))
-    roots = connected_components(links)
-    more = cut(dense_pairs(members, least, roots).join(pairs, ["u", "v"], "left_anti"))
+    roots = cut(connected_components(links))
+    apart = sparse.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
+    apart = apart.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+    more = cut(apart.unionByName(dense_pairs(members, least, roots)).distinct().join(pairs, ["u", "v"], "left_anti"))
     new = cut(verified(more, sets, least))
     if not new.isEmpty():  # a node and its root stand for the links found before
         roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(new))
-    return roots, [sets, members, pairs, links, more, new]
+    return roots, [sets, sparse, needed, members, pairs, links, more, new]
 
 
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
@@ -346,9 +399,9 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``simhash.kept_rows``. Texts of equal shingle sets are one class, texts without words (null ones too) another; a text
     with fewer words than a shingle is one shingle. An empty table stays empty; other columns are kept, whatever their
     names."""
-    whole = cut(described(docs, id_col, text_col, words).withColumn("row", F.monotonically_increasing_id()))
-    classes = cut(simhash.least_rows(whole, F.min("row").alias("row"), *[F.min(c).alias(c) for c in PRINTS]))
-    roots, used = similar_roots(whole, classes, least)
+    whole = cut(described(docs, id_col, text_col, words))
+    classes = cut(simhash.least_rows(whole, *[F.min(c).alias(c) for c in PRINTS]))
+    roots, used = similar_roots(docs, classes, text_col, words, least)
     for table in used:
         forget(table)
-    return simhash.kept_rows(docs, classes, roots, id_col, text_col)
+    return simhash.kept_rows(docs, whole, classes, roots, id_col, text_col)

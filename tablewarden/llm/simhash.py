@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.llm.components import connected_components
 from tablewarden.llm.text import slices
+from tablewarden.operators.membership import with_possible
 from tablewarden.session import cut
 
 #: Shingles whose bits are counted at a time.
@@ -194,7 +195,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     prints = cut(fingerprints(docs, id_col, text_col, words))
     classes = least_rows(prints)
     roots = connected_components(links(classes.select("fp"), max_bits, blocks))
-    return kept_rows(docs, classes, roots, id_col, text_col)
+    return kept_rows(docs, prints, classes, roots, id_col, text_col)
 
 
 def least_rows(prints: DataFrame, *more: Column) -> DataFrame:
@@ -203,14 +204,21 @@ def least_rows(prints: DataFrame, *more: Column) -> DataFrame:
     return prints.groupBy("fp").agg(F.min(row).alias("first"), *more)
 
 
-def kept_rows(docs: DataFrame, classes: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def kept_rows(docs: DataFrame, prints: DataFrame, classes: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that stay, all columns kept: of each component the row of the least id, rows without an id
     after all others, rows of one id by a hash of the text. Rows equal in id and text count as one (any of them).
 
-    Rows are told apart by id and text, so a document stays whatever else has its id; texts are shuffled once, after
-    equal rows of a task have been merged."""
+    Rows are told apart by id and text, so a document stays whatever else has its id. ``prints`` (doc_id, key) has a row
+    per row of ``docs``: it tells which rows go or are repeated. A filter of those passes all other rows straight on; only
+    texts of rows that may go or be repeated are shuffled, after equal rows of a task have been merged."""
     placed = classes.join(roots, classes["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("group"))
-    kept = placed.groupBy("group").agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
-    kept = kept.select(F.struct(F.col("doc_id").alias("doc_id"), F.col("key").alias("key")).alias("_kept"))
-    whole = docs.select(F.struct(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key")).alias("_kept"), F.struct("*").alias("_row"))
-    return whole.dropDuplicates(["_kept"]).join(kept, "_kept", "left_semi").select("_row.*")
+    kept = placed.groupBy("group").agg(F.min("first").alias("first")).select(F.struct("first.doc_id", "first.key").alias("_kept"))
+    kept = cut(kept)
+    counted = prints.groupBy(F.struct("doc_id", "key").alias("_kept")).agg(F.count(F.lit(1)).alias("n"))
+    gone = counted.join(kept, "_kept", "left_anti").unionByName(counted.where("n > 1")).select("_kept.doc_id", "_kept.key").distinct()
+    gone = cut(gone)
+    rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key")).alias("_kept"), F.struct("*").alias("_row"))
+    rows = with_possible(rows, [F.col("_kept.doc_id"), F.col("_kept.key")], gone, ["doc_id", "key"], "_doubt")
+    straight = rows.where("NOT _doubt").select("_row")
+    doubtful = rows.where("_doubt").select("_kept", "_row").dropDuplicates(["_kept"]).join(kept, "_kept", "left_semi").select("_row")
+    return straight.unionByName(doubtful).select("_row.*")
