@@ -50,10 +50,3 @@ def with_possible(df: DataFrame, keys: list[Column], reference: DataFrame, ref_k
 def possible(df: DataFrame, keys: list[Column], reference: DataFrame, ref_keys: list[str], n_keys: int | None = None) -> DataFrame:
     """The rows whose keys may be in ``reference``."""
     return with_possible(df, keys, reference, ref_keys, "_possible", n_keys).where("_possible").drop("_possible")
-
-
-def present(df: DataFrame, col: str, reference: DataFrame, ref_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows to look up, rows that are certainly absent) of the distinct non-null values of ``col``, with their counts."""
-    counted = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    marked = with_possible(counted, [F.col("value")], reference.select(F.col(ref_col).alias("value")), ["value"], "_possible")
-    return marked.where("_possible").drop("_possible"), marked.where("NOT _possible").drop("_possible")

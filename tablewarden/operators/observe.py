@@ -261,3 +261,43 @@ def pass_rate(results: DataFrame, ts: str, by: list[str], window_s: int, step_s:
     """(by, bucket, rate): passed of not skipped over the trailing window."""
     rows = buckets(results.where("outcome <> 'skipped'"), ts, step_s, by, {"good": (F.col("outcome") == "passed").cast("int"), "n": F.lit(1)})
     return rows.select(*by, "bucket", F.try_divide(trailing(rows, by, "good", window_s, step_s), trailing(rows, by, "n", window_s, step_s)).alias("rate"))
+
+
+def bucket_sketches(events: DataFrame, ts: str, value: str, by: list[str], step_s: int, k: int = 400) -> DataFrame:
+    """(by, bucket, sketch): a KLL sketch of the values of each bucket; null values and NaN take no part. One scan serves all
+    windows and quantiles, and sketches of later days can be added without reading the earlier ones again."""
+    rows = events.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    return rows.groupBy(*by, bucket_of(F.col(ts), step_s).alias("bucket")).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def rolling_quantiles(sketches: DataFrame, by: list[str], windows: list[int], step_s: int, qs: list[float], k: int = 400) -> DataFrame:
+    """(by, window_s, bucket, n, p50-like columns) over trailing windows (seconds, multiples of ``step_s``) that end with
+    each bucket, merged from the buckets' sketches: the rank of a quantile is off by about 1 / k.
+
+    A sketch is sent to the windows that hold its bucket, at most longest window / step rows of a few kB a bucket, and
+    groups are (by, window, end), so a label with most of the events is no larger than any other."""
+
+    def places(w: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(w // step_s - 1)), lambda i: F.struct(F.lit(w).alias("window_s"), (i * step_s).alias("later")))
+
+    ends = F.flatten(F.array(*map(places, windows)))
+    spread = sketches.select(*by, "bucket", "sketch", F.explode(ends).alias("e")).select(*by, "e.window_s", (F.col("bucket") + F.col("e.later")).alias("bucket"), "sketch", (F.col("e.later") == 0).alias("own"))
+    merged = spread.groupBy(*by, "window_s", "bucket").agg(F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"), F.max("own").alias("own")).where("own")
+    columns = [F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))).alias(f"p{round(q * 100)}") for q in qs]
+    return merged.select(*by, "window_s", "bucket", F.kll_sketch_get_n_double("sketch").alias("n"), *columns)
+
+
+def windowed_increase(samples: DataFrame, by: list[str], ts: str, value: str, window_s: int, step_s: int) -> DataFrame:
+    """(by, bucket, increase) of a counter over the trailing window that ends with each bucket that has a sample. A drop is
+    a reset. Steps inside of a bucket and between a bucket's first sample and the last one of the bucket before are
+    summed by bucket, so windows over time see a row per bucket."""
+    own = bucket_of(F.col(ts), step_s)
+    inside = Window.partitionBy(*by, "bucket").orderBy("_at")
+    rows = samples.where(F.col(value).isNotNull()).select(*by, own.alias("bucket"), F.col(ts).alias("_at"), F.col(value).cast("double").alias("_v"))
+    before = F.lag("_v").over(inside)
+    step = F.when(before.isNull(), 0.0).when(F.col("_v") >= before, F.col("_v") - before).otherwise(F.col("_v"))
+    summed = rows.withColumn("_step", step).groupBy(*by, "bucket").agg(F.sum("_step").alias("_inside"), F.min_by("_v", "_at").alias("_first"), F.max_by("_v", "_at").alias("_last"))
+    last = F.lag("_last").over(Window.partitionBy(*by).orderBy("bucket"))
+    joint = F.when(last.isNull(), 0.0).when(F.col("_first") >= last, F.col("_first") - last).otherwise(F.col("_first"))
+    grown = summed.select(*by, "bucket", (F.col("_inside") + joint).alias("_grown"))
+    return grown.select(*by, "bucket", trailing(grown, by, "_grown", window_s, step_s).alias("increase"))

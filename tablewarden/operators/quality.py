@@ -13,10 +13,13 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.functions.redact import redact_nested
+from tablewarden.operators.membership import possible, with_possible
+from tablewarden.session import cut
 
 RESULT = "check string, kind string, outcome string, severity string, blocking boolean, failed_count long, failed_rows long, total_count long, message string"
 
@@ -243,6 +246,7 @@ class References(Check):
     reference: DataFrame | None = field(default=None, compare=False)
     ref_column: str = ""
     nulls: str = "skip"
+    filtered: bool = False
     kind = "references"
 
     def problem(self, df):
@@ -251,6 +255,19 @@ class References(Check):
         return super().problem(df) or (None if self.ref_column in self.reference.columns else f"no such column: {self.ref_column}")
 
 
+@dataclass(frozen=True, kw_only=True)
+class AcceptedIn(References):
+    """Accepted values from a table, for lists too long for a plan. ``accepted_table`` makes one of a Python list."""
+
+    filtered: bool = True
+    kind = "accepted_values"
+
+
+def accepted_table(spark: SparkSession, values: list, kind: str) -> DataFrame:
+    """(value) of a long list, sent in Arrow batches, not as part of a plan."""
+    return spark.createDataFrame(pa.table({"value": pa.array(values)})).select(F.col("value").cast(kind).alias("value"))
+
+
 @dataclass(frozen=True, kw_only=True)
 class TableCheck(Check):
     """A function of the whole table that gives a boolean or (failed_count, total_count); its exceptions are errors."""
@@ -272,6 +289,22 @@ def orphans(df: DataFrame, column: str, reference: DataFrame, ref_column: str, n
     return lost if nulls == "fail" else lost.where(F.col(column).isNotNull())
 
 
+def filtered_orphan_counts(df: DataFrame, column: str, reference: DataFrame, ref_column: str, nulls: str = "skip") -> DataFrame:
+    """``orphan_counts`` for a large reference. Values that a filter of the reference's keys rules out are lost at once; the
+    others are joined exactly, with those keys only that a filter of these values lets through. So keys that no row has
+    are never shuffled, nor are values that are certainly lost."""
+    values = cut(df.groupBy(F.col(column).alias("_at")).agg(F.count(F.lit(1)).alias("_n")))
+    keys = reference.select(F.col(ref_column).cast(df.schema[column].dataType).alias("_ref")).where(F.col("_ref").isNotNull())
+    marked = with_possible(values, [F.col("_at")], keys, ["_ref"], "_maybe").withColumn("_maybe", F.col("_maybe") & F.col("_at").isNotNull())
+    maybe = marked.where("_maybe").drop("_maybe")
+    asked = possible(keys, [F.col("_ref")], maybe.select("_at"), ["_at"], values.count()).distinct()
+    missed = maybe.join(asked, F.col("_at") == F.col("_ref"), "left_anti")
+    lost = missed.unionByName(marked.where("NOT _maybe").drop("_maybe"))
+    lost = lost if nulls == "fail" else lost.where(F.col("_at").isNotNull())
+    bad = lost.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("bad"))
+    return bad.crossJoin(values.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")))  # a row each
+
+
 def orphan_counts(df: DataFrame, column: str, reference: DataFrame, ref_column: str, nulls: str = "skip") -> DataFrame:
     """One row (bad, n): rows without a match, and all rows. Equal values are counted before they meet the reference, so
     the table is read once and a very common value is one row."""
@@ -319,7 +352,8 @@ def run_suite(df: DataFrame, checks: list[Check]) -> DataFrame:
         elif isinstance(check, Unique):
             keyed.setdefault(tuple(sorted(check.columns or df.columns)), []).append(check)
         elif isinstance(check, References):
-            counts = orphan_counts(df, check.column, check.reference, check.ref_column, check.nulls)
+            counted = filtered_orphan_counts if check.filtered else orphan_counts
+            counts = counted(df, check.column, check.reference, check.ref_column, check.nulls)
             parts.append(counts.select(F.inline(F.array(_result(check, _outcome(F.col("bad") == 0), F.col("bad"), F.col("bad"), F.col("n"), none)))))
         elif isinstance(check, TableCheck):
             parts.append(_run_table_check(df, check))

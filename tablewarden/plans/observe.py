@@ -227,3 +227,19 @@ def _(t):
 )
 def _(t):
     return o.pass_rate(t["results"], "executed_at", ["check_id"], 7 * DAY, DAY).withColumn("rate", F.round("rate", 9))
+
+
+@plan("obs_rolling_quantiles")
+def _(t):
+    """Rolling medians and 95th percentiles of one scan; approximate, so a test compares their ranks with the events."""
+    sketches = o.bucket_sketches(t["events"], "ts", "value", ["event_type"], HOUR)
+    return o.rolling_quantiles(sketches, ["event_type"], [HOUR, 6 * HOUR, DAY], HOUR, [0.5, 0.95])
+
+
+GROWTH = f"""SELECT event_type, {b(HOUR)} AS bucket, CASE WHEN p IS NULL THEN 0 WHEN value >= p THEN value - p ELSE value END AS step FROM (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM (SELECT event_type, ts, min(event_id) AS event_id, max(value) AS value FROM events GROUP BY 1, 2))"""
+
+
+@plan("obs_increase_windowed", f"SELECT event_type, bucket, round(sum(step) OVER (PARTITION BY event_type ORDER BY bucket RANGE BETWEEN 18000 PRECEDING AND 0 PRECEDING), 4) AS increase FROM (SELECT event_type, bucket, sum(step) AS step FROM ({GROWTH}) GROUP BY 1, 2)")
+def _(t):
+    samples = t["events"].groupBy("event_type", "ts").agg(F.max("value").alias("value"))
+    return o.windowed_increase(samples, ["event_type"], "ts", "value", 6 * HOUR, HOUR).withColumn("increase", F.round("increase", 4))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewarden.functions import keys as k
+from tablewarden.operators import intervals as iv
 from tablewarden.operators import partitions as p
 from tablewarden.plans.base import Plans, Tables
 from tablewarden.session import scratch_path
@@ -300,3 +301,32 @@ def _(t):
 def _(t):
     manifests = t.sql("SELECT concat('a', p_partkey) AS asset, p_brand AS owner, array(concat('a', p_partkey DIV 2), concat('unknown', p_partkey)) AS dependencies FROM {part} WHERE p_partkey >= 1")
     return src.catalog_edges(manifests)[1]
+
+
+@plan("src_read_partitions_pruned", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE strftime(o_orderdate, '%Y-%m') IN (SELECT strftime(min(o_orderdate), '%Y-%m') FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey)")
+def _(t):
+    """Months of the first pending order of each customer: the keys are known while the query runs only."""
+    path = scratch_path(t.spark, "orders")
+    keyed = t["orders"].withColumn("month", k.partition_key(F.col("o_orderdate"), "monthly"))
+    src.materialize(keyed, path, "month")
+    first = t["orders"].where("o_orderstatus = 'P'").groupBy("o_custkey").agg(F.min("o_orderdate").alias("at"))
+    keys = first.select(k.partition_key(F.col("at"), "monthly").alias("month")).distinct()
+    return src.read_partitions(t.spark, path, keyed.schema, "month", keys).select("o_orderkey", "month")
+
+
+@plan("part_range_table", """WITH bounds AS (SELECT DISTINCT 'b' || CAST(floor(o_totalprice / 50) AS BIGINT) AS bucket, floor(o_totalprice / 50) * 50 AS low, floor(o_totalprice / 50) * 50 + 30 AS high FROM orders)
+    SELECT bucket, count(*) AS n FROM lineitem LEFT JOIN bounds ON l_extendedprice >= low AND l_extendedprice < high GROUP BY bucket""")
+def _(t):
+    """Prices of lines in a table of thousands of bounds, which the prices of orders give; there are gaps."""
+    low = F.floor(F.col("o_totalprice") / 50)
+    bounds = t["orders"].select(F.concat(F.lit("b"), low.cast("string")).alias("bucket"), (low * 50).alias("low"), (low * 50 + 30).alias("high")).distinct()
+    return iv.bucket_by_table(t["lineitem"].select("l_extendedprice"), "l_extendedprice", bounds).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+SPANS_OF = "SELECT o_custkey, o_orderkey, datediff(o_orderdate, DATE '1992-01-01') AS first_day, datediff(o_orderdate, DATE '1992-01-01') + 1 + CASE WHEN o_orderkey % 50 = 0 THEN 400 ELSE o_orderkey % 30 END AS end_day FROM {orders}"
+
+
+@plan("join_range_overlap", """WITH r AS (SELECT o_custkey, o_orderkey, datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS f, datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) + 1 + CASE WHEN o_orderkey % 50 = 0 THEN 400 ELSE o_orderkey % 30 END AS e FROM orders)
+    SELECT x.o_custkey, x.o_orderkey AS a, y.o_orderkey AS b, CAST(least(x.e, y.e) - greatest(x.f, y.f) AS BIGINT) AS shared FROM r x JOIN r y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey AND x.f < y.e AND y.f < x.e""")
+def _(t):
+    return iv.overlapping_ranges(t.sql(SPANS_OF), ["o_custkey"], "o_orderkey", "first_day", "end_day").withColumn("shared", F.col("shared").cast("long"))

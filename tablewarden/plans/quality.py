@@ -72,6 +72,13 @@ def _(t):
     return brief(q.run_suite(nulled(t), [q.Accepted(name="prio", column="prio", values=("1-URGENT", "2-HIGH", "3-MEDIUM"))]))
 
 
+@plan("dq_accepted_long", row("keys", "count(*) FILTER (l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P'))", "lineitem"))
+def _(t):
+    """As many accepted values as there are orders, behind a filter of bits."""
+    accepted = t["orders"].where("o_orderstatus <> 'P'").select("o_orderkey")
+    return brief(q.run_suite(t["lineitem"], [q.AcceptedIn(name="keys", column="l_orderkey", reference=accepted, ref_column="o_orderkey")]))
+
+
 @plan("dq_no_duplicate_rows", row("rows", "(count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem)))", "lineitem"))
 def _(t):
     return brief(q.run_suite(t["lineitem"].select("l_orderkey", "l_linenumber", "l_returnflag"), [q.NoDuplicateRows(name="rows")]))

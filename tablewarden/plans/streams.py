@@ -133,3 +133,18 @@ def _(t):
     changes = s.run_available(s.freshness(s.event_stream(t.spark, t["events"], files=3), "user_id", 6 * 3600))
     out = s.freshest(changes, "user_id")
     return out.select("user_id", F.timestamp_millis("newest_ms").cast("timestamp_ntz").alias("newest"), "fresh")
+
+
+MARK2 = "(SELECT least(max(ts) FILTER (event_type = 'view'), max(ts) FILTER (event_type = 'purchase')) - INTERVAL 10 MINUTE FROM events)"
+
+
+@plan(
+    "str_stale_claim",
+    f"""SELECT user_id, event_id AS claim_id, ts AS claimed_at FROM events c WHERE event_type = 'view' AND ts + INTERVAL 6 HOUR < {MARK2}
+    AND NOT EXISTS (SELECT 1 FROM events d WHERE d.event_type = 'purchase' AND d.user_id = c.user_id AND d.ts BETWEEN c.ts AND c.ts + INTERVAL 6 HOUR)""",
+)
+def _(t):
+    claims = s.event_stream(t.spark, t["events"].where("event_type = 'view'").select("user_id", F.col("event_id").alias("claim_id"), "ts")).withColumnRenamed("ts", "claimed_at")
+    done = s.event_stream(t.spark, t["events"].where("event_type = 'purchase'").select("user_id", "ts")).withColumnRenamed("ts", "done_at")
+    out = s.run_available(s.stale_claims(claims, done, "user_id", 6 * 3600))
+    return out.select("user_id", "claim_id", *naive("claimed_at"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,15 +24,36 @@ def read_partition(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     return df.where(F.col(column).isin(keys))
 
 
+def partitioned(spark: SparkSession, path: str, schema: T.StructType, column: str) -> DataFrame:
+    """A table written by ``materialize``, with the partition column typed as in ``schema``."""
+    return spark.read.schema(T.StructType([*[f for f in schema.fields if f.name != column], schema[column]])).parquet(path)
+
+
+def read_partitions(spark: SparkSession, path: str, schema: T.StructType, column: str, keys: list | DataFrame) -> DataFrame:
+    """Only the named partitions of a table on disk, other files aren't opened. A list of keys prunes when the query is
+    planned; a table of keys (a column of that name) while it runs, once its keys are known."""
+    table = partitioned(spark, path, schema, column)
+    if isinstance(keys, DataFrame):
+        return table.join(keys.select(column), column, "left_semi")
+    return table.where(F.col(column).isin(keys))
+
+
 def materialize(df: DataFrame, path: str, column: str) -> DataFrame:
-    """Writes the partitions that ``df`` has and leaves the others of the table alone; gives the written rows' count
-    per partition, read back. Rows of a partition are brought together first, so that it has few files."""
-    counted = df.repartition(F.col(column))
-    counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
-    spark = df.sparkSession
-    keys = df.select(F.col(column)).distinct()
-    back = spark.read.schema(T.StructType([*[f for f in df.schema.fields if f.name != column], df.schema[column]])).parquet(path)
-    return back.join(keys, column, "left_semi").groupBy(column).agg(F.count(F.lit(1)).alias("row_count"))
+    """Writes the partitions that ``df`` has and leaves the others of the table alone; gives the written rows' count per
+    partition. Rows of a partition are brought together first, so that it has few files.
+
+    ``df`` is evaluated once: the number of rows and the keys of the partitions, a value for each, are observed while
+    they are written. The counts come from the written partitions and must add up to what was observed."""
+    seen = Observation()
+    observed = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col(column).isNull()).alias("nulls"), F.collect_set(column).alias("keys"))
+    observed.repartition(F.col(column)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+    found = seen.get
+    table = partitioned(df.sparkSession, path, df.schema, column)
+    written = table.where(F.col(column).isin(list(found["keys"])) | (F.col(column).isNull() & F.lit(found["nulls"] > 0)))
+    counts = written.groupBy(column).agg(F.count(F.lit(1)).alias("row_count"))
+    if (counts.agg(F.sum("row_count")).first()[0] or 0) != found["rows"]:
+        raise RuntimeError(f"{path} does not hold the {found['rows']} rows that were written")
+    return counts
 
 
 OUTCOMES, SEVERITIES = ("passed", "failed", "skipped", "error"), ("info", "warning", "error")

@@ -45,6 +45,9 @@ def in_order(spark: SparkSession, path: str) -> None:
     newest = max((f.getModificationTime() for _, f in found), default=0)
     for i, (_, f) in enumerate(found):
         system.setTimes(f.getPath(), newest - 1000 * (len(found) - i), -1)
+    times = [system.getFileStatus(f.getPath()).getModificationTime() for _, f in found]
+    if any(b <= a for a, b in zip(times, times[1:], strict=False)):
+        raise RuntimeError(f"{path} is on a file system that keeps no given times, so its files have no order")
 
 
 def run_available(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
@@ -87,6 +90,17 @@ def dedupe(stream: DataFrame, ts: str, keys: list[str], delay: str = "10 minutes
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def stale_claims(claims: DataFrame, done: DataFrame, key: str, limit_s: int, delay: str = "10 minutes") -> DataFrame:
+    """(key, claim_id, claimed_at): claims (key, claim_id, claimed_at) without a completion (key, done_at) of the same key in
+    the ``limit_s`` seconds from the claim on. A left outer join of two streams: state is kept from the claim until the
+    watermark has passed its limit, then a claim that met nothing is stale."""
+    asked = claims.withWatermark("claimed_at", delay)
+    came = done.select(F.col(key).alias("_key"), "done_at").withWatermark("done_at", delay)
+    inside = (F.col("done_at") >= F.col("claimed_at")) & (F.col("done_at") <= F.col("claimed_at") + F.expr(f"INTERVAL {limit_s} SECONDS"))
+    joined = asked.join(came, (F.col(key) == F.col("_key")) & inside, "left_outer")
+    return joined.where(F.col("done_at").isNull()).select(key, "claim_id", "claimed_at")
+
+
 def checked_batches(checks: list[Check], results_path: str, rows_path: str) -> Callable[[DataFrame, int], None]:
     """A batch function: the suite's results and the batch's marked rows, each in a folder named by the batch, so that a
     batch that is run again overwrites itself."""
