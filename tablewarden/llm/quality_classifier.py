@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.text import Vocabulary, held_out, mix, numbered, owners, score_udf, slices, smallest
+from tablewarden.llm.text import Vocabulary, held_out, mix, numbered, owners, sampled_features, score_udf, smallest
 
 SHAPES = ((re.compile(rb"[A-Z]"), b"A"), (re.compile(rb"[a-z\x80-\xff]"), b"a"), (re.compile(rb"[0-9]"), b"9"))
 SAME_PAIR, EMPTY_TEXT = 0xFFFFFFFF, 0xFFFFFFFE
@@ -129,7 +129,8 @@ def train_quality(
     """Fits the model on at most ``rows_per_class`` labelled rows of each class outside the held-out fold.
 
     The sample is the ids with the smallest hash, so it is the same however the tables are partitioned. Executors turn
-    the sampled texts (whole ones) into sparse features; the driver receives only those of the bounded sample. Rows
+    the sampled texts (whole ones) into sparse features; the driver receives only those of the bounded sample, one
+    row for each sampled id and class: of rows with one id the text with the least hash. An id that is labelled 0 and 1 is an example of both. Rows
     whose label is null, or neither 0 nor 1, are ignored. With one class only, or no labels, the model's score is the
     share of label 1 (0.5 without labels).
     """
@@ -141,25 +142,17 @@ def train_quality(
         sample = part if sample is None else sample.unionByName(part)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
 
-    def extract(batches):
+    def make():
         features = Features(bits)
-        for batch in batches:
-            labels_of, start = batch.column("y").to_pylist(), 0
-            for part in slices(batch.column("text")):
-                column, value, ends = features(part)
-                spans = list(zip(ends[:-1], ends[1:], strict=True))
-                yield pa.record_batch(
-                    {
-                        "y": pa.array(labels_of[start : start + len(part)], pa.int32()),
-                        "id": batch.column("id")[start : start + len(part)].cast(pa.string()),
-                        "columns": pa.array([column[a:b] for a, b in spans], pa.list_(pa.int32())),
-                        "values": pa.array([value[a:b].astype(np.float32) for a, b in spans], pa.list_(pa.float32())),
-                    }
-                )
-                start += len(part)
-
-    found = texts.select("id", "y", "text").mapInArrow(extract, "y int, id string, columns array<int>, values array<float>").toArrow()
-    found = found.sort_by([("id", "ascending")])
+
+        def rows_of(part: list[str]) -> list[tuple]:
+            column, value, ends = features(part)
+            return [(column[a:b], value[a:b].astype(np.float32)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+        return rows_of
+
+    found = sampled_features(texts, "y", make, {"columns": pa.list_(pa.int32()), "values": pa.list_(pa.float32())})
+    found = found.sort_by([("id", "ascending"), ("y", "ascending")])
     ids, ys = found.column("id").to_pylist(), found.column("y").to_pylist()
     columns, values = found.column("columns").combine_chunks(), found.column("values").combine_chunks()
     rows = [(ys[i], columns[i].values.to_numpy(), values[i].values.to_numpy()) for i in range(len(ids))]

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,3 +146,36 @@ def spans(n: Column, size: int = 4096) -> Column:
     """The numbers 0 to n - 1 as (first, last) spans of at most ``size``, so that no row has to hold them all."""
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(n.cast("long") - 1, F.lit(0).cast("long")), F.lit(size).cast("long"))
     return F.transform(starts, lambda a: F.struct(a.alias("first"), F.least(a + (size - 1), n - 1).alias("last")))
+
+
+def sampled_features(rows: DataFrame, mark: str, make: Callable[[], Callable[[list[str]], list[tuple]]], fields: dict[str, pa.DataType]) -> pa.Table:
+    """(id as text, mark, the fields) of the rows (id, mark, text), one row for each id and mark, sorted by them.
+
+    Of several rows with one id the text with the least hash is the example, whatever the partitioning. A task keeps one
+    example for each id and mark, so what it holds and what comes to the driver is bounded by the ids that were sampled,
+    however many rows share one. ``make`` is called once a task and gives the function from texts to tuples of fields."""
+    rows = rows.select("id", mark, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, best, seen = make(), {}, None
+        for batch in batches:
+            seen, start = batch, 0
+            keys = list(zip(batch.column("id").to_pylist(), batch.column(mark).to_pylist(), strict=True))
+            for part in slices(batch.column("text")):
+                fresh = {}
+                for i, text in enumerate(part):
+                    key, value = keys[start + i], xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+                    if key not in best or value < best[key][0]:
+                        best[key], fresh[key] = (value, None), i
+                for key, row in zip(fresh, features([part[i] for i in fresh.values()]) if fresh else [], strict=True):
+                    best[key] = (best[key][0], row)
+                start += len(part)
+        if best:
+            ids, marks = zip(*best, strict=True)
+            columns = {"id": pa.array(ids, seen.column("id").type), mark: pa.array(marks, pa.int32()), "hash": pa.array([v for v, _ in best.values()], pa.int64())}
+            yield pa.record_batch(columns | {n: pa.array([row[i] for _, row in best.values()], t) for i, (n, t) in enumerate(fields.items())})
+
+    spark_types = {pa.list_(pa.int32()): "array<int>", pa.list_(pa.float32()): "array<float>"}
+    made = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {mark} int, hash long, {', '.join(f'{n} {spark_types[t]}' for n, t in fields.items())}")
+    one = made.groupBy("id", mark).agg(F.min_by(F.struct(*fields), "hash").alias("f"))
+    return one.select(F.col("id").cast("string").alias("id"), mark, *[f"f.{n}" for n in fields]).toArrow().sort_by([(mark, "ascending"), ("id", "ascending")])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.text import held_out, score_udf, slices, smallest
+from tablewarden.llm.text import held_out, sampled_features, score_udf, smallest
 
 WORD = re.compile(r"\w+")
 #: Features that count towards a text's logit.
@@ -161,7 +161,8 @@ def train_toxicity(
 
     Both samples are the ids with the smallest hash. ``prior`` is the share of toxic texts; if not given, it is that
     among the labelled rows outside the held-out fold. Executors turn whole texts into features and only those of the
-    bounded samples come to the driver. Without positives or without unlabelled texts every score is the prior. Rows
+    bounded samples come to the driver, one row for each sampled id: of rows with one id the text with the least hash.
+    An id that is labelled more than once is one positive if any of its labels is 1. Without positives or without unlabelled texts every score is the prior. Rows
     without an id or whose label is null, or neither 0 nor 1, teach nothing; a very long text is one row of features.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
@@ -175,22 +176,11 @@ def train_toxicity(
     sample = F.broadcast(pos.unionByName(unl))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id").select("id", "kind", "text")
 
-    def extract(batches):
+    def make():
         presence = Presence(bits)
-        for batch in batches:
-            kinds, start = batch.column("kind").to_pylist(), 0
-            for part in slices(batch.column("text")):
-                yield pa.record_batch(
-                    {
-                        "kind": pa.array(kinds[start : start + len(part)], pa.int32()),
-                        "id": batch.column("id")[start : start + len(part)].cast(pa.string()),
-                        "columns": pa.array([presence(t) for t in part], pa.list_(pa.int32())),
-                    }
-                )
-                start += len(part)
-
-    found = texts.mapInArrow(extract, "kind int, id string, columns array<int>").toArrow()
-    found = found.sort_by([("kind", "ascending"), ("id", "ascending")])
+        return lambda part: [(presence(t),) for t in part]
+
+    found = sampled_features(texts, "kind", make, {"columns": pa.list_(pa.int32())})
     columns, kinds = found.column("columns").combine_chunks(), found.column("kind").to_pylist()
     rows = [columns[i].values.to_numpy() for i in range(len(kinds))]
     groups = [[r for r, k in zip(rows, kinds, strict=True) if k == kind] for kind in (1, 0)]

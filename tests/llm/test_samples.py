@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tablewarden.llm import text
+from tablewarden.llm import quality_classifier, text, toxicity
 
 
 @pytest.mark.parametrize("n, limit", [(0, 5), (5, 5), (20_000, 7), (20_000, 3000)])
@@ -22,3 +22,25 @@ def test_bound_is_near_the_limit(spark, bits):
         bound = text.hash_bound(rows, F.xxhash64("id"), limit, bits)
         found = sum(h <= bound for h in hashes)
         assert limit <= found <= 2 * limit
+
+
+def test_many_rows_of_one_id_are_one_example(spark, monkeypatch):
+    """A third of all rows under one labelled id: what comes to the driver keeps to the sample's bound."""
+    docs = spark.range(20_001).selectExpr("CASE WHEN id % 2 = 0 THEN 1 ELSE id END AS doc_id", "concat('some words number ', id % 50) AS text").repartition(7)
+    labels = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (1, 1, 1), (3, 0, 0), (5, 0, 0), (7, 1, 1)], "doc_id long, quality int, toxic int")
+    tables = []
+    whole = text.sampled_features
+
+    def noted(*args):
+        tables.append(whole(*args))
+        return tables[-1]
+
+    monkeypatch.setattr(toxicity, "sampled_features", noted)
+    monkeypatch.setattr(quality_classifier, "sampled_features", noted)
+    toxicity.train_toxicity(docs, labels, positives=20, unlabelled=50)
+    first = quality_classifier.train_quality(docs, labels, rows_per_class=20)
+    assert len(tables[0]) <= 70 and len(tables[1]) <= 5
+    keys = list(zip(tables[1].column("id").to_pylist(), tables[1].column("y").to_pylist(), strict=True))
+    assert len(keys) == len(set(keys))
+    again = quality_classifier.train_quality(docs.repartition(3), labels, rows_per_class=20)
+    assert (first.weights == again.weights).all() and first.bias == again.bias
