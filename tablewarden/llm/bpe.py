@@ -33,6 +33,8 @@ from tablewarden.llm.text import CACHE_ENTRIES, slices
 CHUNK = 1 << 16
 #: Symbols of one pre-token that are encoded at a time, besides the lookahead.
 BLOCK = 512
+#: Characters that are cut into pre-tokens at once where there is no white space.
+WINDOW = 8 * BLOCK
 #: Bytes of a pre-token up to which pre-tokens are encoded together.
 SHORT = 32
 
@@ -53,6 +55,10 @@ PLAIN_TEXT = re.compile(f"[\t-\r -~{PLAIN_MARKS}{PLAIN_CASES}]*")
 PLAIN_PIECE = re.compile(f"[{PLAIN_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\\s{PLAIN_LETTERS}0-9]+")
 
 
+#: Characters that no composition joins to the one before them.
+NO_SECOND = re.compile("[\x00-\u02ff\u3041-\u3096\u30a1-\u30fa\u3400-\u9fff\uac00-\ud7a3]")
+
+
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: printable Latin-1 bytes stand for
     themselves, the others follow from U+0100 on."""
@@ -248,6 +254,7 @@ class Encoder:
 
     def __init__(self, spec: Spec):
         self.spec, self.rest = spec, ""
+        self.open, self.tail = None, ""  # a long pre-token whose first part has left ``rest``, and its last two characters
         self.cache, self.words = Remembered(self.encode), Remembered(self.word)
         self.reach = max((len(t) for t in spec.added), default=1)
 
@@ -339,18 +346,76 @@ class Encoder:
         return out + self._plain(text[at:])
 
     def feed(self, part: str) -> list[Piece]:
-        """Pieces of what is complete so far: up to the last white space outside the reach of a special string."""
+        """Pieces of what is complete so far: up to the last white space outside the reach of a special string, or else up to
+        the last pre-token, of which a long one is streamed. So ``rest`` stays within a few chunks for any text."""
         self.rest += part
         limit = len(self.rest) - self.reach
-        cut = max((self.rest.rfind(c, 0, limit) for c in " \n\t\r"), default=-1) if limit > 0 else -1
-        if cut <= 0:
+        if limit <= 0:
             return []
-        ready, self.rest = self.rest[:cut], self.rest[cut:]
-        return self._pieces(ready)
+        cut = max(self.rest.rfind(c, 0, limit) for c in " \n\t\r")
+        if cut > 0 or (cut == 0 and self.open):
+            ready, self.rest = self.rest[:cut], self.rest[cut:]
+            return self._ready(ready)
+        out: list[Piece] = []
+        while limit > BLOCK:
+            before = len(self.rest)
+            out += self._unspaced(min(limit, WINDOW))
+            if len(self.rest) == before:
+                break
+            limit = len(self.rest) - self.reach
+        return out
 
     def finish(self) -> list[Piece]:
         ready, self.rest = self.rest, ""
-        return self._pieces(ready)
+        return self._ready(ready)
+
+    def _split(self, normal: str) -> list[str]:
+        return [p for p, _ in self.spec.splitter.pre_tokenizer.pre_tokenize_str(normal)]
+
+    def _streamed(self, part: str, last: bool = False) -> list[Piece]:
+        """More of the open pre-token."""
+        tokens = [t for at in range(0, len(part), BLOCK) for t in self.open.feed(part[at : at + BLOCK])]
+        if last:
+            tokens += self.open.close()
+            self.open, self.tail = None, ""
+        else:
+            self.tail = (self.tail + part)[-2:]
+        return [self.written(tokens)] if tokens else []
+
+    def _ready(self, text: str) -> list[Piece]:
+        """Of text that ends where a pre-token does, behind the open one if there is one."""
+        if self.open is None:
+            return self._pieces(text)
+        found = self.spec.special.search(text) if self.spec.special is not None else None
+        near, far = (text[: found.start()], text[found.start() :]) if found else (text, "")
+        first, *others = self._split(self.tail + self.spec.splitter.normalizer.normalize_str(near))
+        out = self._streamed(first[len(self.tail) :], last=True)
+        return out + list(map(self.cache.__getitem__, others)) + (self._pieces(far) if far else [])
+
+    def _unspaced(self, limit: int) -> list[Piece]:
+        """Of ``rest`` without white space before ``limit``: all pre-tokens but the last, which may go on; a last one that
+        is all there is goes on as a stream. Two characters before tell how the pattern goes on behind an open one."""
+        found = self.spec.special.search(self.rest) if self.spec.special is not None else None
+        if found and found.start() < limit:
+            at = found.start() or found.end()
+            ready, self.rest = self.rest[:at], self.rest[at:]
+            return self._ready(ready)
+        while limit and not NO_SECOND.match(self.rest[limit]):
+            limit -= 1  # what follows may be composed with the character before
+        normal = self.spec.splitter.normalizer.normalize_str(self.rest[:limit])
+        if not normal:
+            return []
+        first, *others = self._split(self.tail + normal)
+        if not others:
+            if self.open is None:
+                if len(first) <= BLOCK:
+                    return []
+                self.open = PieceStream(self.spec)
+            self.rest = self.rest[limit:]
+            return self._streamed(first[len(self.tail) :])
+        out = self._streamed(first[len(self.tail) :], last=True) if self.open is not None else [self.cache[first]]
+        self.rest = others.pop() + self.rest[limit:]
+        return out + list(map(self.cache.__getitem__, others))
 
 
 class Decoder:
@@ -428,8 +493,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     A null text counts as an empty one (0 tokens, digests of the empty string). One row per input row, repeated rows
     and rows with equal or null ids included; an empty table gives no rows; other columns are ignored. A very long
-    text is encoded and decoded in parts of ``CHUNK`` characters that end at white space, a very long pre-token in
-    blocks. The work is a map over documents: there is no shuffle, and a lost task is simply run again.
+    text is encoded and decoded in parts of ``CHUNK`` characters that end at white space or, without any, at a pre-token; a
+    very long pre-token in blocks. So memory beside the text is constant. The work is a map over documents: there is no shuffle, and a lost task is simply run again.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
