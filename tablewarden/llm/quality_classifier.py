@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.text import Vocabulary, held_out, mix, numbered, owners, sampled_features, score_udf, smallest
+from tablewarden.llm.text import CACHE_ENTRIES, Vocabulary, held_out, mix, numbered, owners, sampled_features, score_udf, smallest
 
 SHAPES = ((re.compile(rb"[A-Z]"), b"A"), (re.compile(rb"[a-z\x80-\xff]"), b"a"), (re.compile(rb"[0-9]"), b"9"))
 SAME_PAIR, EMPTY_TEXT = 0xFFFFFFFF, 0xFFFFFFFE
@@ -37,7 +37,7 @@ class Features:
 
     def _hashes(self, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         cache, plain, shapes = self.cache, [], []
-        if len(cache) > 400_000:
+        if len(cache) > CACHE_ENTRIES:
             cache.clear()
         for word in vocabulary:
             known = cache.get(word)

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that are handled at once inside a task; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Entries of a cache inside a Python worker before it is emptied.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[list[str]]:

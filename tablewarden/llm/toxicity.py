@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.text import held_out, sampled_features, score_udf, smallest
+from tablewarden.llm.text import CACHE_ENTRIES, held_out, sampled_features, score_udf, smallest
 
 WORD = re.compile(r"\w+")
 #: Features that count towards a text's logit.
@@ -35,7 +35,7 @@ class Presence:
     def _of(self, word: str) -> tuple[int, ...]:
         known = self.cache.get(word)
         if known is None:
-            if len(self.cache) > 400_000:
+            if len(self.cache) > CACHE_ENTRIES:
                 self.cache.clear()
             raw = [word] + [f"{word[:n]}~" for n in (4, 5) if len(word) > n]
             known = self.cache[word] = tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) & self.mask for x in raw)
