@@ -208,6 +208,24 @@ def numbered(df: DataFrame, by: str, order: list[str], name: str, parts: int | N
     return running_totals(df, [by], order, F.lit(1), name, parts).withColumn(name, F.col(name) - 1)
 
 
+def with_previous(df: DataFrame, by: list[str], order: list[str], columns: list[str], name: str, parts: int | None = None) -> DataFrame:
+    """Adds the struct ``name`` of ``columns`` of the row before in the group, null for its first row. Rows are
+    range-partitioned by (group, order) and looked up inside their partition; only where a group goes on from one partition
+    to the next, its last row is handed over: at most one row a partition, which is broadcast. So a group may hold any
+    part of the rows."""
+    keys = [*by, *[c for c in order if c not in by]]
+    rows = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+    rows = cut(rows.withColumn("_part", F.spark_partition_id()))
+    inside = F.lag(F.struct(*columns)).over(Window.partitionBy("_part", *by).orderBy(*order))
+    last = F.max_by(F.struct(*columns), F.struct(*order))
+    ends = rows.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_at")).agg(last.alias("_last"))
+    before = F.lag("_last").over(Window.partitionBy(*[f"_by_{c}" for c in by]).orderBy("_at"))
+    crossing = ends.withColumn("_before", before).where(F.col("_before").isNotNull()).drop("_last")
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.col("_part") == F.col("_at"))
+    joined = rows.withColumn(name, inside).join(F.broadcast(crossing), match, "left")
+    return joined.withColumn(name, F.coalesce(name, "_before")).drop("_part", "_at", "_before", *[f"_by_{c}" for c in by])
+
+
 def ewma(df: DataFrame, by: str, order: list[str], value: str, alpha: float = 0.3, chunk: int = 4096, initial: DataFrame | None = None) -> DataFrame:
     """(by, ewma, n): e1 = x1, et = alpha * xt + (1 - alpha) * et-1, alpha held to [0.01, 1].
 
@@ -262,20 +280,21 @@ def eta(progress: DataFrame, averages: DataFrame, as_of: str) -> DataFrame:
 
 def backlog_rank(jobs: DataFrame, as_of: str, stale_s: int = 120, by: str | None = None) -> DataFrame:
     """Claimable jobs in the order in which they should be claimed: pending, resuming, running with an old heartbeat; then
-    higher priority, execution order and age. ``by`` ranks within groups; without it a global rank is one sorted pass."""
+    higher priority, execution order and age. ``by`` ranks within groups. Ranks are counted over range partitions, so neither
+    a large group nor the whole backlog is one task."""
     old = F.col("heartbeat_at") < F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(secs=F.lit(float(stale_s)))
     group = F.when(F.col("state") == "pending", 0).when(F.col("state") == "resuming", 1).when((F.col("state") == "running") & old, 2)
     rows = jobs.withColumn("class", group).where(F.col("class").isNotNull())
-    order = ["class", F.desc("priority"), "execution_order", "created_at", "job_id"]
-    window = Window.partitionBy(by).orderBy(*order) if by else Window.orderBy(*order)
-    return rows.withColumn("rank", F.row_number().over(window))
+    rows = rows.withColumns({"_none": F.col("priority").isNull(), "_down": -F.col("priority")})
+    ranked = running_totals(rows, [by] if by else [], ["class", "_none", "_down", "execution_order", "created_at", "job_id"], F.lit(1), "rank")
+    return ranked.drop("_none", "_down")
 
 
 def partition_backlog(parts: DataFrame, max_retries: int = 3) -> DataFrame:
     """Partitions still to do per job: pending first, then failed below the retry limit, by key."""
     open_ = parts.where((F.col("state") == "pending") | ((F.col("state") == "failed") & (F.col("attempt_count") < max_retries)))
-    order = Window.partitionBy("job_id").orderBy(F.when(F.col("state") == "pending", 0).otherwise(1), "partition_key", "part_id")
-    return open_.withColumn("position", F.row_number().over(order))
+    open_ = open_.withColumn("_class", F.when(F.col("state") == "pending", 0).otherwise(1))
+    return running_totals(open_, ["job_id"], ["_class", "partition_key", "part_id"], F.lit(1), "position").drop("_class")
 
 
 def latest_per(df: DataFrame, by: list[str], order: list, n: int = 1) -> DataFrame:
@@ -290,8 +309,8 @@ def checkpoint(parts: DataFrame) -> DataFrame:
 
 def state_pairs(log: DataFrame, by: str, order: list[str]) -> DataFrame:
     """Adds from_state, the state before, and from_ts."""
-    window = Window.partitionBy(by).orderBy(*order)
-    return log.withColumns({"from_state": F.lag("state").over(window), "from_ts": F.lag("ts").over(window)})
+    rows = with_previous(log, [by], order, ["state", "ts"], "_from")
+    return rows.withColumns({"from_state": F.col("_from.state"), "from_ts": F.col("_from.ts")}).drop("_from")
 
 
 def invalid_transitions(log: DataFrame, by: str, order: list[str], moves=RUN_MOVES) -> DataFrame:
@@ -306,10 +325,8 @@ def transition_counts(log: DataFrame, by: str, order: list[str]) -> DataFrame:
 
 def state_durations(log: DataFrame, by: str, order: list[str], state: str, then: str) -> DataFrame:
     """(by, ts, seconds): time from entering ``state`` until ``then``, where that comes next."""
-    window = Window.partitionBy(by).orderBy(*order)
-    rows = log.withColumns({"next_state": F.lead("state").over(window), "next_ts": F.lead("ts").over(window)})
-    rows = rows.where((F.col("state") == state) & (F.col("next_state") == then))
-    return rows.select(by, "ts", F.timestamp_diff("SECOND", F.col("ts"), F.col("next_ts")).alias("seconds"))
+    rows = state_pairs(log, by, order).where((F.col("from_state") == state) & (F.col("state") == then))
+    return rows.select(by, F.col("from_ts").alias("ts"), F.timestamp_diff("SECOND", F.col("from_ts"), F.col("ts")).alias("seconds"))
 
 
 def partition_listing(parts: DataFrame, limit: int = 50) -> DataFrame:

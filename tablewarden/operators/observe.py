@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewarden.operators.ledger import running_totals
+from tablewarden.operators.ledger import running_totals, with_previous
 
 INF = float("inf")
 
@@ -56,7 +56,8 @@ def alert_intervals(breaches: DataFrame, by: list[str], step_s: int, hold_s: int
 
 def increase(samples: DataFrame, by: list[str], ts: str, value: str) -> DataFrame:
     """(by, increase) of a counter over its samples; a drop is a reset, after which the counter's own value counts."""
-    before = F.lag(value).over(Window.partitionBy(*by).orderBy(ts))
+    samples = with_previous(samples.select(*by, ts, value), by, [ts], [value], "_last_one")
+    before = F.col(f"_last_one.{value}")
     step = F.when(before.isNull(), 0.0).when(F.col(value) >= before, F.col(value) - before).otherwise(F.col(value))
     return samples.select(*by, step.alias("step")).groupBy(*by).agg(F.sum("step").alias("increase"))
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.functions.redact import redact_nested
+from tablewarden.operators.ledger import running_totals
 from tablewarden.operators.membership import possible, with_possible
 from tablewarden.session import cut
 
@@ -316,11 +317,9 @@ def orphan_counts(df: DataFrame, column: str, reference: DataFrame, ref_column:
 
 
 def duplicates(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
-    """Rows beyond the first of each key, in ``order``, with their number among the copies."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*columns).orderBy(*order)
-    return df.withColumn("copy", F.row_number().over(w)).where("copy > 1")
+    """Rows beyond the first of each key, in ``order``, with their number among the copies, which is counted over range
+    partitions: one key may hold most of the rows."""
+    return running_totals(df, columns, order, F.lit(1), "copy").where("copy > 1")
 
 
 def _result(check: Check, outcome: Column, failed: Column, rows: Column, total: Column, message: Column) -> Column:

@@ -1,6 +1,9 @@
 """Ordered state, rates, histograms and the streaming twins."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from tablewarden.operators import ledger, observe
 from tablewarden.plans.base import Tables
@@ -72,3 +75,23 @@ def test_streams_equal_batches(spark):
     live = s.run_available(s.forbidden_moves(s.event_stream(spark, log, files=3), "job_id", machine=machine))
     batch = ledger.invalid_transitions(log, "job_id", ["ts", "event_id"])
     assert {r.event_id for r in live.collect()} == {r.event_id for r in batch.collect()}
+
+
+def test_one_key_with_a_third_of_all_rows(spark):
+    """Rows before, numbers and ranks go over range partitions: no task holds the hot key's rows."""
+    rng = random.Random(4)
+    log = [(1 if i % 3 == 0 else rng.randrange(2, 200), i * 7 % 3001, rng.choice(["pending", "running", "paused", "succeeded"])) for i in range(3000)]
+    df = spark.createDataFrame(log, "k int, ts int, state string").repartition(5)
+    found = ledger.with_previous(df, ["k"], ["ts"], ["state", "ts"], "prev", parts=12)
+    want, last = {}, {}
+    for k, ts, state in sorted(log):
+        want[k, ts] = last.get(k)
+        last[k] = (state, ts)
+    assert {(r.k, r.ts): tuple(r.prev) if r.prev else None for r in found.collect()} == want
+    sizes = [r["count"] for r in ledger.running_totals(df, ["k"], ["ts"], F.lit(1), "n", 12).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 1000
+    jobs = df.selectExpr("ts AS job_id", "k % 5 - 2 AS priority", "state", "ts % 4 AS execution_order", "timestamp_ntz'2024-01-01' AS created_at", "timestamp_ntz'2024-01-01' AS heartbeat_at")
+    jobs = jobs.withColumn("priority", F.when(F.col("priority") != 2, F.col("priority")))
+    ranked = ledger.backlog_rank(jobs, "2024-01-01 00:00:30").collect()
+    order = sorted(ranked, key=lambda r: (r["class"], r.priority is None, -(r.priority or 0), r.execution_order, r.job_id))
+    assert [r["rank"] for r in order] == list(range(1, len(order) + 1)) and len(order) == sum(s == "pending" for _, _, s in log)
