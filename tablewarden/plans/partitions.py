@@ -15,7 +15,6 @@ plan = Plans()
 QUERIES, ORACLES = plan.queries, plan.oracles
 
 DAY, MONTH, WEEK, HOUR = "'%Y-%m-%d'", "'%Y-%m'", "'%G-W%V'", "'%Y-%m-%d %H:00:00'"
-FIRST, LAST = "1995-01-01", "1996-03-10"
 
 
 @plan("fn_partition_key", f"SELECT DISTINCT strftime(ts, {HOUR}) AS hourly, strftime(ts, {DAY}) AS daily, strftime(ts, {WEEK}) AS weekly, strftime(ts, {MONTH}) AS monthly, strftime(ts, '%Y') AS yearly FROM (SELECT ts FROM events UNION ALL SELECT o_orderdate FROM orders)")
@@ -64,24 +63,31 @@ def _(t):
     return rows.select(*[k.dimension(F.col("key"), n).alias(n) for n in ("date", "status", "region")])
 
 
-def spine_sql(step: str, fmt: str, first: str = FIRST, last: str = LAST) -> str:
-    return f"SELECT strftime(d, {fmt}) AS key FROM generate_series(TIMESTAMP '{first}', TIMESTAMP '{last}', INTERVAL {step}) AS g(d)"
+def spine_sql(unit: str, fmt: str, table: str, column: str) -> str:
+    """Keys from the first to the last time in the table."""
+    ends = f"(SELECT date_trunc('{unit}', min({column})) AS a, max({column}) AS b FROM {table})"
+    return f"SELECT strftime(unnest(generate_series(a, b, INTERVAL 1 {unit})), {fmt}) AS key FROM {ends}"
+
+
+def ends_of(t: Tables, table: str, column: str) -> tuple[str, str]:
+    """The first and the last time in a table: one row."""
+    a, b = t[table].agg(F.min(column), F.max(column)).first()
+    return str(a), str(b)
 
 
 # Calendars are measured against the data: each key with its number of rows.
 COUNTS = {"hourly": ("events", "ts", HOUR), "daily": ("orders", "o_orderdate", DAY), "weekly": ("orders", "o_orderdate", WEEK), "monthly": ("orders", "o_orderdate", MONTH), "yearly": ("orders", "o_orderdate", "'%Y'")}
-SPANS = {"hourly": ("2024-01-03 05:30:00", "2024-01-05 02:10:00", "1 HOUR", "2024-01-03 05:00:00"), "daily": (FIRST, LAST, "1 DAY", FIRST), "weekly": (FIRST, LAST, "7 DAY", "1994-12-26"), "monthly": ("1995-01-20", LAST, "1 MONTH", FIRST), "yearly": ("1995-02-03", "1999-01-01", "1 YEAR", FIRST)}
+UNITS = {"hourly": "HOUR", "daily": "DAY", "weekly": "WEEK", "monthly": "MONTH", "yearly": "YEAR"}
 
 
 def add_spine(grain: str) -> None:
     table, column, fmt = COUNTS[grain]
-    first, last, step, aligned = SPANS[grain]
-    sql = f"SELECT key, count({column}) AS n FROM ({spine_sql(step, fmt, aligned, last)}) s LEFT JOIN {table} ON strftime({column}, {fmt}) = key GROUP BY key"
+    sql = f"SELECT key, count({column}) AS n FROM ({spine_sql(UNITS[grain], fmt, table, column)}) s LEFT JOIN {table} ON strftime({column}, {fmt}) = key GROUP BY key"
 
     @plan(f"part_spine_{grain}", sql)
     def _(t: Tables):
         rows = t[table].groupBy(k.partition_key(F.col(column), grain).alias("key")).agg(F.count(column).alias("n"))
-        return p.spine(t.spark, grain, first, last).join(rows, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"))
+        return p.spine(t.spark, grain, *ends_of(t, table, column)).join(rows, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 for _grain in k.GRAINS:
@@ -212,10 +218,10 @@ def completed_days(t: Tables):
 DONE = "(SELECT DISTINCT o_orderdate AS u FROM orders WHERE o_orderstatus = 'F')"
 
 
-@plan("set_missing_partitions", f"SELECT strftime(x, {DAY}) AS key FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1996-12-31', INTERVAL 1 DAY) AS g(x) WHERE x NOT IN (SELECT o_orderdate FROM orders WHERE o_orderstatus = 'P')")
+@plan("set_missing_partitions", f"SELECT key FROM ({spine_sql('DAY', DAY, 'orders', 'o_orderdate')}) WHERE key NOT IN (SELECT strftime(o_orderdate, {DAY}) FROM orders WHERE o_orderstatus = 'P')")
 def _(t):
     done = t["orders"].where("o_orderstatus = 'P'").select(k.partition_key(F.col("o_orderdate"), "daily").alias("key"))
-    return p.missing_keys(p.spine(t.spark, "daily", "1995-01-01", "1996-12-31"), done)
+    return p.missing_keys(p.spine(t.spark, "daily", *ends_of(t, "orders", "o_orderdate")), done)
 
 
 PAIRS3 = f"(SELECT d, d - INTERVAL 1 DAY * i AS u FROM {D}, generate_series(0, 2) AS g(i))"
