@@ -40,6 +40,8 @@ def with_possible(df: DataFrame, keys: list[Column], reference: DataFrame, ref_k
     """Adds the boolean column ``name``: false where no row of ``reference`` has the row's keys. Null keys are keys like any
     other here; the exact join decides. ``n_keys`` is the number of rows of ``reference`` if it is known."""
     blocks = blocks_for(reference.count() if n_keys is None else n_keys)
+    kinds = [f.dataType for f in df.select(*keys).schema]  # equal numbers of different types have different hashes
+    reference = reference.select(*[F.col(k).try_cast(t).alias(k) for k, t in zip(ref_keys, kinds, strict=True)])
     table = member_blocks(reference, ref_keys, blocks).select(F.col("block").alias("_block"), "words")
     block, word, bits = _place(keys, blocks)
     joined = df.withColumns({"_block": block, "_word": word, "_bits": bits}).join(F.broadcast(table), "_block", "left")
