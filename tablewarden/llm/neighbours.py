@@ -170,15 +170,19 @@ def search(
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query by exact cosine; ties to the smaller id.
 
     ``queries`` has the same columns as ``vectors``; a row with the query's own id is no candidate of it. Vectors that
-    are null, empty, zero, or hold null or non-finite numbers take no part, nor do rows without an id; vectors must
-    otherwise have one length. Of rows with one id the one with the least vector stands for all. Queries probe their
+    are null, empty, zero, or hold null or non-finite numbers take no part, nor do rows without an id, nor vectors of
+    another length than most have (of lengths that are as frequent, the greater). Of rows with one id the one with the least vector stands for all. Queries probe their
     most probable parts, a share ``probe_share`` of the ``2**depth`` (by default more for larger tables); every vector is
     indexed. A query that finds fewer than ``k`` there asks all parts, so it gets fewer only where there are no more; with
     too few vectors to part, every vector is a candidate. Each part is cut into blocks of about ``BLOCK_ROWS`` vectors
     by a hash of the id, and each block meets the part's queries in slices, so no task holds a whole part. Scores are
     summed in one order, so equal vectors tie.
     """
-    base, asking = one_per_id(usable(vectors, id_col, vector_col)), one_per_id(usable(queries, id_col, vector_col))
+    base, asking = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
+    length = base.groupBy(F.size("vector").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), F.desc("n")).first()
+    if length is not None:
+        base, asking = (rows.where(F.size("vector") == length["n"]) for rows in (base, asking))
+    base, asking = one_per_id(base), one_per_id(asking)
     depth = depth_for(base.count()) if depth is None else depth
     router = fit_router(base, sample_rows, depth)
 

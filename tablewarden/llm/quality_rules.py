@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm.text import CACHE_ENTRIES, Vocabulary, mix, numbered, owners, per_text, slices
+from tablewarden.operators.membership import possible
+from tablewarden.session import cut
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 WINDOW = 8
@@ -130,10 +132,13 @@ def fit_ratio(
 ) -> RatioModel:
     """Counts the raw multinomial on all texts and the target on all trusted ones (label 1). The target is smoothed
     towards the raw one with ``smoothing`` times its own weight, so an n-gram never met in it has the same ratio at
-    every size, and a corpus repeated has the model of the corpus. Where nothing is trusted the ratio is 0 everywhere."""
+    every size, and a corpus repeated has the model of the corpus. A filter of the trusted ids passes their texts and few
+    others, so only those are joined. Rows with a trusted id all count, an id that has several labels once. Where nothing is trusted the ratio is 0 everywhere."""
     raw = _vector(_gram_counts(docs.select(F.col(text_col).alias("text")), bits), bits)
     trusted = labels.where(F.col(label_col).cast("int") == 1).select(F.col(id_col).alias("id"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(trusted, "id", "left_semi").select("text")
+    trusted = cut(trusted.distinct())
+    texts = possible(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), [F.col("id")], trusted, ["id"])
+    texts = texts.join(trusted, "id", "left_semi").select("text")
     target = _vector(_gram_counts(texts, bits), bits)
     if not raw.sum() or not target.sum():
         return RatioModel(np.zeros(1 << bits, np.float32), bits)

@@ -178,3 +178,10 @@ def test_a_query_with_too_few_candidates_asks_all_parts(spark):
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
     got = neighbours.search(df, df.where("vec_id % 50 = 0"), k=40, probe_share=1 / 64, depth=6).groupBy("query_id").count().collect()
     assert {r.query_id: r["count"] for r in got} == {i: 40 for i in range(0, 260, 50)}
+
+
+def test_vectors_of_another_length_take_no_part(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, 0.0, 0.0]), (3, [0.0, 1.0]), (4, [2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.search(df, df).collect()
+    assert {r.query_id for r in found} == {r.vec_id for r in found} == {0, 1, 3}
