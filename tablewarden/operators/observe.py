@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewarden.operators.ledger import running_totals, with_previous
+from tablewarden.operators.ledger import with_previous
+from tablewarden.session import cut
 
 INF = float("inf")
 
@@ -87,26 +88,34 @@ def quantiles(df: DataFrame, value: str, qs: list[float], by: list[str], approxi
     """(by, p50-like columns) by linear interpolation between ranks; null values take no part. ``approximate`` gives
     sketches in one pass.
 
-    The exact form counts equal values first and takes running counts over range partitions, so no task holds a whole
-    group; then the values at the two ranks of each quantile are minima."""
+    The exact form counts equal values first, by range partitions, so no task holds a whole group. Sums of the partitions
+    tell which of them hold a rank that is asked for: two for each quantile and group at most, and only those are
+    numbered."""
     names = [f"p{round(q * 100)}" for q in qs]
     if approximate:
         return df.groupBy(*by).agg(*[F.percentile_approx(value, q).alias(n) for q, n in zip(qs, names, strict=True)])
     keys = by or ["_all"]
     rows = df if by else df.withColumn("_all", F.lit(0))
     counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_count"))
-    upto = running_totals(counted, keys, ["_value"], F.col("_count"), "_upto")
-    sizes = upto.groupBy(*keys).agg(F.max("_upto").alias("_total"))
-    upto = upto.join(sizes.select(*[F.col(c).alias(f"_of_{c}") for c in keys], "_total"), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]))
-
-    def at(q: float, up: bool) -> Column:
-        rank = F.lit(q) * (F.col("_total") - 1)
-        return F.min(F.when(F.col("_upto") > (F.ceil(rank) if up else F.floor(rank)), F.col("_value")))
+    counted = cut(counted.repartitionByRange(*keys, "_value").withColumn("_part", F.spark_partition_id()))
+    group = Window.partitionBy(*keys)
+    sums = counted.groupBy(*keys, "_part").agg(F.sum("_count").alias("_n"))
+    sums = sums.withColumns({"_total": F.sum("_n").over(group), "_before": F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    ranks = [r for q in qs for r in (F.floor(F.lit(q) * (F.col("_total") - 1)), F.ceil(F.lit(q) * (F.col("_total") - 1)))]
+    holds = reduce(lambda a, b: a | b, [(r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")) for r in ranks])
+    held = sums.where(holds).select(*[F.col(c).alias(f"_of_{c}") for c in keys], F.col("_part").alias("_at"), "_before", "_total")
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys], F.col("_part") == F.col("_at"))
+    inside = F.sum("_count").over(Window.partitionBy("_part", *keys).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
+    upto = counted.join(held, match).withColumn("_upto", inside + F.col("_before"))
+
+    def at(rank: Column) -> Column:
+        """The value that holds a rank, if this row does."""
+        return F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_count") <= rank), F.col("_value")))
 
     columns = []
-    for q, n in zip(qs, names, strict=True):
-        rank = F.lit(q) * (F.max("_total") - 1)
-        low, high = at(q, False), at(q, True)
+    for i, n in enumerate(names):
+        rank = F.lit(qs[i]) * (F.max("_total") - 1)
+        low, high = at(ranks[2 * i]), at(ranks[2 * i + 1])
         columns.append((low + (high - low) * (rank - F.floor(rank))).alias(n))
     out = upto.groupBy(*keys).agg(*columns)
     return out.select(*by, *names)
