@@ -24,7 +24,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm import simhash
@@ -110,8 +110,8 @@ def described(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
 
 
 def sets_of(docs: DataFrame, text_col: str, words: int, needed: DataFrame, n_needed: int) -> DataFrame:
-    """(fp, size, sketch, grams) of the classes in ``needed`` (fp, key: a text key of the class): the shingle sets (8 bytes
-    each), their sizes and parity sketches, once a class.
+    """(fp, size, sketch, grams, f0..) of the classes in ``needed`` (fp, key: a text key of the class, f0..): the shingle sets
+    (8 bytes each), their sizes and parity sketches, once a class.
 
     Texts aren't shuffled: a filter of the keys passes those that are needed, and few others, and a task sends a class once."""
     texts = docs.select(simhash.text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
@@ -133,7 +133,8 @@ def sets_of(docs: DataFrame, text_col: str, words: int, needed: DataFrame, n_nee
                     sent.clear()
 
     made = texts.mapInArrow(run, "fp long, size long, sketch binary, grams binary")
-    return made.join(needed.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("grams").alias("grams"))
+    once = made.groupBy("fp").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("grams").alias("grams"))
+    return once.join(needed.drop("key"), "fp")
 
 
 def close_pairs(prints: np.ndarray, limit: int, most: int, block: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,13 +263,32 @@ def _runs(rows: list[np.ndarray], together: bool) -> Iterator[list[np.ndarray]]:
     yield from zip(*[np.split(c, change) for c in rows], strict=True)
 
 
-def _key(print_: Column, blocks: tuple[int, ...], table: int) -> Column:
-    """The chosen blocks of a fingerprint behind the number of the choice: a small number, which shuffles well."""
-    out, width = F.lit(table).cast("long"), 64 // BLOCKS
-    for b in blocks:
-        part = F.shiftrightunsigned(print_, b * width).bitwiseAND(F.lit((1 << width) - 1))
-        out = F.call_function("shiftleft", out, F.lit(width)).bitwiseOR(part)
-    return out
+def keyed_rows(classes: DataFrame, family: int, n: int) -> DataFrame:
+    """(key, fp, own, others): a row for each class and key of one fingerprint. A key is the chosen blocks behind the number
+    of the choice; ``own`` is the fingerprint, ``others`` has ``OTHER`` bits of each other one."""
+    width, choices = np.uint64(64 // BLOCKS), list(combinations(range(BLOCKS), BLOCKS - SURE))
+    mask, low = np.uint64((1 << (64 // BLOCKS)) - 1), np.uint64((1 << OTHER) - 1)
+    rest = [c for c in PRINTS if c != PRINTS[family]]
+    classes = classes.repartition(max(1, -(-n * KEYS // KEYED_ROWS)), "fp")  # a class becomes a row per key: few tasks would each write a large part
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                own = batch.column(PRINTS[family]).to_numpy().view(np.uint64)
+                others = np.zeros(len(own), np.uint64)
+                for c in rest:
+                    others = others << np.uint64(OTHER) | batch.column(c).to_numpy().view(np.uint64) & low
+                keys = []
+                for i, blocks in enumerate(choices):
+                    key = np.full(len(own), family * KEYS + i, np.uint64)
+                    for b in blocks:
+                        key = key << width | own >> np.uint64(b) * width & mask
+                    keys.append(key)
+                columns = [np.concatenate(keys), *[np.tile(x, len(choices)) for x in (batch.column("fp").to_numpy(), own, others)]]
+                yield pa.record_batch([pa.array(x.view(np.int64)) for x in columns], ["key", "fp", "own", "others"])
+
+    return classes.select("fp", *PRINTS).mapInArrow(run, "key long, fp long, own long, others long")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -279,14 +299,8 @@ def candidates(classes: DataFrame) -> DataFrame:
 
 
 def family_candidates(classes: DataFrame, family: int, n: int) -> DataFrame:
-    """``candidates`` by the keys of one fingerprint; a row holds the key, the class and two numbers."""
-    own = F.col(PRINTS[family])
-    low = [F.col(c).bitwiseAND(F.lit((1 << OTHER) - 1)) for c in PRINTS if c != PRINTS[family]]
-    others = reduce(lambda a, b: F.call_function("shiftleft", a, F.lit(OTHER)).bitwiseOR(b), low)
-    keys = [_key(F.col("own"), two, family * KEYS + i) for i, two in enumerate(combinations(range(BLOCKS), BLOCKS - SURE))]
-    classes = classes.select("fp", own.alias("own"), others.alias("others"))
-    classes = classes.repartition(max(1, -(-n * len(keys) // KEYED_ROWS)), "fp")  # a class becomes a row per key: few tasks would each write a large part
-    keyed = classes.select("fp", "own", "others", F.explode(F.array(*keys)).alias("key"))
+    """``candidates`` by the keys of one fingerprint."""
+    keyed = keyed_rows(classes, family, n)
     large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > simhash.CELL)
     large = cut(large.select("key", F.ceil(F.col("n") / simhash.CELL).cast("int").alias("cells")))
     rows = keyed.join(F.broadcast(large), "key", "left")  # at most a key per CELL rows
@@ -377,9 +391,9 @@ def similar_roots(docs: DataFrame, classes: DataFrame, text_col: str, words: int
     sparse = cut(close_in_all(found.where("v IS NOT NULL").select("u", "v"), classes))
     dense = found.where("v IS NULL").select("cell", F.col("u").alias("fp"))
     nodes = sparse.select(F.col("u").alias("fp")).unionByName(sparse.select(F.col("v").alias("fp"))).unionByName(dense.select("fp")).distinct()
-    needed = cut(classes.select("fp", F.col("first.key").alias("key")).join(nodes, "fp", "left_semi"))
+    needed = cut(classes.select("fp", F.col("first.key").alias("key"), *PRINTS).join(nodes, "fp", "left_semi"))
     sets = cut(sets_of(docs, text_col, words, needed, needed.count()))
-    members = cut(dense.join(sets.select("fp", "size", "sketch"), "fp").join(classes.select("fp", *PRINTS), "fp"))
+    members = cut(dense.join(sets.select("fp", *MEMBER), "fp"))
     partner = sparse.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
     pairs = cut(partner.unionByName(dense_pairs(members, least)).distinct())
     forget(found)
