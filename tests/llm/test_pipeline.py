@@ -55,5 +55,5 @@ def test_empty_documents(spark):
 
 def test_names():
     found = sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES)
-    assert found == list(range(1, 11))
+    assert found == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
