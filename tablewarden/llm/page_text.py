@@ -28,7 +28,7 @@ from tablewarden.session import cut
 
 #: Comments, declarations and tags; a quoted attribute may hold ``>``, one whose quote never ends may not.
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+>|[^>]*(?:>|\Z))""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 SPACE = re.compile(r"\s+")
 #: Elements whose content is no text of the page and no markup: skipped up to their end tag.
@@ -57,9 +57,9 @@ def said_of(name: str, attributes: str) -> tuple[bool, bool]:
     never, main = name in NEVER_TEXT, name == "main"
     if never or len(attributes) < 4 or name in ("html", "body"):
         return never, main
-    said = {key.lower(): a or b or c or "" for key, a, b, c in ATTRIBUTE.findall(attributes)}
-    if not said:
-        return never, main
+    said: dict[str, str] = {}
+    for key, *values in ATTRIBUTE.findall(attributes):
+        said.setdefault(key.lower(), next(filter(None, values), ""))  # of an attribute that is repeated the first counts
     role = said.get("role", "").lower()
     words = {w.lower() for w in NAME_WORD.findall(f"{said.get('class', '')} {said.get('id', '')}")}
     main = main or role == "main"

@@ -54,6 +54,11 @@ def test_article_and_main():
     assert texts('<p><span class="share">Tweet <span>now</span></span>text <span>more</span>') == [(0, "Tweet now"), (2, "text more")]
 
 
+def test_attributes():
+    page = '<p aria-hidden="false" data-id="sidebar" title="the class of ad">a<p CLASS=ad class=x>b<p hidden>c<div id=\'cookieBar\'>d</div><p class="article-header">e<p role=search>f'
+    assert texts(page) == [(2, "a"), (0, "b"), (0, "c"), (0, "d"), (2, "e"), (0, "f")]
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<p class='", "a < b > c", "<p class=\"x>text</p>more", "<script>never ends", "</p></div>x", "<!-- open", "<p>" * 5000 + "x"])
 def test_broken_markup_is_read(page):
     page_text.blocks_of(page)
