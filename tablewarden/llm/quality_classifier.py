@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.text import CACHE_ENTRIES, Vocabulary, held_out, mix, numbered, owners, sampled_features, score_udf, smallest
+from tablewarden.llm.text import CACHE_ENTRIES, Vocabulary, examples, held_out, mix, numbered, owners, sampled_features, score_udf, smallest
 
 SHAPES = ((re.compile(rb"[A-Z]"), b"A"), (re.compile(rb"[a-z\x80-\xff]"), b"a"), (re.compile(rb"[0-9]"), b"9"))
 SAME_PAIR, EMPTY_TEXT = 0xFFFFFFFF, 0xFFFFFFFE
@@ -151,11 +151,9 @@ def train_quality(
 
         return rows_of
 
-    found = sampled_features(texts, "y", make, {"columns": pa.list_(pa.int32()), "values": pa.list_(pa.float32())})
-    found = found.sort_by([("id", "ascending"), ("y", "ascending")])
-    ids, ys = found.column("id").to_pylist(), found.column("y").to_pylist()
-    columns, values = found.column("columns").combine_chunks(), found.column("values").combine_chunks()
-    rows = [(ys[i], columns[i].values.to_numpy(), values[i].values.to_numpy()) for i in range(len(ids))]
+    found = examples(sampled_features(texts, "y", make, {"columns": pa.list_(pa.int32()), "values": pa.list_(pa.float32())}))
+    rows = [(y, columns, values) for y, _, columns, values in sorted(found, key=lambda row: (row[1], row[0]))]
+    ys = [y for y, _, _ in rows]
     if len(set(ys)) < 2:
         share = min(max(float(np.mean(ys)) if ys else 0.5, 1e-6), 1 - 1e-6)
         return QualityModel(np.zeros(1 << bits, np.float32), float(np.log(share / (1 - share))), bits)

@@ -149,7 +149,7 @@ def spans(n: Column, size: int = 4096) -> Column:
 
 
 def sampled_features(rows: DataFrame, mark: str, make: Callable[[], Callable[[list[str]], list[tuple]]], fields: dict[str, pa.DataType]) -> pa.Table:
-    """(id as text, mark, the fields) of the rows (id, mark, text), one row for each id and mark, sorted by them.
+    """(id as text, mark, the fields) of the rows (id, mark, text), one row for each id and mark.
 
     Of several rows with one id the text with the least hash is the example, whatever the partitioning. A task keeps one
     example for each id and mark, so what it holds and what comes to the driver is bounded by the ids that were sampled,
@@ -178,4 +178,20 @@ def sampled_features(rows: DataFrame, mark: str, make: Callable[[], Callable[[li
     spark_types = {pa.list_(pa.int32()): "array<int>", pa.list_(pa.float32()): "array<float>"}
     made = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {mark} int, hash long, {', '.join(f'{n} {spark_types[t]}' for n, t in fields.items())}")
     one = made.groupBy("id", mark).agg(F.min_by(F.struct(*fields), "hash").alias("f"))
-    return one.select(F.col("id").cast("string").alias("id"), mark, *[f"f.{n}" for n in fields]).toArrow().sort_by([(mark, "ascending"), ("id", "ascending")])
+    return one.select(F.col("id").cast("string").alias("id"), mark, *[f"f.{n}" for n in fields]).toArrow()
+
+
+def examples(table: pa.Table) -> list[tuple]:
+    """(mark, id, the fields) of each row of ``sampled_features``, sorted by mark and id. The fields are views of the table's
+    lists, so that the driver holds the features once."""
+    found = []
+    for batch in table.to_batches():
+        ids, marks, *fields = batch.columns
+        found += zip(marks.to_pylist(), ids.to_pylist(), *map(_views, fields), strict=True)
+    return sorted(found, key=lambda row: row[:2])
+
+
+def _views(lists: pa.ListArray) -> list[np.ndarray]:
+    """The lists as arrays that share their memory."""
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
+    return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]

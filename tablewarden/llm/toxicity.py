@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.text import CACHE_ENTRIES, held_out, sampled_features, score_udf, smallest
+from tablewarden.llm.text import CACHE_ENTRIES, examples, held_out, sampled_features, score_udf, smallest
 
 WORD = re.compile(r"\w+")
 #: Features that count towards a text's logit.
@@ -90,11 +90,18 @@ class ToxicityModel:
         return score_udf(self.scorer)(text)
 
 
+def texts_with(rows: list[np.ndarray], size: int) -> np.ndarray:
+    """Texts that hold each feature; a row has its features once."""
+    out = np.zeros(size, np.int64)
+    for columns in rows:
+        out[columns] += 1
+    return out
+
+
 def start_weights(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float, smoothing: float = 4.0, margin: float = 1.0) -> np.ndarray:
     """Smoothed log ratio of a feature's share of positives to that of negatives, the latter being the unlabelled share
     less what the prior gives to positives; less 1, and 0 where that is negative, so that chance features start off."""
-    p = np.bincount(np.concatenate(positive).astype(np.int64), minlength=size) / len(positive)
-    u = np.bincount(np.concatenate(unlabelled).astype(np.int64), minlength=size) / len(unlabelled)
+    p, u = (texts_with(rows, size) / len(rows) for rows in (positive, unlabelled))
     negative = np.maximum(u - prior * p, 0) / (1 - prior)
     small = smoothing / len(positive)
     return np.maximum(np.log((p + small) / (negative + small)) - margin, 0)
@@ -131,13 +138,14 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], bits: int
                 gp, gu = -prior / len(p) * np.ones(len(p)), sigmoid(zu) / len(u)  # loss(+) - loss(-) has slope -1
             else:
                 gp, gu = prior * sigmoid(zp) / len(p), -sigmoid(zu) / len(u)
-            grad = np.zeros(size)  # counts of nothing would be integers
-            grad += np.bincount(pc, weights=gp[pt], minlength=size) + np.bincount(uc, weights=gu[ut], minlength=size)
-            grad[-1] = gp.sum() + gu.sum()
-            touched = np.flatnonzero(grad)
-            seen[touched] += grad[touched] ** 2
+            touched, at = np.unique(np.concatenate([pc, uc]), return_inverse=True)
+            grad = np.zeros(len(touched))  # counts of nothing would be integers
+            grad += np.bincount(at[: len(pc)], weights=gp[pt], minlength=len(touched)) + np.bincount(at[len(pc) :], weights=gu[ut], minlength=len(touched))
+            touched, grad = np.append(touched, size - 1), np.append(grad, gp.sum() + gu.sum())
+            touched, grad = touched[grad != 0], grad[grad != 0]
+            seen[touched] += grad**2
             step = rate / np.sqrt(seen[touched])
-            new = w[touched] - step * grad[touched]
+            new = w[touched] - step * grad
             shrunk = np.maximum(new - step * l1, 0)
             w[touched] = np.where(touched == size - 1, new, shrunk)
     return w[:-1].astype(np.float32), float(w[-1])
@@ -180,10 +188,8 @@ def train_toxicity(
         presence = Presence(bits)
         return lambda part: [(presence(t),) for t in part]
 
-    found = sampled_features(texts, "kind", make, {"columns": pa.list_(pa.int32())})
-    columns, kinds = found.column("columns").combine_chunks(), found.column("kind").to_pylist()
-    rows = [columns[i].values.to_numpy() for i in range(len(kinds))]
-    groups = [[r for r, k in zip(rows, kinds, strict=True) if k == kind] for kind in (1, 0)]
+    found = examples(sampled_features(texts, "kind", make, {"columns": pa.list_(pa.int32())}))
+    groups = [[columns for k, _, columns in found if k == kind] for kind in (1, 0)]
     if not groups[0] or not groups[1]:
         return ToxicityModel(np.empty(0, np.int64), np.empty(0, np.float32), float(np.log(prior / (1 - prior))), bits, prior)
     weights, bias = fit_nnpu(*groups, bits, prior, epochs, rate, l1)
