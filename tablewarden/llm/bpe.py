@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tablewarden.llm.text import CACHE_ENTRIES, slices
+from tablewarden.llm.text import slices
 
 #: Characters of a text that the encoder takes at a time.
 CHUNK = 1 << 16
@@ -37,6 +37,9 @@ BLOCK = 512
 WINDOW = 8 * BLOCK
 #: Bytes of a pre-token up to which pre-tokens are encoded together.
 SHORT = 32
+#: Pre-tokens that an encoder remembers, about 300 bytes each. Invented words bring one anew every dozen words, so with
+#: few entries most of the time goes into encoding the same ones again.
+PIECES = 1_000_000
 
 #: Characters other than letters, digits and white space that plain texts may hold besides ASCII ones.
 PLAIN_MARKS = "¡§«°»¿×÷–—‘’‚“”„…€"
@@ -194,7 +197,7 @@ def merge_all(words: np.ndarray, ranks: Ranks) -> np.ndarray:
 class Remembered(dict):
     """A bounded cache of a function in two generations: what was used lately survives when the older one goes."""
 
-    def __init__(self, function, limit: int = CACHE_ENTRIES):
+    def __init__(self, function, limit: int = PIECES):
         super().__init__()
         self.function, self.limit, self.old = function, limit // 2, {}
 
@@ -208,7 +211,7 @@ class Remembered(dict):
 
     def trim(self) -> None:
         if len(self) > self.limit:
-            self.old = dict(self)
+            self.old = self.copy()
             self.clear()
 
 
@@ -255,7 +258,7 @@ class Encoder:
     def __init__(self, spec: Spec):
         self.spec, self.rest = spec, ""
         self.open, self.tail = None, ""  # a long pre-token whose first part has left ``rest``, and its last two characters
-        self.cache, self.words = Remembered(self.encode), Remembered(self.word)
+        self.cache = Remembered(self.encode)
         self.reach = max((len(t) for t in spec.added), default=1)
 
     def encode(self, pretoken: str) -> Piece:
@@ -264,23 +267,26 @@ class Encoder:
             return self._long(pretoken)
         return self.written(merge(self.spec.symbols(pretoken, last=True), self.spec.ranks))
 
-    def prepare(self, texts: list[str]) -> None:
-        """Encodes together the pre-tokens of ordinary length that plain texts bring anew, and remembers them."""
+    def prepare(self, texts: list[str]) -> list[list[str] | None]:
+        """The pre-tokens of plain texts of one chunk; any other text has none here. Those of ordinary length that the plain
+        texts bring anew are encoded together, and remembered."""
         self.cache.trim()
-        self.words.trim()
         spec = self.spec
-        words: set[str] = set()
-        for text in texts:
-            if PLAIN_TEXT.fullmatch(text):
-                words.update(text.split())
-        fresh = [w for w in words if w not in self.words and w not in self.words.old]
+        cuts: list[list[str] | None] = []
         found: set[str] = set()
-        for word in fresh:
-            found.update(PLAIN_PIECE.findall(word.lower()))
+        for text in texts:
+            cuts.append(None)
+            if not PLAIN_TEXT.fullmatch(text):
+                continue
+            for at in range(0, len(text), CHUNK):  # a pre-token that a border cuts is encoded again where it is whole
+                pieces = PLAIN_PIECE.findall(text[at : at + CHUNK].lower())
+                found.update(pieces)
+            if len(text) <= CHUNK and not (spec.special is not None and "<" in text and spec.special.search(text)):
+                cuts[-1] = pieces if text else []
         raw = {p: p.encode("utf-8") for p in found if p not in self.cache and p not in self.cache.old}
         raw = {p: b for p, b in raw.items() if len(b) <= SHORT}
         if not raw or not spec.complete:
-            return
+            return cuts
         lengths = np.fromiter(map(len, raw.values()), np.int64, len(raw))
         rows = np.full((len(raw), SHORT), -1, np.int64)
         rows[np.arange(SHORT) < lengths[:, None]] = spec.byte_ids[np.frombuffer(b"".join(raw.values()), np.uint8)]
@@ -288,6 +294,7 @@ class Encoder:
         rows[np.arange(len(raw)), lengths - 1] = spec.last_byte_ids[last]
         for pretoken, ids in zip(raw, self._merged(rows, lengths), strict=True):
             self.cache[pretoken] = self.piece(ids)
+        return cuts
 
     def _merged(self, rows: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
         """Ids of each row, rows of like length together."""
@@ -302,14 +309,6 @@ class Encoder:
             low = high
         return out
 
-    def word(self, word: str) -> Piece:
-        """Of a run without white space in plain text."""
-        pieces = list(map(self.cache.__getitem__, PLAIN_PIECE.findall(word.lower())))
-        if len(pieces) == 1:
-            return pieces[0]
-        ids, tokens = zip(*[p for p in pieces if p[0]], strict=True)
-        return b" ".join(ids), b" ".join(tokens)
-
     def written(self, tokens: list[str]) -> Piece:
         """A token outside the vocabulary has no id and is left out, as by a model without an unknown token."""
         return self.piece([self.spec.vocab[t] for t in tokens if t in self.spec.vocab])
@@ -330,9 +329,8 @@ class Encoder:
 
     def _plain(self, text: str) -> list[Piece]:
         self.cache.trim()
-        self.words.trim()
         if PLAIN_TEXT.fullmatch(text):
-            return list(map(self.words.__getitem__, text.split()))
+            return list(map(self.cache.__getitem__, PLAIN_PIECE.findall(text.lower())))
         return list(map(self.cache.__getitem__, self.pretokens(text)))
 
     def _pieces(self, text: str) -> list[Piece]:
@@ -451,8 +449,9 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(spec_of(path))
 
 
-def digest(text: str, encoder: Encoder) -> tuple[int, str, str]:
-    """(number of tokens, SHA-256 of the ids joined by a space, SHA-256 of the decoded text), in constant memory."""
+def digest(text: str, encoder: Encoder, cuts: list[str] | None = None) -> tuple[int, str, str]:
+    """(number of tokens, SHA-256 of the ids joined by a space, SHA-256 of the decoded text), in constant memory. ``cuts``
+    are the text's pre-tokens where ``prepare`` has given them."""
     ids, decoded, decoder, n = hashlib.sha256(), hashlib.sha256(), Decoder(), 0
     lead = b""
 
@@ -467,10 +466,13 @@ def digest(text: str, encoder: Encoder) -> tuple[int, str, str]:
             decoded.update(decoder.take(tokens).encode("utf-8"))
             lead = b" "
 
-    for at in range(0, len(text) - CHUNK, CHUNK):
-        take(encoder.feed(text[at : at + CHUNK]))
-    encoder.rest += text[max(0, -(-len(text) // CHUNK) - 1) * CHUNK :]
-    take(encoder.finish())
+    if cuts is not None:
+        take(list(map(encoder.cache.__getitem__, cuts)))
+    else:
+        for at in range(0, len(text) - CHUNK, CHUNK):
+            take(encoder.feed(text[at : at + CHUNK]))
+        encoder.rest += text[max(0, -(-len(text) // CHUNK) - 1) * CHUNK :]
+        take(encoder.finish())
     decoded.update(decoder.finish().encode("utf-8"))
     return n, ids.hexdigest(), decoded.hexdigest()
 
@@ -504,8 +506,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for batch in batches:
             start = 0
             for part in slices(batch.column("text")):
-                encoder.prepare(part)
-                n, ids, decoded = zip(*(digest(t, encoder) for t in part), strict=True)
+                cuts = encoder.prepare(part)
+                n, ids, decoded = zip(*(digest(t, encoder, c) for t, c in zip(part, cuts, strict=True)), strict=True)
                 columns = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(decoded)}
                 yield pa.record_batch({"doc_id": batch.column("doc_id")[start : start + len(part)], **columns})
                 start += len(part)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm.bpe import PLAIN_PIECE, PLAIN_TEXT, Encoder, Remembered, spec_of
-from tablewarden.llm.text import Vocabulary, slices
+from tablewarden.llm.text import CACHE_ENTRIES, Vocabulary, slices
 from tablewarden.session import cut
 
 #: Distinct words that a task holds before it sends their counts on.
@@ -147,7 +147,7 @@ def count_tokens(
             sizes = [(p, pieces.get(p, 0)) for p in split.cut(unit)]
             return sum(n for _, n in sizes), tuple(p for p, n in sizes if not n)
 
-        cache = Remembered(known_size)
+        cache = Remembered(known_size, CACHE_ENTRIES)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             start = 0
