@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm.text import CACHE_ENTRIES, Vocabulary, mix, numbered, owners, per_text, slices
-from tablewarden.operators.membership import possible
+from tablewarden.operators.membership import possible, with_possible
 from tablewarden.session import cut
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -98,27 +98,53 @@ class RatioModel:
 
 
 def _gram_counts(texts: DataFrame, bits: int) -> DataFrame:
-    """(gram, n) partial counts, one row per hash and task."""
+    """(gram, n), and n_trusted if the texts (first column) come with a boolean ``trusted``: counts of each hash, of which a
+    task sends one row."""
+    marked = "trusted" in texts.columns
+    fields = ["n", "n_trusted"][: 1 + marked]
 
     def count(batches):
-        grams, total = Grams(bits), np.zeros(1 << bits, np.int64)
+        grams, total = Grams(bits), np.zeros((len(fields), 1 << bits), np.int64)
         for batch in batches:
+            start = 0
             for part in slices(batch.column(0)):
                 vocabulary = Vocabulary()
                 ids, ends = numbered(part, vocabulary)
-                total += np.bincount(grams(vocabulary, ids, owners(ends))[0], minlength=len(total))
-        met = np.flatnonzero(total)
-        yield pa.record_batch({"gram": pa.array(met, pa.int32()), "n": pa.array(total[met], pa.int64())})
+                gram, text = grams(vocabulary, ids, owners(ends))
+                total[0] += np.bincount(gram, minlength=1 << bits)
+                if marked:
+                    trusted = batch.column("trusted")[start : start + len(part)].to_numpy(zero_copy_only=False)
+                    total[1] += np.bincount(gram[trusted[text]], minlength=1 << bits)
+                start += len(part)
+        met = np.flatnonzero(total[0])
+        yield pa.record_batch({"gram": pa.array(met, pa.int32())} | {f: pa.array(total[i][met], pa.int64()) for i, f in enumerate(fields)})
 
-    return texts.mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(count, "gram int, " + ", ".join(f"{f} long" for f in fields))
+    return counted.groupBy("gram").agg(*[F.sum(f).alias(f) for f in fields])
 
 
 def _vector(counts: DataFrame, bits: int) -> np.ndarray:
-    """The counts as an array; at most ``2**bits`` rows come to the driver."""
+    """The counts as an array, a row for each of several; at most ``2**bits`` rows come to the driver."""
     table = counts.toArrow()
-    out = np.zeros(1 << bits)
-    out[table.column("gram").to_numpy()] = table.column("n").to_numpy()
-    return out
+    out = np.zeros((table.num_columns - 1, 1 << bits))
+    for row, field in zip(out, table.column_names[1:], strict=True):
+        row[table.column("gram").to_numpy()] = table.column(field).to_numpy()
+    return out if len(out) > 1 else out[0]
+
+
+def with_trusted(texts: DataFrame, trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((text, trusted) of all rows, texts of the other trusted rows), of texts (id, text) and distinct trusted ids.
+
+    A first filter has the trusted ids, a second one those other ids of the texts that the first lets through; only ids are
+    shuffled to find these. A row that passes the first and not the second is trusted for certain and marked where it stands;
+    one that passes both, about one in a hundred, is joined."""
+    trusted = trusted.where("id IS NOT NULL")
+    passed = possible(texts.select("id").where("id IS NOT NULL"), [F.col("id")], trusted, ["id"])
+    wrong = cut(passed.distinct().join(trusted, "id", "left_anti"))
+    marked = with_possible(texts, [F.col("id")], trusted, ["id"], "_first")
+    marked = with_possible(marked, [F.col("id")], wrong, ["id"], "_second").withColumn("_first", F.col("_first") & F.col("id").isNotNull())
+    doubtful = marked.where("_first AND _second").join(trusted, "id", "left_semi").select("text")
+    return marked.select("text", (F.col("_first") & ~F.col("_second")).alias("trusted")), doubtful
 
 
 def fit_ratio(
@@ -132,14 +158,13 @@ def fit_ratio(
 ) -> RatioModel:
     """Counts the raw multinomial on all texts and the target on all trusted ones (label 1). The target is smoothed
     towards the raw one with ``smoothing`` times its own weight, so an n-gram never met in it has the same ratio at
-    every size, and a corpus repeated has the model of the corpus. A filter of the trusted ids passes their texts and few
-    others, so only those are joined. Rows with a trusted id all count, an id that has several labels once. Where nothing is trusted the ratio is 0 everywhere."""
-    raw = _vector(_gram_counts(docs.select(F.col(text_col).alias("text")), bits), bits)
+    every size, and a corpus repeated has the model of the corpus. Both are counted in one pass, see ``with_trusted``. Rows
+    with a trusted id all count, an id that has several labels once. Where nothing is trusted the ratio is 0 everywhere."""
     trusted = labels.where(F.col(label_col).cast("int") == 1).select(F.col(id_col).alias("id"))
     trusted = cut(trusted.distinct())
-    texts = possible(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), [F.col("id")], trusted, ["id"])
-    texts = texts.join(trusted, "id", "left_semi").select("text")
-    target = _vector(_gram_counts(texts, bits), bits)
+    marked, doubtful = with_trusted(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), trusted)
+    raw, target = _vector(_gram_counts(marked, bits), bits)
+    target += _vector(_gram_counts(doubtful, bits), bits)
     if not raw.sum() or not target.sum():
         return RatioModel(np.zeros(1 << bits, np.float32), bits)
     lift = (target / target.sum()) / (np.maximum(raw, 1) / raw.sum())
