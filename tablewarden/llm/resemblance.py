@@ -3,12 +3,12 @@
 A text is its set of word shingles (64-bit hashes); texts of equal sets are one class. A class has ``FAMILIES``
 independently seeded 64-bit SimHashes, each with a key for every choice of ``BLOCKS - SURE`` of its blocks: a pair that differs
 in at most ``SURE`` bits of any one of them meets in a cell, and most pairs beyond that do, as they have ``FAMILIES``
-chances. A row of a key holds one fingerprint and some bits of the others; pairs that are close in those, and then within
-``LIMIT`` bits over all fingerprints, are candidates, and a candidate is a link if the Jaccard similarity of the two whole
-sets reaches the threshold. Sets are made from the texts of candidates only.
+chances. A row of a key holds all fingerprints; pairs within ``LIMIT`` bits over all of them are candidates, and a candidate
+is a link if the Jaccard similarity of the two whole sets reaches the threshold. Sets are made from the texts of candidates
+only.
 
-A run of a key in which candidates outnumber its members ``DENSE`` times is written down by its members instead. They
-get a parity sketch: one bit per bucket of shingle hashes, set where a set has an odd number of shingles. Two sketches
+A run of a key in which candidates outnumber its members is dense and written down by its members instead, so no run gives
+more rows than it has members, and runs of the same members, of whatever keys, are written once. Members get a parity sketch: one bit per bucket of shingle hashes, set where a set has an odd number of shingles. Two sketches
 differ in no more bits than the sets in shingles, so a pair whose sketches differ too much is no link, and most others
 are. A forest over the candidates that remain is verified, and then all of them that the links found leave apart: no
 link between two components is lost, and a group of copies costs one pair per member and key.
@@ -36,13 +36,10 @@ from tablewarden.session import cut, forget
 FAMILIES, BLOCKS, SURE = 4, 8, 6
 #: Differing bits of all fingerprints together up to which a pair is verified: three deviations above the mean at 0.8.
 LIMIT = 56
-#: Differing bits of one whole fingerprint and ``OTHER`` bits of each other one up to which a pair goes on: at 0.8 they are
-#: 17 with a deviation of 4, for two texts that meet by chance 55 with a deviation of 5.
-OTHER, NEAR = 21, 34
 #: Members of a run up to which all its pairs are compared at once.
 SMALL = 256
-#: Candidates per member above which a run is dense.
-DENSE = 6
+#: Candidates per member above which a run is dense: at 1 a run is written as pairs or as members, whichever are fewer.
+DENSE = 1
 #: Bits of a parity sketch.
 SKETCH_BITS = 2048
 #: Rows that a task makes of its classes' keys.
@@ -264,11 +261,10 @@ def _runs(rows: list[np.ndarray], together: bool) -> Iterator[list[np.ndarray]]:
 
 
 def keyed_rows(classes: DataFrame, family: int, n: int) -> DataFrame:
-    """(key, fp, own, others): a row for each class and key of one fingerprint. A key is the chosen blocks behind the number
-    of the choice; ``own`` is the fingerprint, ``others`` has ``OTHER`` bits of each other one."""
+    """(key, fp, f0..): a row for each class and key of one fingerprint. A key is the chosen blocks behind the number of the
+    choice."""
     width, choices = np.uint64(64 // BLOCKS), list(combinations(range(BLOCKS), BLOCKS - SURE))
-    mask, low = np.uint64((1 << (64 // BLOCKS)) - 1), np.uint64((1 << OTHER) - 1)
-    rest = [c for c in PRINTS if c != PRINTS[family]]
+    mask = np.uint64((1 << (64 // BLOCKS)) - 1)
     classes = classes.repartition(max(1, -(-n * KEYS // KEYED_ROWS)), "fp")  # a class becomes a row per key: few tasks would each write a large part
 
     def run(batches):
@@ -276,24 +272,21 @@ def keyed_rows(classes: DataFrame, family: int, n: int) -> DataFrame:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
                 own = batch.column(PRINTS[family]).to_numpy().view(np.uint64)
-                others = np.zeros(len(own), np.uint64)
-                for c in rest:
-                    others = others << np.uint64(OTHER) | batch.column(c).to_numpy().view(np.uint64) & low
                 keys = []
                 for i, blocks in enumerate(choices):
                     key = np.full(len(own), family * KEYS + i, np.uint64)
                     for b in blocks:
                         key = key << width | own >> np.uint64(b) * width & mask
                     keys.append(key)
-                columns = [np.concatenate(keys), *[np.tile(x, len(choices)) for x in (batch.column("fp").to_numpy(), own, others)]]
-                yield pa.record_batch([pa.array(x.view(np.int64)) for x in columns], ["key", "fp", "own", "others"])
+                columns = [np.tile(batch.column(c).to_numpy(), len(choices)) for c in ("fp", *PRINTS)]
+                yield pa.record_batch([pa.array(x) for x in (np.concatenate(keys).view(np.int64), *columns)], ["key", "fp", *PRINTS])
 
-    return classes.select("fp", *PRINTS).mapInArrow(run, "key long, fp long, own long, others long")
+    return classes.select("fp", *PRINTS).mapInArrow(run, f"key long, fp long, {', '.join(f'{c} long' for c in PRINTS)}")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(u, v, cell) of classes (columns fp, f0..): pairs u < v that are close in one fingerprint and ``OTHER`` bits of each
-    other, without a cell, and the members u of dense cells, without v. The keys of one fingerprint are a pass."""
+    """(u, v, cell) of classes (columns fp, f0..): pairs u < v within ``LIMIT`` bits, without a cell, and the members u of
+    dense cells, without v. The keys of one fingerprint are a pass."""
     n = classes.count()
     return reduce(DataFrame.unionByName, [cut(family_candidates(classes, j, n)) for j in range(FAMILIES)]).distinct()
 
@@ -307,26 +300,26 @@ def family_candidates(classes: DataFrame, family: int, n: int) -> DataFrame:
     cells = F.coalesce("cells", F.lit(1))
     group = F.pmod(F.xxhash64("fp"), cells).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), cells - 1), lambda j: F.least(group, j) * 1_000_000 + F.greatest(group, j))
-    rows = rows.select("fp", "own", "others", "key", "cells", F.explode(pairs).alias("cell"))
-    rows = rows.select(F.when(F.col("cells").isNull(), F.col("key")).otherwise(F.xxhash64("key", "cell")).alias("cell"), "fp", "own", "others")
+    rows = rows.select("fp", *PRINTS, "key", "cells", F.explode(pairs).alias("cell"))
+    rows = rows.select(F.when(F.col("cells").isNull(), F.col("key")).otherwise(F.xxhash64("key", "cell")).alias("cell"), "fp", *PRINTS)
     rows = rows.repartition("cell").sortWithinPartitions("cell")
 
     def run(batches):
-        for cell, node, *prints in by_run(batches, ["cell", "fp", "own", "others"]):
-            a, b, dense = run_candidates(cell, node.view(np.uint64), np.stack(prints).view(np.uint64), NEAR)
+        for cell, node, *prints in by_run(batches, ["cell", "fp", *PRINTS]):
+            a, b, dense = run_candidates(cell, node.view(np.uint64), np.stack(prints).view(np.uint64))
             edges, none = _pairs(a, b), pa.nulls(len(dense), pa.int64())
             yield pa.record_batch([pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.nulls(len(edges), pa.int64())], ["u", "v", "cell"])
-            yield pa.record_batch([pa.array(node[dense]), none, pa.array(cell[dense])], ["u", "v", "cell"])
+            yield pa.record_batch([pa.array(node[dense]), none, pa.array(same_members(cell[dense], node[dense]))], ["u", "v", "cell"])
 
     return rows.mapInArrow(run, "u long, v long, cell long").distinct()
 
 
-def close_in_all(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (u, v) within ``LIMIT`` bits over all fingerprints."""
-    sides = [classes.select(F.col("fp").alias(end), F.array(*PRINTS).alias(f"p{end}")) for end in ("u", "v")]
-    both = pairs.join(sides[0], "u").join(sides[1], "v")
-    bits = reduce(lambda a, b: a + b, [F.bit_count(F.col("pu")[j].bitwiseXOR(F.col("pv")[j])) for j in range(FAMILIES)])
-    return both.where(bits <= LIMIT).select("u", "v")
+def same_members(cell: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """For each row a name of its cell that depends on the members alone: cells of the same nodes become one."""
+    cells, of = np.unique(cell, return_inverse=True)
+    name = np.zeros(len(cells), np.uint64)
+    np.add.at(name, of, mix(node.view(np.uint64), 5))
+    return name[of].view(np.int64)
 
 
 MEMBER = ["size", *PRINTS, "sketch"]
@@ -388,7 +381,7 @@ def similar_roots(docs: DataFrame, classes: DataFrame, text_col: str, words: int
     A first pass verifies a pair of each candidate with its least partner, and a forest of each dense cell; a second one
     all candidates that the links found leave in two components."""
     found = cut(candidates(classes.where("fp <> 0").select("fp", *PRINTS)))
-    sparse = cut(close_in_all(found.where("v IS NOT NULL").select("u", "v"), classes))
+    sparse = found.where("v IS NOT NULL").select("u", "v")
     dense = found.where("v IS NULL").select("cell", F.col("u").alias("fp"))
     nodes = sparse.select(F.col("u").alias("fp")).unionByName(sparse.select(F.col("v").alias("fp"))).unionByName(dense.select("fp")).distinct()
     needed = cut(classes.select("fp", F.col("first.key").alias("key"), *PRINTS).join(nodes, "fp", "left_semi"))
@@ -396,7 +389,6 @@ def similar_roots(docs: DataFrame, classes: DataFrame, text_col: str, words: int
     members = cut(dense.join(sets.select("fp", *MEMBER), "fp"))
     partner = sparse.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
     pairs = cut(partner.unionByName(dense_pairs(members, least)).distinct())
-    forget(found)
     links = cut(verified(pairs, sets, least))
     roots = cut(connected_components(links))
     apart = sparse.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
@@ -405,7 +397,7 @@ def similar_roots(docs: DataFrame, classes: DataFrame, text_col: str, words: int
     new = cut(verified(more, sets, least))
     if not new.isEmpty():  # a node and its root stand for the links found before
         roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(new))
-    return roots, [sets, sparse, needed, members, pairs, links, more, new]
+    return roots, [sets, found, needed, members, pairs, links, more, new]
 
 
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:

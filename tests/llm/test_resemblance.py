@@ -101,3 +101,41 @@ def test_a_link_that_alone_joins_two_groups(spark, monkeypatch):
     for i, j in linked:
         group = [group[j] if g == group[i] else g for g in group]
     assert resemblance.keep_one_similar(docs).count() == len(set(group))
+
+
+def copies_of_one(n, flips, seed=4):
+    """(node, prints) of near copies whose fingerprints differ from one another in a few bits of each."""
+    rng = np.random.default_rng(seed)
+    base, flip = rng.integers(0, 1 << 63, (4, 1), dtype=np.uint64), rng.integers(0, 64, (flips, 4, n)).astype(np.uint64)
+    return np.arange(1, n + 1, dtype=np.uint64), np.bitwise_xor.reduce(np.uint64(1) << flip, axis=0) ^ base
+
+
+def test_no_run_gives_more_rows_than_members():
+    """Short and long runs, all of near copies: pairs and members written together are no more than the run has rows."""
+    for n in (2, 3, 4, 10, 12, resemblance.SMALL, 2 * resemblance.SMALL):
+        node, prints = copies_of_one(n, 3)
+        a, b, dense = resemblance.run_candidates(np.full(n, 7), node, prints)
+        assert 0 < len(a) + len(dense) <= n, (n, len(a), len(dense))
+        assert {*a.tolist(), *b.tolist(), *node[dense].tolist()} == set(node.tolist())
+
+
+def test_rows_of_candidates_grow_with_the_group(spark):
+    """A group of twice the near copies gives at most a row per member and key, twice the rows or less."""
+    made = []
+    for n in (40, 80):
+        node, prints = copies_of_one(n, 1)
+        rows = [(int(i), *map(int, p)) for i, p in zip(node, prints.view(np.int64).T, strict=True)]
+        classes = spark.createDataFrame(rows, "fp long, f0 long, f1 long, f2 long, f3 long")
+        found = resemblance.candidates(classes).collect()
+        assert {r.u for r in found} | {r.v for r in found if r.v is not None} == set(range(1, n + 1))
+        assert all((r.v is None) != (r.cell is None) for r in found)
+        made.append(len(found))
+        assert len(found) <= n * resemblance.FAMILIES * resemblance.KEYS
+    assert made[1] <= 2.5 * made[0], made
+
+
+def test_cells_of_the_same_members_are_one(spark):
+    node, prints = copies_of_one(30, 0)
+    classes = spark.createDataFrame([(int(i), *map(int, p)) for i, p in zip(node, prints.view(np.int64).T, strict=True)], "fp long, f0 long, f1 long, f2 long, f3 long")
+    found = resemblance.candidates(classes).collect()
+    assert len(found) == 30 and len({r.cell for r in found}) == 1 and {r.u for r in found} == set(range(1, 31))
