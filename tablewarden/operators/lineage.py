@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from tablewarden.operators import graphs
 from tablewarden.session import cut, forget
 
+#: Ways that a task of ``lineage_paths`` may hold in a hash table.
+HASHED_WAYS = 250_000
+
 
 def oriented(edges: DataFrame, direction: str) -> DataFrame:
     """(at, to): the way to walk; ``down`` follows edges, ``up`` goes against them, ``both`` does either."""
@@ -214,19 +217,52 @@ def impact(edges: DataFrame, starts: DataFrame, transitive: bool = False) -> Dat
     return starts.select("source").distinct().join(counts, "source", "left").na.fill(0)
 
 
-def lineage_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> DataFrame:
+def lineage_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 10, text: str | None = None) -> DataFrame:
     """(source, node, depth, path): one row per simple way of up to ``max_depth`` hops upstream. Ways multiply where
-    they meet again, so the depth bound is part of the question."""
-    step = oriented(edges, "up").distinct()
-    paths = starts.select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("path"))
-    found = []
-    for depth in range(1, max_depth + 1):
-        joined = paths.join(step, paths["node"] == step["at"]).where(~F.array_contains("path", F.col("to")))
-        paths = joined.select("source", F.col("to").alias("node"), F.concat("path", F.array("to")).alias("path"))
-        found.append(paths.withColumn("depth", F.lit(depth)))
+    they meet again, so the depth bound is part of the question. With ``text`` the path is the nodes joined by it.
+
+    Ways of the first half of the hops are walked and written; a longer way is one of just as many hops, continued by a
+    way of the other half from the node where it ends, so the most frequent rows take one join and are never written."""
+    step = cut(oriented(edges, "up").where("at <> to").distinct())
+    half = max_depth // 2
+    heads = walked_ways(step, starts.select(F.col("source").alias("begin")).distinct(), half or max_depth, text)
+    begun = F.array("begin") if text is None else F.concat(F.col("begin").cast("string"), F.lit(text))
+    rest = "way" if text is None else "text"
+    found = [h.select(F.col("begin").alias("source"), "node", "depth", F.concat(begun, rest).alias("path")) for h in heads]
+    if half:
+        middle = heads[-1].where(F.size("way") == half)
+        tails = cut(reduce(DataFrame.unionByName, walked_ways(step, middle.select(F.col("node").alias("begin")).distinct(), max_depth - half, text)))
+        per_node = tails.groupBy("begin").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+        tails = tails.select(F.col("begin").alias("at"), "node", F.col("depth").alias("more"), F.col(rest).alias("rest"), F.col("way").alias("on"), F.array_min("way").alias("low"), F.array_max("way").alias("high"))
+        path = F.concat(begun, rest) if text is None else F.concat(begun, rest, F.lit(text))
+        middle = middle.select(F.col("begin").alias("source"), F.col("node").alias("at"), path.alias("path"), F.concat(F.array("begin"), "way").alias("way"))
+        middle = middle.withColumns({"least": F.array_min("way"), "most": F.array_max("way")})
+        if 0 < (per_node["most"] or 0) <= HASHED_WAYS:
+            # a hash table instead of a sort of both sides, of at most about HASHED_WAYS ways and those of one node more
+            parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-per_node["all"] // HASHED_WAYS))
+            middle, tails = middle.repartition(parts, "at"), tails.repartition(parts, "at").hint("shuffle_hash")
+        # no node twice: told by the ends of both halves where they lie apart, else node by node
+        apart = (F.col("high") < F.col("least")) | (F.col("low") > F.col("most")) | ~F.arrays_overlap("way", "on")
+        found.append(middle.join(tails, "at").where(apart).select("source", "node", (F.col("more") + half).alias("depth"), F.concat("path", "rest").alias("path")))
     return reduce(DataFrame.unionByName, found).select("source", "node", "depth", "path")
 
 
+def walked_ways(step: DataFrame, begins: DataFrame, hops: int, text: str | None) -> list[DataFrame]:
+    """(begin, node, depth, way) of each number of hops, written: the simple ways from each of ``begins`` (begin) along
+    (at, to); ``way`` is without its begin, and again as one ``text``."""
+    kind = dict(step.dtypes)["at"]
+    ways = begins.select("begin", F.col("begin").alias("node"), F.expr(f"CAST(array() AS array<{kind}>)").alias("way"), F.lit("").alias("text"))
+    found = []
+    for depth in range(1, hops + 1):
+        on = ways.join(step, ways["node"] == step["at"]).where((F.col("to") != F.col("begin")) & ~F.array_contains("way", F.col("to")))
+        name = F.lit(None).cast("string") if text is None else F.col("to").cast("string") if depth == 1 else F.concat_ws(text, "text", F.col("to").cast("string"))
+        ways = cut(on.select("begin", F.col("to").alias("node"), F.lit(depth).alias("depth"), F.concat("way", F.array("to")).alias("way"), name.alias("text")))
+        found.append(ways)
+        if ways.isEmpty():
+            break
+    return found or [ways.withColumn("depth", F.lit(0)).where("false")]
+
+
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: n_nodes, n_edges, n_duplicates, n_self_loops."""
     pairs = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))

@@ -160,7 +160,7 @@ def _(t):
     SELECT source, node, depth, path FROM walk WHERE depth > 0""",
 )
 def _(t):
-    return g.lineage_paths(t["edges"], t["starts"]).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
+    return g.lineage_paths(t["edges"], t["starts"], text=">")
 
 
 @plan("lin_stats", "SELECT (SELECT count(*) FROM {nodes}) AS n_nodes, count(*) AS n_edges, CAST(count(*) - count(DISTINCT (src, dst)) AS BIGINT) AS n_duplicates, count(*) FILTER (src = dst) AS n_self_loops FROM (SELECT p_partkey // 2 AS src, p_partkey AS dst FROM part UNION ALL SELECT p_partkey // 3, p_partkey FROM part)")

@@ -77,3 +77,30 @@ def test_compatible_mappings(spark):
     pairs = spark.createDataFrame([(4, 5), (6, 6), (4, 6), (1, 3), (1, 9)], "src int, dst int")
     inferred = {(r.src, r.dst): (r.mapping, r.reason) for r in p.infer_mapping(pairs, specs, without=None).collect()}
     assert inferred == {(4, 5): ("identity", None), (6, 6): ("identity", None), (4, 6): (None, "custom does not map to range"), (1, 3): ("aggregate", None), (1, 9): (None, "not partitioned")}
+
+
+def test_paths_are_joined_from_halves(spark):
+    """Simple ways on a graph with cycles, loops and repeated edges, against plain Python, as arrays and as texts."""
+    rng = random.Random(8)
+    pairs = [(rng.randrange(9), rng.randrange(9)) for _ in range(22)] + [(3, 3), (100, 4), (100, 4)]
+    into = {}
+    for a, b in set(pairs):
+        into.setdefault(b, []).append(a)
+    edges, starts = edges_of(spark, pairs), starts_of(spark, *range(9), 77)
+    for limit in (1, 2, 5, 6):
+        want, ways = [], [(s,) for s in range(9)]
+        for _ in range(limit):
+            ways = [(*w, a) for w in ways for a in into.get(w[-1], ()) if a not in w]
+            want += ways
+        found = g.lineage_paths(edges, starts, limit)
+        assert sorted((tuple(r.path), r.source, r.node, r.depth) for r in found.collect()) == sorted((w, w[0], w[-1], len(w) - 1) for w in want)
+        named = g.lineage_paths(edges, starts, limit, text=" > ").collect()
+        assert sorted(r.path for r in named) == sorted(" > ".join(map(str, w)) for w in want)
+
+
+def test_longest_paths_take_one_join(spark):
+    """All hops but those of the written halves are one join, however deep the bound."""
+    found = g.lineage_paths(edges_of(spark, [(n // 2, n) for n in range(2, 200)]), starts_of(spark, 190, 191), 10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sum(plan.count(name) for name in ("SortMergeJoin", "ShuffledHashJoin", "BroadcastHashJoin")) == 1
+    assert max(r.depth for r in found.collect()) == 7
