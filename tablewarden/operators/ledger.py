@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewarden.session import cut
 
+#: Jobs of a block of ``overlapping_backfills``, and meetings or cells of their square that a task holds at once.
+OVERLAP_BLOCK, OVERLAP_CELLS = 4096, 2_000_000
 ACTIVE = ("pending", "running", "resuming", "waiting_upstream", "paused")
 # The moves that the two state machines allow, and the states that a run does not leave.
 RUN_MOVES = (("pending", "running"), ("running", "succeeded"), ("running", "failed"), ("running", "cancelled"), ("running", "timeout"))
@@ -69,12 +76,66 @@ def enrich_with_default(facts: DataFrame, dim: DataFrame, on: str, defaults: dic
 
 
 def overlapping_backfills(jobs: DataFrame) -> DataFrame:
-    """(asset_id, a, b, n_keys): pairs of active jobs of one asset that share keys. Keys are the join key, so only jobs
-    that meet on a key are paired."""
-    keys = jobs.where(F.col("state").isin(*ACTIVE)).select("asset_id", "job_id", F.explode("partition_keys").alias("key")).distinct()
-    left, right = keys.withColumnRenamed("job_id", "a"), keys.withColumnRenamed("job_id", "b")
-    pairs = left.join(right, ["asset_id", "key"]).where("a < b")
-    return pairs.groupBy("asset_id", "a", "b").agg(F.count(F.lit(1)).alias("n_keys"))
+    """(asset_id, a, b, n_keys): pairs of active jobs of one asset that share keys.
+
+    Pairs are as many as the square of an asset's jobs, so they are made where they are counted and move nowhere: jobs
+    are dealt into blocks of about ``OVERLAP_BLOCK``, each two blocks of an asset are a cell, and what moves are the jobs
+    with their keys, once a block of their asset."""
+    jobs = jobs.where(F.col("state").isin(*ACTIVE) & F.col("asset_id").isNotNull() & F.col("job_id").isNotNull())
+    keys = jobs.select("asset_id", "job_id", F.explode("partition_keys").alias("key")).where("key IS NOT NULL")
+    keys = cut(keys.groupBy("asset_id", "job_id").agg(F.collect_set("key").alias("keys")))
+    blocks = keys.groupBy("asset_id").agg(F.ceil(F.greatest(F.count(F.lit(1)) / OVERLAP_BLOCK, F.sum(F.size("keys")) / OVERLAP_CELLS)).alias("_n"))
+    dealt = keys.join(blocks, "asset_id").withColumn("_block", F.expr("pmod(xxhash64(job_id), _n)"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    cell = {"_low": F.least("_block", "_other"), "_high": F.greatest("_block", "_other")}
+    by = ["asset_id", *cell]
+    # a cell's work is its square, so partitions are as many as cells and not as its bytes ask for
+    n_cells = blocks.agg(F.sum(F.expr("_n * (_n + 1) DIV 2"))).first()[0] or 1
+    parts = max(int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(n_cells, 1000))
+    cells = dealt.withColumns(cell).select(*by, "_block", "job_id", "keys").repartition(parts, *by)
+    out = T.StructType([T.StructField(n, jobs.schema[c].dataType) for n, c in (("asset_id", "asset_id"), ("a", "job_id"), ("b", "job_id"))])
+    return cells.groupBy(*by).applyInArrow(shared_keys, out.add("n_keys", "long"))
+
+
+def shared_keys(cell: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a cell's jobs with the number of keys that they share. A cell of two blocks pairs the jobs of one with those
+    of the other, a cell of one block all of its jobs. Counts are made for some jobs against all others at a time."""
+    table = pa.Table.from_batches(cell).sort_by([("_block", "ascending"), ("job_id", "ascending")]).combine_chunks()
+    n, asset, ids, lists = len(table), *(table[c].chunk(0) for c in ("asset_id", "job_id", "keys"))
+    cross = table["_low"][0] != table["_high"][0]
+    base = int(np.sum(table["_block"].to_numpy() == table["_low"][0].as_py())) if cross else 0
+    if cross and base in (0, n):
+        return
+    width, rank = n - base, np.empty(n, np.int64)
+    rank[pa.compute.sort_indices(ids).to_numpy()] = np.arange(n)
+    key = lists.flatten().dictionary_encode().indices.to_numpy()
+    job = np.repeat(np.arange(n), lists.value_lengths().to_numpy())
+    by_key = np.argsort(key, kind="stable")  # the jobs of a key in their order, one key after the other
+    mates = job[by_key]
+    ends = np.cumsum(np.bincount(key))
+    if base:  # from the first job of the other block on
+        start = (ends - np.bincount(key[job >= base], minlength=len(ends)))[key]
+        times = np.where(job < base, ends[key] - start, 0)
+    else:  # from the next job on
+        start = np.empty(len(key), np.int64)
+        start[by_key] = np.arange(1, len(key) + 1)
+        times = ends[key] - start
+    met = np.concatenate([[0], np.cumsum(times)])
+    rows = max(1, OVERLAP_CELLS // width)
+    for at in range(0, base or n, rows):
+        first, last = np.searchsorted(job, [at, min(at + rows, base or n)])
+        counts = np.zeros(rows * width, np.int64)
+        while first < last:
+            stop = min(max(int(np.searchsorted(met, met[first] + OVERLAP_CELLS, "right")) - 1, first + 1), last)
+            some = times[first:stop]
+            step = np.arange(met[stop] - met[first]) - np.repeat(met[first:stop] - met[first], some)
+            counts += np.bincount((np.repeat(job[first:stop], some) - at) * width + mates[np.repeat(start[first:stop], some) + step] - base, minlength=len(counts))
+            first = stop
+        hit = np.flatnonzero(counts)
+        left, right = hit // width + at, hit % width + base
+        turned = rank[left] > rank[right]
+        a, b = np.where(turned, right, left), np.where(turned, left, right)
+        yield pa.RecordBatch.from_pydict({"asset_id": asset.take(left), "a": ids.take(a), "b": ids.take(b), "n_keys": counts[hit]})
 
 
 def label_results(results: DataFrame, checks: DataFrame) -> DataFrame:

@@ -95,3 +95,26 @@ def test_one_key_with_a_third_of_all_rows(spark):
     ranked = ledger.backlog_rank(jobs, "2024-01-01 00:00:30").collect()
     order = sorted(ranked, key=lambda r: (r["class"], r.priority is None, -(r.priority or 0), r.execution_order, r.job_id))
     assert [r["rank"] for r in order] == list(range(1, len(order) + 1)) and len(order) == sum(s == "pending" for _, _, s in log)
+
+
+def test_overlaps_in_cells(spark, monkeypatch):
+    """Pairs of blocks find the pairs of all, each once, however small blocks and slices are; no pair is shuffled."""
+    rng = random.Random(6)
+    rows = [(j, rng.choice([1, 1, 1, 2, None]), rng.choice(["pending", "paused", "failed"]), [rng.choice(["x", None, *"abcdefghijk"]) for _ in range(rng.randrange(5))]) for j in range(150)]
+    rows += [(j + 1000, 3, "running", ["one"]) for j in range(3)] + [(2000, 3, "running", []), (2001, 4, "running", ["z"])] + rows[:9]
+    jobs = spark.createDataFrame(rows, "job_id long, asset_id int, state string, partition_keys array<string>")
+    keys = {}
+    for j, asset, state, found in rows:
+        if asset is not None and state != "failed":
+            keys.setdefault((asset, j), set()).update(k for k in found if k is not None)
+    want = sorted((x, a, b, len(keys[x, a] & keys[y, b])) for x, a in keys for y, b in keys if x == y and a < b and keys[x, a] & keys[y, b])
+    for block, cells in ((4096, 2_000_000), (7, 40), (1, 9)):
+        monkeypatch.setattr(ledger, "OVERLAP_BLOCK", block)
+        monkeypatch.setattr(ledger, "OVERLAP_CELLS", cells)
+        pairs = ledger.overlapping_backfills(jobs)
+        assert sorted(map(tuple, pairs.select("asset_id", "a", "b", "n_keys").collect())) == want
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInArrow" in plan and "HashAggregate(keys=[asset_id" not in plan.split("FlatMapGroupsInArrow")[0]
+    named = jobs.selectExpr("concat('j', job_id) AS job_id", "asset_id", "state", "partition_keys")
+    found = {tuple(r) for r in ledger.overlapping_backfills(named).select("asset_id", "a", "b", "n_keys").collect()}
+    assert found == {(x, *sorted((f"j{a}", f"j{b}")), n) for x, a, b, n in want}
