@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,6 +17,8 @@ from tablewarden.session import cut
 
 #: Jobs of a block of ``overlapping_backfills``, and meetings or cells of their square that a task holds at once.
 OVERLAP_BLOCK, OVERLAP_CELLS = 4096, 2_000_000
+#: Values of a group that ``ewma`` walks through at once where its chunks don't tell their average by themselves.
+EWMA_GATHER = 1 << 20
 ACTIVE = ("pending", "running", "resuming", "waiting_upstream", "paused")
 # The moves that the two state machines allow, and the states that a run does not leave.
 RUN_MOVES = (("pending", "running"), ("running", "succeeded"), ("running", "failed"), ("running", "cancelled"), ("running", "timeout"))
@@ -288,38 +291,56 @@ def with_previous(df: DataFrame, by: list[str], order: list[str], columns: list[
 
 
 def ewma(df: DataFrame, by: str, order: list[str], value: str, alpha: float = 0.3, chunk: int = 4096, initial: DataFrame | None = None) -> DataFrame:
-    """(by, ewma, n): e1 = x1, et = alpha * xt + (1 - alpha) * et-1, alpha held to [0.01, 1].
-
-    A step is the affine map e -> (1 - alpha) * e + alpha * x. Rows are numbered inside their group and cut into chunks
-    of ``chunk``; a chunk becomes one map (decay, offset), so what is gathered in a row is never more than a chunk, and
-    a group's few maps are then applied in order. ``initial`` (by, ewma, n), as this function returns it, resumes: only
-    new rows need be given, groups without new rows keep their value; an average without a count, or with count 0 or
-    less, is none. Null values are no observations."""
+    """(by, ewma, n): e1 = x1, et = alpha * xt + (1 - alpha) * et-1, alpha held to [0.01, 1], to the last bit as these
+    steps give it one after the other.
+
+    Rows are numbered inside their group and cut into chunks of ``chunk``, which are gathered as rows. A chunk forgets
+    what came before: a step rounds a larger average to none smaller, so where the least and the largest number lead
+    through a chunk to the same average, every average does. Only chunks after the last of those, and few that don't
+    forget, are walked in order, ``EWMA_GATHER`` values of a group at a time. ``initial`` (by, ewma, n), as this function
+    returns it, resumes: only new rows need be given, groups without new rows keep their value; an average without a
+    count, or with count 0 or less, is none. Null values are no observations; an infinite average stays."""
     alpha = min(max(alpha, 0.01), 1.0)
     rows = numbered(df.where(F.col(value).isNotNull()).select(by, *[c for c in order if c != by], F.col(value).cast("double").alias("_x")), by, order, "i")
     rows = rows.select(by, F.col("_x").alias("x"), "i").withColumn("c", F.expr(f"i DIV {chunk}"))
-    steps = F.array_sort(F.collect_list(F.struct("i", "x")))
-    start = F.struct(F.lit(1.0).alias("d"), F.lit(0.0).alias("o"))
-
-    def step(m: Column, s: Column) -> Column:
-        return F.struct((m["d"] * (1 - alpha)).alias("d"), (m["o"] * (1 - alpha) + alpha * s["x"]).alias("o"))
-
-    later = F.filter(steps, lambda s: s["i"] > 0)  # the first of a group is its first average
-    first = F.max(F.when(F.col("i") == 0, F.col("x")))
-    maps = rows.groupBy(by, "c").agg(F.aggregate(later, start, step).alias("m"), F.count(F.lit(1)).alias("n"), first.alias("x0"))
-    ordered = F.array_sort(F.collect_list(F.struct("c", "m")))
-    grouped = maps.groupBy(by).agg(ordered.alias("maps"), F.sum("n").alias("n"), F.max("x0").alias("x0"))
-
-    def last(e: Column) -> Column:
-        return F.aggregate("maps", e.cast("double"), lambda e, s: e * s["m"]["d"] + s["m"]["o"])
-
-    if initial is None:
-        return grouped.select(by, last(F.col("x0")).alias("ewma"), "n")
-    known = initial.where("n > 0 AND ewma IS NOT NULL").select(F.col(by).alias("_by"), F.col("ewma").alias("_e"), F.col("n").alias("_n"))
-    both = grouped.join(known, grouped[by].eqNullSafe(known["_by"]), "full")
-    begun = alpha * F.col("x0") + (1 - alpha) * F.col("_e")
-    value_now = F.when(F.col("maps").isNull(), F.col("_e")).when(F.col("_e").isNull(), last(F.col("x0"))).otherwise(last(begun))
-    return both.select(F.coalesce(by, "_by").alias(by), value_now.alias("ewma"), (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"))
+    sorted_x = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])
+    chunks = rows.groupBy(by, "c").agg(sorted_x.alias("xs"), F.count(F.lit(1)).alias("n"))
+    known = None
+    begun, past = F.col("xs")[0], F.lit(0.0)
+    if initial is not None:
+        known = initial.where("n > 0 AND ewma IS NOT NULL").select(F.col(by).alias("_by"), F.col("ewma").alias("_e"), F.col("n").alias("_n"))
+        chunks = chunks.join(known.drop("_n"), chunks[by].eqNullSafe(F.col("_by")) & (F.col("c") == 0), "left").drop("_by")
+        begun = F.when(F.col("_e").isNull(), begun).otherwise(alpha * F.col("xs")[0] + (1 - alpha) * F.col("_e"))
+        past = F.coalesce("_e", F.lit(0.0))
+
+    def walk(xs: Column, e: Column) -> Column:
+        return F.aggregate(xs, e.cast("double"), lambda e, x: F.lit(alpha) * x + F.lit(1 - alpha) * e)
+
+    def endless(x: Column) -> Column:
+        return F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(0.0)
+
+    least, largest = (walk(F.col("xs"), F.lit(end)) for end in (-sys.float_info.max, sys.float_info.max))
+    first = walk(F.slice("xs", 2, chunk), begun)
+    told = F.when(F.col("c") == 0, first).when(least == largest, least)
+    chunks = chunks.withColumns({"told": told, "endless": F.aggregate("xs", F.when(F.col("c") == 0, endless(past)).otherwise(0.0), lambda s, x: s + endless(x))})
+    chunks = cut(chunks.select(by, "c", "told", "endless", "n", F.when(F.col("told").isNull(), F.col("xs")).alias("xs")))
+    last = F.max(F.when(F.col("told").isNotNull(), F.struct("c", "told")))
+    groups = chunks.groupBy(by).agg(last.alias("last"), F.max("c").alias("top"), F.sum("n").alias("n"), F.sum("endless").alias("endless"))
+    groups = groups.select(by, (F.col("last.c") + 1).alias("at"), F.col("last.told").alias("e"), "top", "n", "endless")
+    left, step = groups.agg(F.max(F.col("top") + 1 - F.col("at"))).first()[0] or 0, max(1, EWMA_GATHER // chunk)
+    for _ in range(0, left, step):
+        untold = chunks.where("told IS NULL").select(F.col(by).alias("_by"), "c", "xs")
+        part = untold.join(groups.select(by, "at", "e"), F.col(by).eqNullSafe(F.col("_by")) & (F.col("c") >= F.col("at")) & (F.col("c") < F.col("at") + step))
+        in_order = F.transform(F.array_sort(F.collect_list(F.struct("c", "xs"))), lambda s: s["xs"])
+        moved = part.groupBy("_by", "e").agg(in_order.alias("xs")).select("_by", walk(F.flatten("xs"), F.col("e")).alias("_moved"))
+        groups = groups.join(moved, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+        groups = groups.withColumns({"e": F.coalesce("_moved", "e"), "at": F.col("at") + step}).drop("_moved")
+        groups = cut(groups) if left > step else groups
+    groups = groups.select(by, F.when(F.col("endless") == 0, F.col("e")).otherwise(F.col("endless")).alias("ewma"), "n")
+    if known is None:
+        return groups
+    both = groups.join(known, groups[by].eqNullSafe(known["_by"]), "full")
+    return both.select(F.coalesce(by, "_by").alias(by), F.coalesce("ewma", "_e").alias("ewma"), (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"))
 
 
 def eta_columns(remaining: Column, average_ms: Column, n: Column) -> dict[str, Column]:

@@ -197,7 +197,7 @@ def _(t):
 def _(t):
     averages = l.ewma(t["parts"].where("state = 'completed'"), "job_id", ["updated_at", "part_id"], "duration_ms", 0.5)
     out = l.eta(l.job_progress(t["parts"]), averages, "2001-08-02 00:00:00")
-    return out.select("job_id", "remaining", F.floor(F.col("seconds_left") + 0.1371).alias("seconds_left"), "reliable", F.round("per_minute", 9).alias("per_minute"))
+    return out.select("job_id", "remaining", F.floor(F.col("seconds_left") + 0.1371).alias("seconds_left"), "reliable", (F.round(F.col("per_minute") * 1e9) / 1e9).alias("per_minute"))
 
 
 AS_OF = "2001-07-01 00:00:00"

@@ -118,3 +118,27 @@ def test_overlaps_in_cells(spark, monkeypatch):
     named = jobs.selectExpr("concat('j', job_id) AS job_id", "asset_id", "state", "partition_keys")
     found = {tuple(r) for r in ledger.overlapping_backfills(named).select("asset_id", "a", "b", "n_keys").collect()}
     assert found == {(x, *sorted((f"j{a}", f"j{b}")), n) for x, a, b, n in want}
+
+
+def test_ewma_is_that_of_single_steps(spark, monkeypatch):
+    """Bit by bit the average of one step after the other, whatever the chunks, over long and resumed groups; the 1 GB
+    row whose ninth digit an ulp decides."""
+    rng = random.Random(4)
+    prices = [481821.71, 487458.88, 309740.86, 355345.96, 384229.83]
+    long = [rng.uniform(900, 500_000) for _ in range(3000)]
+    values = {"prices": prices, "long": long, "flat": [0.1] * 700, None: long[:50], "endless": [1.0, float("inf"), *long[:40]], "odd": [float("inf"), 2.0, float("-inf"), 1.0]}
+    rows = [(k, i, v) for k, xs in values.items() for i, v in enumerate(xs)]
+    df = spark.createDataFrame(rows, "k string, i int, v double").persist()
+
+    def steps(xs, alpha, e=None):
+        for x in xs:
+            e = x if e is None else alpha * x + (1 - alpha) * e
+        return e
+
+    for alpha, chunk, gather in ((0.5, 4096, 1 << 20), (0.5, 2, 1 << 20), (0.3, 500, 1000), (0.05, 200, 400)):
+        monkeypatch.setattr(ledger, "EWMA_GATHER", gather)
+        want = {k: repr(steps(xs, alpha)) for k, xs in values.items()}
+        assert {r.k: repr(r.ewma) for r in ledger.ewma(df, "k", ["i"], "v", alpha, chunk).collect()} == want
+        before = ledger.ewma(df.where("i < 3"), "k", ["i"], "v", alpha, chunk)
+        assert {r.k: repr(r.ewma) for r in ledger.ewma(df.where("i >= 3"), "k", ["i"], "v", alpha, chunk, before).collect()} == want
+    assert round(60000 / steps(prices, 0.5), 9) == 0.157791321
