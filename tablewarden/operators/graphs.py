@@ -8,11 +8,13 @@ with an edge of each node to itself that keeps its row, so a step refers to the
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablewarden.session import cut, forget
+from tablewarden.session import cut, delete, forget, scratch_path
 
 #: Steps of a walk that are planned and run together between two written rounds.
 STEPS_A_ROUND = 6
@@ -159,6 +161,40 @@ def longest_outside(step: DataFrame) -> DataFrame:
     return out.unionByName(heads.join(inner, "head").select("node", (F.col("level") + F.col("hops")).alias("level")))
 
 
+def levels_of(step: DataFrame) -> DataFrame | None:
+    """(node, level) of every node of (at, to), written, so that edges lead to larger levels only; null if there is a cycle."""
+    try:
+        return cut(longest_outside(step))
+    except ValueError:
+        return None
+
+
+def by_levels(first: DataFrame, hops: DataFrame, levels: DataFrame, merge: Callable[[DataFrame], DataFrame], move: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows carried along the edges of an acyclic graph, each node's at once: ``first`` (node, ...) and what ``move`` makes
+    of merged rows joined with ``hops`` (at, to, ...) wait by the level of their node; when its turn comes, all have
+    arrived, ``merge`` makes one written table of them, and they are carried on. So nothing is asked twice and no round looks at
+    those before. Returns the merged rows of all nodes."""
+    spark = first.sparkSession
+    known, waiting = scratch_path(spark, "hops"), scratch_path(spark, "waiting")
+    level = lambda name: levels.select(F.col("node").alias(name), F.col("level").alias(f"level_{name}"))
+    # both levels of an edge by two joins of edges, so that a level's rows need no join to learn their next level
+    hops.join(level("at"), "at").join(level("to"), "to").write.partitionBy("level_at").parquet(known)
+    hop_type = T.StructType([*hops.schema.fields, T.StructField("level_to", T.IntegerType()), T.StructField("level_at", T.IntegerType())])
+    begun = first.join(levels, "node")
+    begun.write.partitionBy("level").parquet(waiting)
+    row_type = T.StructType([*[f for f in begun.schema.fields if f.name != "level"], T.StructField("level", T.IntegerType())])
+    out = []
+    for now in range((levels.agg(F.max("level")).first()[0] or 0) + 1):
+        here = spark.read.schema(row_type).parquet(waiting).where(F.col("level") == now).drop("level")
+        found = merge(here)
+        out.append(found)
+        on = spark.read.schema(hop_type).parquet(known).where(F.col("level_at") == now).drop("level_at")
+        moved = move(found.join(on, found["node"] == on["at"]).drop("node", "at"))
+        moved.withColumnsRenamed({"to": "node", "level_to": "level"}).select(*[f.name for f in row_type]).write.mode("append").partitionBy("level").parquet(waiting)
+        delete(spark, f"{waiting}/level={now}")
+    return reduce(DataFrame.unionByName, out)
+
+
 def deep(step: DataFrame) -> bool:
     """Whether at least half of the nodes are inside of chains: then contraction pays."""
     ends = step.select(F.col("at").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(step.select(F.col("to").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))

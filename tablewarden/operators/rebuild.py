@@ -8,11 +8,13 @@ are one row as well."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewarden.functions.keys import GRAINS, STEPS, key_end, key_start, partition_key
+from tablewarden.operators import graphs
 from tablewarden.session import cut, forget
 
 _TRUNC = {"hourly": "HOUR", "daily": "DAY", "weekly": "WEEK", "monthly": "MONTH", "yearly": "YEAR"}
@@ -39,13 +41,30 @@ def steps(grain: Column, n: Column) -> Column:
 
 
 def later(moment: str, by: str) -> Column:
-    """A moment moved by a struct of ``steps``."""
-    return F.col(moment) + F.make_interval(**{name: F.col(f"{by}.{name}") for name in ("months", "days", "hours")})
+    """A moment moved by a struct of ``steps``; most edges move by none."""
+    parts = {name: F.col(f"{by}.{name}") for name in ("months", "days", "hours")}
+    none = reduce(lambda a, b: a & b, [c == 0 for c in parts.values()])
+    return F.when(none, F.col(moment)).otherwise(F.col(moment) + F.make_interval(**parts))
+
+
+def by_unit(unit: str, hour: str, rest: dict[str, str]) -> Column:
+    """SQL of each unit; whole days are moved as dates."""
+    days = " ".join(f"WHEN '{name}' THEN CAST({text} AS TIMESTAMP_NTZ)" for name, text in rest.items())
+    return F.expr(f"CASE {unit} WHEN 'HOUR' THEN {hour} {days} END")
 
 
 def floor_to(moment: str, unit: str) -> Column:
     """Start of the partition that holds a moment; the unit may differ by row."""
-    return F.expr(f"CAST(date_trunc({unit}, {moment}) AS TIMESTAMP_NTZ)")
+    day = f"CAST({moment} AS DATE)"
+    rest = {"DAY": day} | {u: f"trunc({day}, '{u}')" for u in ("WEEK", "MONTH", "YEAR")}
+    return by_unit(unit, f"CAST(date_trunc('HOUR', {moment}) AS TIMESTAMP_NTZ)", rest)
+
+
+def after(start: str, unit: str) -> Column:
+    """Start of the partition after the one that starts there."""
+    day = f"CAST({start} AS DATE)"
+    rest = {"DAY": f"date_add({day}, 1)", "WEEK": f"date_add({day}, 7)", "MONTH": f"add_months({day}, 1)", "YEAR": f"add_months({day}, 12)"}
+    return by_unit(unit, f"{start} + INTERVAL 1 HOUR", rest)
 
 
 def key_range(ranges: DataFrame, grain: str) -> DataFrame:
@@ -79,8 +98,9 @@ def upstream_ranges(targets: DataFrame, edges: DataFrame, specs: DataFrame, max_
     keeps the time; then the range is widened to whole partitions of src, which is the identity for equal grains and an
     aggregation where they nest. What a node without partitions needs or gives is open on both sides.
 
-    Breadth first: a round carries the ranges that the rounds before haven't covered yet, so what several ways ask of a
-    node is carried once, and a graph with cycles ends as soon as nothing new is asked. A window on a cycle asks for more
+    Where edges have no cycle and ``max_depth`` is null, nodes take turns by their level, so that each is asked once.
+    Otherwise breadth first: a round carries the ranges that the rounds before haven't covered yet, so what several ways
+    ask of a node is carried once, and a graph with cycles ends as soon as nothing new is asked. A window on a cycle asks for more
     in every round: bound it by ``max_depth``. ``depth`` is the smallest number of hops to the node. The target itself is
     never among its nodes."""
     known_columns = {"mapping": "string", "n": "int"}
@@ -90,18 +110,19 @@ def upstream_ranges(targets: DataFrame, edges: DataFrame, specs: DataFrame, max_
     hops = hops.join(grains.select(F.col("node").alias("dst"), F.col("grain").alias("down")), "dst", "left")
     moves = {"back": F.when(F.col("mapping") == "window", 1 - F.col("n")).when(F.col("mapping") == "offset", F.col("n")), "on": F.when(F.col("mapping") == "offset", F.col("n"))}
     moves = {name: steps(F.col("down"), n) for name, n in moves.items()}
-    hops = cut(hops.select("src", "dst", unit(F.col("up")).alias("unit"), steps(F.col("up"), F.lit(1)).alias("one"), *[c.alias(n) for n, c in moves.items()]))
+    hops = cut(hops.select("src", "dst", unit(F.col("up")).alias("unit"), *[c.alias(n) for n, c in moves.items()]))
     start = targets.join(grains.withColumnRenamed("node", "target"), "target", "left")
     start = key_range(start, "grain").select("target", F.col("target").alias("node"), "first", "last")
+    levels = graphs.levels_of(hops.select(F.col("dst").alias("at"), F.col("src").alias("to")).distinct()) if max_depth is None else None
+    if levels is not None:
+        return ranges_by_levels(start, hops, levels)
     by = ["target", "node"]
     frontier = cut(merge_ranges(start, by))
     known, depth = None, 0
     while max_depth is None or depth < max_depth:
         depth += 1
         asked = frontier.join(hops, F.col("node") == F.col("dst")).where(F.col("src") != F.col("target"))
-        asked = asked.select("target", F.col("src").alias("node"), "unit", "one", later("first", "back").alias("first"), later("last", "on").alias("end"))
-        asked = asked.select("target", "node", "one", "end", floor_to("first", "unit").alias("first"), floor_to("end", "unit").alias("low"))
-        asked = asked.select("target", "node", "first", F.when(F.col("low") < F.col("end"), later("low", "one")).otherwise(F.col("low")).alias("last"))
+        asked = carried(asked.withColumn("node", F.col("src")), "target", "node")
         asked = merge_ranges(asked, by)
         if known is not None:
             have = known.select("target", "node", F.col("first").alias("have_first"), F.col("last").alias("have_last"))
@@ -124,6 +145,35 @@ def upstream_ranges(targets: DataFrame, edges: DataFrame, specs: DataFrame, max_
     return known.drop("depth").join(nearest, by)
 
 
+def carried(asked: DataFrame, *kept: str) -> DataFrame:
+    """(kept, first, last): ranges (first, last) of a node moved along the edge (unit, back, on) beside them."""
+    asked = asked.select(*kept, "unit", later("first", "back").alias("first"), later("last", "on").alias("end"))
+    asked = asked.select(*kept, "unit", "end", floor_to("first", "unit").alias("first"), floor_to("end", "unit").alias("low"))
+    return asked.select(*kept, "first", F.when(F.col("low") < F.col("end"), after("low", "unit")).otherwise(F.col("low")).alias("last"))
+
+
+def ranges_by_levels(start: DataFrame, hops: DataFrame, levels: DataFrame) -> DataFrame:
+    """``upstream_ranges`` of an acyclic graph."""
+    by, ends = ["target", "node"], {"first": OPEN_FIRST, "last": OPEN_LAST}
+
+    def merge(rows: DataFrame) -> DataFrame:
+        closed = rows.withColumns({c: F.coalesce(c, F.lit(v).cast("timestamp_ntz")) for c, v in ends.items()})
+        spans = closed.groupBy(*by).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("first").alias("late"), F.min("last").alias("early"), F.min("depth").alias("depth"))
+        # ranges that all share a point, or touch in it, are one; others are merged in their order
+        spans = cut(spans)
+        apart = spans.where("late > early").select(*by, "depth")
+        one = spans.where("late <= early").select(*by, "depth", *[F.nullif(F.col(c), F.lit(v).cast("timestamp_ntz")).alias(c) for c, v in ends.items()])
+        if apart.isEmpty():
+            return one
+        return one.unionByName(cut(merge_ranges(rows.drop("depth").join(apart, by), [*by, "depth"])))
+
+    first = start.withColumn("depth", F.lit(0))
+    move = lambda on: carried(on.withColumn("depth", F.col("depth") + 1), "target", "to", "depth", "level_to")
+    edges = hops.withColumnsRenamed({"dst": "at", "src": "to"})
+    found = graphs.by_levels(first, edges, levels, merge, move)
+    return found.where("depth > 0").select(*by, "first", "last", "depth")
+
+
 def named(ranges: DataFrame, specs: DataFrame) -> DataFrame:
     """Adds start_key and end_key, inclusive keys of the node's grain; null where a range is open."""
     keyed = ranges.join(specs.select("node", "grain"), "node", "left")

@@ -1,5 +1,9 @@
 """Ranges carried through composed mappings."""
 
+import random
+
+import pytest
+
 from tablewarden.operators import rebuild as r
 
 
@@ -61,3 +65,26 @@ def test_several_ranges_of_a_target_and_keys(spark):
     keys = r.rebuild_keys(t, e, frame(spark, SPECS, "node string, grain string"), done).collect()
     assert len(keys) == 1 + 29 + 30 and {(k.target, k.node, k.execution_order) for k in keys} == {("month", "day", 0)}
     assert min(k.key for k in keys) == "2024-01-31"
+
+
+def test_levels_ask_each_node_once(spark, monkeypatch):
+    """A graph without cycles is walked by levels: the same ranges as breadth first, and no round merges those before."""
+    rng = random.Random(5)
+    kinds = [("identity", None), ("window", 3), ("offset", -2), ("offset", 400), (None, None)]
+    nodes = [f"n{i:02}" for i in range(24)]
+    specs = [(n, rng.choice(["hourly", "daily", "weekly", "monthly", "yearly", None] if i else ["daily"])) for i, n in enumerate(nodes)]
+    edges = [(nodes[j], nodes[i], *rng.choice(kinds)) for i in range(23) for j in rng.sample(range(i + 1, 24), min(3, 23 - i))] + [("n05", "n05", None, None)]
+    form = {"hourly": "2024-02-29 13:00:00", "daily": "2024-02-29", "weekly": "2024-W09", "monthly": "2024-02", "yearly": "2024", None: None}
+    asked = [(n, form[g], form[g]) for n, g in specs[:6]] + [("n00", "2024-05-01", "2024-05-03"), ("nowhere", "2024", "2024")]
+    t, e, s = frame(spark, asked, "target string, start_key string, end_key string"), frame(spark, edges, "src string, dst string, mapping string, n int"), frame(spark, specs, "node string, grain string")
+    rows = lambda depth: sorted((str(tuple(x)) for x in r.rebuild_ranges(t, e, s, depth).collect()))
+    want = rows(100)
+    merged, merge = [], r.merge_ranges
+    monkeypatch.setattr(r, "merge_ranges", lambda *a, **k: merged.append(1) or merge(*a, **k))
+    assert rows(None) == want and len(want) > 60
+    assert len(merged) < 24  # at most one a level, for ranges that lie apart; breadth first takes two a round
+    monkeypatch.undo()
+    chain = [(f"c{i + 1}", f"c{i}", None, None) for i in range(6)]
+    monkeypatch.setattr(r, "merge_ranges", lambda *a, **k: pytest.fail("merged"))
+    assert len(ranges(spark, [("c0", "2024-01-05", "2024-01-05")], chain, [(f"c{i}", "daily") for i in range(7)])) == 6
+    assert ranges(spark, [], chain, [("c0", "daily")]) == []
