@@ -87,8 +87,9 @@ def _(t):
     SELECT user_id, round(arg_max(e, i), 6) AS ewma, max(i) AS n FROM e GROUP BY user_id""",
 )
 def _(t):
-    out = s.run_available(s.running_ewma(s.event_stream(t.spark, t["events"]).select("user_id", "ts", "event_id", "value"), "user_id"))
-    return out.groupBy("user_id").agg(F.round(F.max_by("ewma", "n"), 6).alias("ewma"), F.max("n").alias("n"))
+    path, rows = scratch_path(t.spark, "averages"), t["events"].select("user_id", "ts", "event_id", "value")
+    s.run_available(s.event_stream(t.spark, rows), each=s.ewma_batches(path, "user_id"))
+    return s.newest_averages(t.spark, path, rows.schema["user_id"]).select("user_id", F.round("ewma", 6).alias("ewma"), "n")
 
 
 @plan(

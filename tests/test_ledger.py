@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.operators import ledger, observe
 from tablewarden.plans.base import Tables
+from tablewarden.session import scratch_path
 from tablewarden.streaming import jobs as s
 
 DATA = "/root/testdata/sf0.001"
@@ -142,3 +143,27 @@ def test_ewma_is_that_of_single_steps(spark, monkeypatch):
         before = ledger.ewma(df.where("i < 3"), "k", ["i"], "v", alpha, chunk)
         assert {r.k: repr(r.ewma) for r in ledger.ewma(df.where("i >= 3"), "k", ["i"], "v", alpha, chunk, before).collect()} == want
     assert round(60000 / steps(prices, 0.5), 9) == 0.157791321
+
+
+def test_averages_of_batches(spark):
+    """Averages go on from batch to batch as one series of steps; keys without a value have none; no call a key."""
+    rows = [(u, u * 7 + 500 * i, 10 * u + i, float(u + i * i)) for u in range(60) for i in range(1 + u % 9)] + [(500, 1, 1, None), (None, 2, 2, 4.0), (None, 2999, 3, 6.0)]
+    events = spark.createDataFrame(rows, "user_id long, s long, event_id long, value double").selectExpr("user_id", "timestamp_seconds(s) AS ts", "event_id", "value")
+    want = {}
+    for u, _, _, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        e, n = want.get(u, (None, 0))
+        want[u] = (e, n) if v is None else (v if e is None else 0.3 * v + 0.7 * e, n + 1)
+    path = scratch_path(spark, "averages")
+    each, batches = s.ewma_batches(path, "user_id"), []
+
+    def noted(batch, number):
+        batches.append(number)
+        each(batch, number)
+        if number == 1:
+            each(batch, number)  # run again
+
+    s.run_available(s.event_stream(spark, events, files=4), each=noted)
+    assert len(batches) > 2
+    found = s.newest_averages(spark, path, events.schema["user_id"])
+    assert {r.user_id: (r.ewma, r.n) for r in found.collect()} == want
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
