@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tablewarden.operators import graphs
 from tablewarden.session import cut, forget
 
+#: Levels up to which a closure takes nodes by level; deeper graphs are doubled or walked.
+SHALLOW = 64
 #: Ways that a task of ``lineage_paths`` may hold in a hash table.
 HASHED_WAYS = 250_000
 
@@ -82,6 +84,22 @@ def walked(step: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFram
     return reduce(DataFrame.unionByName, found)
 
 
+def shallow_levels(step: DataFrame, seeds: DataFrame) -> DataFrame | None:
+    """Levels (node, level) of (at, to) where ``seeds`` (source) are at least half of its nodes and it has no cycle and few
+    levels: then all closures are made node by node, each pair once; else null."""
+    if 2 * seeds.select("source").distinct().count() < step.select("at").distinct().count():
+        return None
+    levels = graphs.levels_of(step)
+    return None if levels is None or (levels.agg(F.max("level")).first()[0] or 0) > SHALLOW else levels
+
+
+def closure(step: DataFrame, levels: DataFrame) -> DataFrame:
+    """(source, node, depth) of all nodes of (at, to), which has ``levels``."""
+    first = step.select(F.col("at").alias("source"), F.col("to").alias("node"), F.lit(1).alias("depth"))
+    merge = lambda rows: cut(rows.groupBy("source", "node").agg(F.min("depth").alias("depth")))
+    return graphs.by_levels(first, step, levels, merge, lambda on: on.withColumn("depth", F.col("depth") + 1))
+
+
 def neighbours(edges: DataFrame, starts: DataFrame, direction: str) -> DataFrame:
     """(source, node): direct neighbours."""
     step = oriented(edges, direction)
@@ -110,8 +128,15 @@ def neighbourhood(edges: DataFrame, starts: DataFrame, max_depth: int | None = N
 def full_lineage(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """source, n_upstream, max_upstream, n_downstream, max_downstream (zeros where there is none)."""
     out = starts.select("source").distinct()
-    for direction, name in (("up", "upstream"), ("down", "downstream")):
-        side = expand(edges, starts, direction).groupBy("source").agg(F.count(F.lit(1)).alias(f"n_{name}"), F.max("depth").alias(f"max_{name}"))
+    step = cut(oriented(edges, "up").where("at <> to").distinct())
+    levels = shallow_levels(step, out)
+    if levels is not None:  # what is upstream of one is downstream of the other
+        reach = closure(step, levels)
+        sides = {"upstream": reach, "downstream": reach.select(F.col("node").alias("source"), "depth")}
+    else:
+        sides = {name: expand(edges, starts, way) for way, name in (("up", "upstream"), ("down", "downstream"))}
+    for name, reach in sides.items():
+        side = reach.groupBy("source").agg(F.count(F.lit(1)).alias(f"n_{name}"), F.max("depth").alias(f"max_{name}"))
         out = out.join(side, "source", "left")
     return out.na.fill(0)
 

@@ -104,3 +104,50 @@ def test_longest_paths_take_one_join(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert sum(plan.count(name) for name in ("SortMergeJoin", "ShuffledHashJoin", "BroadcastHashJoin")) == 1
     assert max(r.depth for r in found.collect()) == 7
+
+
+def ways_down(pairs, nodes):
+    """Shortest ways from each node as {(a, b): nodes}, ties to the smaller parents, counted from the end."""
+    into = {}
+    for a, b in set(pairs):
+        into.setdefault(b, set()).add(a)
+    near = {}
+    for a, b in set(pairs):
+        near.setdefault(a, set()).add(b)
+    out = {}
+    for s in nodes:
+        depth, queue = {s: 0}, deque([s])
+        while queue:
+            n = queue.popleft()
+            for m in near.get(n, ()):
+                if m not in depth:
+                    depth[m] = depth[n] + 1
+                    queue.append(m)
+        for b in depth:
+            way = [b]
+            while way[0] != s:
+                way.insert(0, min(p for p in into[way[0]] if depth.get(p) == depth[way[0]] - 1))
+            out[s, b] = way
+    return out
+
+
+def layered(rng, n):
+    """Edges without a cycle whose ids are in no order of their levels."""
+    ids = rng.sample(range(100, 100 + n), n)
+    return ids, [(ids[i], ids[j]) for j in range(1, n) for i in rng.sample(range(j), min(j, rng.randrange(4)))] + [(ids[0], ids[0])]
+
+
+def test_both_ways_from_one_closure(spark, monkeypatch):
+    ids, pairs = layered(random.Random(1), 40)
+    want = {}
+    for (a, b), way in ways_down(pairs, ids).items():
+        for row, at in ((a, 2), (b, 0)):
+            x = want.setdefault(row, [0, 0, 0, 0])
+            x[at], x[at + 1] = x[at] + (a != b), max(x[at + 1], len(way) - 1)
+    edges, starts = edges_of(spark, pairs), starts_of(spark, *ids[:-3])
+    monkeypatch.setattr(g, "expand", lambda *_: pytest.fail("walked once more"))
+    found = {r.source: [r.n_upstream, r.max_upstream, r.n_downstream, r.max_downstream] for r in g.full_lineage(edges, starts).collect()}
+    assert found == {n: want[n] for n in ids[:-3]}
+    monkeypatch.undo()
+    ring = edges_of(spark, [(1, 2), (2, 3), (3, 1), (3, 4)])
+    assert {r.source: (r.n_upstream, r.n_downstream) for r in g.full_lineage(ring, starts_of(spark, 1, 2, 3, 4)).collect()} == {1: (2, 3), 2: (2, 3), 3: (2, 3), 4: (3, 0)}
