@@ -157,9 +157,14 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Jump pointers (source, node) to the node 2**k hops back are joined with themselves, level by level, up to the longest
     way that is asked for. From the ends of all pairs they then lead to all nodes between, the longest jumps first: a way
-    of 1,000 hops takes ten rounds each."""
-    reach = expand(edges, pairs.select(F.col("a").alias("source")), "down")
+    of 1,000 hops takes ten rounds each. With many pairs on a graph of few levels only nodes between the levels of a pair
+    are visited instead."""
     asked = pairs.select("a", "b").distinct()
+    step = cut(oriented(edges, "up").where("at <> to").distinct())
+    levels = shallow_levels(step, pairs.select(F.col("a").alias("source")))
+    if levels is not None:
+        return paths_between(step, levels, cut(asked))
+    reach = expand(edges, pairs.select(F.col("a").alias("source")), "down")
     far = asked.join(reach.select(F.col("source").alias("a"), F.col("node").alias("b"), "depth"), ["a", "b"], "left")
     far = cut(far.select("a", "b", F.col("b").alias("at"), F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("depth")).alias("depth")))
     points = cut(far.where("depth IS NOT NULL"))
@@ -179,6 +184,23 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return far.select("a", "b").join(paths, ["a", "b"], "left")
 
 
+def paths_between(step: DataFrame, levels: DataFrame, asked: DataFrame) -> DataFrame:
+    """``shortest_paths`` by levels, from b up along (at, to): a way never comes to a below a's level, so others end there.
+    Of the ways from b to a node the shortest goes on, of ties the first in order of their nodes."""
+    top = levels.select(F.col("node").alias("a"), F.col("level").alias("top"))
+    way = F.struct(F.lit(0).alias("depth"), F.array("b").alias("nodes"))
+    low = levels.select(F.col("node").alias("b"), F.col("level").alias("low"))
+    first = asked.join(top, "a").join(low, "b").where("low < top").select("a", "b", "top", F.col("b").alias("node"), way.alias("way"))
+
+    def move(on: DataFrame) -> DataFrame:
+        on = on.where((F.col("level_to") < F.col("top")) | (F.col("to") == F.col("a")))
+        return on.withColumn("way", F.struct((F.col("way.depth") + 1).alias("depth"), F.concat("way.nodes", F.array("to")).alias("nodes")))
+
+    found = graphs.by_levels(first, step, levels, lambda rows: cut(rows.groupBy("a", "b", "top", "node").agg(F.min("way").alias("way"))), move)
+    paths = found.where("node = a").select("a", "b", F.reverse("way.nodes").alias("path"))
+    return asked.join(paths, ["a", "b"], "left").select("a", "b", F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.col("path")).alias("path"))
+
+
 def common(edges: DataFrame, pairs: DataFrame, direction: str) -> DataFrame:
     """(a, b, node): nodes in the closures of both a and b, ``up`` for ancestors, ``down`` for descendants."""
     seeds = pairs.select(F.col("a").alias("source")).unionByName(pairs.select(F.col("b").alias("source")))

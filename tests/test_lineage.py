@@ -151,3 +151,13 @@ def test_both_ways_from_one_closure(spark, monkeypatch):
     monkeypatch.undo()
     ring = edges_of(spark, [(1, 2), (2, 3), (3, 1), (3, 4)])
     assert {r.source: (r.n_upstream, r.n_downstream) for r in g.full_lineage(ring, starts_of(spark, 1, 2, 3, 4)).collect()} == {1: (2, 3), 2: (2, 3), 3: (2, 3), 4: (3, 0)}
+
+
+def test_paths_visit_nodes_between_their_ends(spark, monkeypatch):
+    ids, pairs = layered(random.Random(2), 30)
+    want = ways_down(pairs, ids)
+    edges, every = edges_of(spark, pairs), [(a, b) for a in [*ids, 7] for b in [*ids, 7]]
+    asked = spark.createDataFrame(every + every[:3] + [(None, ids[0])], "a long, b long")
+    monkeypatch.setattr(g, "expand", lambda *_: pytest.fail("all closures"))
+    found = {(r.a, r.b): r.path for r in g.shortest_paths(edges, asked).collect()}
+    assert found == {p: want.get(p, [7] if p == (7, 7) else None) for p in every} | {(None, ids[0]): None}
