@@ -202,12 +202,30 @@ def paths_between(step: DataFrame, levels: DataFrame, asked: DataFrame) -> DataF
 
 
 def common(edges: DataFrame, pairs: DataFrame, direction: str) -> DataFrame:
-    """(a, b, node): nodes in the closures of both a and b, ``up`` for ancestors, ``down`` for descendants."""
-    seeds = pairs.select(F.col("a").alias("source")).unionByName(pairs.select(F.col("b").alias("source")))
-    reach = expand(edges, seeds, direction)
-    left = reach.select(F.col("source").alias("a"), "node")
-    right = reach.select(F.col("source").alias("b"), "node")
-    return pairs.select("a", "b").distinct().join(left, "a").join(right, ["b", "node"]).select("a", "b", "node")
+    """(a, b, node): nodes in the closures of both a and b, ``up`` for ancestors, ``down`` for descendants.
+
+    Where one of a pair is in the closure of the other, that one's whole closure is in both; of other pairs the smaller
+    closure is looked up in the other, so neither the larger one nor nested ones move with their pairs."""
+    asked = cut(pairs.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct())
+    seeds = asked.select(F.col("a").alias("source")).unionByName(asked.select(F.col("b").alias("source")))
+    step = cut(oriented(edges, "up").where("at <> to").distinct())
+    levels = shallow_levels(step, seeds)
+    if levels is None:
+        reach = cut(expand(edges, seeds, direction).select("source", "node"))
+    else:
+        reach = closure(step, levels).select(*([F.col("node").alias("source"), F.col("source").alias("node")] if direction == "down" else ["source", "node"]))
+    sizes = cut(reach.groupBy("source").agg(F.count(F.lit(1)).alias("n")))
+    sized = asked.join(sizes.select(F.col("source").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("source").alias("b"), F.col("n").alias("n_b")), "b")
+    over, under = reach.select(F.col("source").alias("a"), F.col("node").alias("b"), F.lit(True).alias("over")), reach.select(F.col("source").alias("b"), F.col("node").alias("a"), F.lit(True).alias("under"))
+    sized = sized.join(over, ["a", "b"], "left").join(under, ["a", "b"], "left")
+    # (inner, outer): all of inner's closure counts if nested, else what outer's has too
+    nested = F.col("over").isNotNull() | F.col("under").isNotNull() | (F.col("a") == F.col("b"))
+    left = F.when(F.col("over").isNotNull(), False).when(nested, True).otherwise(F.col("n_a") <= F.col("n_b"))
+    sized = cut(sized.select("a", "b", F.when(left, F.col("a")).otherwise(F.col("b")).alias("source"), F.when(left, F.col("b")).otherwise(F.col("a")).alias("outer"), nested.alias("nested")))
+    inside = sized.where("nested").join(reach, "source").where("node <> outer OR a = b").select("a", "b", "node")
+    tried = sized.where("NOT nested").join(reach, "source").select("a", "b", "outer", "node")
+    met = tried.join(reach.withColumnRenamed("source", "outer"), ["outer", "node"]).select("a", "b", "node")
+    return inside.unionByName(met)
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -161,3 +161,22 @@ def test_paths_visit_nodes_between_their_ends(spark, monkeypatch):
     monkeypatch.setattr(g, "expand", lambda *_: pytest.fail("all closures"))
     found = {(r.a, r.b): r.path for r in g.shortest_paths(edges, asked).collect()}
     assert found == {p: want.get(p, [7] if p == (7, 7) else None) for p in every} | {(None, ids[0]): None}
+
+
+@pytest.mark.parametrize("extra", [[], [1]])
+def test_common_of_nested_and_other_pairs(spark, extra):
+    ids, pairs = layered(random.Random(3), 26)
+    pairs = pairs + [(b, a) for a, b in pairs[:2] for _ in extra]  # without and with a cycle
+    reach = {}
+    for (a, b) in ways_down(pairs, ids):
+        if a != b:
+            reach.setdefault(a, set()).add(b)
+    every = [(a, b) for a in ids for b in ids]
+    edges, asked = edges_of(spark, pairs), spark.createDataFrame([*every, *every[:5], (7, ids[0]), (None, 1)], "a long, b long")
+    found = g.common(edges, asked, "down")
+    assert sorted(map(tuple, found.collect())) == sorted((a, b, n) for a, b in every for n in reach.get(a, set()) & reach.get(b, set()))
+    up = {(a, b, n) for a, b in every for n in ids if a in reach.get(n, ()) and b in reach.get(n, ())}
+    assert {tuple(r) for r in g.common(edges, asked, "up").collect()} == up
+    # nested pairs take their rows from one closure: only the others are looked up in a second one
+    moved = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "NOT nested" in moved
