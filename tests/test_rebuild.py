@@ -88,3 +88,17 @@ def test_levels_ask_each_node_once(spark, monkeypatch):
     monkeypatch.setattr(r, "merge_ranges", lambda *a, **k: pytest.fail("merged"))
     assert len(ranges(spark, [("c0", "2024-01-05", "2024-01-05")], chain, [(f"c{i}", "daily") for i in range(7)])) == 6
     assert ranges(spark, [], chain, [("c0", "daily")]) == []
+
+
+def test_keys_by_levels(spark, monkeypatch):
+    """Single keys of targets whose ways meet again: those of the walk breadth first, without its rounds over all ranges."""
+    specs = [(n, g) for n, g in zip("abcdef", ["monthly", "daily", "weekly", "daily", None, "yearly"], strict=True)]
+    edges = [("b", "a", None, None), ("c", "a", None, None), ("d", "b", "window", 3), ("d", "c", None, None), ("e", "d", None, None), ("f", "d", None, None), ("f", "a", None, None)]
+    t = frame(spark, [("a", "2024-01", "2024-02"), ("b", "2024-02-01", "2024-02-02"), ("f", "2024", "2024")], "target string, start_key string, end_key string")
+    e, s = frame(spark, edges, "src string, dst string, mapping string, n int"), frame(spark, specs, "node string, grain string")
+    done = frame(spark, [("d", "2024-01-30"), ("b", "2024-02-01")], "node string, key string")
+    want = sorted(map(tuple, r.rebuild_keys(t, e, s, done, 100).collect()))
+    merged, merge = [], r.merge_ranges
+    monkeypatch.setattr(r, "merge_ranges", lambda *a, **k: merged.append(1) or merge(*a, **k))
+    assert sorted(map(tuple, r.rebuild_keys(t, e, s, done).collect())) == want and len(want) > 130
+    assert len(merged) == 1  # of all targets' ranges of a node, once
